@@ -62,7 +62,8 @@ def _bucket(level: int) -> Column:
 
 
 def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, rounds, threshold): documents with h < threshold are taken once more than rounds.
+    """(source, source_size, target, rounds, threshold, part): documents with h < threshold are taken once more than
+    rounds, and of those with h = threshold that part more, which is what the budget still owes.
 
     Level by level, only the rows of the bucket in which the budget ends are summed again.
     """
@@ -86,15 +87,13 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
         sums = kept.groupBy(F.col("d.source").alias("k"), F.shiftrightunsigned(F.col("d.h"), above - BITS).alias("b")).agg(F.sum("size").alias("n"))
         run = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.withColumn("upto", F.sum("n").over(run)).alias("c")
-        last = level == LEVELS - 1
-        # whole buckets that fit; in the last level, the boundary value goes where it leaves the smaller error
-        fits = (F.col("c.upto") - F.col("c.n") / 2.0 <= F.col("s.budget")) if last else (F.col("c.upto") <= F.col("s.budget"))
+        fits = F.col("c.upto") <= F.col("s.budget")
         state = (
             state.join(sums, F.col("s.source").eqNullSafe(F.col("c.k")), "left")
             .groupBy(F.col("s.source").alias("source"), "source_size", "target", "rounds", "prefix", "budget")
-            .agg(F.max(F.when(fits, F.col("c.upto"))).alias("used"), F.max(F.when(fits, F.col("c.b"))).alias("top"), F.min(F.when(~fits, F.col("c.b"))).alias("edge"))
+            .agg(F.max(F.when(fits, F.col("c.upto"))).alias("used"), F.max(F.when(fits, F.col("c.b"))).alias("top"), F.min(F.when(~fits, F.struct("c.b", "c.n"))).alias("over"))
         )
-        nothing = F.col("edge").isNull()
+        nothing = F.col("over").isNull()
         width = 1 << (above - BITS)
         state = state.select(
             "source",
@@ -102,17 +101,19 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
             "target",
             "rounds",
             # no bucket is left over: all hashes below the end of the last one fit
-            F.when(nothing, F.coalesce((F.col("top") + 1) * width, F.col("prefix"))).otherwise(F.col("edge") * width).alias("prefix"),
+            F.when(nothing, F.coalesce((F.col("top") + 1) * width, F.col("prefix"))).otherwise(F.col("over.b") * width).alias("prefix"),
             F.when(nothing, F.lit(0.0)).otherwise(F.col("budget") - F.coalesce("used", F.lit(0))).alias("budget"),
+            F.col("over.n").alias("edge_size"),
         )
-    return state.withColumnRenamed("prefix", "threshold").drop("budget")
+    return state.select("source", "source_size", "target", "rounds", F.col("prefix").alias("threshold"), F.when(F.col("edge_size") > 0, F.col("budget") / F.col("edge_size")).otherwise(0.0).alias("part"))
 
 
 def mix_sources(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, taken, and the columns named in carry.
 
-    taken is size times a number of repeats from 0 to 3; the sum over a source misses its target by no more than half of
-    the documents that share the boundary hash. Counts are summed by (source, bucket) before they are exchanged, so a
+    taken is size times a number of repeats from 0 to 3, but for the document at the boundary hash of its source, of which
+    only the words still owed are taken; so the sum over a source misses its target by less than a word for each document
+    at that hash (one, unless ids repeat). Counts are summed by (source, bucket) before they are exchanged, so a
     source with most of the rows is one row per bucket and task.
     """
     slim = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id")).alias("h"), *[F.col(c).alias(f"carry_{c}") for c in carry or []]), "mix")
@@ -125,12 +126,12 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         "d.size",
         "t.source_size",
         "t.target",
-        (F.col("d.size") * (F.col("t.rounds") + (F.col("d.h") < F.col("t.threshold")).cast("int"))).cast("long").alias("taken"),
+        (F.col("d.size") * (F.col("t.rounds") + (F.col("d.h") < F.col("t.threshold")).cast("int")) + F.when(F.col("d.h") == F.col("t.threshold"), F.floor(F.col("d.size") * F.col("t.part"))).otherwise(0)).cast("long").alias("taken"),
         *[F.col(f"d.carry_{c}").alias(c) for c in carry or []],
     )
 
 
-#: The same mix in DuckDB: the hash order is sorted outright there, and the boundary hash is placed by the same rule.
+#: The same mix in DuckDB: the hash order is sorted outright there.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size,
@@ -146,8 +147,10 @@ t AS (SELECT source, source_size, CASE WHEN rest * weight >= cap * free THEN cap
 b AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS INT), 3) ELSE 0 END AS rounds FROM t),
 g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
 c AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
-m AS (SELECT b.source, min(c.h) AS edge FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source
-      WHERE NOT c.upto - c.n / 2.0 <= greatest(b.target - b.rounds * b.source_size, 0.0) GROUP BY b.source)
-SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * (b.rounds + CASE WHEN m.edge IS NULL OR d.h < m.edge THEN 1 ELSE 0 END) AS BIGINT) AS taken
+m AS (SELECT b.source, min(c.h) AS edge, arg_min(CASE WHEN c.n > 0 THEN (greatest(b.target - b.rounds * b.source_size, 0.0) - (c.upto - c.n)) / c.n ELSE 0.0 END, c.h) AS part
+      FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source
+      WHERE c.upto > greatest(b.target - b.rounds * b.source_size, 0.0) GROUP BY b.source)
+SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * (b.rounds + CASE WHEN m.edge IS NULL OR d.h < m.edge THEN 1 ELSE 0 END)
+         + CASE WHEN d.h = m.edge THEN CAST(floor(d.size * m.part) AS BIGINT) ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM b.source
 """
