@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing
+from . import quality as quality_trees
+from . import toxicity as toxic_ngrams
 from .common import table
 
 
@@ -14,16 +16,34 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_ngrams.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(*toxic_ngrams.verdict("toxicity", toxic_ngrams.TOXIC))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(*toxic_ngrams.verdict("quality_score", quality_trees.GOOD))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_toxicity": op5_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

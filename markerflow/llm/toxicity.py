@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import in_training, stage
 
-#: Lengths of the n-grams, hash bins, most labelled rows to learn from, least documents with an n-gram, n-grams kept.
-SIZES, BINS, TRAIN_ROWS, LEAST, KEPT = (3, 4, 5), 1 << 20, 12_000, 8, 20_000
+#: Lengths of the n-grams, hash bins, most labelled rows to learn from, least log-likelihood ratio between the classes from
+#: which an n-gram is taken as more than chance among so many, n-grams kept.
+SIZES, BINS, TRAIN_ROWS, LEAST, KEPT = (3, 4, 5), 1 << 20, 12_000, 20.0, 20_000
 #: A score from which a text counts as toxic.
 TOXIC = 0.3
 
@@ -74,8 +75,12 @@ def fit(rows: DataFrame, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.n
         return np.zeros(BINS, np.float32), prior
     p, q = ((counts[k] + 1.0) / (total[k] + 2.0) for k in (1, 0))
     ratio = np.log(p / q)
-    both = counts.sum(axis=0)
-    worth = np.where(both >= LEAST, np.abs(ratio) * np.sqrt(both), 0)
+    have = counts.astype(np.float64)
+    rate = have.sum(axis=0) / total.sum()
+    worth = 0.0
+    for seen, expected in ((have, rate * total[:, None]), (total[:, None] - have, (1 - rate) * total[:, None])):
+        worth = worth + 2 * (seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))).sum(axis=0)
+    worth[worth < LEAST] = 0
     chosen = np.argsort(-worth, kind="stable")[:KEPT]
     chosen = chosen[worth[chosen] > 0]
     if not len(chosen):
