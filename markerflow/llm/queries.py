@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, mixing
+from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing
 from . import quality as quality_trees
 from . import toxicity as toxic_ngrams
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
