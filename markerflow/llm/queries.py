@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing
+from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, ngram_join
 from . import quality as quality_trees
 from . import toxicity as toxic_ngrams
 from .common import table
@@ -48,6 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*toxic_ngrams.verdict("quality_score", quality_trees.GOOD))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
