@@ -1,8 +1,62 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
+
+Every stage works on all rows that its predecessor kept. The first four return the columns of documents and drop whole rows: texts
+that the toxicity classifier rejects, all but the largest doc_id of equal texts, all but the smallest doc_id of each component of
+near copies, and texts that hold a benchmark window. The last one returns how much of each remaining document the mix takes.
+
+ORACLE_SQL is None: a fitted classifier, and components over links between all pairs, are not expressible in SQL; the tests hold
+each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from markerflow.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
+from markerflow.llm.common import stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("toxicity") < toxicity.TOXIC).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    verdicts = exact_dedup.exact_dedup(docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in own.items()]), carry=list(own.values()))
+    return verdicts.where("kept").select(*[F.col(a).alias(c) for c, a in own.items()])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document whose id names its component stays; a row without an id is kept only if no other is linked to it."""
+    joined = ngram_join.ngram_join(docs)
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), "benchmark_leaks")
+    return found.where(F.col("benchmark_leaks.n_hit") == 0).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

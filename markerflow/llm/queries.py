@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, ngram_join
+from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, ngram_join, suffix_dedup
 from . import quality as quality_trees
 from . import toxicity as toxic_ngrams
 from .common import table
@@ -21,6 +21,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -55,6 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
