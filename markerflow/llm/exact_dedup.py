@@ -51,7 +51,9 @@ def _log(carry: T.StructType):
                 sha = hashlib.sha256(text).digest()
                 rows.append((f"{task}-{number}", int.from_bytes(sha[:8], "big", signed=True), sha, count, top, lead, len(text), packer.compress(text)))
             out = pd.DataFrame(rows, columns=["entry", "h", "sha", "n", "top", "lead", "size", "packed"])
-            return out.reindex(columns=["entry", "h", "sha", "n", "top", "lead", "size", "packed", "doc_id", "row", *names]).astype({"n": "Int64", "top": "Int64", "lead": "Int64", "size": "Int64", "h": "Int64"})
+            for c in ("doc_id", "row", *names):
+                out[c] = None
+            return out
 
         row = 0
         for pdf in batches:
