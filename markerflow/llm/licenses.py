@@ -13,8 +13,6 @@ are reported each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,29 +47,32 @@ def words_of(text: Column) -> Column:
 
 
 def shingles(words: Column) -> Column:
-    """Distinct shingles as texts, empty for fewer than five words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-    return F.when(F.size(words) < SHINGLE, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))))
+    """Distinct shingles as texts, empty for fewer than five words. The words are bound as a lambda's variable: an expression in
+    their place would be evaluated again for each shingle."""
 
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+        return F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
 
-def _signature(words: str, start: Column, name: str) -> list[Column]:
-    """Shingle hashes of a window as columns; a shingle beyond the text is null, which least() passes over."""
-    whole = F.size(words) >= start + F.lit(SHINGLE - 1)
-    return [F.when(F.size(words) >= start + F.lit(j + SHINGLE - 1), F.xxhash64(F.slice(words, start + F.lit(j), SHINGLE))).alias(f"{name}{j}") for j in range(WINDOW - SHINGLE + 1)] + [whole.alias("whole")]
+    return F.element_at(F.transform(F.array(words), cut), 1)
 
 
-def _bands(name: str) -> Column:
-    """The band values: per band, the least shingle hash in an order of its own. Values of different bands do not meet."""
-    hashes = [F.col(f"{name}{j}") for j in range(WINDOW - SHINGLE + 1)]
-    constants = [(0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) for b in range(BANDS)]
-    signed = [c - (1 << 64) if c >> 63 else c for c in constants]
-    return F.array(*[reduce(lambda a, b: F.least(a, b), [h.bitwiseXOR(F.lit(c)) for h in hashes]) for c in signed])
+#: One constant per band; shingle hashes are ordered by their exclusive or with it.
+_ORDERS = [c - (1 << 64) if c >> 63 else c for c in ((0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) for b in range(BANDS))]
 
 
 def _windows(rows: DataFrame, keep: list[str], stride: int) -> DataFrame:
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)), F.lit(stride))
-    cut = rows.select(*keep, "words", F.explode(starts).alias("start"))
-    return cut.select(*keep, *_signature("words", F.col("start"), "s")).where("whole").select(*keep, F.explode(_bands("s")).alias("band"))
+    """The windows' band values: per band, the least shingle hash in the band's order. Values of different bands do not meet.
+
+    The bands are rows of a constant array and not BANDS expressions, which keeps the generated method small enough to be compiled.
+    """
+    count = WINDOW - SHINGLE + 1
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)), F.lit(stride))
+    cut = rows.where(F.size("words") >= SHINGLE).select(*keep, "words", F.explode(starts).alias("start"))
+    # a shingle beyond the text is null, which least() passes over
+    hashes = [F.when(F.size("words") >= F.col("start") + (j + SHINGLE), F.xxhash64(*[F.get("words", F.col("start") + (j + k)) for k in range(SHINGLE)])).alias(f"s{j}") for j in range(count)]
+    each = cut.select(*keep, *hashes).select("*", F.explode(F.array(*[F.lit(c) for c in _ORDERS])).alias("order"))
+    return each.select(*keep, F.least(*[F.col(f"s{j}").bitwiseXOR(F.col("order")) for j in range(count)]).alias("band"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
