@@ -92,12 +92,18 @@ def hash_prefix(keys: np.ndarray) -> np.ndarray:
     return keys[np.argsort(keys * _TURN)[: prefix_length(len(keys))]]
 
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """What is counted: the upper 48 bits of the hashes. Shingles that agree in them are counted as one, which can only add to a
+    count, and alike in every text; exact intersection has all 64 bits."""
+    return keys & np.uint64(0xFFFFFFFFFFFF0000)
+
+
 def _prefixes(row: pd.Series) -> list[np.ndarray]:
-    return [hash_prefix(shingles(t)) for t in unpack(row["packed"])]
+    return [short(hash_prefix(shingles(t))) for t in unpack(row["packed"])]
 
 
 def _all(row: pd.Series) -> list[np.ndarray]:
-    return [shingles(t) for t in unpack(row["packed"])]
+    return [short(shingles(t)) for t in unpack(row["packed"])]
 
 
 def _sharing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +114,7 @@ def _sharing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             texts = unpack(packed)
             own = [shingles(t) for t in texts]
-            some = [hash_prefix(k) for k in own]
+            some = [short(hash_prefix(k)) for k in own]
             ordered = np.sort(np.concatenate(some))
             counts = flags_of(flags)
             nodes = sorted(int(h) for h in heads)
@@ -127,10 +133,10 @@ def _rare(parts: int):
         for pdf in frames:
             for nodes, packed, flags in zip(pdf["nodes"], pdf["packed"], pdf["flags"]):
                 own = [shingles(t) for t in unpack(packed)]
-                ordered, counts = np.sort(np.concatenate(own)), flags_of(flags)
+                ordered, counts = np.sort(short(np.concatenate(own))), flags_of(flags)
                 keys, at = [], []
                 for node, k in zip(nodes, own):
-                    times = counts[np.searchsorted(ordered, k)]
+                    times = counts[np.searchsorted(ordered, short(k))]
                     first = np.lexsort((k * _TURN, times))[: prefix_length(len(k))]
                     first = first[times[first] > 1]
                     keys.append(k[first])
