@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, part_starts, unpack
 from .common import partitions, stage
-from .ngram_join import prefix_sums, range_hashes
+from .ngram_join import prefix_sums, range_hashes, short
 
 SPAN, K = 50, 24
 REST = SPAN - K  # bytes on each side of an anchor that its windows can reach
@@ -39,7 +39,7 @@ WIDTH = SPAN + REST
 #: Stands for the bytes beyond a text; it is no byte of UTF-8.
 BEYOND = 255
 #: Contexts that a task holds before it writes its runs.
-RUN = 400_000
+RUN = 250_000
 
 
 def _slide(values: np.ndarray, width: int, better) -> np.ndarray:
@@ -66,7 +66,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(row: pd.Series) -> list[np.ndarray]:
-    return [np.unique(anchors(t)[1]) for t in unpack(row["packed"])]
+    return [np.unique(short(anchors(t)[1])) for t in unpack(row["packed"])]
 
 
 def contexts(text: bytes, at: np.ndarray) -> np.ndarray:
@@ -196,23 +196,25 @@ def _classes(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def smallest(rows: np.ndarray, shared: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For distinct sorted contexts and the smallest doc_id of each: by context and offset, the smallest doc_id of all
-    contexts that agree in the SPAN bytes that begin `offset` bytes before the anchor."""
+def smallest(rows: np.ndarray, shared: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct sorted contexts and the smallest doc_id of each: by offset and context, the smallest doc_id of all
+    contexts that agree in the SPAN bytes that begin `offset` bytes before the anchor, as places in the sorted doc_ids."""
     n = len(rows)
+    known, rank = np.unique(ids, return_inverse=True)
+    rank = rank.astype(np.int32)
     left = rows[:, SPAN:]
     by_left = sort_rows(left)
     left_shared = common(left[by_left])
     same = np.arange(n)
-    out = np.empty((n, REST + 1), np.int64)
+    out = np.empty((REST + 1, n), np.int32)
     for offset in range(REST + 1):
         key = _classes(same, shared, SPAN - offset) * (n + 1) + _classes(by_left, left_shared, offset)
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        least = np.minimum.reduceat(ids[order], np.flatnonzero(head))
-        out[order, offset] = least[np.cumsum(head) - 1]
-    return out
+        least = np.minimum.reduceat(rank[order], np.flatnonzero(head))
+        out[offset, order] = least[np.cumsum(head) - 1]
+    return known, out
 
 
 def _write_runs(parts: int):
@@ -248,13 +250,13 @@ def _write_runs(parts: int):
                     continue
                 texts = unpack(packed)
                 found = [anchors(t) for t in texts]
-                ordered = np.sort(np.concatenate([np.unique(h) for _, h in found]))
+                ordered = np.sort(np.concatenate([np.unique(short(h)) for _, h in found]))
                 counts = flags_of(flags)
                 for h in heads:
                     slot = int(h["node"]) - (int(batch) << SLOT_BITS)
                     at, keys = found[slot]
                     if len(at):
-                        shared = counts[np.searchsorted(ordered, keys)] > 1
+                        shared = counts[np.searchsorted(ordered, short(keys))] > 1
                         at, keys = at[shared], keys[shared]
                     if len(at):
                         held.append((contexts(texts[slot], at), keys, np.full(len(at), h["first"], np.int64), np.full(len(at), h["node"], np.int64), at))
@@ -287,10 +289,11 @@ def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     which = np.cumsum(head) - 1
     least = np.minimum.reduceat(np.concatenate(ids)[source], np.flatnonzero(head))
     rows = np.concatenate([r for r, _ in decoded])[source[head]]
-    found = smallest(rows, prefix[head], least)
+    del decoded
+    known, found = smallest(rows, prefix[head], least)
     back = np.empty(len(run), np.int64)
     back[source] = which
-    out = [packer.compress(np.ascontiguousarray(found[back[begin[r] : begin[r + 1]]].T).tobytes()) for r in range(len(ids))]
+    out = [packer.compress(known[found[:, back[begin[r] : begin[r + 1]]]].tobytes()) for r in range(len(ids))]
     return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "found": out})
 
 
@@ -357,7 +360,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     about = stage(firsts(batches, members), "suffix-heads")
     heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list(F.struct("node", "first")).alias("heads"))
     texts = batches.select("batch", "packed")
-    parts = 2 * partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)
     counted = texts.join(count_keys(batches, _keys), "batch").join(heads, "batch")
     runs = stage(counted.mapInPandas(_write_runs(parts), "run string, part int, n int, keys binary, ids binary, records binary"), "suffix-runs", "snappy")
     found = runs.select("run", "part", "n", "keys", "ids").groupBy("part").applyInPandas(_merge_runs, "run string, part int, found binary")
