@@ -30,6 +30,7 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the driver forgets the shuffles behind the table, and executors delete their files
     return spark.read.schema(schema).parquet(path)
 
 
