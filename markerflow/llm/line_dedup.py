@@ -19,6 +19,8 @@ from .common import stage
 
 #: Share of a host's pages from which (exclusive) a line is boilerplate, and pages it must be on at least.
 RATIO, LEAST = 0.3, 3
+#: Tasks over which the pages of one host are dealt for the join with its bounded list.
+SALTS = 64
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: Each pattern is applied in turn: what has no text, block tags (a new line), other tags, white space within a line.
 STRIP = (
@@ -47,7 +49,8 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> Da
     common = per_line.where(F.col("n") >= least).join(per_host, "host").where(F.col("n") > ratio * F.col("pages"))
     lists = common.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), digest(x))))
-    return rows.join(lists, "host", "left").select(
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left").select(
         "page_id",
         "url",
         "host",
