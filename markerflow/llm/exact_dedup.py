@@ -31,7 +31,7 @@ from .common import as_bytes, partitions, stage
 
 #: Entries' bytes that a bucket holds before it is split, and the most bits that the directory may use; the directory has at
 #: most 2**MAX_DEPTH slots whatever the input.
-BUCKET_BYTES, MAX_DEPTH = 8 << 20, 20
+BUCKET_BYTES, MAX_DEPTH = 256 << 10, 20
 #: A task writes out the entries it holds when their texts reach this many bytes; later copies start a new entry.
 RUN_BYTES = 48 << 20
 NONE = -(1 << 63)
