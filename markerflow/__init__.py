@@ -1,0 +1 @@
+"""Stereo point-track analytics on Spark: matching, triangulation, deformation, signals, masks, candidates and media."""
