@@ -70,7 +70,7 @@ def clip_crop(crop: Column, width, height) -> Column:
     """The part of a crop inside a frame; null if nothing is."""
     x0, y0 = F.greatest(crop["x"], F.lit(0)), F.greatest(crop["y"], F.lit(0))
     x1, y1 = F.least(crop["x"] + crop["w"], c(width)), F.least(crop["y"] + crop["h"], c(height))
-    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+    return F.when(crop.isNotNull() & (x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
 
 
 def rle_area(counts) -> Column:

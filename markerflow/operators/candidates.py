@@ -138,11 +138,14 @@ def similarity(vectors: DataFrame, vector: str, positive: DataFrame, negative: D
 
 
 def grid_peaks(cells: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """Cells (gx, gy, score) whose 8-bit score is the largest within reach; plateaus stay. Window maxima along x, then along y."""
+    """Cells (gx, gy, score) whose 8-bit score is the largest within reach; plateaus stay. Maxima spread along x, then along y, so the
+    work is 2 (2 reach + 1) rows a cell; cells that do not exist take no part."""
     u8 = cells.withColumn("u8", F.floor(F.col("score") * 255).cast("int"))
-    row = Window.partitionBy(*by, "gy").orderBy("gx").rangeBetween(-reach, reach)
-    col = Window.partitionBy(*by, "gx").orderBy("gy").rangeBetween(-reach, reach)
-    return u8.withColumn("_m", F.max("u8").over(row)).withColumn("_m", F.max("_m").over(col)).where(F.col("u8") == F.col("_m")).drop("_m")
+    around = u8.select(*by, "gx", "gy", F.col("u8").alias("_m"))
+    for axis in ("gx", "gy"):
+        spread = F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach)).alias(axis)
+        around = around.select(*by, *[spread if n == axis else F.col(n) for n in ("gx", "gy")], "_m").groupBy(*by, "gx", "gy").agg(F.max("_m").alias("_m"))
+    return u8.join(around, [*by, "gx", "gy"]).where(F.col("u8") == F.col("_m")).drop("_m")
 
 
 def assign_grid(cands: DataFrame, by: list[str], cols: int, rows: int, reach: float = 0.48) -> DataFrame:

@@ -64,10 +64,10 @@ def overlapping(queries: DataFrame, regions: DataFrame, width: int = 1024) -> Da
     return hits.select("start", "end").distinct()
 
 
-def closest_frames(frames: DataFrame, query: str, frame: str, most: int) -> DataFrame:
-    """Of each query's conditioning frames at most `most`: the closest before, the closest at or after, then the nearest others in
+def closest_frames(frames: DataFrame, by: list[str], query: str, frame: str, most: int) -> DataFrame:
+    """Of each key's conditioning frames at most `most`: the closest before, the closest at or after, then the nearest others in
     order of distance and of insertion (pos)."""
-    w = Window.partitionBy(query)
+    w = Window.partitionBy(*by)
     before, after = F.max(F.when(F.col(frame) < F.col(query), F.col(frame))).over(w), F.min(F.when(F.col(frame) >= F.col(query), F.col(frame))).over(w)
     ranked = frames.withColumn("_kind", F.when((F.col(frame) == before) | (F.col(frame) == after), 0).otherwise(1))
     order = w.orderBy("_kind", F.abs(F.col(frame) - F.col(query)), "pos")
