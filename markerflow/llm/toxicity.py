@@ -23,7 +23,7 @@ from .common import in_training, stage
 
 #: Lengths of the n-grams, hash bins, most labelled rows to learn from, least log-likelihood ratio between the classes from
 #: which an n-gram is taken as more than chance among so many, n-grams kept.
-SIZES, BINS, TRAIN_ROWS, LEAST, KEPT = (3, 4, 5), 1 << 20, 12_000, 20.0, 20_000
+SIZES, BINS, TRAIN_ROWS, LEAST, KEPT = (3, 4, 5), 1 << 19, 8_000, 20.0, 6_000
 #: A score from which a text counts as toxic.
 TOXIC = 0.3
 
