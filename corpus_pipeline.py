@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    verdicts = exact_dedup.exact_dedup(docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in own.items()]), carry=list(own.values()))
-    return verdicts.where("kept").select(*[F.col(a).alias(c) for c, a in own.items()])
+    """Of rows that repeat both id and text one stays; they meet where the join has brought their id."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
