@@ -71,11 +71,12 @@ def _collect(normal: Callable[[bytes], bytes]):
     return run
 
 
-def collect(docs: DataFrame, normal: Callable[[bytes], bytes], name: str) -> tuple[DataFrame, DataFrame]:
-    """(batches: batch, keys, packed; members: doc_id, node), staged. Equal texts of a task have one node."""
+def collect(docs: DataFrame, normal: Callable[[bytes], bytes], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(batches: batch, keys, packed; members: doc_id, node; the staged table of the batches). Equal texts of a task have one node."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), as_bytes(F.col("text")).alias("data"))
     log = stage(rows.mapInPandas(_collect(normal), "batch long, node long, doc_id long, keys binary, packed binary"), name, "snappy")
-    return log.where("batch IS NOT NULL").select("batch", "keys", "packed"), log.where("batch IS NULL").select("doc_id", "node")
+    members = stage(log.where("batch IS NULL").select("doc_id", "node"), f"{name}-members")
+    return log.where("batch IS NOT NULL").select("batch", "keys", "packed"), members, log
 
 
 def firsts(batches: DataFrame, members: DataFrame) -> DataFrame:

@@ -29,9 +29,24 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    free(spark)
     df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver forgets the shuffles behind the table, and executors delete their files
-    return spark.read.schema(schema).parquet(path)
+    free(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """The driver forgets shuffles that no plan refers to any more, and executors delete their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._staged)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

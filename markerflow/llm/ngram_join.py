@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
-from .common import partitions, stage
+from .common import partitions, stage, unstage
 from .graph import components
 
 SHINGLE = 5
@@ -255,20 +255,23 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
 def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each row of docs."""
     spark = docs.sparkSession
-    batches, members = collect(docs, words_joined, "grams")
+    batches, members, log = collect(docs, words_joined, "grams")
     about = stage(firsts(batches, members), "grams-heads")
     heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list("node").alias("heads"))
     counted = batches.select("batch", "packed").join(count_keys(batches, _prefixes), "batch", "left").join(heads, "batch")
     sharing = stage(counted.mapInPandas(_sharing, "node long, n long, batch long, nodes array<long>, packed binary"), "grams-sharing", "snappy")
-    sizes = sharing.where("node IS NOT NULL").select("node", "n")
+    unstage(log)
+    sizes = stage(sharing.where("node IS NOT NULL").select("node", "n"), "grams-sizes")
     some = sharing.where("batch IS NOT NULL").select("batch", "nodes", "packed")
 
     parts = 2 * partitions(spark)
     runs = some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts), "part int, run binary, nodes binary")
     blocks = components(runs.groupBy("part").applyInPandas(_ties, "a long, b long"))
     texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(blocks, "node").join(sizes, "node"), "grams-texts")
+    unstage(sharing)
     dealt = tiled(texts, tile, tile_bytes).repartition(partitions(spark), "root", "low", "high").sortWithinPartitions("root", "low", "high")
     groups = components(dealt.mapInPandas(_tiles, "a long, b long"))
+    unstage(texts)
 
     known = about.where("node = head").select("head", "first").join(sizes.withColumnRenamed("node", "head"), "head").join(groups.withColumnRenamed("node", "head"), "head", "left")
     least = known.groupBy(F.coalesce("root", "head").alias("group")).agg(F.min("first").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, part_starts, unpack
-from .common import partitions, stage
+from .common import partitions, stage, unstage
 from .ngram_join import prefix_sums, range_hashes, short
 
 SPAN, K = 50, 24
@@ -39,7 +39,7 @@ WIDTH = SPAN + REST
 #: Stands for the bytes beyond a text; it is no byte of UTF-8.
 BEYOND = 255
 #: Contexts that a task holds before it writes its runs.
-RUN = 250_000
+RUN = 800_000
 
 
 def _slide(values: np.ndarray, width: int, better) -> np.ndarray:
@@ -77,6 +77,12 @@ def contexts(text: bytes, at: np.ndarray) -> np.ndarray:
     return data[at[:, None] + offsets]
 
 
+def inside(rows: np.ndarray) -> np.ndarray:
+    """Bytes of each context that the text has: from the anchor on, and before it."""
+    outside = rows == BEYOND
+    return np.stack([np.where(x.any(axis=1), x.argmax(axis=1), x.shape[1]) for x in (outside[:, :SPAN], outside[:, SPAN:])]).astype(np.uint8)
+
+
 def _words(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of big-endian words, for sorting."""
     width = -(-rows.shape[1] // 8) * 8
@@ -241,8 +247,8 @@ def _write_runs(parts: int):
                 least = np.minimum.reduceat(ids[mine], np.flatnonzero(head))
                 # the records of the run: which context, and where it is
                 records = np.stack([which, ids[mine], nodes[mine], places[mine]])
-                out.append((name, p, int(head.sum()), encode(own[head]), packer.compress(least.tobytes()), packer.compress(np.diff(records, axis=1, prepend=0).tobytes())))
-            return pd.DataFrame(out, columns=["run", "part", "n", "keys", "ids", "records"])
+                out.append((name, p, int(head.sum()), encode(own[head]), packer.compress(least.tobytes()), packer.compress(inside(own[head]).tobytes()), packer.compress(np.diff(records, axis=1, prepend=0).tobytes())))
+            return pd.DataFrame(out, columns=["run", "part", "n", "keys", "ids", "inside", "records"])
 
         for pdf in frames:
             for batch, packed, flags, heads in zip(pdf["batch"], pdf["packed"], pdf["flags"], pdf["heads"]):
@@ -301,13 +307,10 @@ def _repeats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of runs with their answers: the bytes to remove, by batch."""
     unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
     for pdf in frames:
-        for n, keys, records, found in zip(pdf["n"], pdf["keys"], pdf["records"], pdf["found"]):
-            rows, _ = decode(keys, n)
+        for within, records, found in zip(pdf["inside"], pdf["records"], pdf["found"]):
+            right, left = np.frombuffer(unpacker.decompress(bytes(within)), np.uint8).reshape(2, -1)
             which, ids, nodes, at = np.cumsum(np.frombuffer(unpacker.decompress(bytes(records)), np.int64).reshape(4, -1), axis=1)
             least = np.frombuffer(unpacker.decompress(bytes(found)), np.int64).reshape(REST + 1, -1)
-            outside = rows == BEYOND
-            right = np.where(outside[:, :SPAN].any(axis=1), outside[:, :SPAN].argmax(axis=1), SPAN)
-            left = np.where(outside[:, SPAN:].any(axis=1), outside[:, SPAN:].argmax(axis=1), REST)
             low, high = np.full(len(which), -1), np.full(len(which), -1)
             for offset in range(REST + 1):
                 hit = ((offset <= left) & (SPAN - offset <= right))[which] & (least[offset][which] < ids)
@@ -356,16 +359,17 @@ def _apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges to remove), a row for each row of docs."""
-    batches, members = collect(docs, bytes, "suffix")
+    batches, members, _ = collect(docs, bytes, "suffix")
     about = stage(firsts(batches, members), "suffix-heads")
     heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list(F.struct("node", "first")).alias("heads"))
     texts = batches.select("batch", "packed")
-    parts = 4 * partitions(docs.sparkSession)
+    parts = 2 * partitions(docs.sparkSession)
     counted = texts.join(count_keys(batches, _keys), "batch").join(heads, "batch")
-    runs = stage(counted.mapInPandas(_write_runs(parts), "run string, part int, n int, keys binary, ids binary, records binary"), "suffix-runs", "snappy")
+    runs = stage(counted.mapInPandas(_write_runs(parts), "run string, part int, n int, keys binary, ids binary, inside binary, records binary"), "suffix-runs", "snappy")
     found = runs.select("run", "part", "n", "keys", "ids").groupBy("part").applyInPandas(_merge_runs, "run string, part int, found binary")
-    spans = runs.select("run", "part", "n", "keys", "records").join(found, ["run", "part"]).mapInPandas(_repeats, "batch long, spans binary")
-    spans = spans.groupBy("batch").agg(F.collect_list("spans").alias("spans"))
+    spans = runs.select("run", "part", "inside", "records").join(found, ["run", "part"]).mapInPandas(_repeats, "batch long, spans binary")
+    spans = stage(spans.groupBy("batch").agg(F.collect_list("spans").alias("spans")), "suffix-spans", "snappy")
+    unstage(runs)
     applied = texts.join(heads, "batch").join(spans, "batch", "left").mapInPandas(_apply, "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     known = about.select(F.col("node").alias("member"), "head", "first").join(applied, F.col("head") == F.col("node")).drop("node", "head")
     rows = members.join(known, F.col("node") == F.col("member"))
