@@ -453,10 +453,10 @@ def w8_rle_round_trip(spark, d):
     return back.join(sizes, "mask").select("mask", F.when(odd, F.concat(F.slice("counts", F.lit(1), F.size("counts") - 1), F.array(tail - (1000 - F.col("s"))))).otherwise(F.col("counts")).alias("counts"))
 
 
-@query("SELECT l_suppkey AS obj, count(*) AS area, round(avg(l_quantity), 6) AS u, round(avg(l_linenumber), 6) AS v, min(l_quantity) AS x0, min(l_linenumber) AS y0, max(l_quantity) AS x1, max(l_linenumber) AS y1 FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS obj, count(*) AS area, round(avg(l_quantity), 9) AS u, round(avg(l_linenumber), 9) AS v, min(l_quantity) AS x0, min(l_linenumber) AS y0, max(l_quantity) AS x1, max(l_linenumber) AS y1 FROM lineitem GROUP BY l_suppkey")
 def a17_mask_shape(spark, d):
     p = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("obj"), F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"))
-    return masks.shape_stats(p, ["obj"]).select("obj", "area", r6("u"), r6("v"), "x0", "y0", "x1", "y1")
+    return masks.shape_stats(p, ["obj"]).select("obj", "area", r6("u", places=9), r6("v", places=9), "x0", "y0", "x1", "y1")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS pixel, l_linenumber AS obj, max(l_discount) AS score FROM lineitem GROUP BY 1, 2) SELECT pixel, obj, CASE WHEN row_number() OVER (PARTITION BY pixel ORDER BY score DESC, obj) = 1 THEN score ELSE least(score, -10.0) END AS score FROM s""")
@@ -562,12 +562,12 @@ def p23_truthy_url(spark, d):
     return o.select(F.col("o_orderkey").alias("key"), txt.truthy("o_orderstatus").alias("truthy"), txt.base_url(F.concat(F.lower("o_orderpriority"), F.lit("/"))).alias("url"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size > 3 THEN least(p_size + 20, 60) - p_size END AS w, CASE WHEN p_size > 3 THEN least(p_size + p_size, 60) - p_size END AS h FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_size > 3 THEN least(p_size + 20, 60) - p_size ELSE -1 END AS w, CASE WHEN p_size > 3 THEN least(p_size + p_size, 60) - p_size ELSE -1 END AS h FROM part")
 def p18_crop_clip(spark, d):
     s = F.col("p_size").cast("string")
     t = F.when(F.col("p_size") > 3, F.concat_ws(",", s, s, F.lit("20"), s)).otherwise(F.lit("a,b"))
     k = txt.clip_crop(txt.crop_of(t), 60, 60)
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), k["w"].alias("w"), k["h"].alias("h"))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.coalesce(k["w"], F.lit(-1)).alias("w"), F.coalesce(k["h"], F.lit(-1)).alias("h"))
 
 
 @query("SELECT p_partkey AS id, round((CASE WHEN p_size * 3 < 50 OR p_size * 3 > 20000 THEN 0.5 ELSE 1.0 END) * (CASE WHEN p_size / 10.0 < 3.0 THEN 0.8 ELSE 1.0 END) * (CASE WHEN p_retailprice / 2000 < 0.7 THEN 0.7 ELSE 1.0 END) * (CASE WHEN greatest(p_size, 5) / greatest(least(p_size, 5), 1) > 5 THEN 0.6 ELSE 1.0 END), 6) AS quality FROM part")
