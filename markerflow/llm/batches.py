@@ -6,6 +6,8 @@ partition and a running number, a text's number is that of its batch and its slo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,12 @@ BATCH_BYTES, SLOT_BITS = 4 << 20, 20
 NO_ID = (1 << 63) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would keep."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(texts: list[bytes]) -> bytes:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     return zstandard.ZstdCompressor(level=3).compress(np.int64(len(texts)).tobytes() + sizes.tobytes() + b"".join(texts))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, part_starts, unpack
+from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, give_back, part_starts, unpack
 from .common import partitions, stage, unstage
 from .ngram_join import prefix_sums, range_hashes, short
 
@@ -39,7 +40,7 @@ WIDTH = SPAN + REST
 #: Stands for the bytes beyond a text; it is no byte of UTF-8.
 BEYOND = 255
 #: Contexts that a task holds before it writes its runs.
-RUN = 800_000
+RUN = 400_000
 
 
 def _slide(values: np.ndarray, width: int, better) -> np.ndarray:
@@ -125,18 +126,19 @@ def decode(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LoserTree:
-    """Merges sorted runs of equal-length strings, given as integers with each one's common prefix with its predecessor.
+    """Merges sorted runs of WIDTH-byte strings, each given as its bytes end to end and each string's common prefix with its predecessor.
+    Strings are compared as integers, made when they come to their run's head.
 
     Every waiting head knows its common prefix with the last string that came out. Of two heads the one that shares more with
     it is smaller, without a look at either; only equals are compared, from the known prefix on, and the loser remembers where
     they differ.
     """
 
-    def __init__(self, runs: list[list[int]], shared: list[list[int]]) -> None:
+    def __init__(self, runs: list[bytes], shared: list[bytes]) -> None:
         self.runs, self.shared = runs, shared
         self.k = max(1, len(runs))
         self.at = [0] * len(runs)
-        self.head = [r[0] if r else None for r in runs]
+        self.head = [int.from_bytes(r[:WIDTH], "big") if r else None for r in runs]
         self.lcp = [0] * len(runs)
         self.tree = [0] * self.k
         self.tree[0] = self._build(1)
@@ -172,15 +174,15 @@ class LoserTree:
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         """(run, common prefix with the string before) of each string in order."""
-        run, prefix = [], []
+        run, prefix = array("i"), array("B")
         head, lcp, at, tree, k, play = self.head, self.lcp, self.at, self.tree, self.k, self._play
         winner = tree[0]
         while len(head) and head[winner] is not None:
             run.append(winner)
             prefix.append(lcp[winner])
             at[winner] = i = at[winner] + 1
-            if i < len(self.runs[winner]):
-                head[winner] = self.runs[winner][i]
+            if i < len(self.shared[winner]):
+                head[winner] = int.from_bytes(self.runs[winner][i * WIDTH : (i + 1) * WIDTH], "big")
                 lcp[winner] = self.shared[winner][i]
             else:
                 head[winner] = None
@@ -271,8 +273,11 @@ def _write_runs(parts: int):
                         yield write()
                         held.clear()
                         count = 0
+                        give_back()
         if held:
             yield write()
+            held.clear()
+        give_back()
 
     return run
 
@@ -282,9 +287,7 @@ def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
     decoded = [decode(k, n) for k, n in zip(pdf["keys"], pdf["n"])]
     ids = [np.frombuffer(unpacker.decompress(bytes(i)), np.int64) for i in pdf["ids"]]
-    whole = [[int.from_bytes(r, "big") for r in map(bytes, rows)] for rows, _ in decoded]
-    run, prefix = LoserTree(whole, [s.tolist() for _, s in decoded]).merge()
-    del whole
+    run, prefix = LoserTree([rows.tobytes() for rows, _ in decoded], [s.astype(np.uint8).tobytes() for _, s in decoded]).merge()
     # where each string of the merged order lies in the runs put end to end
     begin = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
     source = np.empty(len(run), np.int64)
@@ -300,6 +303,8 @@ def _merge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     back = np.empty(len(run), np.int64)
     back[source] = which
     out = [packer.compress(known[found[:, back[begin[r] : begin[r + 1]]]].tobytes()) for r in range(len(ids))]
+    del rows, known, found, back, source, which
+    give_back()
     return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "found": out})
 
 
