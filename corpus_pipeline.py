@@ -23,13 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat both id and text one stays; they meet where the join has brought their id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Rows are told apart by id and a hash of the text, as ids may repeat or be null. Of rows that repeat both id and text one stays;
+    they meet where the join has brought their id."""
+    text_hash = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", text_hash.alias("kept_text"))
+    kept = exact_dedup.exact_dedup(keyed, carry=["kept_text"]).where("kept").select(F.col("doc_id").alias("kept_id"), "kept_text").distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (text_hash == F.col("kept_text")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id names its component stays; a row without an id is kept only if no other is linked to it."""
+    """The document whose id names its component stays. Rows with one id, and those without, are kept or dropped together: they go
+    if one of them is in a component that another document names."""
     joined = ngram_join.ngram_join(docs)
     gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")

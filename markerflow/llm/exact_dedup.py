@@ -156,7 +156,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, carry: list[s
     spark = docs.sparkSession
     names = {c: f"carry_{i}" for i, c in enumerate(carry or [])}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("data"), *[F.col(c).alias(a) for c, a in names.items()])
-    extra = T.StructType([f for f in rows.schema if f.name in names.values()])
+    extra = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name in names.values()])
     schema = T.StructType(T.StructType.fromDDL("entry string, h long, sha binary, n long, top long, lead long, size long, packed binary, doc_id long, row long").fields + extra.fields)
     log = stage(rows.mapInPandas(_log(extra), schema), "dedup-log")
     entries, members = log.where("packed IS NOT NULL"), log.where("packed IS NULL")
