@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,7 +16,7 @@ def plain(v):
         v = v.item()
     if isinstance(v, (np.ndarray, list, tuple)):
         return tuple(plain(x) for x in v)
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, float):
         return 0.0 if v == 0 else int(v) if math.isfinite(v) and v == int(v) else v
