@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, give_back, part_starts, unpack
 from .common import partitions, stage, unstage
-from .ngram_join import prefix_sums, range_hashes, short
+from .ngram_join import mix, prefix_sums, range_hashes, short
 
 SPAN, K = 50, 24
 REST = SPAN - K  # bytes on each side of an anchor that its windows can reach
@@ -63,7 +63,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     least = _slide(h, REST + 1, np.minimum)
     padded = np.concatenate([np.zeros(REST, np.uint64), least, np.zeros(REST, np.uint64)])
     at = np.flatnonzero(_slide(padded, REST + 1, np.maximum) == h)
-    return at, h[at]
+    return at, mix(h[at])  # least hashes are small ones: mixed again, they spread over the key ranges
 
 
 def _keys(row: pd.Series) -> list[np.ndarray]:
