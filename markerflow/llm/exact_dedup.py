@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import give_back
 from .common import as_bytes, partitions, stage
 
 #: Entries' bytes that a bucket holds before it is split, and the most bits that the directory may use; the directory has at
 #: most 2**MAX_DEPTH slots whatever the input.
 BUCKET_BYTES, MAX_DEPTH = 256 << 10, 20
 #: A task writes out the entries it holds when their texts reach this many bytes; later copies start a new entry.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 NONE = -(1 << 63)
 
 
@@ -81,8 +82,11 @@ def _log(carry: T.StructType):
                 yield entries()
                 held.clear()
                 size = 0
+                give_back()
         if held:
             yield entries()
+            held.clear()
+        give_back()
 
     return run
 
