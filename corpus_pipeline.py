@@ -17,31 +17,40 @@ from markerflow.llm import decontaminate, exact_dedup, mixing, ngram_join, toxic
 from markerflow.llm.common import stage, table
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxicity") < toxicity.TOXIC).select(*docs.columns)
+    score = unused(docs, "toxicity")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), column=score)
+    return scored.where(F.col(score) < toxicity.TOXIC).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by id and a hash of the text, as ids may repeat or be null. Of rows that repeat both id and text one stays;
     they meet where the join has brought their id."""
-    text_hash = F.xxhash64("text")
-    keyed = docs.select("doc_id", "text", text_hash.alias("kept_text"))
-    kept = exact_dedup.exact_dedup(keyed, carry=["kept_text"]).where("kept").select(F.col("doc_id").alias("kept_id"), "kept_text").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (text_hash == F.col("kept_text")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept_id, kept_text, text_hash = unused(docs, "kept_id"), unused(docs, "kept_text"), F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", text_hash.alias(kept_text))
+    kept = exact_dedup.exact_dedup(keyed, carry=[kept_text]).where("kept").select(F.col("doc_id").alias(kept_id), kept_text).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_text)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document whose id names its component stays. Rows with one id, and those without, are kept or dropped together: they go
     if one of them is in a component that another document names."""
-    joined = ngram_join.ngram_join(docs)
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    joined, gone_id = ngram_join.ngram_join(docs), unused(docs, "gone_id")
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), "benchmark_leaks")
-    return found.where(F.col("benchmark_leaks.n_hit") == 0).select(*docs.columns)
+    leaks = unused(docs, "leaks")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks)
+    return found.where(F.col(leaks)["n_hit"] == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

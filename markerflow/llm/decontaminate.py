@@ -237,7 +237,7 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
-    """docs with a struct column: n_words, n_hit, spans (of words, merged), cuts (the same as byte ranges of the UTF-8
+    """docs with a struct column (one of that name is replaced): n_words, n_hit, spans (of words, merged), cuts (the same as byte ranges of the UTF-8
     text), items (ids as sorted strings).
 
     The benchmark is an evaluation set read pass by pass; each pass broadcasts at most PASS_BYTES of it.

@@ -216,7 +216,7 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame, column: str = "text") -> DataFrame:
-    """pages with a column of the main text of each whole html."""
+    """pages with a column (one of that name is replaced) of the main text of each whole html."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -160,8 +160,8 @@ def scorer(spark, model: dict):
     return lambda text: score(as_bytes(text))
 
 
-def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column `quality_score`, the probability of label 1."""
+def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, column: str = "quality_score") -> DataFrame:
+    """docs with a column (one of that name is replaced) of the probability of label 1."""
     rows = labelled(docs, labels, "quality", train_rows).select("y", statistics_column()(as_bytes(F.col("text"))).alias("x")).collect()  # at most train_rows rows of N_STATS numbers
     x = np.array([r.x for r in rows], dtype=np.float64).reshape(-1, N_STATS)
-    return docs.withColumn("quality_score", scorer(docs.sparkSession, fit(x, np.array([r.y for r in rows], dtype=np.float64)))(F.col("text")))
+    return docs.withColumn(column, scorer(docs.sparkSession, fit(x, np.array([r.y for r in rows], dtype=np.float64)))(F.col("text")))

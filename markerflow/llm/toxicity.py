@@ -130,9 +130,9 @@ def scorer(spark, model: tuple[np.ndarray, float]):
     return lambda text: score(F.coalesce(text, F.lit("")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column `toxicity`, the probability of label 1."""
-    return docs.withColumn("toxicity", scorer(docs.sparkSession, fit(labelled(docs, labels, "toxic", train_rows)))(F.col("text")))
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, column: str = "toxicity") -> DataFrame:
+    """docs with a column (one of that name is replaced) of the probability of label 1."""
+    return docs.withColumn(column, scorer(docs.sparkSession, fit(labelled(docs, labels, "toxic", train_rows)))(F.col("text")))
 
 
 def verdict(score: str, least: float) -> list[Column]:

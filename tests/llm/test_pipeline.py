@@ -25,9 +25,10 @@ def stage(name):
 
 def test_stages_are_named_and_whole(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources"]
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"'own' AS {n}" for n in ("toxicity", "kept_id", "kept_text", "gone_id", "leaks", "h", "size", "node")])
     for _, step in corpus_pipeline.STAGES[:-1]:
-        assert step(spark, docs, folder).columns == docs.columns
+        out = step(spark, docs, folder)
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {("own",) * 8}
         assert step(spark, docs.limit(0), folder).count() == 0
 
 
