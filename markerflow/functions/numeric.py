@@ -135,3 +135,29 @@ def bilinear(corners, col, row, cols, rows) -> tuple[Column, Column]:
     s = c(col) / F.greatest(c(cols) - 1, F.lit(1)).cast("double")
     t = c(row) / F.greatest(c(rows) - 1, F.lit(1)).cast("double")
     return tuple((1 - t) * ((1 - s) * corners[0][k] + s * corners[1][k]) + t * ((1 - s) * corners[3][k] + s * corners[2][k]) for k in (0, 1))
+
+
+def uncrop_box(box: Column, crop_x, crop_y) -> Column:
+    """Corners of a crop's box in the frame."""
+    return F.struct((box["x0"] + c(crop_x)).alias("x0"), (box["y0"] + c(crop_y)).alias("y0"), (box["x1"] + c(crop_x)).alias("x1"), (box["y1"] + c(crop_y)).alias("y1"))
+
+
+def box_xywh(box: Column) -> Column:
+    return F.struct(box["x0"].alias("x"), box["y0"].alias("y"), (box["x1"] - box["x0"]).alias("w"), (box["y1"] - box["y0"]).alias("h"))
+
+
+def near_crop_edge(box: Column, crop: Column, frame: Column, tolerance: float = 20.0) -> Column:
+    """A side of the box lies at its crop's edge, and that edge is not the frame's."""
+    hits = [(F.abs(box[n] - crop[n]) <= tolerance) & ~(F.abs(box[n] - frame[n]) <= tolerance) for n in ("x0", "y0", "x1", "y1")]
+    return hits[0] | hits[1] | hits[2] | hits[3]
+
+
+def unit_coordinate(value, extent, resolution=None) -> Column:
+    """A pixel coordinate as share of the extent, or at another resolution."""
+    share = c(value) / c(extent)
+    return share if resolution is None else share * c(resolution)
+
+
+def precedence(given, saved, default) -> Column:
+    """An explicitly given value, else the saved one, else the default; a given value that equals the default counts as not given."""
+    return F.coalesce(F.when(c(given) != c(default), c(given)), c(saved), c(default))

@@ -124,3 +124,26 @@ def best_mask(scores, stability_single, least=0.98) -> Column:
     """Index of the mask to keep: the single one if stable enough, else the first with the best predicted score of the others."""
     rest = F.slice(c(scores), 2, 1 << 30)
     return F.when(c(stability_single) >= least, 0).otherwise(F.array_position(rest, F.array_max(rest)).cast("int"))
+
+
+def translate_points(points, dx, dy) -> Column:
+    """Every point of an array moved."""
+    return F.transform(c(points), lambda p: F.struct((p["x"] + c(dx)).alias("x"), (p["y"] + c(dy)).alias("y")))
+
+
+def correction(clicks, scale) -> list[Column]:
+    """positive and negative points of labelled clicks (x, y, label), at full scale."""
+    of = lambda k: F.transform(F.filter(c(clicks), lambda p: p["label"] == k), lambda p: F.struct((p["x"] / c(scale)).alias("x"), (p["y"] / c(scale)).alias("y")))
+    return [of(1).alias("positive"), of(0).alias("negative")]
+
+
+def point_method(usable: Column, junction: Column, peak: Column, eroded: Column, centroid: Column) -> Column:
+    """Which point stands for a mask: a good skeleton junction, the distance peak, then the eroded and the plain centroid."""
+    return (
+        F.when(~usable, "invalid")
+        .when(junction, "skeleton_junction")
+        .when(peak.isNotNull(), "dt_peak")
+        .when(eroded.isNotNull(), "fallback_eroded_centroid")
+        .when(centroid.isNotNull(), "fallback_centroid")
+        .otherwise("no_fallback")
+    )

@@ -676,3 +676,89 @@ def k4_candidate_rows(spark, d):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def s18_nested_json(spark, d):
     return fx.table(spark, d, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+# --- smaller scalar operators ---------------------------------------------------------------------------------------------------
+
+
+def _box(*values):
+    return F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), values)])
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, p_size + 100.0 AS x0, 250.0 - p_size AS y0, p_size + 180.0 AS x1, 380.0 AS y1 FROM part) SELECT id, x1 - x0 AS w, y1 - y0 AS h,
+  (abs(x0 - 100) <= 20 AND NOT abs(x0) <= 20) OR (abs(y0 - 200) <= 20 AND NOT abs(y0) <= 20) OR (abs(x1 - 300) <= 20 AND NOT abs(x1 - 640) <= 20) OR (abs(y1 - 460) <= 20 AND NOT abs(y1 - 480) <= 20) AS near_edge FROM b""")
+def p15_crop_edges(spark, d):
+    s = F.col("p_size")
+    own = _box(s, 50 - s, s + 80, F.lit(180))
+    whole = num.uncrop_box(own, F.lit(100.0), F.lit(200.0))
+    crop, frame = _box(*[F.lit(v) for v in (100, 200, 300, 460)]), _box(*[F.lit(v) for v in (0, 0, 640, 480)])
+    b = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), whole.alias("b"), crop.alias("c"), frame.alias("f"))
+    return b.select("id", num.box_xywh(F.col("b"))["w"].alias("w"), num.box_xywh(F.col("b"))["h"].alias("h"), num.near_crop_edge(F.col("b"), F.col("c"), F.col("f")).alias("near_edge"))
+
+
+@query("SELECT p_partkey AS id, round(p_size / 640.0, 9) AS share, round(p_size / 640.0 * 1024, 6) AS at FROM part")
+def p26_unit_coordinates(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), r6(num.unit_coordinate("p_size", F.lit(640.0)), "share", 9), r6(num.unit_coordinate("p_size", F.lit(640.0), F.lit(1024)), "at"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 <> 3 THEN p_size % 5 WHEN p_size % 2 = 0 THEN p_size ELSE 3 END AS value FROM part")
+def p28_parameter_precedence(spark, d):
+    saved = F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), num.precedence(F.col("p_size") % 5, saved, F.lit(3)).alias("value"))
+
+
+@query("SELECT p_partkey AS id, [p_size + 10.0, p_size + 11.0] AS xs FROM part")
+def p5_translate_points(spark, d):
+    pts = F.array(*[F.struct((F.col("p_size") + float(k)).alias("x"), F.lit(0.0).alias("y")) for k in (0, 1)])
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(txt.translate_points(pts, F.lit(10.0), F.lit(0.0)), lambda p: p["x"]).alias("xs"))
+
+
+@query("SELECT p_partkey AS id, [p_size * 2.0] AS positive, [2.0, 4.0] AS negative FROM part")
+def p30_corrections(spark, d):
+    click = lambda x, k: F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(k).alias("label"))
+    pos, neg = txt.correction(F.array(click(F.col("p_size"), 1), click(F.lit(1), 0), click(F.lit(2), 0)), F.lit(0.5))
+    out = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), pos, neg)
+    return out.select("id", F.transform("positive", lambda p: p["x"]).alias("positive"), F.transform("negative", lambda p: p["x"]).alias("negative"))
+
+
+@query("""SELECT p_partkey AS id, sha256(CAST(to_json(struct_pack(p_brand := p_brand, p_partkey := p_partkey)) AS VARCHAR)) AS fingerprint FROM part""")
+def p24_row_fingerprint(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), txt.row_hash("p_partkey", "p_brand").alias("fingerprint"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS frames_processed, count(*) FILTER (l_quantity > 45) AS missing_masks, 0 AS invalid_frames FROM lineitem")
+def a3_frame_counters(spark, d):
+    t = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.when(F.col("l_quantity") > 45, "missing").otherwise("dt_peak").alias("method"))
+    return media.counters(t)
+
+
+@query(f"SELECT idx, count(value) OVER (ORDER BY idx) AS shown FROM {SIGNAL_SQL} WHERE side = 0")
+def w12_running_prefix(spark, d):
+    return netframe.running(fx.signal(spark, d).where("side = 0"), "idx", "value").select("idx", "shown")
+
+
+@query("SELECT event_id AS idx FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100")
+def o8_scan_budget(spark, d):
+    return _found(spark, d).orderBy("idx").limit(100)
+
+
+@query(f"SELECT side, frame, obj_id, valid FROM {TRACKS_SQL} WHERE side = 'left' UNION ALL SELECT side, frame, obj_id, valid FROM {TRACKS_SQL} WHERE side = 'right'")
+def o10_concat_batches(spark, d):
+    a, b = fx.sides(spark, d)
+    return a.unionByName(b).select("side", "frame", "obj_id", "valid").orderBy("frame", "obj_id")
+
+
+@query("SELECT o_orderkey AS cache, o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AS valid FROM orders")
+def a26_cache_validity(spark, d):
+    o = fx.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("scale"))
+    stored = o.withColumn("stored", F.sha2(F.lit("0"), 256)).withColumn("now", F.sha2(F.col("scale").cast("string"), 256))
+    return stored.select(F.col("o_orderkey").alias("cache"), ((F.col("stored") == F.col("now")) & (F.col("o_orderkey") % 3 == 0)).alias("valid"))
+
+
+@query("SELECT method, CASE WHEN valid = 0 THEN 'invalid' WHEN junction >= 2.0 THEN 'skeleton_junction' WHEN u IS NOT NULL THEN 'dt_peak' WHEN e IS NOT NULL THEN 'fallback_eroded_centroid' ELSE 'fallback_centroid' END AS decided, count(*) AS n FROM (SELECT l_returnflag AS method, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS valid, l_discount * 30 AS junction, CASE WHEN l_quantity > 10 THEN 1 END AS u, CASE WHEN l_quantity > 5 THEN 1 END AS e FROM lineitem) GROUP BY 1, 2")
+def p8_method_decision(spark, d):
+    decided = txt.point_method(F.col("valid") == 1, F.col("junction") >= 2.0, F.col("u"), F.col("e"), F.lit(1))
+    rows = fx.table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("method"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("valid"), (F.col("l_discount") * 30).alias("junction"), F.when(F.col("l_quantity") > 10, 1).alias("u"), F.when(F.col("l_quantity") > 5, 1).alias("e")
+    )
+    return rows.groupBy("method", decided.alias("decided")).agg(F.count("*").alias("n"))

@@ -284,3 +284,31 @@ def test_stream_equals_batch(spark, tmp_path):
     a = {(r.side, r.frame): r.output for r in spark.table("walked").collect()}
     b = {(r.side, r.frame): r.output for r in memory.propagate(d, ["side"]).collect()}
     assert a == b and len(a) == 60
+
+
+def test_escalation_and_decisions(spark):
+    assert cand.escalate({"a": 3, "b": 15}, ["a", "b", "c"], 20) == "b" and cand.escalate({}, ["a", "c"], 2) == "c"
+    one = spark.range(1)
+    assert values(one.select(num.precedence(F.lit(3), F.lit(7), F.lit(3)), num.precedence(F.lit(4), F.lit(7), F.lit(3)), num.precedence(F.lit(3), F.lit(None).cast("int"), F.lit(3)))) == [(7, 4, 3)]
+    t = F.lit(True)
+    none = F.lit(None).cast("int")
+    assert values(one.select(txt.point_method(~t, t, none, none, none), txt.point_method(t, ~t, none, none, none))) == [("invalid", "no_fallback")]
+    assert [r.b for r in one.select(num.ramp(F.lit(5.0), F.lit(1.0), F.lit(1.0)).alias("c")).select("c.b").collect()] == [141]
+
+
+def test_closest_frames_keep_both_sides(spark):
+    rows = [(0, f, p, 10) for p, f in enumerate([1, 8, 9, 20, 11])]
+    d = spark.createDataFrame(rows, "k int, frame int, pos int, q int")
+    assert sorted(r.frame for r in match.closest_frames(d, ["k"], "q", "frame", 2).collect()) == [9, 11]
+    assert sorted(r.frame for r in match.closest_frames(d, ["k"], "q", "frame", 3).collect()) == [8, 9, 11]
+    assert match.closest_frames(d, ["k"], "q", "frame", -1).count() == 5
+
+
+def test_stream_match(spark, tmp_path):
+    t = spark.createDataFrame([(f, 1, 1.0 * f, 2.0, 0.9, 1) for f in range(5)], "frame int, obj_id int, u double, v double, quality double, valid int").withColumn("ts", F.current_timestamp())
+    t.repartition(1).write.parquet(str(tmp_path / "t"))
+    side = lambda: spark.readStream.schema(t.schema).parquet(str(tmp_path / "t"))
+    q = memory.stream_match(side(), side(), 0.5, 1, 0).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.gframe, r.uL, r.uR) for r in spark.table("pairs").collect()) == [(g, g - 1.0, float(g)) for g in range(1, 5)]
