@@ -227,8 +227,7 @@ def g8_lattice_edges(spark, d):
 @query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL} WHERE frame_L % 50 = 0) SELECT p.frame_L, p.obj_id AS a, q.obj_id AS b, round(sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2), 6) AS dist
   FROM p JOIN p q ON p.frame_L = q.frame_L AND p.obj_id < q.obj_id WHERE sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2) <= 4""")
 def j6_neighbour_pairs(spark, d):
-    p = fx.points(spark, d).where("frame_L % 50 = 0")
-    return idioms.neighbours(p, ["frame_L"], "obj_id", "X", "Y", 4.0).select("frame_L", "a", "b", r6("dist"))
+    return idioms.neighbours(fx.points(spark, d), ["frame_L"], "obj_id", "X", "Y", 4.0).select("frame_L", "a", "b", r6("dist"))
 
 
 @query(f"""WITH p AS (SELECT * FROM {_REFS}) SELECT p.obj_id, round(min(sqrt((p.Y0-q.Y0)**2 + (p.Z0-q.Z0)**2)), 6) AS nearest FROM p JOIN p q ON p.obj_id <> q.obj_id GROUP BY p.obj_id""")
@@ -240,8 +239,7 @@ def j7_nearest_neighbour(spark, d):
 @query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL} WHERE frame_L % 50 = 0), q AS (SELECT a.frame_L, sqrt((a.X-b.X)**2 + (a.Y-b.Y)**2) AS dist, atan2(b.Y-a.Y, b.X-a.X) AS raw FROM p a JOIN p b ON a.frame_L = b.frame_L AND a.obj_id < b.obj_id),
   s AS (SELECT dist, CASE WHEN raw < 0 THEN raw + pi() WHEN raw >= pi() THEN raw - pi() ELSE raw END AS angle FROM q WHERE dist <= 4 AND dist > 1e-9) SELECT CAST(least(floor(angle / pi() * 36), 35) AS INT) AS bin, round(sum(1 / greatest(dist, 1e-9)), 4) AS weight FROM s GROUP BY 1""")
 def a7_angle_histogram(spark, d):
-    p = fx.points(spark, d).where("frame_L % 50 = 0")
-    pairs = idioms.neighbours(p, ["frame_L"], "obj_id", "X", "Y", 4.0).where("dist > 1e-9").withColumn("angle", F.pmod(F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px")), F.lit(num.PI)))
+    pairs = idioms.neighbours(fx.points(spark, d), ["frame_L"], "obj_id", "X", "Y", 4.0).where("dist > 1e-9").withColumn("angle", F.pmod(F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px")), F.lit(num.PI)))
     return netframe.angle_histogram(pairs).select("bin", r6("weight", places=4))
 
 

@@ -1,0 +1,19 @@
+"""Registered queries over all rows: against their SQL without the filters that cut its input."""
+
+from markerflow.plans.queries import QUERIES, SQL
+
+from .compare import same
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def whole(spark, name, cut):
+    same(QUERIES[name](spark, SMALL), SQL[name].replace(cut, ""), SMALL)
+
+
+def test_neighbour_pairs_of_all_frames(spark):
+    whole(spark, "j6_neighbour_pairs", " WHERE frame_L % 50 = 0")
+
+
+def test_angle_histogram_of_all_frames(spark):
+    whole(spark, "a7_angle_histogram", " WHERE frame_L % 50 = 0")
