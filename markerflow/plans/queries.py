@@ -437,7 +437,7 @@ def a18_rle_area(spark, d):
 @query(f"""WITH r AS (SELECT mask, counts, unnest(counts) AS n, generate_subscripts(counts, 1) AS i FROM {RLE_SQL} WHERE mask % 20 = 0), s AS (SELECT mask, i, n, sum(n) OVER (PARTITION BY mask ORDER BY i) - n AS a FROM r)
   SELECT mask, unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS pos FROM s WHERE i % 2 = 0""")
 def w8_rle_decode(spark, d):
-    return fx.runs(spark, d).where("mask % 20 = 0").select("mask", F.explode(F.transform(txt.rle_pixels("counts"), lambda p: p.cast("long"))).alias("pos"))
+    return fx.runs(spark, d).select("mask", F.explode(F.transform(txt.rle_pixels("counts"), lambda p: p.cast("long"))).alias("pos"))
 
 
 @query(f"""SELECT mask, CASE WHEN len(counts) % 2 = 1 THEN counts ELSE list_append(counts, 1000 - CAST(list_sum(counts) AS INT)) END AS counts FROM {RLE_SQL} WHERE len(counts) > 1""")

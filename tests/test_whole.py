@@ -17,3 +17,7 @@ def test_neighbour_pairs_of_all_frames(spark):
 
 def test_angle_histogram_of_all_frames(spark):
     whole(spark, "a7_angle_histogram", " WHERE frame_L % 50 = 0")
+
+
+def test_run_lengths_of_all_masks(spark):
+    whole(spark, "w8_rle_decode", " WHERE mask % 20 = 0")
