@@ -245,8 +245,8 @@ def a7_angle_histogram(spark, d):
 
 @query(f"""WITH p AS (SELECT * FROM {POINTS_SQL} WHERE frame_L < 100), e AS (SELECT obj_id AS a, obj_id + 1 AS b FROM (SELECT DISTINCT obj_id FROM p WHERE obj_id < 20)) SELECT e.a, e.b, x.frame_L, x.X AS X_a, y.X AS X_b FROM e JOIN p x ON x.obj_id = e.a JOIN p y ON y.obj_id = e.b AND y.frame_L = x.frame_L""")
 def j5_edge_endpoints(spark, d):
-    p = fx.points(spark, d).where("frame_L < 100")
-    e = p.where("obj_id < 20").select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
+    p = fx.points(spark, d)
+    e = p.select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
     return netframe.edge_endpoints(e, p, "frame_L").select("a", "b", "frame_L", "X_a", "X_b")
 
 

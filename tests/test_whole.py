@@ -7,8 +7,11 @@ from .compare import same
 SMALL = "/root/testdata/sf0.001"
 
 
-def whole(spark, name, cut):
-    same(QUERIES[name](spark, SMALL), SQL[name].replace(cut, ""), SMALL)
+def whole(spark, name, *cuts, folder=SMALL):
+    sql = SQL[name]
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    same(QUERIES[name](spark, folder), sql, folder)
 
 
 def test_neighbour_pairs_of_all_frames(spark):
@@ -21,3 +24,7 @@ def test_angle_histogram_of_all_frames(spark):
 
 def test_run_lengths_of_all_masks(spark):
     whole(spark, "w8_rle_decode", " WHERE mask % 20 = 0")
+
+
+def test_edges_of_all_frames_and_objects(spark):
+    whole(spark, "j5_edge_endpoints", " WHERE frame_L < 100", " WHERE obj_id < 20", folder="/root/testdata/sf0.01")
