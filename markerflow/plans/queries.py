@@ -504,7 +504,7 @@ def a20_batch_completeness(spark, d):
 @query("SELECT l_linestatus AS side, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'N') AS ok, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'A') AS stopped, CAST(sum(l_quantity) AS BIGINT) AS rows FROM lineitem WHERE l_orderkey < 200 GROUP BY 1")
 def a19_batch_status(spark, d):
     st = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "A", "stopped").otherwise("failed")
-    b = fx.table(spark, d, "lineitem").where("l_orderkey < 200").select(F.col("l_linestatus").alias("side"), st.alias("status"), F.col("l_orderkey").alias("batch"), F.col("l_quantity").cast("long").alias("rows"))
+    b = fx.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), st.alias("status"), F.col("l_orderkey").alias("batch"), F.col("l_quantity").cast("long").alias("rows"))
     s = media.batch_status(b)
     return s.select("side", F.when(F.size("ok") > 0, F.col("ok")).alias("ok"), F.when(F.size("stopped") > 0, F.col("stopped")).alias("stopped"), "rows")
 
@@ -516,7 +516,7 @@ def a21_cache_status(spark, d):
 
 @query("SELECT l_orderkey AS frame, l_linenumber AS obj_id, arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey)) AS q FROM lineitem WHERE l_orderkey < 5000 GROUP BY 1, 2")
 def w10_upsert(spark, d):
-    rows = fx.table(spark, d, "lineitem").where("l_orderkey < 5000").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("obj_id"), F.col("l_quantity").alias("q"), F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("version"))
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("obj_id"), F.col("l_quantity").alias("q"), F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("version"))
     return match.upsert(rows, ["frame", "obj_id"], "version").select("frame", "obj_id", "q")
 
 

@@ -28,3 +28,11 @@ def test_run_lengths_of_all_masks(spark):
 
 def test_edges_of_all_frames_and_objects(spark):
     whole(spark, "j5_edge_endpoints", " WHERE frame_L < 100", " WHERE obj_id < 20", folder="/root/testdata/sf0.01")
+
+
+def test_upsert_of_all_frames(spark):
+    whole(spark, "w10_upsert", " WHERE l_orderkey < 5000", folder="/root/testdata/sf0.01")
+
+
+def test_status_of_all_batches(spark):
+    whole(spark, "a19_batch_status", " WHERE l_orderkey < 200")
