@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
 
 Every stage works on all rows that its predecessor kept. The first four return the columns of documents and drop whole rows: texts
-that the toxicity classifier rejects, all but the largest doc_id of equal texts, all but the smallest doc_id of each component of
+that the toxicity classifier rejects, all but the largest doc_id of equal texts, all but one row, with the smallest doc_id, of each component of
 near copies, and texts that hold a benchmark window. The last one returns how much of each remaining document the mix takes.
 
 ORACLE_SQL is None: a fitted classifier, and components over links between all pairs, are not expressible in SQL; the tests hold
@@ -40,11 +40,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id names its component stays. Rows with one id, and those without, are kept or dropped together: they go
-    if one of them is in a component that another document names."""
-    joined, gone_id = ngram_join.ngram_join(docs), unused(docs, "gone_id")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    """One row of each component stays: that with the smallest id (null is above all others), of those the one with the smallest
+    hash of the text, and one of rows that repeat both. Rows without words stay."""
+    gone_id, gone_text, text_hash = unused(docs, "gone_id"), unused(docs, "gone_text"), F.xxhash64("text")
+    joined = stage(ngram_join.ngram_join(docs.select("doc_id", "text", text_hash.alias(gone_text)), tie=gone_text), "pipeline-near")
+    row = (F.col("doc_id").alias(gone_id), gone_text)
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (text_hash == F.col(gone_text))
+    gone = joined.where("NOT stays").select(*row)
+    again = joined.where("stays AND n_shingles > 0").select(*row).groupBy(gone_id, gone_text).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return docs.join(gone, same, "left_anti")
+    return docs.join(gone.union(again), same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

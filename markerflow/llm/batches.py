@@ -45,7 +45,7 @@ def unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def _collect(normal: Callable[[bytes], bytes]):
+def _collect(normal: Callable[[bytes], bytes], more: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = (TaskContext.get().partitionId() << 23) if TaskContext.get() else 0
         number = 0
@@ -53,7 +53,7 @@ def _collect(normal: Callable[[bytes], bytes]):
         texts, keys, size = [], [], 0
 
         def batch() -> pd.DataFrame:
-            return pd.DataFrame([(first + number, None, None, b"".join(keys), pack(texts))], columns=["batch", "node", "doc_id", "keys", "packed"])
+            return pd.DataFrame([(first + number, None, None, b"".join(keys), pack(texts))], columns=["batch", "node", "doc_id", "keys", "packed"]).assign(**dict.fromkeys(more))
 
         for pdf in frames:
             nodes = np.empty(len(pdf), dtype=np.int64)
@@ -72,23 +72,26 @@ def _collect(normal: Callable[[bytes], bytes]):
                     keys.append(key)
                     size += len(text)
                 nodes[i] = node
-            yield pd.DataFrame({"batch": None, "node": nodes, "doc_id": pdf["doc_id"].to_numpy(np.int64), "keys": None, "packed": None})
+            yield pd.DataFrame({"batch": None, "node": nodes, "doc_id": pdf["doc_id"].to_numpy(np.int64), "keys": None, "packed": None} | {c: pdf[c].to_numpy(np.int64) for c in more})
         if texts:
             yield batch()
 
     return run
 
 
-def collect(docs: DataFrame, normal: Callable[[bytes], bytes], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(batches: batch, keys, packed; members: doc_id, node; the staged table of the batches). Equal texts of a task have one node."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), as_bytes(F.col("text")).alias("data"))
-    log = stage(rows.mapInPandas(_collect(normal), "batch long, node long, doc_id long, keys binary, packed binary"), name, "snappy")
-    members = stage(log.where("batch IS NULL").select("doc_id", "node"), f"{name}-members")
+def collect(docs: DataFrame, normal: Callable[[bytes], bytes], name: str, tie: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(batches: batch, keys, packed; members: doc_id, node; the staged table of the batches). Equal texts of a task have one node.
+    tie: a column of longs that tells rows with one doc_id apart; members have it too, as tie."""
+    more = ["tie"] if tie else []
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), as_bytes(F.col("text")).alias("data"), *[F.col(tie).alias(c) for c in more])
+    log = stage(rows.mapInPandas(_collect(normal, more), "batch long, node long, doc_id long, keys binary, packed binary" + ", tie long" * len(more)), name, "snappy")
+    members = stage(log.where("batch IS NULL").select("doc_id", "node", *more), f"{name}-members")
     return log.where("batch IS NOT NULL").select("batch", "keys", "packed"), members, log
 
 
 def firsts(batches: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, head, first): for each node the one node that stands for all of its text, and that text's smallest doc_id.
+    """(node, head, first): for each node the one node that stands for all of its text, and that text's smallest doc_id
+    (with a tie, the smallest pair of both).
 
     Of a text there is a row per task that saw it, however many copies it has.
     """
@@ -99,7 +102,7 @@ def firsts(batches: DataFrame, members: DataFrame) -> DataFrame:
                 n = len(k) // 16
                 yield pd.DataFrame({"node": (int(b) << SLOT_BITS) + np.arange(n), "key": [bytes(k[16 * i : 16 * i + 16]) for i in range(n)]})
 
-    least = members.groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = members.groupBy("node").agg(F.min(F.struct("doc_id", "tie") if "tie" in members.columns else "doc_id").alias("least"))
     rows = batches.select("batch", "keys").mapInPandas(keys, "node long, key binary").join(least, "node")
     same = Window.partitionBy("key")
     return rows.select("node", F.min("node").over(same).alias("head"), F.min("least").over(same).alias("first"))

@@ -252,10 +252,14 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     return rows.select("root", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "text")
 
 
-def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each row of docs."""
+def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES, tie: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each row of docs.
+
+    tie: a column of longs that tells rows with one doc_id apart. It is returned too, and stays, which is true for the rows with
+    the component's smallest pair of doc_id and tie and for those without shingles.
+    """
     spark = docs.sparkSession
-    batches, members, log = collect(docs, words_joined, "grams")
+    batches, members, log = collect(docs, words_joined, "grams", tie)
     about = stage(firsts(batches, members), "grams-heads")
     heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list("node").alias("heads"))
     counted = batches.select("batch", "packed").join(count_keys(batches, _prefixes), "batch", "left").join(heads, "batch")
@@ -276,6 +280,8 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES)
     known = about.where("node = head").select("head", "first").join(sizes.withColumnRenamed("node", "head"), "head").join(groups.withColumnRenamed("node", "head"), "head", "left")
     least = known.groupBy(F.coalesce("root", "head").alias("group")).agg(F.min("first").alias("component"))
     nodes = about.select("node", "head").join(known.select("head", "n", F.coalesce("root", "head").alias("group")), "head").join(least, "group")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    out = members.join(nodes, "node").select("doc_id", "n", component.alias("component"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component.doc_id" if tie else "component"))
+    first = ((F.col("n") == 0) | (F.struct("doc_id", "tie") == F.col("component"))).alias("stays") if tie else None
+    out = members.join(nodes, "node").select("doc_id", "n", component.alias("component"), *(["tie", first] if tie else []))
+    more = [F.col("tie").alias(tie), "stays"] if tie else []
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"), *more)

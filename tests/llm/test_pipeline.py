@@ -63,3 +63,21 @@ def test_run_with_the_tables(spark, tmp_path):
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and rows
     assert len({r.doc_id for r in rows}) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in rows)
     shutil.rmtree(tmp_path, ignore_errors=True)
+
+
+def test_near_stage_keeps_one_row_of_each_component(spark):
+    from .test_ops import sentence
+
+    first, second, third, clean = (sentence(i, 60) for i in (31, 32, 33, 34))
+    rows = [
+        *[(5, first), (None, first + " more"), (None, clean), (7, sentence(35, 60)), (8, first + " end"), (8, sentence(36, 60))],  # a null id and a repeated one beside clean rows
+        *[(None, second), (None, second + " more")],
+        *[(9, third), (9, third + " more"), (9, third)],
+        *[(None, None), (None, None), (None, ""), (9, " ")],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in stage("n-gram Jaccard join")(spark, docs, "").collect()]
+    assert len(kept) == 10 and sorted(map(str, kept)) == sorted(map(str, [r for r in kept if r in rows]))
+    assert {(5, first), (None, clean), rows[3], rows[5]} <= set(kept) and not {rows[1], rows[4]} & set(kept)
+    assert [sum(t.startswith(s) for _, t in kept if t) for s in (first, second, third)] == [1, 1, 1]
+    assert sum(1 for _, t in kept if not (t or "").strip()) == 4
