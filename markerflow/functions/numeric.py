@@ -24,6 +24,11 @@ def above(x, y) -> Column:
     return F.coalesce((c(x) > c(y)) & ~F.isnan(c(x)) & ~F.isnan(c(y).cast("double")), F.lit(False))
 
 
+def at_most(x, y) -> Column:
+    """x <= y, false for NaN and null."""
+    return at_least(y, x)
+
+
 def clip(x, lo, hi) -> Column:
     return F.least(F.greatest(c(x), c(lo)), c(hi))
 
@@ -46,10 +51,10 @@ def percentile(x, p: float) -> Column:
     return F.when(F.max(F.isnan(x)), F.lit(float("nan"))).otherwise(F.percentile(x, p))
 
 
-def first_argmax(value, index, *payload) -> Column:
-    """Aggregate: the struct (value, index, payload) of the largest value, the smallest index among equals."""
-    at = F.max(F.struct(c(value).alias("value"), (-c(index)).alias("turned"), *[c(p) for p in payload]))
-    return at
+def percentiles(x, *shares: float) -> Column:
+    """Several exact percentiles as an array; all NaN if any value is NaN."""
+    x = c(x)
+    return F.when(F.max(F.isnan(x)), F.array(*[F.lit(float("nan"))] * len(shares))).otherwise(F.percentile(x, F.array(*[F.lit(s) for s in shares])))
 
 
 def quality_score(area, radius, solidity, box_h, box_w, area_min=50, area_max=20000, radius_min=3.0, solidity_min=0.7) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import percentiles
 from ..functions.text import VIDEO_SUFFIXES, chapter, clip_key, suffix
 
 #: The nested list with all its alternative key names, oldest camera software included.
@@ -69,5 +70,5 @@ def match_summary(points: DataFrame) -> DataFrame:
     """Counts and error statistics of valid observations; the statistics are null when there are none."""
     ok = F.col("valid_3d") == 1
     err = F.when(ok, F.col("err_px"))
-    pct = F.percentile(err, F.array(F.lit(0.5), F.lit(0.95)))
+    pct = percentiles(err, 0.5, 0.95)
     return points.agg(F.count("*").alias("total_matched_obs"), F.count_if(ok).alias("valid_3d_obs"), (100.0 * F.count_if(ok) / F.greatest(F.count("*"), F.lit(1))).alias("valid_pct"), F.avg(err).alias("err_mean"), F.get(pct, F.lit(0)).alias("err_median"), F.get(pct, F.lit(1)).alias("err_p95"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .idioms import islands
+from .idioms import islands, pinned, ranked
 
 
 def halving_steps(base: int, levels: int = 4) -> list[int]:
@@ -51,9 +51,9 @@ def adaptive_scan(spark, total: int, start: int, step: int, budget: int, detect:
         todo = scan_indices(intervals, s, lo, hi)
         if seen is not None:
             todo = todo.join(seen, "idx", "left_anti")
-        todo = todo.orderBy("idx").limit(left).checkpoint() if spark.sparkContext.getCheckpointDir() else todo.orderBy("idx").limit(left).persist()
+        todo = pinned(todo.orderBy("idx").limit(left))
         left -= todo.count()
-        hits = detect(todo)
+        hits = pinned(detect(todo))
         seen = todo if seen is None else seen.union(todo)
         found = hits if found is None else found.union(hits)
         if not found.isEmpty():
@@ -61,9 +61,9 @@ def adaptive_scan(spark, total: int, start: int, step: int, budget: int, detect:
     return found.orderBy("idx")
 
 
-def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Number of the even chunk of each row; the rank is over the list of ids or indices that is dealt out."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+def chunks(df: DataFrame, order: str, size: int, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Number of the even chunk of each row, in the order of `order`."""
+    return ranked(df, order, "_place", by).withColumn("chunk", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def grid(spark, cols: int, rows: int, square: float = 1.0) -> DataFrame:
@@ -83,3 +83,25 @@ def point_grids(spark, n: int, layers: int, scale: int) -> DataFrame:
         g = point_grid(spark, int(n / scale**layer)).withColumn("layer", F.lit(layer))
         out = g if out is None else out.union(g)
     return out
+
+
+def crop_boxes(height: int, width: int, layers: int, overlap_share: float) -> list[tuple[int, int, int, int, int]]:
+    """(layer, x0, y0, x1, y1) of a crop pyramid: the frame, then 2**layer crops a side that overlap by a share of the frame's shorter
+    side which halves with each layer, cut at the frame."""
+    boxes = [(0, 0, 0, width, height)]
+    for layer in range(1, layers + 1):
+        n = 2**layer
+        overlap = int(overlap_share * min(height, width) * 2 / n)
+        w, h = (-(-(overlap * (n - 1) + extent) // n) for extent in (width, height))
+        boxes += [(layer, i * (w - overlap), j * (h - overlap), min(i * (w - overlap) + w, width), min(j * (h - overlap) + h, height)) for i in range(n) for j in range(n)]
+    return boxes
+
+
+def crop_pyramid(spark, height: int, width: int, layers: int, overlap_share: float) -> DataFrame:
+    """The same as rows; they number 4**layers and depend on no table."""
+    return spark.createDataFrame(crop_boxes(height, width, layers, overlap_share), "layer int, x0 int, y0 int, x1 int, y1 int")
+
+
+def scan_budget(found: DataFrame, order: str, most: int) -> DataFrame:
+    """The first `most` rows; all when most is negative. Each task hands on that many at most."""
+    return found if most < 0 else found.orderBy(order).limit(most)

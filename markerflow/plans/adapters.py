@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.idioms import last_wins, ranked
+
 # l_shipdate, l_partkey, l_suppkey give the rows of one (frame, obj_id) an order that stands for the file's.
 TRACKS_SQL = """(SELECT CASE WHEN l_linestatus = 'O' THEN 'left' ELSE 'right' END AS side, l_orderkey AS frame, l_linenumber AS obj_id,
   l_extendedprice / 50 AS u, l_quantity * 20 AS v, 1 - 5 * l_discount AS quality, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS valid,
@@ -43,16 +45,12 @@ def points(spark: SparkSession, d: str) -> DataFrame:
         F.date_diff(F.col("l_shipdate").cast("date"), F.col("start").cast("date")).alias("frame_L"), (F.col("l_suppkey") % 64).cast("int").alias("obj_id"), (F.col("l_extendedprice") / 1000).alias("X"), F.col("l_quantity").alias("Y"), (1 + F.col("l_discount")).alias("Z"),
         F.col("l_tax").alias("err"), F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("valid_3d"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("pos"),
     )
-    from ..operators.idioms import last_wins
-
     return last_wins(rows, ["frame_L", "obj_id"], "pos")
 
 
 def signal(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    side = (F.col("user_id") % 2).cast("int")
-    return table(spark, d, "events").select(side.alias("side"), (F.row_number().over(Window.partitionBy(side).orderBy("event_id")) - 1).alias("idx"), F.col("value").cast("float").cast("double").alias("value"))
+    rows = table(spark, d, "events").select((F.col("user_id") % 2).cast("int").alias("side"), "event_id", F.col("value").cast("float").cast("double").alias("value"))
+    return ranked(rows, "event_id", "idx", ["side"]).select("side", F.col("idx").cast("int").alias("idx"), "value")
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:

@@ -224,7 +224,7 @@ def g8_lattice_edges(spark, d):
     return netframe.lattice_edges(grid.where("obj_id <> 40"), "obj_id", "x", "y")
 
 
-@query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL} WHERE frame_L % 50 = 0) SELECT p.frame_L, p.obj_id AS a, q.obj_id AS b, round(sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2), 6) AS dist
+@query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL}) SELECT p.frame_L, p.obj_id AS a, q.obj_id AS b, round(sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2), 6) AS dist
   FROM p JOIN p q ON p.frame_L = q.frame_L AND p.obj_id < q.obj_id WHERE sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2) <= 4""")
 def j6_neighbour_pairs(spark, d):
     return idioms.neighbours(fx.points(spark, d), ["frame_L"], "obj_id", "X", "Y", 4.0).select("frame_L", "a", "b", r6("dist"))
@@ -236,14 +236,14 @@ def j7_nearest_neighbour(spark, d):
     return netframe.nearest(r, key="obj_id", x="Y0", y="Z0").select("obj_id", r6("nearest"))
 
 
-@query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL} WHERE frame_L % 50 = 0), q AS (SELECT a.frame_L, sqrt((a.X-b.X)**2 + (a.Y-b.Y)**2) AS dist, atan2(b.Y-a.Y, b.X-a.X) AS raw FROM p a JOIN p b ON a.frame_L = b.frame_L AND a.obj_id < b.obj_id),
+@query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL}), q AS (SELECT a.frame_L, sqrt((a.X-b.X)**2 + (a.Y-b.Y)**2) AS dist, atan2(b.Y-a.Y, b.X-a.X) AS raw FROM p a JOIN p b ON a.frame_L = b.frame_L AND a.obj_id < b.obj_id),
   s AS (SELECT dist, CASE WHEN raw < 0 THEN raw + pi() WHEN raw >= pi() THEN raw - pi() ELSE raw END AS angle FROM q WHERE dist <= 4 AND dist > 1e-9) SELECT CAST(least(floor(angle / pi() * 36), 35) AS INT) AS bin, round(sum(1 / greatest(dist, 1e-9)), 4) AS weight FROM s GROUP BY 1""")
 def a7_angle_histogram(spark, d):
     pairs = idioms.neighbours(fx.points(spark, d), ["frame_L"], "obj_id", "X", "Y", 4.0).where("dist > 1e-9").withColumn("angle", F.pmod(F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px")), F.lit(num.PI)))
     return netframe.angle_histogram(pairs).select("bin", r6("weight", places=4))
 
 
-@query(f"""WITH p AS (SELECT * FROM {POINTS_SQL} WHERE frame_L < 100), e AS (SELECT obj_id AS a, obj_id + 1 AS b FROM (SELECT DISTINCT obj_id FROM p WHERE obj_id < 20)) SELECT e.a, e.b, x.frame_L, x.X AS X_a, y.X AS X_b FROM e JOIN p x ON x.obj_id = e.a JOIN p y ON y.obj_id = e.b AND y.frame_L = x.frame_L""")
+@query(f"""WITH p AS (SELECT * FROM {POINTS_SQL}), e AS (SELECT obj_id AS a, obj_id + 1 AS b FROM (SELECT DISTINCT obj_id FROM p)) SELECT e.a, e.b, x.frame_L, x.X AS X_a, y.X AS X_b FROM e JOIN p x ON x.obj_id = e.a JOIN p y ON y.obj_id = e.b AND y.frame_L = x.frame_L""")
 def j5_edge_endpoints(spark, d):
     p = fx.points(spark, d)
     e = p.select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
@@ -434,7 +434,7 @@ def a18_rle_area(spark, d):
     return fx.runs(spark, d).where(F.size("counts") > 1).select("mask", txt.rle_area("counts").alias("area"))
 
 
-@query(f"""WITH r AS (SELECT mask, counts, unnest(counts) AS n, generate_subscripts(counts, 1) AS i FROM {RLE_SQL} WHERE mask % 20 = 0), s AS (SELECT mask, i, n, sum(n) OVER (PARTITION BY mask ORDER BY i) - n AS a FROM r)
+@query(f"""WITH r AS (SELECT mask, counts, unnest(counts) AS n, generate_subscripts(counts, 1) AS i FROM {RLE_SQL}), s AS (SELECT mask, i, n, sum(n) OVER (PARTITION BY mask ORDER BY i) - n AS a FROM r)
   SELECT mask, unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS pos FROM s WHERE i % 2 = 0""")
 def w8_rle_decode(spark, d):
     return fx.runs(spark, d).select("mask", F.explode(F.transform(txt.rle_pixels("counts"), lambda p: p.cast("long"))).alias("pos"))
@@ -501,7 +501,7 @@ def a20_batch_completeness(spark, d):
     return c.groupBy("status").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.count_if("complete").alias("complete"))
 
 
-@query("SELECT l_linestatus AS side, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'N') AS ok, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'A') AS stopped, CAST(sum(l_quantity) AS BIGINT) AS rows FROM lineitem WHERE l_orderkey < 200 GROUP BY 1")
+@query("SELECT l_linestatus AS side, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'N') AS ok, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'A') AS stopped, CAST(sum(l_quantity) AS BIGINT) AS rows FROM lineitem GROUP BY 1")
 def a19_batch_status(spark, d):
     st = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "A", "stopped").otherwise("failed")
     b = fx.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), st.alias("status"), F.col("l_orderkey").alias("batch"), F.col("l_quantity").cast("long").alias("rows"))
@@ -514,7 +514,7 @@ def a21_cache_status(spark, d):
     return media.cache_status(fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cache"), F.col("l_orderkey").alias("frame")), "cache", 500)
 
 
-@query("SELECT l_orderkey AS frame, l_linenumber AS obj_id, arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey)) AS q FROM lineitem WHERE l_orderkey < 5000 GROUP BY 1, 2")
+@query("SELECT l_orderkey AS frame, l_linenumber AS obj_id, arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_partkey, c := l_suppkey)) AS q FROM lineitem GROUP BY 1, 2")
 def w10_upsert(spark, d):
     rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("obj_id"), F.col("l_quantity").alias("q"), F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("version"))
     return match.upsert(rows, ["frame", "obj_id"], "version").select("frame", "obj_id", "q")
