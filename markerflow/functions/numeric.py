@@ -57,6 +57,12 @@ def percentiles(x, *shares: float) -> Column:
     return F.when(F.max(F.isnan(x)), F.array(*[F.lit(float("nan"))] * len(shares))).otherwise(F.percentile(x, F.array(*[F.lit(s) for s in shares])))
 
 
+def first_argmax(value, index, *payload) -> Column:
+    """Aggregate: the struct (value, turned, payload) of the largest value; turned is minus the smallest index among equals. Nulls do
+    not count."""
+    return F.max(F.when(c(value).isNotNull(), F.struct(c(value).alias("value"), (-c(index)).alias("turned"), *[c(p) for p in payload])))
+
+
 def quality_score(area, radius, solidity, box_h, box_w, area_min=50, area_max=20000, radius_min=3.0, solidity_min=0.7) -> Column:
     """Product of penalties for area, core radius, solidity and aspect, in 0..1."""
     aspect = F.greatest(c(box_h), c(box_w)) / F.greatest(F.least(c(box_h), c(box_w)), F.lit(1))
@@ -166,3 +172,60 @@ def unit_coordinate(value, extent, resolution=None) -> Column:
 def precedence(given, saved, default) -> Column:
     """An explicitly given value, else the saved one, else the default; a given value that equals the default counts as not given."""
     return F.coalesce(F.when(c(given) != c(default), c(given)), c(saved), c(default))
+
+
+def chosen_crop(own, shared, saved, disabled=None, ignore_saved: bool = False) -> Column:
+    """A side's crop: its own argument, else that of both sides, else the saved one unless saved crops are ignored; none where the crop
+    is disabled."""
+    crop = F.coalesce(c(own), c(shared)) if ignore_saved else F.coalesce(c(own), c(shared), c(saved))
+    return crop if disabled is None else F.when(F.coalesce(c(disabled), F.lit(False)), F.lit(None)).otherwise(crop)
+
+
+def shift_of(disabled, saved: Column, field: str) -> Column:
+    """How far saved points move on an axis: by the saved crop's corner where its crop is disabled, else not."""
+    return F.when(F.coalesce(c(disabled), F.lit(False)), F.coalesce(saved[field], F.lit(0))).otherwise(0)
+
+
+def target_count(side, both) -> Column:
+    """How many candidates a side should give: its own number, else that of both, else 0, which sets no target; 0 counts as not given."""
+    return F.coalesce(F.nullif(c(side), F.lit(0)), c(both), F.lit(0))
+
+
+# The least value of each argument (exclusive for scale) and what is said of a smaller one.
+LIMITS = {
+    "scale": (0, "--scale must be > 0"),
+    "step": (1, "--step must be >= 1"),
+    "cols": (2, "--cols must be >= 2"),
+    "rows": (2, "--rows must be >= 2"),
+    "max_scan": (1, "--max-scan must be >= 1"),
+    "max_frames": (None, "--max-frames cannot be 0 (use -1 for all frames)"),
+    "max_pairs": (1, "--max-pairs must be >= 1"),
+    "workers": (1, "--workers must be >= 1"),
+}
+
+
+def argument_errors(arguments: dict) -> list[str]:
+    """What is wrong with the arguments that are given, in the order of LIMITS."""
+    out = []
+    for name, (least, message) in LIMITS.items():
+        if name in arguments:
+            value = arguments[name]
+            if value == 0 if least is None else value <= least if name == "scale" else value < least:
+                out.append(message)
+    return out
+
+
+def check_arguments(**arguments) -> None:
+    """Raises the first of them."""
+    for message in argument_errors(arguments):
+        raise ValueError(message)
+
+
+def argument_error(**columns) -> Column:
+    """The same first message for rows of arguments, null where all are right."""
+    tests = []
+    for name, (least, message) in LIMITS.items():
+        if name in columns:
+            value = c(columns[name])
+            tests.append(F.when(value == 0 if least is None else value <= least if name == "scale" else value < least, message))
+    return F.coalesce(*tests, F.lit(None).cast("string"))

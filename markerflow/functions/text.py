@@ -131,10 +131,26 @@ def translate_points(points, dx, dy) -> Column:
     return F.transform(c(points), lambda p: F.struct((p["x"] + c(dx)).alias("x"), (p["y"] + c(dy)).alias("y")))
 
 
-def correction(clicks, scale) -> list[Column]:
-    """positive and negative points of labelled clicks (x, y, label), at full scale."""
+def appended(points, labels, more_points, more_labels, clear: bool) -> list[Column]:
+    """A frame's prompt after another click: the old points first unless they are cleared."""
+    old = (F.array().cast("array<struct<x:double,y:double>>"), F.array().cast("array<int>")) if clear else (F.coalesce(c(points), F.array().cast("array<struct<x:double,y:double>>")), F.coalesce(c(labels), F.array().cast("array<int>")))
+    return [F.concat(old[0], c(more_points)).alias("points"), F.concat(old[1], c(more_labels)).alias("labels")]
+
+
+def correction(clicks, scale, box=None) -> list[Column]:
+    """positive and negative points of labelled clicks (x, y, label), and the box (an array of corners, or null), at full scale."""
     of = lambda k: F.transform(F.filter(c(clicks), lambda p: p["label"] == k), lambda p: F.struct((p["x"] / c(scale)).alias("x"), (p["y"] / c(scale)).alias("y")))
-    return [of(1).alias("positive"), of(0).alias("negative")]
+    out = [of(1).alias("positive"), F.transform(F.filter(c(clicks), lambda p: p["label"] != 1), lambda p: F.struct((p["x"] / c(scale)).alias("x"), (p["y"] / c(scale)).alias("y"))).alias("negative")]
+    return out if box is None else [*out, F.transform(c(box), lambda v: v / c(scale)).alias("box")]
+
+
+def applied(positive, negative, scale, box) -> list[Column]:
+    """A correction as the prompt that is given to the model (points, labels, box at its scale, clear); all null where it holds neither
+    points nor a box, which changes nothing. A box clears what was clicked before."""
+    points, labels = prompt(positive, negative, scale)
+    box = F.transform(c(box), lambda v: v * c(scale))
+    some = (F.size(points) > 0) | box.isNotNull()
+    return [F.when(some, points).alias("points"), F.when(some, labels).alias("labels"), F.when(some, box).alias("box"), F.when(some, box.isNotNull()).alias("clear")]
 
 
 def point_method(usable: Column, junction: Column, peak: Column, eroded: Column, centroid: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import above, c
+from ..functions.numeric import above, c, percentile
 
 
 class Rig:
@@ -27,8 +27,24 @@ class Rig:
             return cls(z["K1"], z["D1"], z["K2"], z["D2"], z["R"], z["T"], float(z["scale"][0]) if "scale" in z else 1.0)
 
 
-def distort(x, y, d):
-    """Normalised coordinates with lens distortion; works on Columns and arrays alike (rational model with thin prism)."""
+def tilt(d) -> np.ndarray:
+    """The sensor's tilt (the 13th and 14th coefficient) as a homography of normalised coordinates."""
+    a, b = float(d[12]), float(d[13])
+    about_x = np.array([[1, 0, 0], [0, np.cos(a), np.sin(a)], [0, -np.sin(a), np.cos(a)]])
+    about_y = np.array([[np.cos(b), 0, -np.sin(b)], [0, 1, 0], [np.sin(b), 0, np.cos(b)]])
+    turn = about_y @ about_x
+    back = np.array([[turn[2, 2], 0, -turn[0, 2]], [0, turn[2, 2], -turn[1, 2]], [0, 0, 1]])
+    return back @ turn
+
+
+def mapped(x, y, h: np.ndarray):
+    """x and y, Columns or arrays, through a homography."""
+    u, v, w = (x * float(r[0]) + y * float(r[1]) + float(r[2]) for r in h)
+    return u / w, v / w
+
+
+def lens(x, y, d):
+    """Normalised coordinates with the lens's distortion, without the sensor's tilt (rational model with thin prism)."""
     k1, k2, p1, p2, k3, k4, k5, k6, s1, s2, s3, s4 = [float(v) for v in d[:12]]
     r2 = x * x + y * y
     radial = (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) / (1 + r2 * (k4 + r2 * (k5 + r2 * k6)))
@@ -38,6 +54,12 @@ def distort(x, y, d):
     )
 
 
+def distort(x, y, d):
+    """Normalised coordinates with all 14 coefficients; works on Columns and arrays alike."""
+    u, v = lens(x, y, d)
+    return mapped(u, v, tilt(d)) if d[12] or d[13] else (u, v)
+
+
 def project(x, y, z, k, d) -> tuple[Column, Column]:
     """Pixel of a camera point as Columns; a point in the camera's plane has none (null)."""
     z = F.nullif(c(z), F.lit(0.0))
@@ -50,13 +72,30 @@ def rays(uv: np.ndarray, k: np.ndarray, d: np.ndarray, rounds: int = 40) -> np.n
     distortions of real lenses."""
     y0 = (uv[:, 1] - k[1, 2]) / k[1, 1]
     x0 = (uv[:, 0] - k[0, 2] - k[0, 1] * y0) / k[0, 0]
+    if d[12] or d[13]:
+        x0, y0 = mapped(x0, y0, np.linalg.inv(tilt(d)))
     x, y = x0.copy(), y0.copy()
     for _ in range(rounds):
-        dx, dy = distort(x, y, d)
+        dx, dy = lens(x, y, d)
         x, y = x + (x0 - dx), y + (y0 - dy)
     return np.stack([x, y], axis=1)
 
 
+def rays_of(pixels: DataFrame, k: np.ndarray, d: np.ndarray, scale: float = 1.0) -> DataFrame:
+    """Adds x and y, the normalised ray of each pixel (u, v); null where a pixel is."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            uv = pdf[["u", "v"]].to_numpy(float) * scale
+            ok = np.isfinite(uv).all(axis=1)
+            out = np.full(uv.shape, np.nan)
+            out[ok] = rays(uv[ok], k, d)
+            yield pdf.assign(x=out[:, 0], y=out[:, 1])
+
+    rows = pixels.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in pixels.dtypes) + ", x double, y double")
+    return rows.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in "xy"})
+
+
 def triangulate(left: np.ndarray, right: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Linear triangulation of normalised rays, all rows in one batched SVD; a point at infinity gives infinite coordinates."""
     p1, p2 = np.eye(3, 4), np.hstack([r, t.reshape(3, 1)])
@@ -120,3 +159,40 @@ def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 def apply_homography(x, y, h: np.ndarray) -> tuple[Column, Column]:
     w = c(x) * float(h[2, 0]) + c(y) * float(h[2, 1]) + float(h[2, 2])
     return tuple((c(x) * float(h[i, 0]) + c(y) * float(h[i, 1]) + float(h[i, 2])) / F.nullif(w, F.lit(0.0)) for i in (0, 1))
+
+
+def fit_homographies(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, h): the homography, row by row, of each key's four point pairs (pos, x, y, u, v); null if there are not four or they
+    determine none. A key's rows are four, so they meet in one array."""
+
+    @F.pandas_udf("array<double>")
+    def solve(points: pd.Series) -> pd.Series:
+        out = []
+        for rows in points:
+            p = np.array([[r["x"], r["y"], r["u"], r["v"]] for r in rows], dtype=float)
+            try:
+                out.append(homography(p[:, :2], p[:, 2:]).ravel().tolist() if len(p) == 4 else None)
+            except np.linalg.LinAlgError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    first = F.slice(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "u", "v"))), 1, 5)
+    return pairs.groupBy(*by).agg(first.alias("p")).select(*by, solve("p").alias("h"))
+
+
+def canonical_corners(corners, cols: int) -> Column:
+    """Corners (x, y) of a grid, row by row, in the order in which the first row grows in x and the first column in y."""
+    grid = c(corners)
+    rows = (F.size(grid) / cols).cast("int")
+    at = lambda a, i: F.get(a, F.lit(i) if isinstance(i, int) else i)
+    order = F.sequence(F.lit(0), F.size(grid) - 1)
+    turned = F.when(at(grid, 0)["x"] > at(grid, cols - 1)["x"], F.transform(order, lambda i: F.get(grid, i - i % cols + (cols - 1) - i % cols))).otherwise(grid)
+    last = ((rows - 1) * cols).cast("int")
+    upright = at(turned, 0)["y"] <= F.get(turned, last)["y"]
+    return F.when(upright, turned).otherwise(F.transform(order, lambda i: F.get(turned, (last - i + i % cols + i % cols).cast("int"))))
+
+
+def reprojection_stats(errors: DataFrame, by: list[str] = [], sample="sample", error="error") -> DataFrame:  # noqa: B006
+    """mean, median and largest of the samples' mean errors; 0 where there are none."""
+    means = errors.groupBy(*by, sample).agg(F.avg(error).alias("_e"))
+    return means.groupBy(*by).agg(*[F.coalesce(v, F.lit(0.0)).alias(n) for n, v in (("mean_px", F.avg("_e")), ("median_px", percentile("_e", 0.5)), ("max_px", F.max("_e")))])

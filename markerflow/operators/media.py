@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import percentiles
-from ..functions.text import VIDEO_SUFFIXES, chapter, clip_key, suffix
+from ..functions.text import VIDEO_SUFFIXES, chapter, clip_key, row_hash, suffix
 
 #: The nested list with all its alternative key names, oldest camera software included.
 MEDIA = "media array<struct<d:string,directory:string,fs:array<struct<n:string,name:string,filename:string,s:string,size:string,cre:string,mod:string,created:string,modified:string>>>>"
@@ -72,3 +72,23 @@ def match_summary(points: DataFrame) -> DataFrame:
     err = F.when(ok, F.col("err_px"))
     pct = percentiles(err, 0.5, 0.95)
     return points.agg(F.count("*").alias("total_matched_obs"), F.count_if(ok).alias("valid_3d_obs"), (100.0 * F.count_if(ok) / F.greatest(F.count("*"), F.lit(1))).alias("valid_pct"), F.avg(err).alias("err_mean"), F.get(pct, F.lit(0)).alias("err_median"), F.get(pct, F.lit(1)).alias("err_p95"))
+
+
+def found_share(frames: DataFrame, found, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Frames scanned, those with a detection and their share in percent, 0 of none."""
+    hit, n = F.count_if(found), F.count("*")
+    return frames.groupBy(*by).agg(n.alias("scanned"), hit.alias("found"), F.coalesce(100.0 * hit / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("found_pct"))
+
+
+def cache_validity(caches: DataFrame, inputs: list[str], stored: str = "hash", present: str = "present", total: str = "total") -> DataFrame:
+    """Adds hash_now, valid and why a cache has to be built again: its inputs changed, or frames are missing."""
+    now = row_hash(*inputs)
+    same, whole = F.coalesce(F.col(stored) == F.col("hash_now"), F.lit(False)), F.col(present) >= F.col(total)
+    reason = F.when(~same, F.when(F.col(stored).isNull(), "no hash").otherwise("inputs changed")).when(~whole, "incomplete")
+    return caches.withColumn("hash_now", now).withColumns({"valid": same & whole, "reason": reason})
+
+
+def dropout_merged(parts: DataFrame) -> DataFrame:
+    """dropout() of several workers' counts (obj_id, total, invalid) together."""
+    bad, n = F.sum("invalid"), F.sum("total")
+    return parts.groupBy("obj_id").agg(n.alias("total"), bad.alias("invalid"), (100.0 * bad / F.greatest(n, F.lit(1))).alias("pct"))

@@ -7,9 +7,10 @@ and each block gets copies of the neighbours beyond its ends, so that a long sig
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import first_argmax
 from .idioms import beside
 
 BLOCK = 1 << 16
@@ -70,18 +71,13 @@ def greedy_peaks(peaks: DataFrame, most: int, separation: int, by=("side",), ord
     return highest.groupBy(*by).applyInPandas(pick, fields)
 
 
-def _first_largest(v: Column, order: str) -> Column:
-    """(v, i) of the largest value, i being the least place of equals, negated."""
-    return F.max(F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col(order)).alias("i"))))
-
-
 def flash_frame(signal: DataFrame, threshold: float = 5.0, by=("side",), order="idx", value="value", block: int = BLOCK) -> DataFrame:
     """Frame of the steepest rise, if it is at least the threshold and there are five samples, else of the highest level; of equals
     the first."""
     rows = _rise(signal, by, order, value, block)
-    picked = rows.groupBy(*by).agg(F.count("*").alias("n"), _first_largest(F.col("_rise"), order).alias("r"), _first_largest(F.col(value), order).alias("l"))
-    steep = (F.col("n") >= 5) & (F.col("r.v") >= threshold)
-    return picked.select(*by, F.when(steep, -F.col("r.i")).otherwise(-F.col("l.i")).alias("event"), F.when(steep, "flash-rise").otherwise("flash-peak").alias("reason"))
+    picked = rows.groupBy(*by).agg(F.count("*").alias("n"), first_argmax("_rise", order).alias("r"), first_argmax(value, order).alias("l"))
+    steep = (F.col("n") >= 5) & (F.col("r.value") >= threshold)
+    return picked.select(*by, F.when(steep, -F.col("r.turned")).otherwise(-F.col("l.turned")).alias("event"), F.when(steep, "flash-rise").otherwise("flash-peak").alias("reason"))
 
 
 def hybrid_event(signal: DataFrame, by=("side",), order="idx", value="value", motion="motion", block: int = BLOCK) -> DataFrame:
@@ -89,7 +85,7 @@ def hybrid_event(signal: DataFrame, by=("side",), order="idx", value="value", mo
     rows = _rise(signal, by, order, value, block).withColumn("_rise", F.coalesce("_rise", F.lit(0.0)))
     spread = rows.groupBy(*by).agg(F.stddev_pop("_rise").alias("_sr"), F.stddev_pop(motion).alias("_sm"))
     score = F.col("_rise") / (F.col("_sr") + 1e-6) + F.col(motion) / (F.col("_sm") + 1e-6)
-    return beside(rows, spread, list(by)).withColumn("_score", score).groupBy(*by).agg(_first_largest(F.col("_score"), order).alias("m")).select(*by, (-F.col("m.i")).alias("event"))
+    return beside(rows, spread, list(by)).withColumn("_score", score).groupBy(*by).agg(first_argmax("_score", order).alias("m")).select(*by, (-F.col("m.turned")).alias("event"))
 
 
 def motion_curve(pixels: DataFrame, by=("side",), frame="frame", pixel="pixel", value="value") -> DataFrame:

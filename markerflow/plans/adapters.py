@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,13 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 def runs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("mask")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.col("l_quantity").cast("int").alias("n")))).alias("r"))
     return rows.select("mask", F.transform("r", lambda s: s["n"]).alias("counts"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for queries that write files and read them back."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = f"file://{tempfile.mkdtemp(prefix='markerflow-')}"
+    return f"{folder}/files-{uuid.uuid4().hex}"

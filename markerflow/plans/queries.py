@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import text as txt
 from ..operators import candidates as cand
 from ..operators import geometry as geo
 from ..operators import idioms, masks, match, media, netframe, scans, signals
-from ..sources import files
+from ..sources import files, images
 from ..streaming import memory
 from . import adapters as fx
 from .adapters import CANDS_SQL, MEDIA_SQL, POINTS_SQL, RLE_SQL, SIGNAL_SQL, TRACKS_SQL
@@ -119,9 +121,9 @@ def j8_closest_conditioning_frames(spark, d):
     return match.closest_frames(f, ["user_id"], "q", "frame", 3).select("user_id", "frame")
 
 
-@query("SELECT o_orderkey AS frame, unnest([1, 2, 3, 4]) AS slot, unnest([o_orderkey - 1, (o_orderkey - 2) // 2 * 2, (o_orderkey - 2) // 2 * 2 - 2, (o_orderkey - 2) // 2 * 2 - 4]) AS looked_up FROM orders WHERE o_orderkey >= 10")
+@query("SELECT o_orderkey AS frame, unnest([1, 2, 3, 4]) AS slot, unnest([o_orderkey - 1, CAST(floor((o_orderkey - 2) / 2.0) * 2 AS BIGINT), CAST(floor((o_orderkey - 2) / 2.0) * 2 AS BIGINT) - 2, CAST(floor((o_orderkey - 2) / 2.0) * 2 AS BIGINT) - 4]) AS looked_up FROM orders")
 def j9_memory_lookup(spark, d):
-    o = fx.table(spark, d, "orders").where("o_orderkey >= 10").select(F.col("o_orderkey").alias("frame"))
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"))
     return o.select("frame", F.explode(match.memory_frames(F.col("frame"), 5, 2)).alias("m")).select("frame", "m.slot", F.col("m.frame").cast("long").alias("looked_up"))
 
 
@@ -137,11 +139,28 @@ def j15_first_seed(spark, d):
     return masks.first_seed(fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("obj"), F.col("l_orderkey").alias("frame"), (F.col("l_quantity") - 10).alias("area")), "obj", "frame", "area")
 
 
+def _corrections(spark, d):
+    active = fx.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("obj_id"))
+    return fx.table(spark, d, "orders").select(F.col("o_custkey").alias("obj_id"), F.col("o_orderkey").alias("frame"), F.col("o_orderstatus").alias("side")), active
+
+
 @query("SELECT c.c_custkey AS obj_id, o.o_orderkey AS frame FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderkey >= 100")
 def j13_active_corrections(spark, d):
-    active = fx.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    o = fx.table(spark, d, "orders").where("o_orderkey >= 100")
-    return o.join(active, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("obj_id"), F.col("o_orderkey").alias("frame"))
+    return match.active_corrections(*_corrections(spark, d), start=100).select("obj_id", "frame")
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS frame, o_totalprice AS v, o_orderstatus AS s FROM orders), f AS (SELECT k, frame, unnest(range(1, 5)) AS slot FROM o),
+  l AS (SELECT k, frame, slot, CASE WHEN slot = 1 THEN frame - 1 ELSE CAST(floor((frame - 2) / 4.0) * 4 AS BIGINT) - (slot - 2) * 4 END AS looked_up FROM f)
+  SELECT l.k, l.frame, CAST(l.slot AS INT) AS slot, l.looked_up, o.v FROM l JOIN o ON o.k = l.k AND o.frame = l.looked_up WHERE o.s IN ('F', 'O')""")
+def j9_recalled_memory(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("s"))
+    return match.recalled(o.select("k", "frame"), ["k"], o.where("s = 'F'"), o.where("s = 'O'"), "frame", "v", 5, 4)
+
+
+@query("SELECT o_orderkey AS frame, unnest([1, 2, 3, 4]) AS slot, unnest([o_orderkey + 1, CAST(ceil((o_orderkey + 2) / 3.0) * 3 AS BIGINT), CAST(ceil((o_orderkey + 2) / 3.0) * 3 AS BIGINT) + 3, CAST(ceil((o_orderkey + 2) / 3.0) * 3 AS BIGINT) + 6]) AS looked_up FROM orders")
+def j9_memory_lookup_reverse(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"))
+    return o.select("frame", F.explode(match.memory_frames(F.col("frame"), 5, 3, reverse=True)).alias("m")).select("frame", "m.slot", F.col("m.frame").alias("looked_up"))
 
 
 @query("SELECT o_orderkey AS target, (SELECT min(struct_pack(delta := abs(e.event_id - o_orderkey), k := e.event_id)) FROM events e WHERE e.event_type = 'error' AND abs(e.event_id - o_orderkey) <= 6).k AS found FROM orders WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND abs(e.event_id - o_orderkey) <= 6)")
@@ -163,14 +182,27 @@ def g2_rectified_triangulation(spark, d):
     return p.where("Z IS NOT NULL").select("gframe", "obj_id", r6("X", places=5), r6("Y", places=5), r6("Z", places=5), r6("err_px", places=4), "valid_3d")
 
 
-def _general(spark, d):
-    rig = geo.Rig([900, 0, 640, 0, 905, 360, 0, 0, 1], [-0.05, 0.01, 0.001, -0.0005, 0.0], [910, 0, 645, 0, 900, 355, 0, 0, 1], [-0.04, 0.008, 0.0, 0.0005, 0.0], [0.9998, 0, 0.02, 0, 1, 0, -0.02, 0, 0.9998], [-0.3, 0.001, 0.002], 0.5)
-    return geo.triangulate_matches(matched(spark, d, 0, 0, 0.5), rig, 200.0)
+_SEEN = f"(SELECT frame_L, obj_id, X / 51.71234567 - 1 AS X, Y / 50 - 0.5 AS Y, Z + 2 AS Z FROM {POINTS_SQL})"
+_WIDE = geo.Rig([900, 0, 640, 0, 905, 360, 0, 0, 1], [-0.05, 0.01, 0.001, -0.0005, 0.0, 0.002, 0.001, 0, 0, 0, 0, 0, 0.01, -0.02], [910, 0, 645, 0, 900, 355, 0, 0, 1], [-0.04, 0.008, 0.0, 0.0005, 0.0], [0.9998, 0, 0.02, 0, 1, 0, -0.02, 0, 0.9998], [-0.3, 0.001, 0.002], 0.5)
+
+
+def _seen(spark, d):
+    """Points before both cameras and the pixels at which the rig sees them."""
+    p = fx.points(spark, d).select("frame_L", "obj_id", (F.col("X") / 51.71234567 - 1).alias("X"), (F.col("Y") / 50 - 0.5).alias("Y"), (F.col("Z") + 2).alias("Z"))
+    flat = p.withColumns({n: F.lit(0.0) for n in ("uL", "vL", "uR", "vR")})
+    seen = geo.with_errors(flat, _WIDE, 1e9)
+    return seen.select("frame_L", "obj_id", *[F.col(f"{n}_hat").alias(n) for n in ("uL", "vL", "uR", "vR")])
 
 
-@query()
+@query(f"SELECT frame_L, obj_id, round(X, 3) AS X, round(Y, 3) AS Y, round(Z, 3) AS Z, 0.0 AS err, 1 AS valid_3d FROM {_SEEN}")
 def g2_general_triangulation(spark, d):
-    return _general(spark, d)
+    p = geo.triangulate_matches(_seen(spark, d), _WIDE, 20.0)
+    return p.select("frame_L", "obj_id", r6("X", places=3), r6("Y", places=3), r6("Z", places=3), r6("err_px", "err", 3), "valid_3d")
+
+
+@query(f"SELECT frame_L, obj_id, round(X / Z, 4) AS x, round(Y / Z, 4) AS y FROM {_SEEN}")
+def g1_undistorted_rays(spark, d):
+    return geo.rays_of(_seen(spark, d).withColumnsRenamed({"uL": "u", "vL": "v"}), _WIDE.k1, _WIDE.d1, _WIDE.scale).select("frame_L", "obj_id", r6("x", places=4), r6("y", places=4))
 
 
 @query(f"""SELECT count(*) AS total_matched_obs, count(*) FILTER (valid_3d = 1) AS valid_3d_obs, round(100.0 * count(*) FILTER (valid_3d = 1) / greatest(count(*), 1), 6) AS valid_pct, round(avg(err_px) FILTER (valid_3d = 1), 4) AS err_mean,
@@ -210,18 +242,20 @@ def a6_mean_covariance(spark, d):
     return r.agg(F.count("*").alias("n"), r6(F.avg("X0"), "mx"), r6(F.avg("Y0"), "my"), r6(F.avg("Z0"), "mz"), r6(F.covar_samp("X0", "X0"), "cxx", 5), r6(F.covar_samp("X0", "Y0"), "cxy", 5), r6(F.covar_samp("Y0", "Z0"), "cyz"))
 
 
-@query()
+# a rotation about the mean of the references keeps the distance from it
+@query(f"""WITH m AS (SELECT avg(X0) AS a, avg(Y0) AS b, avg(Z0) AS c FROM {_REFS}) SELECT frame_L, obj_id, round(sqrt((X - a)**2 + (Y - b)**2 + (Z - c)**2), 5) AS far FROM {_VALID}, m""")
 def g6_net_frame_local(spark, d):
-    v = _valid(spark, d)
+    v = idioms.pinned(_valid(spark, d))
     moved = netframe.motion(netframe.displacements(v))
     origin, basis = netframe.net_frame(netframe.reference_positions(v), moved.where("fixed"))
-    return netframe.to_local(v.drop("pos"), origin, basis)
+    return netframe.to_local(v.drop("pos"), origin, basis).select("frame_L", "obj_id", r6(num.norm("lx", "ly", "lz"), "far", 5))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS k FROM part WHERE p_size <> 7) SELECT CAST(a.k AS INT) AS a, CAST(b.k AS INT) AS b FROM p a JOIN p b ON (b.k = a.k + 1 AND a.k % 40 <> 39) OR b.k = a.k + 40""")
 def g8_lattice_edges(spark, d):
-    grid = scans.grid(spark, 12, 9).select(F.col("x"), F.col("y"), (F.col("row") * 12 + F.col("col")).cast("int").alias("obj_id"))
-    return netframe.lattice_edges(grid.where("obj_id <> 40"), "obj_id", "x", "y")
+    k = F.col("p_partkey")
+    nodes = fx.table(spark, d, "part").where("p_size <> 7").select(k.cast("int").alias("obj_id"), (k % 40).cast("double").alias("x"), (F.floor(k / 40) * 1.2).alias("y"))
+    return netframe.lattice_edges(nodes, "obj_id", "x", "y")
 
 
 @query(f"""WITH p AS (SELECT frame_L, obj_id, X, Y FROM {POINTS_SQL}) SELECT p.frame_L, p.obj_id AS a, q.obj_id AS b, round(sqrt((p.X-q.X)**2 + (p.Y-q.Y)**2), 6) AS dist
@@ -261,32 +295,83 @@ def o2_first_frames_list(spark, d):
     return f.select("frame_L", F.size("points").cast("long").alias("n"), F.transform("points", lambda p: p["obj_id"]).alias("ids"))
 
 
-@query()
-def k7_viewer_payload(spark, d):
-    v = _valid(spark, d)
+_EDGES5 = f"(SELECT DISTINCT obj_id AS a, obj_id + 1 AS b FROM {_VALID} WHERE obj_id < 5)"
+
+
+def _payload(spark, d, side: str | None = None):
+    v = _valid(spark, d) if side is None else _valid(spark, d).where(F.col("obj_id") % 2 == int(side == "right"))
     e = v.where("obj_id < 5").select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
-    return files.viewer_payload(netframe.frames_list(v, most=50), e, {"label": "run"})
+    return files.viewer_payload(netframe.frames_list(v), e, {"label": side or "run"}), netframe.padded_limits(v, ("X", "Y", "Z"))
+
+
+_PAYLOAD = "struct<label:string,frameCount:int,frames:array<struct<frame_L:int,points:array<struct<obj_id:int,X:double,Y:double,Z:double>>>>,edges:array<array<int>>>"
+
+
+@query(f"""SELECT frame_L, count(*) AS n, round(sum(X), 6) AS x, (SELECT CAST(count(DISTINCT frame_L) AS INT) FROM {_VALID}) AS frames, (SELECT CAST(count(*) AS INT) FROM {_EDGES5}) AS edges FROM {_VALID} GROUP BY frame_L""")
+def k7_viewer_payload(spark, d):
+    p = _payload(spark, d)[0].select(F.from_json("json", _PAYLOAD).alias("p")).select(F.explode("p.frames").alias("f"), "p.frameCount", "p.edges")
+    return p.select("f.frame_L", F.size("f.points").cast("long").alias("n"), r6(F.aggregate("f.points", F.lit(0.0), lambda s, q: s + q["X"]), "x"), F.col("frameCount").alias("frames"), F.size("edges").alias("edges"))
+
 
+@query(f"""WITH s AS (SELECT obj_id % 2 AS k, count(DISTINCT frame_L) AS frames, quantile_cont(X, 0.01) AS a, quantile_cont(X, 0.99) AS b FROM {_VALID} GROUP BY 1) SELECT 2 AS runs, round(least(min(a - 0.1 * (b - a + 1e-6)), 0), 5) AS lo, round(greatest(max(b + 0.1 * (b - a + 1e-6)), 0), 5) AS hi, CAST(sum(frames) AS BIGINT) AS frames FROM s""")
+def k8_viewer_runs(spark, d):
+    sides = [_payload(spark, d, s) for s in ("left", "right")]
+    both = files.viewer_runs([p for p, _ in sides], [b for _, b in sides], ("X", "Y", "Z"))
+    p = both.select(F.from_json("json", f"struct<runCount:int,limits:struct<x:array<double>,y:array<double>,z:array<double>>,runs:array<{_PAYLOAD}>>").alias("p"))
+    return p.select(F.col("p.runCount").alias("runs"), r6(F.get("p.limits.x", F.lit(0)), "lo", 5), r6(F.get("p.limits.x", F.lit(1)), "hi", 5), F.aggregate("p.runs", F.lit(0).cast("long"), lambda s, r: s + r["frameCount"]).alias("frames"))
 
-@query()
+
+@query(SQL["a1_match_summary"].replace("SELECT count(*)", "SELECT 0.5 AS quality_min, count(*)", 1))
 def k3_summary_json(spark, d):
-    return files.summary_json(media.match_summary(g2_rectified_triangulation(spark, d)), {"quality_min": 0.5, "max_reproj_px": 100.0})
+    text = files.summary_json(media.match_summary(g2_rectified_triangulation(spark, d)), {"quality_min": 0.5, "max_reproj_px": 100.0})
+    s = text.select(F.from_json("json", "quality_min double, total_matched_obs long, valid_3d_obs long, valid_pct double, reproj_err_px struct<mean:double,median:double,p95:double>").alias("s"))
+    return s.select("s.quality_min", "s.total_matched_obs", "s.valid_3d_obs", r6("s.valid_pct", "valid_pct"), *[r6(f"s.reproj_err_px.{n}", f"err_{n}", 4) for n in ("mean", "median", "p95")])
+
+
+@query(f"""WITH r AS (SELECT 'a' AS run, X FROM {_VALID} WHERE obj_id % 3 = 0 UNION ALL SELECT 'b', X FROM {_VALID} WHERE obj_id % 3 <> 0), q AS (SELECT quantile_cont(X, 0.01) AS a, quantile_cont(X, 0.99) AS b FROM r GROUP BY run)
+  SELECT round(least(min(a - 0.1 * (b - a + 1e-6)), 0), 6) AS "X_lo", round(greatest(max(b + 0.1 * (b - a + 1e-6)), 0), 6) AS "X_hi" FROM q""")
+def a10_merged_limits(spark, d):
+    v = _valid(spark, d).withColumn("run", F.when(F.col("obj_id") % 3 == 0, "a").otherwise("b"))
+    return netframe.merged_limits(netframe.padded_limits(v, ("X",), ["run"]), ("X",)).select(r6("X_lo"), r6("X_hi"))
+
+
+@query("""WITH e AS (SELECT l_linestatus AS side, l_orderkey AS sample, avg(sqrt((l_quantity - 25)**2 + (100*l_tax - 4)**2)) AS e FROM lineitem GROUP BY 1, 2) SELECT side, round(avg(e), 6) AS mean_px, round(quantile_cont(e, 0.5), 6) AS median_px, round(max(e), 6) AS max_px FROM e GROUP BY side""")
+def a9_reprojection_summary(spark, d):
+    e = fx.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), F.col("l_orderkey").alias("sample"), num.norm(F.col("l_quantity") - 25, 100 * F.col("l_tax") - 4).alias("error"))
+    return geo.reprojection_stats(e, ["side"]).select("side", *[r6(f"{n}_px") for n in ("mean", "median", "max")])
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, p_size % 2 = 1 AS fx, p_size % 3 = 1 AS fy FROM part) SELECT id, CAST(r * 3 + k AS INT) AS pos, CAST(k * 10 AS DOUBLE) AS x, CAST(r * 7 AS DOUBLE) AS y FROM c, range(4) a(r), range(3) b(k)""")
+def g13_canonical_corners(spark, d):
+    left, down = F.col("p_size") % 2 == 1, F.col("p_size") % 3 == 1
+    corner = lambda r, k: F.struct((F.when(left, 2 - k).otherwise(k) * 10).cast("double").alias("x"), (F.when(down, 3 - r).otherwise(r) * 7).cast("double").alias("y"))
+    grid = F.array(*[corner(r, k) for r in range(4) for k in range(3)])
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), grid.alias("g")).select("id", geo.canonical_corners("g", 3).alias("g"))
+    return p.select("id", F.posexplode("g").alias("pos", "q")).select("id", "pos", "q.x", "q.y")
+
+
+@query("SELECT p_partkey AS id, round(CAST(p_size AS DOUBLE), 5) AS gx, round(CAST(p_size * 2 AS DOUBLE), 5) AS gy FROM part")
+def g10_fitted_homography(spark, d):
+    s = F.col("p_size").cast("double")
+    corner = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), (x * s).alias("u"), (2 * y * s).alias("v")) for i, (x, y) in enumerate(corner)]))
+    fitted = geo.fit_homographies(fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), pairs.alias("q")).select("id", "q.*"), ["id"])
+    h = [F.get("h", F.lit(i)) for i in range(9)]
+    w = h[6] + h[7] + h[8]  # the image of (1, 1)
+    return fitted.select("id", r6((h[0] + h[1] + h[2]) / w, "gx", 5), r6((h[3] + h[4] + h[5]) / w, "gy", 5))
+
+
+@query(f"""WITH p AS (SELECT * FROM {POINTS_SQL}) SELECT a.frame_L, round(sqrt((b.X-a.X)**2 + (b.Y-a.Y)**2 + (b.Z-a.Z)**2), 6) AS distance, round(sqrt(a.err**2 + b.err**2), 6) AS distance_err FROM p a JOIN p b ON a.frame_L = b.frame_L WHERE a.obj_id = 1 AND b.obj_id = 2""")
+def p11_scalar_error(spark, d):
+    return match.pair_distance(fx.points(spark, d), 1, 2, "frame_L").select("frame_L", r6("distance"), r6("distance_err"))
 
 
 @query("SELECT p_partkey AS id, round((p_retailprice * 2 + 3) / (p_retailprice * 0.001 + 1), 6) AS gx, round((p_size * 1.5 + 1) / (p_retailprice * 0.001 + 1), 6) AS gy FROM part")
 def g10_homography(spark, d):
-    import numpy as np
-
     x, y = geo.apply_homography("p_retailprice", "p_size", np.array([[2, 0, 3], [0, 1.5, 1], [0.001, 0, 1.0]]))
     return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), r6(x, "gx"), r6(y, "gy"))
 
 
-@query("SELECT sample, round(avg(e), 6) AS mean_err FROM (SELECT l_orderkey AS sample, sqrt((l_quantity - 25)**2 + (100*l_tax - 4)**2) AS e FROM lineitem) GROUP BY sample")
-def a9_reprojection_stats(spark, d):
-    e = num.norm(F.col("l_quantity") - 25, 100 * F.col("l_tax") - 4)
-    return fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), e.alias("e")).groupBy("sample").agg(r6(F.avg("e"), "mean_err"))
-
-
 # --- signals --------------------------------------------------------------------------------------------------------------------
 
 _SMOOTH = f"(SELECT side, idx, value, sum(value) OVER (PARTITION BY side ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM {SIGNAL_SQL})"
@@ -303,9 +388,11 @@ def w3_local_maxima(spark, d):
     return signals.local_maxima(signals.moving_average(fx.signal(spark, d), 5)).select("side", "idx")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT * FROM {_PEAKS}), g AS (SELECT side, 0 AS n, CAST([] AS INT[]) AS chosen FROM (SELECT DISTINCT side FROM p)
+  UNION ALL SELECT g.side, n + 1, list_append(any_value(chosen), arg_max(idx, struct_pack(v := smooth, i := idx))) FROM g JOIN p ON p.side = g.side AND len(list_filter(chosen, lambda c: abs(c - idx) < 20)) = 0 WHERE n < 5 GROUP BY g.side, n)
+  SELECT side, unnest(chosen) AS idx FROM (SELECT side, arg_max(chosen, n) AS chosen FROM g GROUP BY side)""")
 def w4_greedy_peaks(spark, d):
-    return signals.greedy_peaks(signals.local_maxima(signals.moving_average(fx.signal(spark, d), 5)), 5, 20)
+    return signals.greedy_peaks(signals.local_maxima(signals.moving_average(fx.signal(spark, d), 5)), 5, 20).select("side", "idx")
 
 
 @query(f"""WITH s AS (SELECT side, idx, value - lag(value) OVER (PARTITION BY side ORDER BY idx) AS rise FROM {SIGNAL_SQL}) SELECT side, arg_max(idx, struct_pack(v := rise, i := -idx)) AS event, 'flash-rise' AS reason FROM s WHERE rise IS NOT NULL GROUP BY side""")
@@ -344,12 +431,37 @@ def o12_scan_indices(spark, d):
     return scans.scan_indices(scans.roi_intervals(_found(spark, d), 2, 0, 1000000), 3, 0, 1000000)
 
 
-@query()
+def _scan_sql(steps: list[int], budget: int) -> str:
+    """The passes one after another: indices of each step in the merged intervals around what was found, within the budget."""
+    parts = ["n AS (SELECT max(event_id) AS hi FROM events)", "hit AS (SELECT event_id AS idx FROM events WHERE event_type = 'error')", "i0 AS (SELECT 0 AS lo, hi FROM n)"]
+    for k, step in enumerate(steps):
+        before = " UNION ALL ".join(f"SELECT idx FROM t{j}" for j in range(k)) or "SELECT -1 AS idx WHERE false"
+        parts.append(f"t{k} AS (SELECT idx FROM (SELECT DISTINCT unnest(range(lo, hi + 1, {step})) AS idx FROM i{k}) WHERE idx NOT IN ({before}) ORDER BY idx LIMIT ({budget} - (SELECT count(*) FROM ({before}))))")
+        found = " UNION ALL ".join(f"SELECT idx FROM t{j}" for j in range(k + 1))
+        parts.append(f"f{k} AS (SELECT idx FROM ({found}) WHERE idx IN (SELECT idx FROM hit))")
+        parts.append(f"s{k} AS (SELECT greatest(idx - {2 * step}, 0) AS lo, least(idx + {2 * step}, (SELECT hi FROM n)) AS hi FROM f{k})")
+        parts.append(f"m{k} AS (SELECT *, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s{k})")
+        parts.append(f"g{k} AS (SELECT lo, hi, sum(CASE WHEN reach IS NULL OR lo > reach + 1 THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isl FROM m{k})")
+        parts.append(f"i{k + 1} AS (SELECT min(lo) AS lo, max(hi) AS hi FROM g{k} GROUP BY isl UNION ALL SELECT lo, hi FROM i{k} WHERE (SELECT count(*) FROM f{k}) = 0)")
+    return f"WITH {', '.join(parts)} SELECT CAST(idx AS BIGINT) AS idx FROM f{len(steps) - 1}"
+
+
+@query(_scan_sql([8, 4, 2, 1], 4000))
 def o14_adaptive_scan(spark, d):
     total = fx.table(spark, d, "events").agg(F.max("event_id")).first()[0] + 1
     return scans.adaptive_scan(spark, total, 0, 8, 4000, lambda idx: idx.join(_found(spark, d), "idx", "left_semi"))
 
 
+@query("SELECT CAST(i AS INT) AS level, CAST(greatest(1, 37 // CAST(2**i AS INT)) AS INT) AS step FROM range(4) t(i)")
+def o13_halving_steps(spark, d):
+    return spark.createDataFrame(list(enumerate(scans.halving_steps(37))), "level int, step int")
+
+
+@query("SELECT frame, value FROM (SELECT o_orderkey AS frame, o_totalprice AS value FROM orders) WHERE frame >= 5 AND (frame - 5) % 7 = 0 AND frame < 5 + 500 * 7")
+def s11_stepped_scan(spark, d):
+    return files.stepped(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("value")), 5, 7, 500)
+
+
 # --- candidates -----------------------------------------------------------------------------------------------------------------
 
 
@@ -378,26 +490,105 @@ def o3_strongest(spark, d):
     return cand.strongest(fx.candidates(spark, d), ["method"], 7).select("id", "method")
 
 
-@query()
+# part of a brand stands for a frame; a method is one of the detectors
+_FRAMED = "(SELECT id, method AS frame, x, y, area, score, ['hsv', 'lab', 'gray', 'blob'][1 + id % 4] AS method, x / 2 AS local_x, y / 2 AS local_y, struct_pack(x0 := x, y0 := y) AS bbox FROM {})".format(CANDS_SQL)
+
+
+def _framed(spark, d):
+    c = fx.candidates(spark, d).withColumnRenamed("method", "frame").drop("cluster")
+    method = F.element_at(F.array(*[F.lit(m) for m in ("hsv", "lab", "gray", "blob")]), (F.col("id") % 4 + 1).cast("int"))
+    return c.withColumns({"method": method, "local_x": F.col("x") / 2, "local_y": F.col("y") / 2, "bbox": F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"))})
+
+
+def _clusters_sql(source: str, distance: float, tag: str) -> str:
+    """The clusters of each frame: candidates in order, each with the number of the cluster it joined."""
+    return f"""o{tag} AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, area DESC, y, x) AS n, greatest(score, 0.05) AS w FROM {source}),
+  c{tag} AS (SELECT frame, n, id, 1 AS cluster, [struct_pack(sx := x * w, sy := y * w, sw := w)] AS cs FROM o{tag} WHERE n = 1
+    UNION ALL SELECT frame, n, id, p, CASE WHEN p > len(cs) THEN list_append(cs, struct_pack(sx := x * w, sy := y * w, sw := w)) ELSE list_concat(list_append(cs[1:p-1], struct_pack(sx := cs[p].sx + x * w, sy := cs[p].sy + y * w, sw := cs[p].sw + w)), cs[p+1:]) END
+    FROM (SELECT o.frame, o.n, o.id, o.x, o.y, o.w, cs, coalesce(list_position(list_transform(cs, lambda c: sqrt((o.x - c.sx / c.sw)**2 + (o.y - c.sy / c.sw)**2) <= {distance}), true), len(cs) + 1) AS p FROM c{tag} c JOIN o{tag} o ON o.frame = c.frame AND o.n = c.n + 1)),
+  m{tag} AS (SELECT o.frame, c.cluster, sum(x*w)/sum(w) AS x, sum(y*w)/sum(w) AS y, sum(local_x*w)/sum(w) AS local_x, sum(local_y*w)/sum(w) AS local_y, max(area) AS area, arg_min(bbox, o.n) AS bbox, array_to_string(list_sort(list(DISTINCT method)), '+') AS method,
+    greatest(least(1, 1 - product(1 - least(greatest(score, 0), 0.96)) + CASE WHEN count(DISTINCT method) > 1 THEN 0.08 ELSE 0 END), 0) AS score, count(*) AS members FROM o{tag} o JOIN c{tag} c ON o.frame = c.frame AND o.n = c.n AND o.id = c.id GROUP BY 1, 2)"""
+
+
+_MERGED = "frame, round(x, 7) AS x, round(y, 7) AS y, round(local_x, 7) AS local_x, area, bbox.x0 AS x0, method, round(score, 6) AS score, members"
+
+
+def _merged(m):
+    return m.select("frame", r6("x", places=7), r6("y", places=7), r6("local_x", places=7), "area", F.col("bbox.x0").alias("x0"), "method", r6("score"), "members")
+
+
+@query(f"WITH RECURSIVE {_clusters_sql(_FRAMED, 60.0, '')} SELECT {_MERGED} FROM m")
 def o5_running_clusters(spark, d):
-    return cand.merge_clusters(cand.cluster(fx.candidates(spark, d).drop("cluster"), ["method"], 60.0), ["method"])
+    return _merged(cand.merge_candidates(_framed(spark, d), ["frame"], 60.0))
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT * FROM {_FRAMED}), {_clusters_sql("(SELECT * FROM f WHERE method IN ('hsv', 'lab'))", 60.0, "1")}, {_clusters_sql("f", 60.0, "2")}, e AS (SELECT frame FROM m1 GROUP BY frame HAVING count(*) >= 5)
+  SELECT 'color' AS route, {_MERGED} FROM m1 WHERE frame IN (FROM e) UNION ALL SELECT 'all', {_MERGED} FROM m2 WHERE frame NOT IN (FROM e)""")
+def a25_escalated_routes(spark, d):
+    e = cand.escalated(_framed(spark, d), ["frame"], ["color", "all"], 7, 60.0)
+    return _merged(e).withColumn("route", F.lit("")).drop("route").join(e.select("frame", "route").distinct(), "frame")
+
+
+@query(f"SELECT frame, method, n FROM (SELECT frame, unnest(['hsv', 'lab']) AS method, unnest([count(*) FILTER (method = 'hsv'), count(*) FILTER (method = 'lab')]) AS n FROM {_FRAMED} GROUP BY frame)")
+def a24_route_counts(spark, d):
+    return cand.method_counts(_framed(spark, d), ["frame"], "color")
 
 
-@query()
+_GREEDY = """WITH RECURSIVE p AS ({rows}), g AS (SELECT grp, 0 AS n, CAST([] AS STRUCT(id BIGINT, a DOUBLE, b DOUBLE, c DOUBLE, e DOUBLE)[]) AS chosen FROM (SELECT DISTINCT grp FROM p)
+  UNION ALL SELECT g.grp, n + 1, list_append(any_value(chosen), struct_pack(id := arg_min(p.id, o), a := arg_min(p.a, o), b := arg_min(p.b, o), c := arg_min(p.c, o), e := arg_min(p.e, o)))
+  FROM g JOIN p ON p.grp = g.grp AND len(list_filter(chosen, lambda k: k.id = p.id OR {blocks})) = 0 WHERE n < {most} GROUP BY g.grp, n) SELECT unnest(chosen).id AS id, grp FROM (SELECT grp, arg_max(chosen, n) AS chosen FROM g GROUP BY grp)"""
+
+
+@query(_GREEDY.format(rows=f"SELECT id, method AS grp, x AS a, y AS b, 0.0 AS c, 0.0 AS e, struct_pack(s := -score, y := y, x := x) AS o FROM {CANDS_SQL}", blocks="sqrt((k.a - p.a)**2 + (k.b - p.b)**2) < 80", most=12))
 def o4_suppress(spark, d):
-    return cand.suppress(fx.candidates(spark, d), ["method"], 80.0, 12)
+    return cand.suppress(fx.candidates(spark, d), ["method"], 80.0, 12).select("id", F.col("method").alias("grp"))
+
+
+def _boxes(spark, d):
+    return fx.candidates(spark, d).select("id", "method", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("area")).alias("x1"), (F.col("y") + F.col("area")).alias("y1"), "score")
 
 
-@query()
+_OVERLAP = "greatest(least(k.c, p.c) - greatest(k.a, p.a), 0) * greatest(least(k.e, p.e) - greatest(k.b, p.b), 0)"
+_IOU = f"{_OVERLAP} > {{}} * ((k.c - k.a) * (k.e - k.b) + (p.c - p.a) * (p.e - p.b) - {_OVERLAP})"
+
+
+@query(_GREEDY.format(rows=f"SELECT id, method AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM {CANDS_SQL}", blocks=_IOU.format(0.3), most=100000))
 def o6_box_nms(spark, d):
-    b = fx.candidates(spark, d).select("id", "method", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("area")).alias("x1"), (F.col("y") + F.col("area")).alias("y1"), "score")
-    return cand.box_nms(b, ["method"], 0.3)
+    return cand.box_nms(_boxes(spark, d), ["method"], 0.3).select("id", F.col("method").alias("grp"))
+
+
+# crops 0 (the frame) and 1 (its right half), boxes given from the crop's corner; the crops' second pass starts from the smaller one
+_CROPPED = "SELECT id, method, id % 2 AS k, x, y, area, score FROM {}".format(CANDS_SQL)
+_GREEDY_FIRST = _GREEDY.format(rows="SELECT id, method || k AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM w", blocks=_IOU.format(0.3), most=100000)
+
 
+@query(f"""WITH RECURSIVE w AS ({_CROPPED}), first AS ({_GREEDY_FIRST}), kept AS (SELECT w.* FROM w JOIN first USING (id)) """ + _GREEDY.format(rows="SELECT id, method AS grp, x + 600 * k AS a, y AS b, x + 600 * k + area AS c, y + area AS e, struct_pack(s := -k, a := x + 600 * k, b := y) AS o FROM kept", blocks=_IOU.format(0.5), most=100000).replace("WITH RECURSIVE p AS", ", p AS", 1).strip())
+def o6_crop_nms(spark, d):
+    half = F.col("id") % 2
+    b = _boxes(spark, d).withColumns({"cx0": (half * 600).cast("int"), "cy0": F.lit(0), "cx1": F.lit(1200), "cy1": F.lit(900)})
+    return cand.crop_nms(b, ["method"], ["cx0", "cy0", "cx1", "cy1"], 0.3, 0.5).select("id", F.col("method").alias("grp"))
 
-@query()
+
+@query(f"""WITH RECURSIVE c AS (SELECT id, method, (x % 100) / 10 AS gx, y / 100 AS gy, score FROM {CANDS_SQL} WHERE (x % 100) / 10 BETWEEN -0.55 AND 9.55 AND y / 100 BETWEEN -0.55 AND 9.55),
+  g AS (SELECT method, -1 AS slot, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT method FROM {CANDS_SQL})
+  UNION ALL SELECT method, slot, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
+    SELECT g.method, g.slot + 1 AS slot, any_value(used) AS used, arg_min(c.id, struct_pack(d := sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2), s := -c.score)) AS pick
+    FROM g LEFT JOIN c ON c.method = g.method AND NOT list_contains(used, c.id) AND sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2) <= 0.48 WHERE g.slot < 99 GROUP BY g.method, g.slot))
+  SELECT g.method, CAST(slot // 10 AS INT) AS row, CAST(slot % 10 AS INT) AS col, round(coalesce(gx, slot % 10), 6) AS grid_x, round(coalesce(gy, slot // 10), 6) AS grid_y, coalesce(score, 0) AS score, pick IS NOT NULL AS detected FROM g LEFT JOIN c ON c.id = g.pick WHERE slot >= 0""")
 def j10_grid_assignment(spark, d):
     c = fx.candidates(spark, d).select("method", ((F.col("x") % 100) / 10).alias("grid_x"), (F.col("y") / 100).alias("grid_y"), "score")
-    return cand.assign_grid(c, ["method"], 10, 10)
+    return cand.assign_grid(c, ["method"], 10, 10).withColumns({n: F.round(n, 6) for n in ("grid_x", "grid_y")})
+
+
+@query("SELECT p_partkey AS id, CAST(floor(least(greatest(p_retailprice / 1000 * 518 / 14, 0), 36)) AS INT) AS patch_x, CAST(floor(least(greatest(p_size / 40.0 * 392 / 14, 0), 27)) AS INT) AS patch_y FROM part")
+def m13_nearest_patch(spark, d):
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"), F.lit(1000).alias("crop_w"), F.lit(40).alias("crop_h"), F.lit(518).alias("input_w"), F.lit(392).alias("input_h"))
+    return cand.nearest_patch(p, 37, 28, 14).select("id", "patch_x", "patch_y")
+
+
+@query("SELECT p_brand AS frame, round(greatest(quantile_cont(p_size, 0.91), 25.0), 6) AS threshold FROM part GROUP BY p_brand")
+def m11_adaptive_threshold(spark, d):
+    return cand.adaptive_threshold(fx.table(spark, d, "part").select(F.col("p_brand").alias("frame"), F.col("p_size").cast("double").alias("v")), "v", 0.91, 25.0, ["frame"]).select("frame", r6("threshold"))
 
 
 _FLAT = "(SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
@@ -468,11 +659,128 @@ def k10_painted(spark, d):
     return masks.painted(fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pixel"), F.col("l_suppkey").alias("obj")), ["pixel"], "obj")
 
 
-@query()
+def _square(spark, d, rows: str = "p_size > 0"):
+    """A mask of 64 x 64 for each part: a rectangle of 1 + size % 9 by 2 + key % 5 pixels, and where the size is even a smaller one that
+    touches its last corner."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    w, h, x0, y0 = 1 + z % 9, 2 + k % 5, 5 + k % 20, 7 + z % 10
+    cells = lambda x, y, w, h: F.flatten(F.transform(F.sequence(x, x + w - 1), lambda c: F.transform(F.sequence(y, y + h - 1), lambda r: (c * 64 + r).cast("int"))))
+    second = F.when(z % 2 == 0, cells(x0 + w, y0 + h, F.lit(2).cast("long"), F.lit(1).cast("long"))).otherwise(F.array().cast("array<int>"))
+    on = fx.table(spark, d, "part").where(rows).select(k.alias("frame"), z.alias("z"), F.explode(F.concat(cells(x0, y0, w, h), second)).alias("at"))
+    px = on.select("frame", "z", F.floor(F.col("at") / 64).cast("int").alias("x"), (F.col("at") % 64).alias("y"))
+    runs = masks.encode_rle(px, ["frame", "z"], 64, 64)
+    return runs.select("frame", F.lit(1).alias("obj_id"), F.when(F.col("z") % 3 == 0, 100).alias("crop_x"), F.lit(10).alias("crop_y"), "size", "counts")
+
+
+# the rectangle's corner and sides, and what touches it over a corner (joined: counted)
+_RECTS = "(SELECT p_partkey AS frame, p_size AS z, 1 + p_size % 9 AS w, 2 + p_partkey % 5 AS h, 5 + p_partkey % 20 AS x0, 7 + p_size % 10 AS y0, p_size % 2 = 0 AS two FROM part WHERE p_size > 0)"
+
+
+def _track_sql(scale: float, joined: bool, original: bool) -> str:
+    up = 1 / scale if original else 1
+    more = "CASE WHEN two THEN {} ELSE 0 END" if joined else "0 * {}"
+    area, bw, bh = f"(w * h + {more.format(2)})", f"(w + {more.format(2)})", f"(h + {more.format(1)})"
+    # hull of the pixel centres: the rectangle, and with a second one the two corners around the diagonal too
+    hull = f"(CASE WHEN two AND {joined} THEN (w - 1) * (h - 1) + (w - 1 + h - 1 + 2 * h) / 2.0 ELSE (w - 1) * (h - 1) END)"
+    return f"""WITH r AS (SELECT *, CAST(ceil(least(w, h) / 2.0) AS INT) AS k FROM {_RECTS}), m AS (SELECT *, {area} AS a, {bw} AS bw, {bh} AS bh, k * {up} AS radius FROM r WHERE NOT ({joined} AND two)),
+  q AS (SELECT *, CAST(round_even(a * {up * up}, 0) AS INT) AS area_px, CASE WHEN w > 1 AND h > 1 THEN a / greatest({hull}, 1.0) ELSE 1.0 END AS solidity FROM m),
+  s AS (SELECT *, (CASE WHEN area_px < 50 OR area_px > 20000 THEN 0.5 ELSE 1.0 END) * (CASE WHEN radius < 3.0 THEN 0.8 ELSE 1.0 END) * (CASE WHEN greatest(bw, bh) / CAST(greatest(least(bw, bh), 1) AS DOUBLE) > 5 THEN 0.6 ELSE 1.0 END) AS quality FROM q)
+  SELECT frame, (x0 + k - 1) / {scale} + CASE WHEN z % 3 = 0 THEN 100 ELSE 0 END AS u, (y0 + k - 1) / {scale} + 10 AS v, 'dt_peak' AS method, area_px, CAST(radius AS DOUBLE) AS core_radius_px, round(solidity, 6) AS solidity, round(quality, 6) AS quality, 1 AS valid FROM s"""
+
+
+def _tracked(rows):
+    return rows.select("frame", "u", "v", "method", "area_px", "core_radius_px", r6("solidity"), r6("quality"), "valid")
+
+
+# pixels joined over corners; parts with two touching rectangles are in m2_joined_over_corners
+@query(_track_sql(0.5, True, True))
 def m7_track_rows(spark, d):
-    r = fx.runs(spark, d).where(F.size("counts") > 1).select(F.col("mask").alias("frame"), F.lit(1).alias("obj_id"), F.lit(100).alias("crop_x"), F.lit(None).cast("int").alias("crop_y"), "counts", F.array(F.lit(40), F.lit(40)).alias("size"))
-    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
-    return masks.track_rows(r.withColumn("counts", F.concat("counts", F.array(1600 - total))), 0.5)
+    return _tracked(masks.track_rows(_square(spark, d, "p_size % 2 = 1"), 0.5))
+
+
+@query(_track_sql(0.5, False, False))
+def m7_mask_tool_rows(spark, d):
+    return _tracked(masks.track_rows(_square(spark, d), 0.5, diagonal=False, original=False))
+
+
+@query(f"SELECT frame, CAST(w * h + 2 AS INT) AS joined, CAST(w * h AS INT) AS apart FROM {_RECTS} WHERE two")
+def m2_joined_over_corners(spark, d):
+    r = _square(spark, d, "p_size % 2 = 0")
+    both = [masks.track_rows(r, 1.0, diagonal=diagonal).select("frame", F.col("area_px").alias(n)) for n, diagonal in (("joined", True), ("apart", False))]
+    return both[0].join(both[1], "frame")
+
+
+@query(f"SELECT frame, CAST(w * h + CASE WHEN two THEN 2 ELSE 0 END AS BIGINT) AS area FROM {_RECTS}")
+def p33_uncropped_masks(spark, d):
+    whole = masks.uncropped(_square(spark, d).withColumns({"crop_x0": F.lit(30), "crop_y0": F.lit(11)}), 100, 120)
+    back = whole.select("frame", F.col("size").alias("s"), "counts")
+    return back.where((F.get("s", F.lit(0)) == 100) & (F.get("s", F.lit(1)) == 120)).select("frame", txt.rle_area("counts").alias("area"))
+
+
+@query(f"SELECT frame, CAST(w * h AS BIGINT) AS area, two AS changed FROM {_RECTS}")
+def m8_small_regions(spark, d):
+    """Islands joined over corners are one, so the second rectangle is moved off by taking every other column away first."""
+    r = _square(spark, d)
+    px = r.select("frame", "obj_id", "crop_x", "crop_y", F.explode(txt.rle_pixels("counts")).alias("at")).select("frame", F.floor(F.col("at") / 64).cast("int").alias("x"), (F.col("at") % 64).alias("y"))
+    box = px.groupBy("frame").agg(F.min("x").alias("x0"))
+    z = fx.table(spark, d, "part").select(F.col("p_partkey").alias("frame"), (1 + F.col("p_size") % 9).alias("w"))
+    apart = px.join(box, "frame").join(z, "frame").select("frame", F.when(F.col("x") >= F.col("x0") + F.col("w"), F.col("x") + 5).otherwise(F.col("x")).alias("x"), "y")
+    return masks.cleaned(masks.encode_rle(apart, ["frame"], 64, 64), 3, holes=False).select("frame", txt.rle_area("counts").alias("area"), "changed").where("area > 0")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 4 < 3 THEN 25 ELSE 21 END AS positive FROM part""")
+def m9_filled_scores(spark, d):
+    """A 7 x 7 map of positive scores with a frame of background around it, a hole of 1 + size % 4 pixels in its 5 x 5 middle, and a lone pixel."""
+    n = F.col("p_size") % 4 + 1
+    cell = lambda i: F.when((F.floor(i / 9) == 4) & (i % 9 >= 3) & (i % 9 < 3 + n), -1.0).when((F.floor(i / 9) >= 2) & (F.floor(i / 9) <= 6) & (i % 9 >= 2) & (i % 9 <= 6), 1.0).when(i == 0, 2.0).otherwise(-1.0)
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(80)), cell).alias("s"))
+    done = masks.filled(p, "s", (9, 9), most=3, sprinkle=1)
+    return done.select("id", F.size(F.filter("s", lambda v: v > 0)).alias("positive"))
+
+
+_SCORED = "(SELECT l_orderkey AS pixel, l_linenumber AS obj, max(l_discount) - 0.02 AS score FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"SELECT pixel, obj FROM (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY score DESC, obj) AS n FROM {_SCORED}) WHERE n = 1 AND score > 0.03")
+def m15_consolidated(spark, d):
+    s = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").alias("obj")).agg((F.max("l_discount") - 0.02).alias("score"))
+    every = s.select("pixel").distinct().select("pixel", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("obj"))
+    return masks.consolidate(every, s, ["pixel"], "obj", "score", 0.03)
+
+
+@query("SELECT frame, obj_id, count(*) AS area FROM (SELECT l_orderkey AS frame, l_linenumber - 1 AS obj_id FROM lineitem) WHERE obj_id > 0 GROUP BY 1, 2")
+def m14_split_labels(spark, d):
+    px = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") - 1).alias("label"))
+    return masks.split_labels(px).groupBy("frame", "obj_id").agg(F.count("*").alias("area"))
+
+
+def _mask_files(spark, d):
+    """PNG files of a label mask for each part: a block of label 1 and below it one of label 3."""
+
+    @F.pandas_udf("binary")
+    def drawn(size: pd.Series) -> pd.Series:
+        out = []
+        for n in size:
+            pixels = np.zeros((20, 60), np.uint8)
+            pixels[1:4, : n % 50 + 1], pixels[10:12, : n % 7] = 1, 3
+            out.append(images.write_png(pixels))
+        return pd.Series(out, dtype=object)
+
+    p = fx.table(spark, d, "part")
+    return p.select(F.format_string("/m/%s/%05d.png", F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), "p_partkey").alias("path"), drawn("p_size").alias("content"))
+
+
+_LABELS = "SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS video, CAST(p_partkey AS INT) AS frame, 1 AS obj_id, CAST(3 * (p_size % 50 + 1) AS BIGINT) AS area FROM part UNION ALL SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), CAST(p_partkey AS INT), 3, CAST(2 * (p_size % 7) AS BIGINT) FROM part WHERE p_size % 7 > 0"
+
+
+@query(_LABELS)
+def s17_label_masks(spark, d):
+    return files.decode_masks(_mask_files(spark, d)).select("video", "frame", "obj_id", txt.rle_area("counts").alias("area"))
+
+
+@query(f"SELECT video, frame, area FROM ({_LABELS}) WHERE obj_id = 3")
+def s16_threshold_masks(spark, d):
+    return files.decode_masks(_mask_files(spark, d), threshold=2).select("video", "frame", txt.rle_area("counts").alias("area")).where("area > 0")
 
 
 # --- batches, media, text -------------------------------------------------------------------------------------------------------
@@ -520,14 +828,21 @@ def w10_upsert(spark, d):
     return match.upsert(rows, ["frame", "obj_id"], "version").select("frame", "obj_id", "q")
 
 
+@query("""WITH r AS (SELECT l_orderkey AS frame, l_linenumber AS obj_id, l_quantity AS q, CASE WHEN l_returnflag = 'N' THEN 2 ELSE 1 END AS version, l_partkey AS k FROM lineitem), o AS (SELECT frame, obj_id, version, max(q) AS q FROM r GROUP BY 1, 2, 3)
+  SELECT frame, obj_id, arg_max(q, version) AS q FROM o WHERE frame < 500 OR version = 2 GROUP BY 1, 2""")
+def w10_restarted(spark, d):
+    rows = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("obj_id"), F.when(F.col("l_returnflag") == "N", 2).otherwise(1).alias("version")).agg(F.max("l_quantity").alias("q"))
+    return match.upsert(rows, ["frame", "obj_id"], "version", restart=500).select("frame", "obj_id", "q")
+
+
 @query("SELECT user_id AS ext, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INT) AS index FROM events GROUP BY user_id")
 def w13_dense_index(spark, d):
     return idioms.dense_index(fx.table(spark, d, "events").select(F.col("user_id").alias("ext"), "event_id"), "ext", "event_id")
 
 
-@query(f"SELECT side, idx, CAST(floor(idx / 100) AS BIGINT) AS chunk FROM {SIGNAL_SQL} WHERE side = 0")
+@query(f"SELECT side, idx, CAST(floor(idx / 100) AS BIGINT) AS chunk FROM {SIGNAL_SQL}")
 def o11_chunks(spark, d):
-    return scans.chunks(fx.signal(spark, d).where("side = 0"), "idx", 100).select("side", "idx", "chunk")
+    return scans.chunks(fx.signal(spark, d), "idx", 100, ["side"]).select("side", "idx", "chunk")
 
 
 @query("SELECT o_orderkey AS frame, printf('%02d:%02d:%06.3f', CAST(floor(o_orderkey * 7 / 30.0 / 3600) AS INT), CAST(floor((o_orderkey * 7 / 30.0) % 3600 / 60) AS INT), CAST((o_orderkey * 7 / 30.0) % 60 AS DOUBLE)) AS text FROM orders")
@@ -609,24 +924,23 @@ def a27_head_tail(spark, d):
 @query("SELECT event_type AS method, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT p_brand FROM part) GROUP BY event_type")
 def a24_method_counts(spark, d):
     both = fx.table(spark, d, "events").select(F.col("event_type").alias("method")).unionByName(fx.table(spark, d, "part").select(F.col("p_brand").alias("method")))
-    return both.groupBy("method").agg(F.count("*").alias("n"))
+    return cand.method_counts(both)
 
 
 @query("SELECT DISTINCT event_id AS id FROM events WHERE event_id IN (SELECT o_orderkey FROM orders) AND event_id NOT IN (SELECT p_partkey FROM part)")
 def o9_set_operations(spark, d):
     e, o, p = (fx.table(spark, d, t).select(F.col(k).alias("id")) for t, k in (("events", "event_id"), ("orders", "o_orderkey"), ("part", "p_partkey")))
-    return e.intersect(o).join(p, "id", "left_anti")
+    return match.common_keys(e, o, p)
 
 
-@query("SELECT min(o_orderkey) AS first, max(o_orderkey) AS last, o_orderstatus AS side FROM orders GROUP BY o_orderstatus")
+@query("SELECT o.o_orderstatus AS side, min(o.o_orderkey) AS first, max(o.o_orderkey) AS last FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY 1")
 def a22_frame_bounds(spark, d):
-    return fx.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("side")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return match.correction_bounds(*_corrections(spark, d), by=["side"])
 
 
 @query("SELECT count(*) AS scanned, count(*) FILTER (event_type = 'error') AS found, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 6) AS found_pct FROM events")
 def a13_found_pct(spark, d):
-    hit = F.count_if(F.col("event_type") == "error")
-    return fx.table(spark, d, "events").agg(F.count("*").alias("scanned"), hit.alias("found"), r6(F.when(F.count("*") == 0, 0.0).otherwise(100.0 * hit / F.count("*")), "found_pct"))
+    return media.found_share(fx.table(spark, d, "events"), F.col("event_type") == "error").select("scanned", "found", r6("found_pct"))
 
 
 @query("SELECT CAST(y AS BIGINT) AS row, CAST(x AS BIGINT) AS col, round(x * 0.025, 6) AS px, round(y * 0.025, 6) AS py FROM range(9) a(x), range(6) b(y)")
@@ -652,28 +966,135 @@ def o19_devices(spark, d):
     return media.devices(s.unionByName(s.withColumn("pos", F.col("pos") + 1))).select("serial", "short_id")
 
 
-@query()
+# two conditioned frames and the frame before: every chunk of 100 frames is a recursion of its own
+_WALK = f"""WITH RECURSIVE s AS (SELECT side, idx, value FROM {SIGNAL_SQL}), c AS (SELECT side, idx, value FROM s WHERE idx % 100 = 0),
+  v AS (SELECT s.side, s.idx, s.value, a.value AS c1, b.value AS c2 FROM s JOIN c a ON a.side = s.side AND a.idx = s.idx - s.idx % 100 LEFT JOIN c b ON b.side = s.side AND b.idx = s.idx - s.idx % 100 - 100),
+  o AS (SELECT side, idx, (value + c1 + coalesce(c2, 0)) / (2 + CASE WHEN c2 IS NULL THEN 0 ELSE 1 END) AS output FROM v WHERE idx % 100 = 1
+  UNION ALL SELECT v.side, v.idx, (v.value + c1 + coalesce(c2, 0) + o.output) / (3 + CASE WHEN c2 IS NULL THEN 0 ELSE 1 END) FROM o JOIN v ON v.side = o.side AND v.idx = o.idx + 1 WHERE v.idx % 100 > 1),
+  w AS (SELECT side, idx, output FROM o UNION ALL SELECT side, idx, value FROM c) SELECT side, idx AS frame, round(output, 6) AS output FROM w"""
+
+
+def _observed(spark, d):
+    return fx.signal(spark, d).select("side", F.col("idx").alias("frame"), "value", (F.col("idx") % 100 == 0).alias("corrected"))
+
+
+@query(_WALK)
 def x1_propagate(spark, d):
-    s = fx.signal(spark, d).select("side", F.col("idx").alias("frame"), "value", (F.col("idx") % 100 == 0).alias("corrected"))
-    return memory.propagate(s, ["side"])
+    return memory.propagate(_observed(spark, d), ["side"], size=2, conds=2).select("side", "frame", r6("output"))
+
+
+@query(_WALK + " WHERE idx >= 150")
+def x5_restarted(spark, d):
+    return memory.propagate(_observed(spark, d), ["side"], size=2, conds=2, restart=150).select("side", "frame", r6("output"))
+
 
+# backward from 130 for 25 frames: the correction at 130 and the frame after are remembered
+@query(f"""WITH RECURSIVE s AS (SELECT side, idx, value FROM {SIGNAL_SQL}), o AS (SELECT side, idx, value AS output, value AS c1 FROM s WHERE idx = 130
+  UNION ALL SELECT s.side, s.idx, (s.value + o.c1 + CASE WHEN s.idx < 129 THEN o.output ELSE 0 END) / CASE WHEN s.idx < 129 THEN 3 ELSE 2 END, o.c1 FROM o JOIN s ON s.side = o.side AND s.idx = o.idx - 1 WHERE s.idx >= 105)
+  SELECT side, idx AS frame, round(output, 6) AS output FROM o""")
+def x1_propagate_back(spark, d):
+    s = _observed(spark, d).withColumn("corrected", F.col("frame") == 130)
+    return memory.propagate(s, ["side"], size=2, conds=2, reverse=True, limit=25).select("side", "frame", r6("output"))
 
-@query()
+
+@query(f"SELECT frame, len(missing) = 0 AS complete, reason FROM (SELECT frame, missing, CASE WHEN len(missing) = 0 THEN '' ELSE '  AUTO missing [' || array_to_string(missing, ', ') || '] (' || (7 - len(missing)) || '/7)' END AS reason FROM (SELECT frame, list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(ids, i))) AS missing FROM (SELECT frame, coalesce(list(DISTINCT obj_id) FILTER (valid = 1), []) AS ids FROM {TRACKS_SQL} WHERE side = 'left' GROUP BY frame)))")
+def x6_auto_pause(spark, d):
+    return match.auto_pause(fx.sides(spark, d)[0], list(range(1, 8))).select("frame", (~F.col("pause")).alias("complete"), "reason")
+
+
+@query(f"SELECT '100MEDIA' AS directory, name, '.mp4' AS ext, size, timestamp FROM {MEDIA_SQL}")
 def s9_flatten_media(spark, d):
     m = fx.media(spark, d)
     body = F.struct(F.array(F.struct(F.lit("100MEDIA").alias("d"), F.array(F.struct(F.col("name").alias("n"), F.col("size").cast("string").alias("s"), F.col("timestamp").alias("cre"))).alias("fs"))).alias("media"))
     return media.flatten_media(m.select(F.to_json(body).alias("payload")))
 
 
-@query()
+@query(f"SELECT CAST(row_number() OVER (ORDER BY y, x, score DESC, method) - 1 AS INT) AS candidate_id, printf('%.3f', x) AS x, printf('%.3f', y) AS y, printf('%.3f', area) AS area, method, printf('%.4f', score) AS score, printf('%.3f', x) AS local_x, printf('%.3f', y) AS local_y FROM {CANDS_SQL}")
 def k4_candidate_rows(spark, d):
     c = fx.candidates(spark, d).withColumns({"local_x": F.col("x"), "local_y": F.col("y")})
-    return files.candidate_rows(cand.strongest(c, [], 50))
+    return files.candidate_rows(c)
+
 
+@query(f"SELECT 'left' AS side, (SELECT count(*) FROM {CANDS_SQL}) AS candidate_count, method, count(*) AS n, round(sum(x), 3) AS x FROM {CANDS_SQL} GROUP BY method")
+def k5_candidate_json(spark, d):
+    text = files.candidate_json(fx.candidates(spark, d), {"side": "left"})
+    p = text.select(F.from_json("json", "side string, candidate_count long, method_counts map<string,long>, candidates array<struct<y:double,x:double,area:double,method:string,score:double>>").alias("p"))
+    sums = p.select(F.explode("p.candidates").alias("c")).groupBy("c.method").agg(r6(F.sum("c.x"), "x", 3))
+    return p.select("p.side", "p.candidate_count", F.explode("p.method_counts").alias("method", "n")).join(sums, "method")
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+
+@query("""SELECT path, n FROM (SELECT unnest(['prompts/points_left_right.json', 'left/prompts/frame0_points.json', 'right/prompts/frame0_points.json', 'left/prompts/crop_roi.json', 'right/prompts/crop_roi.json', 'setup_manifest.json']) AS path,
+  unnest([l + r, l, r, 640, 1920, l]) AS n FROM (SELECT count(*) FILTER (p_size % 2 = 0) AS l, count(*) FILTER (p_size % 2 = 1) AS r FROM part))""")
+def k6_setup_package(spark, d):
+    side = F.when(F.col("p_size") % 2 == 0, "left").otherwise("right")
+    points = fx.table(spark, d, "part").select(side.alias("side"), F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"), F.lit(1).alias("label"))
+    crops = {"left": files.crop_record("left", "l.mp4", (10, 20, 640, 480), (1920, 1080)), "right": files.crop_record("right", "r.mp4", None, (1920, 1080))}
+    point = "array<struct<x:double,y:double,label:int>>"
+    body = F.col("body")
+    both = F.from_json(body, f"left {point}, right {point}")
+    n = F.when(F.col("path").startswith("prompts"), F.size(both["left"]) + F.size(both["right"])).when(F.col("path").endswith("points.json"), F.size(F.from_json(body, point))).when(F.col("path").endswith("roi.json"), F.from_json(body, "w int")["w"]).otherwise(F.from_json(body, "left_count int")["left_count"])
+    return files.setup_package(points, crops).select("path", n.cast("long").alias("n"))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 'none' AS other FROM events")
 def s18_nested_json(spark, d):
-    return fx.table(spark, d, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    return files.parse_nested(fx.table(spark, d, "events"), "props", "k long, other string", {"k": -1, "other": "none"}).select("event_id", "k", "other")
+
+
+# --- files: written to a shared folder and read back ------------------------------------------------------------------------------
+
+
+@query(f"SELECT side, frame, obj_id, round(u, 6) AS u, round(quality, 6) AS quality, valid FROM {TRACKS_SQL}")
+def s1_tracks_csv(spark, d):
+    t = fx.tracks(spark, d).drop("pos").withColumns({"frame": F.col("frame").cast("int"), "extra": F.lit("x")})
+    parts = []
+    for s in ("left", "right"):
+        path = f"{fx.scratch(spark)}/tracks-{s}"
+        files.write_csv(t.where(F.col("side") == s).drop("side"), path, ["frame", "obj_id"])
+        parts.append(files.read_tracks(spark, path).select(F.lit(s).alias("side"), F.col("frame").cast("long").alias("frame"), "obj_id", r6("u"), r6("quality"), "valid"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT frame_L, obj_id, round(X, 6) AS X, round(Z, 6) AS Z FROM {_VALID}")
+def s3_points_csv(spark, d):
+    path = f"{fx.scratch(spark)}/points"
+    files.write_csv(fx.points(spark, d).drop("pos", "err"), path, ["frame_L", "obj_id"])
+    return files.read_valid_points(spark, path).select("frame_L", "obj_id", r6("X"), r6("Z"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS missing, count(*) AS there FROM lineitem")
+def s4_track_rows(spark, d):
+    path = f"{fx.scratch(spark)}/rows"
+    files.write_csv(fx.tracks(spark, d).drop("pos"), path)
+    return spark.createDataFrame([(files.count_tracks(spark, path + "-none"), files.count_tracks(spark, path))], "missing long, there long")
+
+
+def _json_file(spark, df, name: str) -> str:
+    """One JSON document as a folder with one text file."""
+    path = f"{fx.scratch(spark)}/{name}"
+    df.coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT event_id AS idx, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS pos FROM events WHERE event_type = 'error'")
+def s7_detections_json(spark, d):
+    body = _found(spark, d).agg(F.to_json(F.struct(F.sort_array(F.collect_list("idx")).alias("detected_frame_indices"))).alias("value"))
+    return files.read_detections(spark, _json_file(spark, body, "stats")).select(F.col("idx").cast("long").alias("idx"), F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT min(o_orderkey) AS trim_left, -max(o_custkey) AS trim_right, -min(o_orderkey) AS left_drop, max(o_custkey) AS right_drop FROM orders")
+def s6_sync_json(spark, d):
+    body = fx.table(spark, d, "orders").agg(F.to_json(F.struct(F.min("o_orderkey").alias("trim_left"), (-F.max("o_custkey")).alias("trim_right"))).alias("value"))
+    return files.read_sync(spark, _json_file(spark, body, "sync")).select("trim_left", "trim_right", "left_drop", "right_drop")
+
+
+@query("SELECT p_partkey AS k, round(p_retailprice, 3) AS x, round(p_size * 1.0, 3) AS y, CAST(p_size % 2 AS INT) AS label FROM part")
+def s5_prompts_json(spark, d):
+    p = F.struct(F.col("p_partkey").alias("k"), F.array(F.col("p_retailprice"), F.col("p_size").cast("double")).alias("click_xy"), F.when(F.col("p_size") % 2 == 0, 0).alias("label"))
+    body = fx.table(spark, d, "part").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(p)), lambda q: q.dropFields("k")).alias("left"))).alias("value"))
+    got = files.read_prompts(spark, _json_file(spark, body, "prompts"), "left")
+    keys = idioms.ranked(fx.table(spark, d, "part").select("p_partkey"), "p_partkey", "pos")
+    return got.join(keys, "pos").select(F.col("p_partkey").alias("k"), r6("x", places=3), r6("y", places=3), "label")
 
 
 # --- smaller scalar operators ---------------------------------------------------------------------------------------------------
@@ -730,27 +1151,27 @@ def a3_frame_counters(spark, d):
     return media.counters(t)
 
 
-@query(f"SELECT idx, count(value) OVER (ORDER BY idx) AS shown FROM {SIGNAL_SQL} WHERE side = 0")
+@query(f"SELECT side, idx, count(value) OVER (PARTITION BY side ORDER BY idx) AS shown FROM {SIGNAL_SQL}")
 def w12_running_prefix(spark, d):
-    return netframe.running(fx.signal(spark, d).where("side = 0"), "idx", "value").select("idx", "shown")
+    return netframe.running(fx.signal(spark, d), "idx", "value", ["side"]).select("side", "idx", "shown")
 
 
 @query("SELECT event_id AS idx FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100")
 def o8_scan_budget(spark, d):
-    return _found(spark, d).orderBy("idx").limit(100)
+    return scans.scan_budget(_found(spark, d), "idx", 100)
 
 
 @query(f"SELECT side, frame, obj_id, valid FROM {TRACKS_SQL} WHERE side = 'left' UNION ALL SELECT side, frame, obj_id, valid FROM {TRACKS_SQL} WHERE side = 'right'")
 def o10_concat_batches(spark, d):
-    a, b = fx.sides(spark, d)
-    return a.unionByName(b).select("side", "frame", "obj_id", "valid").orderBy("frame", "obj_id")
+    parts = [s.select("side", "frame", "obj_id", "valid") for s in fx.sides(spark, d)]
+    return match.concatenated(parts, ["frame", "obj_id"])
 
 
-@query("SELECT o_orderkey AS cache, o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AS valid FROM orders")
+@query("SELECT o_orderkey AS cache, o_orderkey % 5 > 0 AND o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AS valid, CASE WHEN o_orderkey % 5 = 0 THEN 'no hash' WHEN o_orderkey % 2 = 1 THEN 'inputs changed' WHEN o_orderkey % 3 > 0 THEN 'incomplete' END AS reason FROM orders")
 def a26_cache_validity(spark, d):
-    o = fx.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("scale"))
-    stored = o.withColumn("stored", F.sha2(F.lit("0"), 256)).withColumn("now", F.sha2(F.col("scale").cast("string"), 256))
-    return stored.select(F.col("o_orderkey").alias("cache"), ((F.col("stored") == F.col("now")) & (F.col("o_orderkey") % 3 == 0)).alias("valid"))
+    o = fx.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2).alias("scale"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("present"), F.lit(1).alias("total"))
+    stored = o.withColumn("hash", F.when(F.col("o_orderkey") % 5 > 0, txt.row_hash("scale"))).withColumn("scale", F.lit(0).cast("long"))
+    return media.cache_validity(stored, ["scale"]).select(F.col("o_orderkey").alias("cache"), "valid", "reason")
 
 
 @query("SELECT method, CASE WHEN valid = 0 THEN 'invalid' WHEN junction >= 2.0 THEN 'skeleton_junction' WHEN u IS NOT NULL THEN 'dt_peak' WHEN e IS NOT NULL THEN 'fallback_eroded_centroid' ELSE 'fallback_centroid' END AS decided, count(*) AS n FROM (SELECT l_returnflag AS method, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS valid, l_discount * 30 AS junction, CASE WHEN l_quantity > 10 THEN 1 END AS u, CASE WHEN l_quantity > 5 THEN 1 END AS e FROM lineitem) GROUP BY 1, 2")
@@ -760,3 +1181,67 @@ def p8_method_decision(spark, d):
         F.col("l_returnflag").alias("method"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("valid"), (F.col("l_discount") * 30).alias("junction"), F.when(F.col("l_quantity") > 10, 1).alias("u"), F.when(F.col("l_quantity") > 5, 1).alias("e")
     )
     return rows.groupBy("method", decided.alias("decided")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 7 - 1 <= 0 THEN '--scale must be > 0' WHEN p_size % 5 < 1 THEN '--step must be >= 1' WHEN p_size % 3 = 0 THEN '--max-frames cannot be 0 (use -1 for all frames)' END AS error FROM part")
+def p27_argument_errors(spark, d):
+    z = F.col("p_size")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), num.argument_error(scale=z % 7 - 1, step=z % 5, max_frames=z % 3).alias("error"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 1 WHEN p_size % 3 = 0 THEN 2 ELSE p_size END AS x, CASE WHEN p_size % 5 = 0 THEN p_size ELSE 0 END AS moved, CASE WHEN p_size % 4 > 0 THEN p_size % 4 WHEN p_size % 3 = 0 THEN 9 ELSE 0 END AS target FROM part""")
+def p29_crop_precedence(spark, d):
+    z = F.col("p_size")
+    box = lambda x: F.struct(x.cast("int").alias("x"), F.lit(0).alias("y"))
+    off, saved = z % 5 == 0, box(z)
+    crop = num.chosen_crop(F.when(z % 2 == 0, box(F.lit(1))), F.when(z % 3 == 0, box(F.lit(2))), saved, off)
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), crop["x"].alias("x"), num.shift_of(off, saved, "x").alias("moved"), num.target_count(z % 4, F.when(z % 3 == 0, 9)).alias("target"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 > 0 OR p_size % 2 = 0 THEN CASE WHEN p_size % 3 > 0 THEN [p_size * 0.5, 1.0] ELSE [] END END AS xs, CASE WHEN p_size % 3 > 0 OR p_size % 2 = 0 THEN p_size % 2 = 0 END AS clear, CASE WHEN p_size % 2 = 0 THEN [p_size * 2.0, 8.0] END AS box FROM part")
+def p30_applied_corrections(spark, d):
+    z = F.col("p_size").cast("double")
+    pts = lambda v: F.when(F.col("p_size") % 3 > 0, F.array(F.struct(v.alias("x"), F.lit(0.0).alias("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    corners = F.when(F.col("p_size") % 2 == 0, F.array(z, F.lit(4.0)))
+    made = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), *txt.applied(pts(z), pts(F.lit(2.0)), F.lit(0.5), corners), txt.correction(F.array().cast("array<struct<x:double,y:double,label:int>>"), F.lit(0.5), corners)[2].alias("own"))
+    return made.select("id", F.transform("points", lambda q: q["x"]).alias("xs"), "clear", F.col("own").alias("box"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN [2.0] ELSE [1.0, 2.0] END AS xs, CASE WHEN p_size % 2 = 0 THEN [0] ELSE [1, 0] END AS labels FROM part")
+def p31_appended_prompts(spark, d):
+    pt = lambda x: F.array(F.struct(F.lit(x).alias("x"), F.lit(0.0).alias("y")))
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    old, new = (pt(1.0), F.array(F.lit(1))), (pt(2.0), F.array(F.lit(0)))
+    kept, cleared = (p.where(F.col("p_size") % 2 == k).select("id", *txt.appended(*old, *new, clear)) for k, clear in ((1, False), (0, True)))
+    return kept.unionByName(cleared).select("id", F.transform("points", lambda q: q["x"]).alias("xs"), "labels")
+
+
+@query("""WITH b AS (SELECT layer, 2**layer AS n, CASE WHEN layer = 0 THEN 0 ELSE CAST(floor(0.34 * 480 * 2 / 2**layer) AS INT) END AS o FROM range(3) t(layer)), c AS (SELECT *, CAST(ceil((o * (n - 1) + 640) / n) AS INT) AS w, CAST(ceil((o * (n - 1) + 480) / n) AS INT) AS h FROM b)
+  SELECT CAST(layer AS INT) AS layer, CAST(i * (w - o) AS INT) AS x0, CAST(j * (h - o) AS INT) AS y0, CAST(least(i * (w - o) + w, 640) AS INT) AS x1, CAST(least(j * (h - o) + h, 480) AS INT) AS y1 FROM c, range(4) p(i), range(4) q(j) WHERE i < n AND j < n""")
+def o15_crop_pyramid(spark, d):
+    return scans.crop_pyramid(spark, 480, 640, 2, 0.34)
+
+
+@query(f"SELECT obj_id, sum(total) AS total, sum(invalid) AS invalid, round(100.0 * sum(invalid) / sum(total), 6) AS pct FROM (SELECT side, obj_id, count(*) AS total, count(*) FILTER (valid = 0) AS invalid FROM {TRACKS_SQL} GROUP BY 1, 2) GROUP BY obj_id")
+def a2_merged_dropout(spark, d):
+    a, b = (media.dropout(s) for s in fx.sides(spark, d))
+    return media.dropout_merged(a.unionByName(b)).select("obj_id", "total", "invalid", r6("pct"))
+
+
+@query("SELECT l_suppkey AS mask, count(*) AS n FROM lineitem WHERE l_tax > 0.04 AND l_discount >= 0.05 GROUP BY l_suppkey")
+def p17_thresholds(spark, d):
+    rows = fx.table(spark, d, "lineitem").where(num.above("l_tax", 0.04) & num.at_least("l_discount", 0.05))
+    return rows.groupBy(F.col("l_suppkey").alias("mask")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT * FROM {_REFS}), q AS (SELECT abs(atan2(b.Y0 - a.Y0, b.X0 - a.X0)) AS t, 1 / sqrt((a.X0-b.X0)**2 + (a.Y0-b.Y0)**2) AS w FROM p a JOIN p b ON a.obj_id < b.obj_id WHERE sqrt((a.X0-b.X0)**2 + (a.Y0-b.Y0)**2) <= 6.2 AND sqrt((a.X0-b.X0)**2 + (a.Y0-b.Y0)**2) > 1e-9),
+  r AS (SELECT sum(w * sin(2 * a)) AS s, sum(w * cos(2 * a)) AS c FROM (SELECT w, CASE WHEN raw < 0 THEN raw + pi() ELSE raw END AS a FROM (SELECT w, raw FROM (SELECT atan2(b.Y0 - a.Y0, b.X0 - a.X0) AS raw, 1 / sqrt((a.X0-b.X0)**2 + (a.Y0-b.Y0)**2) AS w FROM p a JOIN p b ON a.obj_id < b.obj_id WHERE sqrt((a.X0-b.X0)**2 + (a.Y0-b.Y0)**2) <= 6.2)))
+    WHERE abs((a - 0.5 + pi() / 2) - pi() * floor((a - 0.5 + pi() / 2) / pi()) - pi() / 2) <= radians(18)) SELECT round(CASE WHEN s IS NULL THEN 0.5 WHEN 0.5 * atan2(s, c) < 0 THEN 0.5 * atan2(s, c) + pi() ELSE 0.5 * atan2(s, c) END, 6) AS angle FROM r""")
+def a8_axial_mean(spark, d):
+    pairs = netframe.near_pairs(netframe.reference_positions(_valid(spark, d)), 4.0, "obj_id", "X0", "Y0")
+    return spark.createDataFrame([(round(netframe.axial_mean(pairs, 0.5), 6),)], "angle double")
+
+
+@query("SELECT count, cols, rows FROM (VALUES (20, 5, 4), (19, 19, 1), (12, 4, 3), (36, 6, 6)) t(count, cols, rows)")
+def o18_grid_shape(spark, d):
+    return spark.createDataFrame([(n, *netframe.grid_shape(n, y, z)) for n, y, z in ((20, 5.0, 3.0), (19, 9.0, 1.0), (12, 3.0, 2.0), (36, 1.0, 1.0))], "count int, cols int, rows int")

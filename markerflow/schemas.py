@@ -21,8 +21,9 @@ def require_columns(df: DataFrame, names: list[str], what: str = "input") -> Dat
     return df
 
 
-def conform(df: DataFrame, ddl: str, required: list[str], what: str = "input") -> DataFrame:
-    """Fields of ddl by name with their types, null where an optional one is absent; other columns are dropped."""
+def conform(df: DataFrame, ddl: str, required: list[str], what: str = "input", also: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Fields of ddl by name with their types, null where an optional one is absent; other columns are dropped but those of `also`,
+    which are taken as they are from source."""
     require_columns(df, required, what)
     fields = [f.strip().rsplit(" ", 1) for f in ddl.split(",")]
-    return df.select(*[(F.col(n).try_cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in fields])
+    return (df if source is None else source).select(*[(F.col(n).try_cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in fields], *(also or []))

@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_key  # noqa: F401
+from ..operators.idioms import running
+from ..operators.masks import mask_rle
 from ..schemas import CANDIDATE, OBS_3D, TRACK_2D, conform
+from . import images
 
 TRACK_REQUIRED = ["frame", "obj_id", "u", "v", "quality", "valid"]
 OBS_REQUIRED = ["frame_L", "obj_id", "X", "Y", "Z", "valid_3d"]
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True).withColumn("pos", F.monotonically_increasing_id())
+    """Rows as text with pos, their order: by file name (of a folder's parts), then by place in the file."""
+    raw = spark.read.csv(path, header=True)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select("*", place.alias("pos"))
+
+
+POS = ", pos struct<file:string,block:bigint,row:bigint>"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, wherever the session's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """2D tracks with pos, the order of the rows in the file."""
     raw = _csv(spark, path)
-    return conform(raw, TRACK_2D + ", pos long", TRACK_REQUIRED, path)
+    return conform(raw.drop("pos"), TRACK_2D, TRACK_REQUIRED, path, ["pos"], raw)
 
 
 def read_tracks_or_none(spark: SparkSession, path: str) -> DataFrame:
     """The same, no rows where the file is missing."""
-    if not Path(path).exists():
-        return spark.createDataFrame([], TRACK_2D + ", pos long")
+    if not exists(spark, path):
+        return spark.createDataFrame([], TRACK_2D + POS)
     return read_tracks(spark, path)
 
 
+def count_tracks(spark: SparkSession, path: str) -> int:
+    """Rows of a track file, 0 where it is missing."""
+    return read_tracks_or_none(spark, path).count()
+
+
 def read_points(spark: SparkSession, path: str, pixels: bool = True) -> DataFrame:
     """3D observations; with pixels, uL and vL are required too."""
     raw = _csv(spark, path)
-    return conform(raw, OBS_3D + ", pos long", OBS_REQUIRED + (["uL", "vL"] if pixels else []), path)
+    return conform(raw.drop("pos"), OBS_3D, OBS_REQUIRED + (["uL", "vL"] if pixels else []), path, ["pos"], raw)
 
 
 def read_valid_points(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +73,9 @@ PROMPT = "struct<x:double,y:double,local_x:double,local_y:double,click_xy:array<
 def read_prompts(spark: SparkSession, path: str, side: str, prefer_local: bool = True) -> DataFrame:
     """Prompt points (x, y, label) of CSV, of a JSON list, of {side: list} or of {candidates: list}."""
     if path.lower().endswith(".csv"):
-        raw = conform(_csv(spark, path), CANDIDATE + ", label int, pos long", [], path)
-        rows = raw.select(F.struct("x", "y", "local_x", "local_y", F.lit(None).cast("array<double>").alias("click_xy"), "label").alias("p"), F.col("pos").alias("i"))
+        raw = _csv(spark, path)
+        raw = conform(raw.drop("pos"), CANDIDATE + ", label int", [], path, ["pos"], raw)
+        rows = raw.select(F.struct("x", "y", "local_x", "local_y", F.lit(None).cast("array<double>").alias("click_xy"), "label").alias("p"), F.col("pos.row").alias("i"))
     else:
         text = spark.read.text(path, wholetext=True)
         parsed = text.select(F.from_json("value", f"array<{PROMPT}>").alias("l"), F.from_json("value", f"struct<`{side}`:array<{PROMPT}>,candidates:array<{PROMPT}>>").alias("s"), "value")
@@ -84,11 +108,21 @@ def resolve_sync(mode: str | None, json_path: str | None, left_drop: int | None,
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Detected frame indices (idx, pos) of a statistics file."""
+    """Detected frame indices (idx, pos) of a statistics file, which has to hold a list of them."""
     rows = spark.read.schema("detected_frame_indices array<int>").json(path, multiLine=True)
+    first = rows.first()
+    if first is None or first.detected_frame_indices is None:
+        raise ValueError(f"{path} holds no detected_frame_indices; run the statistics again.")
     return rows.select(F.posexplode("detected_frame_indices").alias("pos", "idx"))
 
 
+def parse_nested(df: DataFrame, column: str, ddl: str, defaults: dict) -> DataFrame:
+    """The fields of a column of JSON text, each with its default where it is absent or null."""
+    parsed = df.withColumn("_json", F.from_json(column, ddl))
+    names = [f.strip().split(" ", 1)[0] for f in ddl.split(",")]
+    return parsed.withColumns({n: F.coalesce(F.col(f"_json.{n}"), F.lit(defaults[n])) if n in defaults else F.col(f"_json.{n}") for n in names}).drop("_json")
+
+
 CORRECTIONS = "version int, coordinate_space string, corrections struct<left:array<{0}>,right:array<{0}>>".format("struct<frame:int,obj_id:int,positive:array<struct<x:double,y:double>>,negative:array<struct<x:double,y:double>>,box:array<double>>")
 
 
@@ -115,16 +149,129 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("frame", F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).cast("int")).select("frame", "path", "content").orderBy("frame")
 
 
+MASKS = "video string, frame int, obj_id int, size array<int>, counts array<int>"
+
+
+def decode_masks(files: DataFrame, per_object: bool = False, threshold: int | None = None) -> DataFrame:
+    """Run-length masks (video, frame, obj_id, size, counts) of PNG files (path, content) named <video>/<frame>.png.
+
+    A palette mask gives a row for each label above 0; with per_object, files are <video>/<object>/<frame>.png and every pixel above 0 is the
+    object; with a threshold, a file is one object (id 1) of the pixels brighter than that. A frame without a mask has no row, and a file
+    that is no image none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                pixels = images.read_png(bytes(content))
+                if pixels is None:
+                    continue
+                parts = path.split("/")
+                frame, size = int(parts[-1].rsplit(".", 1)[0]), list(pixels.shape)
+                if per_object:
+                    found = [(parts[-3], int(parts[-2]), pixels > 0)]
+                elif threshold is not None:
+                    found = [(parts[-2], 1, pixels > threshold)]
+                else:
+                    found = [(parts[-2], int(k), pixels == k) for k in np.unique(pixels) if k > 0]
+                rows += [(video, frame, obj, size, mask_rle(mask)) for video, obj, mask in found]
+            yield pd.DataFrame(rows, columns=["video", "frame", "obj_id", "size", "counts"])
+
+    return files.select("path", "content").mapInPandas(run, MASKS)
+
+
+def read_masks(spark: SparkSession, folder: str, per_object: bool = False, threshold: int | None = None) -> DataFrame:
+    """The same of all PNG files below a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(folder)
+    return decode_masks(files, per_object, threshold)
+
+
+def masks_of(frames: DataFrame, masks: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """Masks of the listed frames (video, frame); those without one are left out if allowed, else they raise."""
+    out = frames.join(masks, ["video", "frame"], "left")
+    if allow_missing:
+        return out.where(F.col("counts").isNotNull())
+    missing = F.concat(F.lit("no mask of "), F.col("video"), F.lit(" "), F.col("frame").cast("string"))
+    return out.withColumn("counts", F.when(F.col("counts").isNull(), F.raise_error(missing).cast("array<int>")).otherwise(F.col("counts")))
+
+
+def stepped(frames: DataFrame, start: int, step: int, most: int | None = None, frame: str = "frame") -> DataFrame:
+    """Every step-th frame from start on, `most` of them at most."""
+    kept = frames.where((F.col(frame) >= start) & ((F.col(frame) - start) % max(1, step) == 0))
+    return kept if most is None or most < 0 else kept.where(F.col(frame) < start + most * max(1, step))
+
+
+def read_audio(spark: SparkSession, path: str) -> DataFrame:
+    """Samples (idx, value) of mono 16-bit WAV files, scaled to -1..1; a file is one array."""
+    import io
+    import wave
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with wave.open(io.BytesIO(bytes(content))) as w:
+                    rate, data = w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), "<i2")
+                for i in range(0, len(data), 1 << 16):
+                    part = data[i : i + (1 << 16)]
+                    yield pd.DataFrame({"path": name, "rate": rate, "idx": np.arange(i, i + len(part)), "value": part / 32768.0})
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, rate int, idx long, value double")
+
+
+def first_answer(paths: list[str], fetch: Callable[[str], str]) -> dict:
+    """The JSON of the first path that answers; the last failure is raised if none does."""
+    failure: Exception = ValueError("no path to ask")
+    for path in paths:
+        try:
+            return json.loads(fetch(path))
+        except (OSError, ValueError) as e:  # what network clients and the JSON reader raise
+            failure = e
+    raise failure
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """CSV with a header; sorted by range partitions, so no single task holds the table."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True)
 
 
 def candidate_rows(cands: DataFrame) -> DataFrame:
-    """Candidates as the file has them: ids in order of y, x and numbers as text with three (score: four) decimals."""
-    ranked = cands.withColumn("candidate_id", F.row_number().over(Window.orderBy("y", "x")) - 1)  # one frame's candidates
+    """Candidates as the file has them: ids in order of y, x (of equals the best first) and numbers as text with three (score: four) decimals."""
+    levels = running(cands.groupBy("y").agg(F.count("*").alias("_n")), [], "y", F.col("_n"), "_upto").select(F.col("y").alias("_y"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("y").orderBy("x", F.col("score").desc(), "method")) - 1
+    numbered = cands.withColumn("_within", within).join(levels, F.col("y") == F.col("_y")).withColumn("candidate_id", (F.col("_before") + F.col("_within")).cast("int"))
     three = lambda n: F.format_string("%.3f", F.col(n)).alias(n)
-    return ranked.select("candidate_id", three("x"), three("y"), three("area"), "method", F.format_string("%.4f", F.col("score")).alias("score"), three("local_x"), three("local_y"))
+    return numbered.select("candidate_id", three("x"), three("y"), three("area"), "method", F.format_string("%.4f", F.col("score")).alias("score"), three("local_x"), three("local_y"))
+
+
+def crop_record(side: str, video: str, crop: tuple[int, int, int, int] | None, frame: tuple[int, int]) -> dict:
+    """What a crop file says: the crop, or the whole frame where there is none, whether it applies, and whose it is."""
+    x, y, w, h = crop or (0, 0, *frame)
+    return {"crop_applied": crop is not None, "x": x, "y": y, "w": w, "h": h, "full_width": frame[0], "full_height": frame[1], "side": side, "video": video}
+
+
+def setup_package(points: DataFrame, crops: dict[str, dict]) -> DataFrame:
+    """(path, body) of a portable setup: the prompts of both sides, those of each side and its crop, and a manifest. points are the first
+    frame's prompts (side, pos, x, y, label), a few for each object."""
+    listed = points.groupBy("side").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "label"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["label"].alias("label"))).alias("points"))
+    empty = F.array().cast("array<struct<x:double,y:double,label:int>>")
+    of = {s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("points"))), empty).alias(s) for s in ("left", "right")}
+    both = listed.agg(*of.values())  # one row of two lists
+    crop = {s: F.from_json(F.lit(json.dumps(crops[s])), "crop_applied boolean, x int, y int, w int, h int, full_width int, full_height int, side string, video string") for s in ("left", "right")}
+    parts = [("prompts/points_left_right.json", F.to_json(F.struct("left", "right", F.struct(*[crop[s].alias(s) for s in crop]).alias("crops"))))]
+    for s in crop:
+        parts += [(f"{s}/prompts/frame0_points.json", F.to_json(s)), (f"{s}/prompts/crop_roi.json", F.to_json(crop[s]))]
+    manifest = F.to_json(F.struct(*[F.lit(crops[s]["video"]).alias(f"{s}_input") for s in crop], F.lit("prompts/points_left_right.json").alias("points_json"), *[F.size(s).alias(f"{s}_count") for s in crop]))
+    parts.append(("setup_manifest.json", manifest))
+    return both.select(F.explode(F.array(*[F.struct(F.lit(p).alias("path"), b.alias("body")) for p, b in parts])).alias("f")).select("f.path", "f.body")
+
+
+def write_package(package: DataFrame, root: str) -> None:
+    """Writes each text of a package (path, body) under root, one small file each."""
+    for row in package.toLocalIterator():  # a handful of files
+        at = Path(root) / row.path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(row.body)
 
 
 def candidate_json(cands: DataFrame, about: dict[str, str]) -> DataFrame:
@@ -141,7 +288,21 @@ def summary_json(summary: DataFrame, about: dict[str, float]) -> DataFrame:
 
 
 def viewer_payload(frames: DataFrame, edges: DataFrame, about: dict[str, str]) -> DataFrame:
-    """The viewer's JSON: frames in order and edges. A run's payload is one document by its format."""
+    """The viewer's JSON: frames in order and edges. A run's payload is one document by its format, so a run has to fit a task: limit
+    its frames (frames_list's `most`) where it does not."""
     f = frames.agg(F.sort_array(F.collect_list(F.struct(*frames.columns))).alias("frames"), F.count("*").alias("frameCount"))
     e = edges.agg(F.sort_array(F.collect_list(F.array("a", "b"))).alias("edges"))
     return f.crossJoin(e).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in about.items()], "frameCount", "frames", "edges")).alias("json"))
+
+
+def viewer_runs(runs: list[DataFrame], limits: list[DataFrame], axes=("lx", "ly", "lz")) -> DataFrame:
+    """One JSON of several runs' payloads (json) in the order given, with limits that hold all of them and 0."""
+    from ..operators.netframe import merged_limits
+
+    every = payloads = None
+    for k, (run, own) in enumerate(zip(runs, limits)):
+        run = run.withColumn("_k", F.lit(k))
+        payloads, every = (run, own) if payloads is None else (payloads.unionByName(run), every.unionByName(own))
+    listed = payloads.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "json"))), lambda r: r["json"]), ",").alias("_runs"), F.count("*").alias("_n"))
+    box = merged_limits(every, axes).select(F.to_json(F.struct(*[F.array(f"{a}_lo", f"{a}_hi").alias(a[-1].lower()) for a in axes])).alias("_box"))
+    return listed.crossJoin(box).select(F.concat(F.lit('{"runCount":'), F.col("_n").cast("string"), F.lit(',"limits":'), "_box", F.lit(',"runs":['), "_runs", F.lit("]}")).alias("json"))  # one row each

@@ -1,5 +1,6 @@
 """Properties and traps of the operators, on small inputs with independent plain-Python answers."""
 
+import collections
 import json
 import math
 
@@ -286,6 +287,261 @@ def test_stream_equals_batch(spark, tmp_path):
     assert a == b and len(a) == 60
 
 
+def test_memory_recalls_near_conditions_and_strided_others():
+    m = memory.Memory(size=4, stride=2, conds=2)
+    for f in (0, 20, 40):
+        m.correct(f, float(f))
+    for f in range(41, 47):
+        m.put(f, float(f))
+    assert m.recall(47) == [40.0, 20.0, 42.0, 44.0, 46.0]  # conditions before, nearest other; then 45 // 2 * 2 - 2, 45 // 2 * 2, 46
+    assert memory.closest([0, 20, 40], 10, 2) == [0, 20] and memory.closest([0, 20, 40], 50, -1) == [0, 20, 40]
+    spare = memory.Memory(size=3, conds=2)
+    for f in (1, 8, 9, 30):
+        spare.correct(f, float(f))
+    assert spare.recall(10) == [9.0, 30.0, 8.0]  # 8 was not chosen, and stands in the slot that looks it up
+    back = memory.Memory(size=4, stride=2, reverse=True)
+    assert back.slots(10) == [14, 12, 11] and memory.Memory(size=4, stride=2).slots(10) == [6, 8, 9]
+    many = memory.Memory(keep=5)
+    for f in range(100):
+        many.correct(f, 1.0)
+    assert sorted(many.cond) == [0, 96, 97, 98, 99]
+
+
+def test_propagation_limits(spark):
+    d = spark.createDataFrame([(0, f, float(f), f in (3, 9)) for f in range(12)], "side int, frame int, value double, corrected boolean")
+    frames = lambda **k: sorted(r.frame for r in memory.propagate(d, ["side"], **k).collect())
+    assert frames() == list(range(3, 12)) and frames(start=5, limit=2) == [5, 6, 7]
+    assert frames(reverse=True, start=6, limit=3) == [3, 4, 5, 6]
+    whole = {r.frame: r.output for r in memory.propagate(d, ["side"]).collect()}
+    assert {r.frame: r.output for r in memory.propagate(d, ["side"], restart=8).collect()} == {f: v for f, v in whole.items() if f >= 8}
+
+
+def test_tilted_lens_round_trip():
+    d = np.array([-0.05, 0.01, 0.001, -0.0005, 0, 0, 0, 0, 0, 0, 0, 0, 0.02, -0.03])
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(-0.4, 0.4, 50), rng.uniform(-0.3, 0.3, 50)
+    u, v = geo.distort(x, y, d)
+    k = np.array([[900, 0, 640], [0, 905, 360], [0, 0, 1.0]])
+    back = geo.rays(np.stack([u * 900 + 640, v * 905 + 360], axis=1), k, d)
+    assert np.abs(back - np.stack([x, y], axis=1)).max() < 1e-9
+    assert np.abs(np.stack(geo.lens(x, y, d)) - np.stack([u, v])).max() > 1e-3
+    assert np.allclose(geo.tilt(np.zeros(14)), np.eye(3))
+
+
+def test_nan_in_percentiles(spark):
+    nan = float("nan")
+    s = media.match_summary(spark.createDataFrame([(1, nan), (1, 2.0), (0, 5.0)], "valid_3d int, err_px double")).first()
+    assert math.isnan(s.err_median) and math.isnan(s.err_p95) and s.valid_3d_obs == 2
+    m = netframe.motion(spark.createDataFrame([(1, nan), (1, 1.0), (2, 1.0)], "obj_id int, disp double")).orderBy("obj_id").collect()
+    assert math.isnan(m[0].p95) and m[1].p95 == 1.0 and not m[0].fixed and not m[1].fixed
+    limits = netframe.padded_limits(spark.createDataFrame([(nan,), (1.0,)], "lx double"), ("lx",)).first()
+    assert math.isnan(limits.lx_lo) and math.isnan(limits.lx_hi)
+
+
+def brute_label(mask, diagonal):
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask)):
+        if not out[y, x]:
+            n += 1
+            todo = [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
+                    out[a, b] = n
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not i or not j]
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 1 << 30), st.booleans())
+def test_labels_equal_a_flood_fill(h, w, seed, diagonal):
+    mask = np.random.default_rng(seed).random((h, w)) < 0.55
+    assert (masks.label(mask, diagonal) == brute_label(mask, diagonal)).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 12), st.integers(0, 1 << 30))
+def test_chamfer_distance_equals_relaxation(h, w, seed):
+    mask = np.random.default_rng(seed).random((h, w)) < 0.8
+    want = np.where(mask, np.inf, 0.0)
+    for _ in range(h * w):
+        for y in range(h):
+            for x in range(w):
+                for a, b, d in masks.CHAMFER:
+                    for i, j in ((a, b), (b, a)):
+                        for si in (1, -1):
+                            for sj in (1, -1):
+                                if 0 <= y + si * i < h and 0 <= x + sj * j < w:
+                                    want[y, x] = min(want[y, x], want[y + si * i, x + sj * j] + d)
+        if h * w > 40:
+            break
+    got = masks.distance(mask)
+    assert (got <= want + 1e-9).all() and (h * w > 40 or np.allclose(got, want))
+
+
+def test_skeleton_junction_and_fallbacks():
+    cross = np.zeros((31, 31), bool)
+    cross[13:18, 2:29] = cross[2:29, 13:18] = True
+    thin = masks.thinned(cross)
+    assert thin.sum() < 70 and (thin & ~cross).sum() == 0
+    u, v, far = masks.junction_point(cross)
+    assert abs(u - 15) <= 2 and abs(v - 15) <= 2 and far >= 2
+    assert masks.point_of(cross, skeleton=True)[0] == "skeleton_junction" and masks.point_of(cross)[0] == "dt_peak"
+    assert masks.point_of(cross, skeleton=True, radius_min=50.0)[0] == "dt_peak"
+    assert masks.point_of(np.zeros((3, 3), bool))[0] == "no_fallback"
+    bar = np.zeros((9, 30), bool)
+    bar[3:6, 2:28] = True
+    assert masks.junction_point(bar) == (None, None, 0.0)  # a line has no junction
+
+
+def test_png_round_trip(spark, tmp_path):
+    import struct
+    import zlib
+
+    from markerflow.sources import images
+
+    rng = np.random.default_rng(5)
+    pixels = rng.integers(0, 4, (13, 17)).astype(np.uint8)
+    for palette in (None, [(0, 0, 0), (9, 9, 9), (1, 2, 3), (4, 5, 6)]):
+        assert (images.read_png(images.write_png(pixels, palette)) == pixels).all()
+    assert images.read_png(b"no image") is None and images.read_png(images.SIGNATURE + b"xx") is None
+    # every filter, by its definition
+    grey = rng.integers(0, 256, (6, 9)).astype(np.uint8)
+    rows = bytearray()
+    for y, kind in enumerate([0, 1, 2, 3, 4, 4]):
+        rows.append(kind)
+        for x in range(9):
+            a, b, c = (int(grey[y, x - 1]) if x else 0, int(grey[y - 1, x]) if y else 0, int(grey[y - 1, x - 1]) if x and y else 0)
+            p = a + b - c
+            guess = [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][kind]
+            rows.append((int(grey[y, x]) - guess) & 255)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    data = images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 6, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(rows))) + chunk(b"IEND", b"")
+    assert (images.read_png(data) == grey).all()
+    bits = images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 1, 2, 3, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes([0, 0b00011011, 0b11000000]))) + chunk(b"IEND", b"")
+    assert images.read_png(bits).tolist() == [[0, 1, 2, 3, 3]]
+    for name in ("a/00001.png", "a/00003.png", "b/002/00001.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(images.write_png(pixels))
+    (tmp_path / "a" / "00002.png").write_bytes(b"broken")
+    got = files.read_masks(spark, str(tmp_path / "a"))
+    assert sorted({(r.video, r.frame, r.obj_id) for r in got.collect()}) == [("a", f, k) for f in (1, 3) for k in (1, 2, 3)]
+    assert [(r.video, r.obj_id) for r in files.read_masks(spark, str(tmp_path / "b"), per_object=True).collect()] == [("b", 2)]
+    frames = spark.createDataFrame([("a", 1), ("a", 2)], "video string, frame int")
+    assert files.masks_of(frames, got, allow_missing=True).select("frame").distinct().count() == 1
+    with pytest.raises(Exception, match="no mask of a 2"):
+        files.masks_of(frames, got).collect()
+
+
+def test_small_sources(spark, tmp_path):
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(np.array([0, 16384, -32768], "<i2").tobytes())
+    assert [(r.idx, r.value) for r in files.read_audio(spark, str(tmp_path / "a.wav")).orderBy("idx").collect()] == [(0, 0.0), (1, 0.5), (2, -1.0)]
+
+    def fetch(path):
+        if path == "old":
+            raise OSError("no answer")
+        return '{"ok": 1}' if path == "new" else "not json"
+
+    assert files.first_answer(["old", "text", "new"], fetch) == {"ok": 1}
+    with pytest.raises(OSError):
+        files.first_answer(["text", "old"], fetch)
+    for n, name in ((2, "00002.jpg"), (10, "10.JPEG"), (1, "f1.jpg")):
+        (tmp_path / name).write_bytes(b"x" * n)
+    assert [(r.frame, len(r.content)) for r in files.read_frames(spark, str(tmp_path)).collect()] == [(1, 1), (2, 2), (10, 10)]
+    (tmp_path / "clip.MP4").write_bytes(b"")
+    assert files.resolve_video(str(tmp_path / "clip.mp4")).endswith("clip.MP4")
+    with pytest.raises(FileNotFoundError):
+        files.resolve_video(str(tmp_path / "none.mp4"))
+    with pytest.raises(ValueError, match="workers"):
+        num.check_arguments(scale=0.5, step=1, workers=0)
+    num.check_arguments(scale=0.5, max_frames=-1)
+    files.write_package(spark.createDataFrame([("a/b.json", "{}")], "path string, body string"), str(tmp_path / "pkg"))
+    assert (tmp_path / "pkg" / "a" / "b.json").read_text() == "{}"
+    (tmp_path / "s.json").write_text("{}")
+    with pytest.raises(ValueError, match="detected_frame_indices"):
+        files.read_detections(spark, str(tmp_path / "s.json"))
+
+
+def test_error_columns():
+    assert match.error_columns(["X", "err_px", "err"]) == ("err",) and match.error_columns(["X"]) == ()
+    assert match.error_columns(["X_err", "err"]) == () and match.error_columns(["X_err", "Y_err", "Z_err", "err"]) == ("X_err", "Y_err", "Z_err")
+
+
+def plain_islands(spans, gap):
+    out = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def test_ranges_hold_what_one_task_would(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 50 == 0 else i % 3, int(rng.integers(0, 4000))) for i in range(600)]
+    d = spark.createDataFrame(rows, "k int, t int").repartition(5)
+    got = collections.defaultdict(list)
+    for r in idioms.running(d, ["k"], "t", F.lit(1), "n").collect():
+        got[r.k].append((r.t, r.n))
+    for k, pairs in got.items():
+        assert sorted(n for _, n in pairs) == list(range(1, len(pairs) + 1)) and [t for t, _ in sorted(pairs, key=lambda p: p[1])] == sorted(t for t, _ in pairs)
+    spans = [(k, t, t + int(rng.integers(0, 30))) for k, t in rows] + [(1, 5, 3900)]
+    merged = collections.defaultdict(list)
+    for r in idioms.islands(spark.createDataFrame(spans, "k int, lo int, hi int"), ["k"]).collect():
+        merged[r.k].append((r.lo, r.hi))
+    for k in {k for k, _, _ in spans}:
+        assert sorted(merged[k]) == plain_islands([(a, b) for c, a, b in spans if c == k], 1)
+    assert idioms.islands(spark.createDataFrame([], "lo int, hi int"), []).count() == 0 and idioms.ranked(d.limit(0), "t", "n").count() == 0
+    plan = idioms.ranked(d, "t", "n")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "t#" in line]
+    assert windows and all("_range" in line for line in windows)
+
+
+def test_signals_in_blocks_equal_whole(spark):
+    rng = np.random.default_rng(7)
+    d = spark.createDataFrame([(s, i, float(rng.integers(0, 9))) for s in (0, 1) for i in range(101)], "side int, idx int, value double")
+    for width in (1, 4, 5):
+        a, b = (sorted(values(signals.moving_average(d, width, block=block))) for block in (7, 1 << 16))
+        assert a == b
+    same = [(signals.local_maxima, {"value": "value"}), (signals.flash_frame, {"threshold": 3.0}), (signals.hybrid_event, {"motion": "value"})]
+    for f, names in same:
+        assert sorted(values(f(d, block=7, **names))) == sorted(values(f(d, **names)))
+
+
+def test_nearest_of_scattered_points(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.normal(0, 0.01, (40, 2)), rng.normal(50, 5, (30, 2)), [[1000, 1000], [0.0, 0.0], [0.0, 0.0]]])
+    d = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "obj_id int, ly double, lz double")
+    far = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.diag([np.inf] * len(p))
+    got = {r.obj_id: r.nearest for r in netframe.nearest(d).collect()}
+    assert len(got) == len(p) and max(abs(got[i] - far[i].min()) for i in got) < 1e-9
+    assert netframe.nearest(d.limit(1)).count() == 0 and netframe.nearest(d.limit(0)).count() == 0
+
+
+def test_grid_shape_is_the_least_misfit():
+    def misfit(c, r, y, z):
+        turned = 0.25 if (c < r if y >= z else r < c) else 0
+        return abs(max(c - 1, r - 1) / max(min(c - 1, r - 1), 1) - max(y, z) / max(min(y, z), 1e-9)) + turned + abs(c - r) / (c * r)
+
+    for n in range(1, 61):
+        for y, z in ((1.0, 1.0), (5.0, 2.0), (1.0, 7.0), (0.0, 0.0)):
+            pairs = [(c, n // c) for c in range(1, n + 1) if n % c == 0]
+            pairs = [p for p in pairs if min(p) > 1] or pairs
+            assert misfit(*netframe.grid_shape(n, y, z), y, z) == min(misfit(*p, y, z) for p in pairs)
+
+
+def test_w9_and_a5_scan_the_points_once(spark):
+    from markerflow.plans.queries import QUERIES
+
+    for name in ("w9_displacement", "a5_low_motion_objects"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan  # both read the checkpoint
+
+
 def test_escalation_and_decisions(spark):
     assert cand.escalate({"a": 3, "b": 15}, ["a", "b", "c"], 20) == "b" and cand.escalate({}, ["a", "c"], 2) == "c"
     one = spark.range(1)
