@@ -2,11 +2,17 @@
 
 A page is read into a light tree (raw text of scripts and styles and comments are skipped, an open paragraph ends where HTML
 says it does). Paragraphs pass points for length and commas to their ancestors, less with distance, and each container's points
-are discounted by its link density. The best container, widened to the article or main element around it, and its siblings with
-enough points are kept; inside them, menus, adverts, forms, notices and comments are left out.
+are discounted by its link density. The best container and its siblings with enough points, or of plain prose, are kept; an article or main
+element around it is taken instead, and then only siblings with points count, and a title before it.
 
-Defined cases: null or empty html gives the empty text; a page without paragraphs gives the blocks of its body; unclosed tags,
-comments and scripts end with the page; other columns pass through untouched.
+Inside them, menus, adverts, forms, notices and comments are left out: elements and roles that say so at once, others by the words of their
+class and id. A word alone may mislead (a page about a notice board): an element that holds the page's title, or, for words that
+are no sure sign, more than half of the page's text outside links, stays.
+
+Every step is linear in the page: tags are found by one scan, and what is open is looked up by tag.
+
+Defined cases: null or empty html gives the empty text; a page without paragraphs gives the blocks of its body; unclosed comments and
+scripts end with the page, and a last tag without its end is text; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,8 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_CUT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)")
 # Fixed values of HTML: elements without an end tag, elements with raw text, elements that make a block, and those before which
 # an open paragraph ends.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -30,13 +39,18 @@ CELL = frozenset(("td", "th", "option"))
 # What never belongs to the article's text, by element, by role and by words of class and id.
 DROPPED = frozenset("nav footer aside form script style head noscript template iframe svg button select textarea input object dialog menu canvas audio video search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|footer|comments?|commentlist|respond|disqus|cookies?"
-    r"|consent|notice|notices|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|pagination|pager|hidden)(?:$|\s)",
-    re.I,
+# Words of class and id of what is no article: sure signs, and signs that the page's text outweighs.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus cookie cookies consent gdpr".split()
 )
-_HEAD_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?(?:header|masthead|topbar)(?:$|\s)", re.I)
-_WITH = re.compile(r"(?:^|\s)(?:has|with|no|without|is)[_-]\S*", re.I)
+WEAK = frozenset(
+    "sponsor sponsors promo promos promotion promotions banner banners menu menus notice notices popup modal newsletter subscribe signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager hidden".split()
+)
+HEADS = frozenset("header masthead topbar".split())
+HEAD_OF = frozenset("site page top main global".split())
+# after these a name tells of the page's layout, not of the element; and these after it tell of a setting
+WITH, SETTING = frozenset("has with no without is".split()), frozenset("open closed enabled disabled layout page".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARAGRAPHS = frozenset(("p", "pre", "blockquote", "li", "dd", "td", "div", "section", "article", "main"))
 #: Elements of an article that are kept as siblings of the best container whatever their points, if they are no list of links.
@@ -44,81 +58,176 @@ BESIDE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table ul ol dl figure".sp
 #: Shares of the best container's points: of a sibling that is kept, of a parent that is taken instead (its points come from
 #: more than one child then), and the share of links from which a sibling is navigation.
 SIBLING, PARENT, LINKS = 0.1, 0.6, 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = re.compile(r"(?:\S+\s+){3,}\S*[.!?…。][\"'”’)]*$")
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "inside", "doubt", "titled", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.dropped = self.titled = False
+        self.doubt = 0  # 1: its names are a sign of what is no article, 2: a sure one
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def _unwanted(tag: str, attributes: str, stack: list[Node]) -> bool:
-    if tag in DROPPED:
-        return True
-    inside = any(n.tag in ("article", "main") for n in stack)
-    if tag == "header" and not inside:
-        return True
+def doubtful(names: str) -> int:
+    """2 if a class or id has a word of STRONG, 1 if one of WEAK, else 0."""
+    found = 0
+    for token in names.split():
+        words = [w.lower() for part in re.split(r"[^a-zA-Z]+", token) for w in ([part] if part.lower() in STRONG or part.lower() in WEAK else _WORDS.findall(part))]
+        for i, w in enumerate(words):
+            if w in WITH:
+                break
+            if i + 1 < len(words) and words[i + 1] in SETTING:
+                continue
+            found = max(found, 2 if w in STRONG else 1 if w in WEAK else 0)
+    return found
+
+
+def _heads(names: str) -> bool:
+    """A class or id of the head of a site or page, as header, site-header or top_bar."""
+    for token in names.lower().split():
+        words = re.split(r"[_-]", token)
+        if words[-1] in HEADS and (len(words) == 1 or (len(words) == 2 and words[0] in HEAD_OF)):
+            return True
+    return False
+
+
+def _judge(node: Node, attributes: str) -> None:
+    """Sets whether an element is dropped whatever it holds, and what its names say."""
+    if node.tag in DROPPED or (node.tag == "header" and not node.inside):
+        node.dropped = True
+        return
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    if values.get("role", "").lower() in ROLES or _HIDES.search(values.get("style", "")) or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", attributes)):
-        return True
-    if tag in ("html", "body", "main") or (tag == "article" and not inside):
-        return False
-    names = _WITH.sub(" ", f"{values.get('class', '')} {values.get('id', '')}")
-    return bool(_NAMES.search(names)) or (not inside and bool(_HEAD_NAMES.search(names)))
+    if values.get("role", "").lower() in ROLES or _HIDES.search(values.get("style", "")) or values.get("aria-hidden") == "true" or _HIDDEN.search(_ATTRIBUTE.sub("", attributes)):
+        node.dropped = True
+    elif node.tag not in ("html", "body", "main") and not (node.tag == "article" and not node.inside and node.parent.doubt < 2):
+        names = f"{values.get('class', '')} {values.get('id', '')}"
+        node.doubt = doubtful(names)
+        node.dropped = not node.inside and _heads(names)
 
 
 def parse(page: str) -> Node:
-    root = Node("html", None, False)
-    stack, at = [root], 0
+    root = Node("html", None)
+    stack = [root]
+    places: dict[str, list[int]] = {}  # of each open tag, of all blocks and of all cells: where on the stack
+    blocks: list[int] = []
+    cells: list[int] = []
+    at, last = 0, page.rfind(">")
+
+    def close(i: int) -> None:
+        """Ends what is open from place i on."""
+        while len(stack) > i:
+            node = stack.pop()
+            places[node.tag].pop()
+            for kind in (blocks, cells):
+                if kind and kind[-1] >= len(stack):
+                    kind.pop()
+
     while True:
-        m = _TOKEN.search(page, at)
+        m = _OPENS.search(page, at)
+        while m and page[m.start() + 1] not in "!?" and m.start() > last:
+            m = None  # no tag ends any more
         text = page[at : m.start()] if m else page[at:]
         if text:
             stack[-1].items.append(text)
         if not m:
             return root
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        start = m.start()
+        if page[start + 1] in "!?":
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + 4 if comment else start + 1)
+            if end < 0:
+                return root
+            at = end + (3 if comment else 1)
+            continue
+        m = _TAG.match(page, start) or _CUT.match(page, start)  # a quote that never closes ends with the tag
+        if not m:
+            stack[-1].items.append("<")
+            at = start + 1
             continue
-        tag = tag.lower()
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in CELL and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
-                    break
+            if places.get(tag) and not (cells and cells[-1] > places[tag][-1] and tag not in ("tr", "table", "tbody", "thead", "tfoot")):
+                close(places[tag][-1])
             continue
-        if tag in ("html", "body") and len(stack) <= 1:
-            if tag == "html":
-                continue
-        if tag in BLOCK or tag in CELL:
+        if tag == "html" and len(stack) <= 1:
+            continue
+        if (tag in BLOCK or tag in CELL) and blocks:
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": CELL, "th": CELL, "option": CELL}.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i].tag
-                if name in ends or (name == "p" and tag not in CELL):
-                    del stack[i:]
-                    break
-                if name in BLOCK or name in CELL:
-                    break
-        node = Node(tag, stack[-1], stack[-1].dropped or _unwanted(tag, m[3] or "", stack))
+            name = stack[blocks[-1]].tag
+            if name in ends or (name == "p" and tag not in CELL):
+                close(blocks[-1])
+        node = Node(tag, stack[-1])
+        if stack[-1].dropped:
+            node.dropped = True
+        else:
+            _judge(node, m[3] or "")
         stack[-1].items.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\s*+[^>]*+>", re.I).search(page, at)
             if not node.dropped and tag not in ("script", "style", "title"):
                 node.items.append(page[at : end.start()] if end else page[at:])
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3] or "").endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK or tag in CELL:
+                blocks.append(len(stack))
+                if tag in CELL:
+                    cells.append(len(stack))
             stack.append(node)
 
 
+def _in_order(root: Node) -> list[Node]:
+    """What is not dropped, parents first; dropped is passed on to all below."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        for x in node.items:
+            if isinstance(x, Node) and not x.dropped:
+                todo.append(x)
+    return out
+
+
+def _settle(root: Node) -> None:
+    """Drops the elements whose names say so and whose place and text do not say otherwise."""
+    order = _in_order(root)
+    if not any(n.doubt for n in order):
+        return
+    links = {id(root): False}
+    plain: dict[int, int] = {}  # characters outside links
+    whole: dict[int, int] = {}
+    for n in order:
+        link = links[id(n)] or n.tag == "a"
+        size = sum(len(x.strip()) for x in n.items if isinstance(x, str))
+        whole[id(n)], plain[id(n)] = size, 0 if link else size
+        n.titled = n.tag in ("h1", "main")
+        for x in n.items:
+            if isinstance(x, Node) and not x.dropped:
+                links[id(x)] = link
+    for n in reversed(order):
+        if n.parent is not None:
+            plain[id(n.parent)] += plain[id(n)]
+            whole[id(n.parent)] += whole[id(n)]
+            n.parent.titled = n.parent.titled or n.titled
+    total = plain[id(root)]
+    for n in order:
+        if n.doubt:
+            most = 2 * plain[id(n)] > total
+            prose = plain[id(n)] > (1 - LINKS) * whole[id(n)]
+            n.dropped = not (n.titled or (n.doubt == 1 and most and prose))
+
+
 def _clean(pieces: list[str]) -> str:
     return " ".join(html.unescape("".join(pieces)).split())
 
@@ -196,8 +305,32 @@ def _score(root: Node) -> list[Node]:
     return scored
 
 
+def _beside(best: Node, around: bool) -> list[Node]:
+    """The best container with the siblings that belong to it. Around says that it is the page's article or main element."""
+    level = SIBLING * best.points
+    siblings = [x for x in best.parent.items if isinstance(x, Node)]
+    place = next(i for i, x in enumerate(siblings) if x is best)
+    keep = []
+    for i, x in enumerate(siblings):
+        if x is best:
+            keep.append(True)
+        elif x.dropped or x.linked >= LINKS * max(1, x.chars):
+            keep.append(False)
+        elif around:
+            keep.append((x.tag == "h1" and i < place) or (x.points >= level and x.points > 0 and x.tag not in ("article",)))
+        else:
+            text = " ".join(_blocks([x]))
+            keep.append(not _RIGHTS.search(text) and (x.tag in BESIDE or x.points >= level or bool(_PROSE.search(text))))
+    # a heading after the best container belongs to what follows it
+    for i in range(len(siblings) - 1, place, -1):
+        if siblings[i].tag in HEADINGS and not (i + 1 < len(siblings) and keep[i + 1]):
+            keep[i] = False
+    return [x for x, k in zip(siblings, keep) if k]
+
+
 def main_text(page: str) -> str:
     root = parse(page)
+    _settle(root)
     scored = _score(root)
     best = max(scored, key=lambda n: n.points, default=root)  # of equals, the first in the page
     around = best
@@ -208,10 +341,7 @@ def main_text(page: str) -> str:
         best = best.parent
     while not around and best.parent is not None and best.parent.tag not in ("body", "html") and best.parent.points >= PARENT * best.points:
         best = best.parent
-    kept = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        level = SIBLING * best.points
-        kept = [x for x in best.parent.items if isinstance(x, Node) and (x is best or (not x.dropped and x.linked < LINKS * max(1, x.chars) and (x.tag in BESIDE or x.points >= level)))]
+    kept = _beside(best, around is not None) if best.parent is not None and best.tag not in ("body", "html") else [best]
     return "\n".join(_blocks(kept))
 
 
