@@ -2,51 +2,70 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words in the contracts: space and the bytes 9 to 13.
-SPACE = r"[ \t-\r]"
 NOT_SPACE = r"[^ \t-\r]+"
 
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one made here and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset one is made and set on a local master, which
+    has no other machine; elsewhere that is an error, as every executor would write to a disk of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="markerflow-")
         spark.sparkContext.setCheckpointDir(f"file://{path}")
         path = spark.sparkContext.getCheckpointDir()
     return path
 
 
+@contextlib.contextmanager
+def sweeping(spark: SparkSession):
+    """Actions inside delete the files of their shuffles when they end: what they computed is staged, and nothing reads those again."""
+    before = spark.conf.get(_SWEEP, "false")
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SWEEP, before)
+
+
+def _at(df_or_spark, path: str):
+    """(file system, path) in the JVM."""
+    spark = df_or_spark if isinstance(df_or_spark, SparkSession) else df_or_spark.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, so a lost executor
-    costs a re-read and not a recomputation."""
+    costs a re-read and not a recomputation. The table goes when it is unstaged, and at the latest when the driver ends, as a lazy
+    result may need it until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    free(spark)
-    df.write.option("compression", compression).parquet(path)
-    free(spark)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    with sweeping(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged = path
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """The driver forgets shuffles that no plan refers to any more, and executors delete their files."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def unstage(df: DataFrame) -> None:
     """Deletes a staged table that nothing will read again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df._staged)
-    path.getFileSystem(conf).delete(path, True)
+    fs, at = _at(df, df._staged)
+    fs.delete(at, True)
+    fs.cancelDeleteOnExit(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

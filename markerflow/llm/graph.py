@@ -1,11 +1,15 @@
-"""Connected components by alternating large and small stars, staged round by round."""
+"""Connected components by alternating large and small stars, staged round by round.
+
+Defined cases: edges of a node with itself tie nothing and are left out; repeated edges count once, in either direction; without edges there
+are no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import stage, sweeping, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         last, edges = edges, stage(small, "edges")
         unstage(last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with sweeping(edges.sparkSession):
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

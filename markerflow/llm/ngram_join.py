@@ -5,11 +5,14 @@
    order. Counts of such prefixes, by exchanged sorted runs, leave the texts that share one at all; among those, all shingles
    are counted, and prefixes are taken again with the rarest shingles first, so that what very many texts share is in
    hardly any prefix. A shingle that no other text has joins nothing.
-3. Texts with a common prefix shingle are tied into blocks. A block is cut into cells by size (a band is a factor 1/s wide, so
-   only cells of neighbouring bands can hold linked pairs) and, when a band has more than TILE texts, by hash. A task compares
-   a pair of cells: bitmaps give an upper bound of the overlap, exact intersection decides. Pairs already connected inside a
-   tile need no comparison, as only connectivity is asked for.
-4. Links become components, and every document gets that of its node.
+3. The texts of a shingle are put in order of size, and each is compared with the next: as many pairs as postings at most, each once
+   however many shingles give it, dealt evenly. What links ties nearly all of a group of near copies, and its label is known.
+4. Only shingles whose texts have different labels are left. Their labels are tied into blocks. A block is cut into cells by size (a
+   band is a factor 1/s wide, so only cells of neighbouring bands can hold linked pairs), by label where a label fills half a cell,
+   and by hash when there are more than TILE texts; two cells of one label never meet. A task compares a pair of cells: bitmaps give an
+   upper bound of the overlap, exact intersection decides. Texts with one label, or already connected inside a tile, need no
+   comparison, as only connectivity is asked for. A block of at most TILE texts is one cell, in which size bounds the pairs.
+5. Links become components, and every document gets that of its node.
 
 No pair of equal texts is expanded, and no candidate is capped: a block of any size is compared in full, tile by tile.
 
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
+from .batches import SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
 from .common import partitions, stage, unstage
 from .graph import components
 
@@ -115,7 +118,7 @@ def _sharing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = unpack(packed)
             own = [shingles(t) for t in texts]
             some = [short(hash_prefix(k)) for k in own]
-            ordered = np.sort(np.concatenate(some))
+            ordered = np.unique(np.concatenate([np.empty(0, np.uint64), *some]))
             counts = flags_of(flags)
             nodes = sorted(int(h) for h in heads)
             slots = [h - (int(batch) << SLOT_BITS) for h in nodes]
@@ -126,44 +129,76 @@ def _sharing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rare(parts: int):
-    """Runs of (key, node) of the prefixes with the rarest shingles first, without those that one text has alone."""
+    """Runs of (key, node, size) of the prefixes with the rarest shingles first, without those that one text has alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
         for pdf in frames:
             for nodes, packed, flags in zip(pdf["nodes"], pdf["packed"], pdf["flags"]):
                 own = [shingles(t) for t in unpack(packed)]
-                ordered, counts = np.sort(short(np.concatenate(own))), flags_of(flags)
-                keys, at = [], []
+                ordered, counts = np.unique(short(np.concatenate(own))), flags_of(flags)
+                keys, at, sizes = [], [], []
                 for node, k in zip(nodes, own):
                     times = counts[np.searchsorted(ordered, short(k))]
                     first = np.lexsort((k * _TURN, times))[: prefix_length(len(k))]
                     first = first[times[first] > 1]
                     keys.append(k[first])
                     at.append(np.full(len(first), node, np.int64))
-                keys, at = np.concatenate(keys), np.concatenate(at)
+                    sizes.append(np.full(len(first), len(k), np.int64))
+                keys, at, sizes = np.concatenate(keys), np.concatenate(at), np.concatenate(sizes)
                 order = np.argsort(keys, kind="stable")
-                keys, at = keys[order], at[order]
+                keys, at = keys[order], np.stack([at[order], sizes[order]])
                 edges = np.append(np.searchsorted(keys, part_starts(parts)), len(keys))
-                rows = [(p, packer.compress(front(keys[edges[p] : edges[p + 1]])), packer.compress(at[edges[p] : edges[p + 1]].tobytes())) for p in range(parts) if edges[p] < edges[p + 1]]
+                rows = [(p, packer.compress(front(keys[edges[p] : edges[p + 1]])), packer.compress(at[:, edges[p] : edges[p + 1]].tobytes())) for p in range(parts) if edges[p] < edges[p + 1]]
                 yield pd.DataFrame(rows, columns=["part", "run", "nodes"])
 
     return run
 
 
-def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each node of a shingle tied to the shingle's smallest node, once a pair."""
+def _postings(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a posting has the key of the one before, node, size) of a key range, by key, size and node."""
     unpacker = zstandard.ZstdDecompressor()
     keys = np.concatenate([unfront(unpacker.decompress(bytes(r))) for r in pdf["run"]])
-    nodes = np.concatenate([np.frombuffer(unpacker.decompress(bytes(r)), np.int64) for r in pdf["nodes"]])
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    head = np.concatenate([[True], keys[1:] != keys[:-1]])
-    least = nodes[head][np.cumsum(head) - 1]
-    pairs = np.unique(np.stack([nodes, least], axis=1)[nodes != least], axis=0)
+    nodes, sizes = np.concatenate([np.frombuffer(unpacker.decompress(bytes(r)), np.int64).reshape(2, -1) for r in pdf["nodes"]], axis=1)
+    order = np.lexsort((nodes, sizes, keys))
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+    return np.concatenate([[False], keys[1:] == keys[:-1]]), nodes, sizes
+
+
+def _pairs(pairs: np.ndarray) -> pd.DataFrame:
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else np.empty((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each text of a shingle with the next in size, if sizes allow a link."""
+    same, nodes, sizes = _postings(pdf)
+    at = np.flatnonzero(same)
+    at = at[OF * sizes[at - 1] >= SIMILAR * sizes[at]]
+    return _pairs(np.stack([nodes[at - 1], nodes[at]], axis=1))
+
+
+def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each text of a shingle tied to the shingle's first."""
+    same, nodes, _ = _postings(pdf)
+    first = nodes[~same][np.cumsum(~same) - 1]
+    return _pairs(np.stack([nodes, first], axis=1)[same])
+
+
+def _linked_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of pairs with their texts, those that link. Rows come sorted by a, whose shingles are made once."""
+    unpacker = zstandard.ZstdDecompressor()
+    last, left = None, None
+    for pdf in frames:
+        out = []
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
+            if a != last:
+                last, left = a, shingles(unpacker.decompress(bytes(x)))
+            if linked(left, shingles(unpacker.decompress(bytes(y)))):
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     packer = zstandard.ZstdCompressor(level=3)
     for pdf in frames:
@@ -180,8 +215,8 @@ def linked(left: np.ndarray, right: np.ndarray) -> bool:
     return OF * both >= SIMILAR * (len(left) + len(right) - both)
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """Links that connect the sets of a tile as all its links do; across: only between the two sides."""
+def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets of a tile as all its links do; across: only between the two sides; label: what is connected already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets, side = [sets[i] for i in order], side[order]
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -190,7 +225,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[t
     for i, s in enumerate(sets):
         b = s % np.uint64(bits)
         np.bitwise_or.at(maps[i], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1][order]
     out = []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(n, n[i] * OF // SIMILAR, side="right"))
@@ -219,37 +254,42 @@ def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tile = None
 
     def settle() -> pd.DataFrame:
-        sets = [shingles(unpacker.decompress(bytes(t))) for _, t, _ in held]
-        found = tile_links(sets, np.array([s for _, _, s in held]), tile[1] != tile[2]) if len(held) > 1 else []
+        sets = [shingles(unpacker.decompress(bytes(t))) for _, t, _, _ in held]
+        found = tile_links(sets, np.array([s for _, _, s, _ in held]), tile[1] != tile[2], np.array([g for _, _, _, g in held])) if len(held) > 1 else []
         return pd.DataFrame([(held[i][0], held[j][0]) for i, j in found], columns=["a", "b"], dtype="int64")
 
     for pdf in frames:
-        for root, low, high, node, text, cell in zip(pdf["root"], pdf["low"], pdf["high"], pdf["node"], pdf["text"], pdf["cell"]):
+        for root, low, high, node, text, cell, label in zip(pdf["root"], pdf["low"], pdf["high"], pdf["node"], pdf["text"], pdf["cell"], pdf["label"]):
             if (root, low, high) != tile:
                 if held:
                     yield settle()
                 tile, held = (root, low, high), []
-            held.append((node, text, cell))
+            held.append((node, text, cell, label))
     if held:
         yield settle()
 
 
 def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """(root, low, high, cell, node, text): each text once for every tile of its block that it belongs to."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / SIMILAR)) + 1e-9)
-    whole = texts.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes")).where(F.col("texts") > 1)
+    """(root, low, high, cell, node, label, text): each text (root, label, node, text, n, size) once for every tile of its block that it belongs to."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / SIMILAR)) + 1e-9).cast("int")
+    whole = texts.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
     small = (F.col("texts") <= tile) & (F.col("bytes") <= tile_bytes)
-    rows = texts.withColumn("band", band.cast("int"))
-    # bands are at most the logarithm of the largest set in number, and a block has one row of them
-    subs = rows.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("size") / F.lit(tile_bytes))).cast("int").alias("subs"))
-    plan = subs.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "subs"))).alias("subs"))
-    rows = rows.join(whole.select("root", small.alias("small")), "root").join(plan, "root")
-    cell = lambda b, s: F.when(F.col("small"), F.lit(0)).otherwise(b.cast("long") * (1 << 32) + s)
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("node"), F.element_at("subs", F.col("band")).cast("long"))).withColumn("cell", cell(F.col("band"), F.col("sub")))
-    near = F.filter(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.map_contains_key("subs", b))
-    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("subs", b) - 1), lambda s: b.cast("long") * (1 << 32) + s.cast("long"))))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0).cast("long"))).otherwise(others)))
-    return rows.select("root", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "text")
+    rows = texts.withColumn("band", band).join(whole.select("root", small.alias("small")), "root")
+    # a label with half a cell of texts in a band has cells of its own (its group), the others share cells (no group)
+    sizes = rows.where("NOT small").groupBy("root", "band", "label").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
+    own = F.when((2 * F.col("texts") >= tile) | (2 * F.col("bytes") >= tile_bytes), F.col("label"))
+    groups = sizes.withColumn("grp", own).groupBy("root", "band", "grp").agg(F.sum("texts").alias("texts"), F.sum("bytes").alias("bytes"))
+    groups = groups.withColumn("subs", F.greatest(F.ceil(F.col("texts") / tile), F.ceil(F.col("bytes") / tile_bytes)).cast("int"))
+    start = F.coalesce(F.sum("subs").over(Window.partitionBy("root").orderBy("band", "grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    # groups of a block are at most two for each half cell of texts and one for each band, and bands the logarithm of the largest set
+    plan = groups.withColumn("start", start).groupBy("root").agg(F.collect_list(F.struct("band", "grp", "subs", "start")).alias("plan"))
+    rows = rows.join(sizes.select("root", "band", "label", own.alias("grp")), ["root", "band", "label"], "left").join(plan, "root", "left")
+    mine = F.get(F.filter("plan", lambda g: (g["band"] == F.col("band")) & g["grp"].eqNullSafe(F.col("grp"))), F.lit(0))
+    rows = rows.withColumn("mine", mine).withColumn("cell", F.when(F.col("small"), 0).otherwise(F.col("mine.start") + F.pmod(F.xxhash64("node"), F.col("mine.subs").cast("long")).cast("int")))
+    near = F.filter("plan", lambda g: (F.abs(g["band"] - F.col("band")) <= 1) & (F.col("grp").isNull() | ~g["grp"].eqNullSafe(F.col("grp"))))
+    others = F.flatten(F.transform(near, lambda g: F.sequence(g["start"], g["start"] + g["subs"] - 1)))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("small"), F.array(F.lit(0))).otherwise(others)))
+    return rows.select("root", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "label", "text")
 
 
 def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES, tie: str | None = None) -> DataFrame:
@@ -269,19 +309,35 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     some = sharing.where("batch IS NOT NULL").select("batch", "nodes", "packed")
 
     parts = 2 * partitions(spark)
-    runs = some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts), "part int, run binary, nodes binary")
-    blocks = components(runs.groupBy("part").applyInPandas(_ties, "a long, b long"))
-    texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(blocks, "node").join(sizes, "node"), "grams-texts")
+    runs = stage(some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts), "part int, run binary, nodes binary"), "grams-runs", "snappy")
+    texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(sizes, "node"), "grams-texts", "snappy")
     unstage(sharing)
-    dealt = tiled(texts, tile, tile_bytes).repartition(partitions(spark), "root", "low", "high").sortWithinPartitions("root", "low", "high")
-    groups = components(dealt.mapInPandas(_tiles, "a long, b long"))
+    text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    near = runs.groupBy("part").applyInPandas(_neighbours, "a long, b long").distinct().join(text("b"), "b").join(text("a"), "a")
+    links = stage(near.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInPandas(_linked_pairs, "a long, b long"), "grams-links")
+    ties = stage(runs.groupBy("part").applyInPandas(_ties, "a long, b long").distinct(), "grams-ties")
+    unstage(runs)
+
+    found = stage(components(links), "grams-labels")
+    label = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"label_{side}"))
+    labelled = ties.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    blocks = components(labelled.where("a <> b"))
+    mixed = texts.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")).join(blocks.withColumnRenamed("node", "label"), "label")
+    mixed = stage(mixed, "grams-mixed", "snappy")
     unstage(texts)
+    unstage(ties)
+    dealt = tiled(mixed, tile, tile_bytes).repartition(partitions(spark), "root", "low", "high").sortWithinPartitions("root", "low", "high")
+    groups = components(links.union(dealt.mapInPandas(_tiles, "a long, b long")))
+    unstage(mixed)
 
     known = about.where("node = head").select("head", "first").join(sizes.withColumnRenamed("node", "head"), "head").join(groups.withColumnRenamed("node", "head"), "head", "left")
     least = known.groupBy(F.coalesce("root", "head").alias("group")).agg(F.min("first").alias("component"))
     nodes = about.select("node", "head").join(known.select("head", "n", F.coalesce("root", "head").alias("group")), "head").join(least, "group")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component.doc_id" if tie else "component"))
-    first = ((F.col("n") == 0) | (F.struct("doc_id", "tie") == F.col("component"))).alias("stays") if tie else None
-    out = members.join(nodes, "node").select("doc_id", "n", component.alias("component"), *(["tie", first] if tie else []))
-    more = [F.col("tie").alias(tie), "stays"] if tie else []
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NO_ID)).alias("component_id"), *more)
+    alone = F.col("n") == 0
+    out = members.join(nodes, "node").select(
+        F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(alone & ~F.col("none"), F.col("doc_id")).when(~alone & ~F.col("component.none"), F.col("component.doc_id")).alias("component_id"),
+        *([F.col("tie").alias(tie), (alone | (F.struct("doc_id", "none", "tie") == F.col("component"))).alias("stays")] if tie else []),
+    )
+    return out
