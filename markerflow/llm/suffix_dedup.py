@@ -7,14 +7,15 @@ as a tie-breaker; that is a sparse suffix array which loses no repeat.
 1. Equal texts collapse to one node per task, one head over all, each with the smallest doc_id that has it.
 2. Anchors that no second text has are left out (counts by exchanged sorted runs).
 3. Tasks write front-coded sorted runs of distinct contexts (anchor, what follows, what precedes) with the smallest doc_id of
-   each. Runs are dealt by the anchor's hash and merged by a loser tree that carries each run's common prefix with the last
+   each. Runs are dealt by the anchor's hash (of an anchor in very many texts, by that of more bytes too) and merged by a loser tree that carries each run's common prefix with the last
    winner, so known prefixes are never compared again.
 4. The merged order's common prefixes, and those of the contexts' left sides, give for each of the window's offsets the classes of
    equal SPAN-byte strings and the smallest doc_id of each. What a text holds of a smaller doc_id's strings is removed.
 A string in very many documents is one context per run, however many documents hold it.
 
 Defined cases: null text is empty; of rows with one text, those with its smallest doc_id are first and the others' bytes repeat them
-(texts shorter than SPAN have no strings and lose nothing); a null doc_id ranks above all others; other columns are ignored.
+(texts shorter than SPAN have no strings and lose nothing); a null doc_id ranks above all others but the largest long, with which it
+ranks alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, SLOT_BITS, collect, count_keys, firsts, flags_of, give_back, part_starts, unpack
+from .batches import MANY, SLOT_BITS, collect, count_keys, firsts, flags_of, give_back, part_starts, unpack
 from .common import partitions, stage, unstage
 from .ngram_join import mix, prefix_sums, range_hashes, short
 
 SPAN, K = 50, 24
 REST = SPAN - K  # bytes on each side of an anchor that its windows can reach
 WIDTH = SPAN + REST
+HALF = REST // 2
 #: Stands for the bytes beyond a text; it is no byte of UTF-8.
 BEYOND = 255
 #: Contexts that a task holds before it writes its runs.
@@ -78,6 +80,22 @@ def contexts(text: bytes, at: np.ndarray) -> np.ndarray:
     return data[at[:, None] + offsets]
 
 
+def spread(rows: np.ndarray, keys: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of hot anchors twice: once with a key of the anchor and the HALF bytes after it, once of it and the HALF bytes before it.
+
+    A window has HALF bytes of its own on one of the anchor's sides at least, so equal strings still meet, and an anchor that very many
+    different contexts have is no single key. A hit among some of an anchor's contexts is one among all."""
+    if not hot.any():
+        return rows, keys, at
+    one, more = rows[hot], []
+    for begin in (K, SPAN):
+        key = keys[hot] ^ np.uint64(begin)
+        for column in range(begin, begin + HALF):
+            key = (key ^ one[:, column]) * np.uint64(0x100000001B3)
+        more.append(mix(key))
+    return np.concatenate([rows[~hot], one, one]), np.concatenate([keys[~hot], *more]), np.concatenate([at[~hot], at[hot], at[hot]])
+
+
 def inside(rows: np.ndarray) -> np.ndarray:
     """Bytes of each context that the text has: from the anchor on, and before it."""
     outside = rows == BEYOND
@@ -127,18 +145,17 @@ def decode(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class LoserTree:
     """Merges sorted runs of WIDTH-byte strings, each given as its bytes end to end and each string's common prefix with its predecessor.
-    Strings are compared as integers, made when they come to their run's head.
 
     Every waiting head knows its common prefix with the last string that came out. Of two heads the one that shares more with
-    it is smaller, without a look at either; only equals are compared, from the known prefix on, and the loser remembers where
-    they differ.
+    it is smaller, without a look at either; of equals only the bytes beyond the known prefix are compared, and the loser remembers
+    where they differ.
     """
 
     def __init__(self, runs: list[bytes], shared: list[bytes]) -> None:
         self.runs, self.shared = runs, shared
         self.k = max(1, len(runs))
         self.at = [0] * len(runs)
-        self.head = [int.from_bytes(r[:WIDTH], "big") if r else None for r in runs]
+        self.head = [r[:WIDTH] or None for r in runs]
         self.lcp = [0] * len(runs)
         self.tree = [0] * self.k
         self.tree[0] = self._build(1)
@@ -155,10 +172,11 @@ class LoserTree:
             return a, b
         if p < q:
             return b, a
+        x, y = x[p:], y[p:]
         if x == y:
             self.lcp[b] = WIDTH
             return a, b
-        same = WIDTH - ((x ^ y).bit_length() + 7) // 8
+        same = WIDTH - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
         if x < y:
             self.lcp[b] = same
             return a, b
@@ -182,7 +200,7 @@ class LoserTree:
             prefix.append(lcp[winner])
             at[winner] = i = at[winner] + 1
             if i < len(self.shared[winner]):
-                head[winner] = int.from_bytes(self.runs[winner][i * WIDTH : (i + 1) * WIDTH], "big")
+                head[winner] = self.runs[winner][i * WIDTH : (i + 1) * WIDTH]
                 lcp[winner] = self.shared[winner][i]
             else:
                 head[winner] = None
@@ -258,16 +276,18 @@ def _write_runs(parts: int):
                     continue
                 texts = unpack(packed)
                 found = [anchors(t) for t in texts]
-                ordered = np.sort(np.concatenate([np.unique(short(h)) for _, h in found]))
+                ordered = np.unique(np.concatenate([short(h) for _, h in found]))
                 counts = flags_of(flags)
                 for h in heads:
                     slot = int(h["node"]) - (int(batch) << SLOT_BITS)
                     at, keys = found[slot]
                     if len(at):
-                        shared = counts[np.searchsorted(ordered, short(keys))] > 1
-                        at, keys = at[shared], keys[shared]
+                        times = counts[np.searchsorted(ordered, short(keys))]
+                        at, keys, times = at[times > 1], keys[times > 1], times[times > 1]
                     if len(at):
-                        held.append((contexts(texts[slot], at), keys, np.full(len(at), h["first"], np.int64), np.full(len(at), h["node"], np.int64), at))
+                        rows = contexts(texts[slot], at)
+                        rows, keys, at = spread(rows, keys, at, times == MANY)
+                        held.append((rows, keys, np.full(len(at), h["first"], np.int64), np.full(len(at), h["node"], np.int64), at))
                         count += len(at)
                     if count >= RUN:
                         yield write()
@@ -366,7 +386,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges to remove), a row for each row of docs."""
     batches, members, _ = collect(docs, bytes, "suffix")
     about = stage(firsts(batches, members), "suffix-heads")
-    heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list(F.struct("node", "first")).alias("heads"))
+    heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list(F.struct("node", F.col("first.doc_id").alias("first"))).alias("heads"))
     texts = batches.select("batch", "packed")
     parts = 2 * partitions(docs.sparkSession)
     counted = texts.join(count_keys(batches, _keys), "batch").join(heads, "batch")
@@ -378,9 +398,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     applied = texts.join(heads, "batch").join(spans, "batch", "left").mapInPandas(_apply, "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     known = about.select(F.col("node").alias("member"), "head", "first").join(applied, F.col("head") == F.col("node")).drop("node", "head")
     rows = members.join(known, F.col("node") == F.col("member"))
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= SPAN)
+    copy = (F.col("doc_id") > F.col("first.doc_id")) & (F.col("n_bytes") >= SPAN)
     return rows.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
