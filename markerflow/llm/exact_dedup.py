@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import give_back
-from .common import as_bytes, partitions, stage
+from .common import as_bytes, partitions, stage, sweeping
 
 #: Entries' bytes that a bucket holds before it is split, and the most bits that the directory may use; the directory has at
 #: most 2**MAX_DEPTH slots whatever the input.
 BUCKET_BYTES, MAX_DEPTH = 256 << 10, 20
 #: A task writes out the entries it holds when their texts reach this many bytes; later copies start a new entry.
 RUN_BYTES = 16 << 20
-NONE = -(1 << 63)
 
 
 def _log(carry: T.StructType):
@@ -48,24 +47,23 @@ def _log(carry: T.StructType):
 
         def entries() -> pd.DataFrame:
             rows = []
-            for text, (number, count, top, lead) in held.items():
+            for text, (number, count, (known, top), lead) in held.items():
                 sha = hashlib.sha256(text).digest()
-                rows.append((f"{task}-{number}", int.from_bytes(sha[:8], "big", signed=True), sha, count, top, lead, len(text), packer.compress(text)))
-            out = pd.DataFrame(rows, columns=["entry", "h", "sha", "n", "top", "lead", "size", "packed"])
-            for c in ("doc_id", "row", *names):
+                rows.append((f"{task}-{number}", int.from_bytes(sha[:8], "big", signed=True), sha, count, known, top, lead, packer.compress(text)))
+            out = pd.DataFrame(rows, columns=["entry", "h", "sha", "n", "known", "top", "lead", "packed"])
+            for c in ("row", *names):
                 out[c] = None
             return out
 
         row = 0
         for pdf in batches:
             entry, numbers = [], []
-            ids = pdf["doc_id"]
-            values = [NONE if pd.isna(i) else int(i) for i in ids]
+            values = list(zip(pdf["known"].tolist(), pdf["id"].tolist()))
             for value, data in zip(values, pdf["data"]):
                 text = bytes(data).lower()
                 at = held.get(text)
                 if at is None:
-                    at = held[text] = [made, 0, NONE - 1, 0]
+                    at = held[text] = [made, 0, value, row]
                     made += 1
                     size += len(text)
                 at[1] += 1
@@ -74,10 +72,10 @@ def _log(carry: T.StructType):
                 entry.append(f"{task}-{at[0]}")
                 numbers.append(row)
                 row += 1
-            out = pdf.drop(columns="data").assign(entry=entry, row=np.array(numbers, dtype="int64"))
-            for c in ("h", "sha", "n", "top", "lead", "size", "packed"):
+            out = pdf[names].assign(entry=entry, known=pdf["known"], top=pdf["id"], row=np.array(numbers, dtype="int64"))
+            for c in ("h", "sha", "n", "lead", "packed"):
                 out[c] = None
-            yield out[["entry", "h", "sha", "n", "top", "lead", "size", "packed", "doc_id", "row", *names]]
+            yield out[["entry", "h", "sha", "n", "known", "top", "lead", "packed", "row", *names]]
             if size >= RUN_BYTES:
                 yield entries()
                 held.clear()
@@ -94,27 +92,24 @@ def _log(carry: T.StructType):
 class Directory:
     """The index's directory: 2**depth slots, each naming a bucket; buckets have local depths of their own."""
 
-    def __init__(self, sizes: dict[int, int], bucket_bytes: int, max_depth: int = MAX_DEPTH) -> None:
-        """sizes: bytes by the first max_depth bits of the hash."""
-        self.depth, self.buckets = 0, [(0, 0)]  # (local depth, prefix)
-        weight: dict[tuple[int, int], int] = {}
-        for prefix, n in sizes.items():
-            for d in range(max_depth + 1):
-                key = (d, prefix >> (max_depth - d))
-                weight[key] = weight.get(key, 0) + n
-        todo, done = [(0, 0)], []
-        while todo:
-            d, p = todo.pop()
-            if weight.get((d, p), 0) > bucket_bytes and d < max_depth:
-                self.depth = max(self.depth, d + 1)  # the directory doubles
-                todo += [(d + 1, 2 * p + 1), (d + 1, 2 * p)]
-            else:
-                done.append((d, p))
-        self.buckets = done
-        self.slots = np.empty(1 << self.depth, dtype=np.int32)
-        for number, (d, p) in enumerate(done):
-            width = 1 << (self.depth - d)
-            self.slots[p * width : (p + 1) * width] = number
+    def __init__(self, sizes: np.ndarray, bucket_bytes: int) -> None:
+        """sizes: bytes by the first bits of the hash, one for each of 2**n values of them."""
+        most = len(sizes).bit_length() - 1
+        weight = [np.asarray(sizes, dtype=np.int64)]
+        for _ in range(most):
+            weight.append(weight[-1].reshape(-1, 2).sum(axis=1))
+        self.depth, done, prefixes = 0, [], np.zeros(1, np.int64)
+        for d in range(most + 1):
+            full = (weight[most - d][prefixes] > bucket_bytes) & (d < most)
+            done.append((d, prefixes[~full]))
+            if not full.any():
+                break
+            self.depth = d + 1  # the directory doubles
+            prefixes = (2 * prefixes[full][:, None] + np.array([0, 1])).ravel()
+        width = np.concatenate([np.full(len(p), 1 << (self.depth - d)) for d, p in done])
+        start = np.concatenate([p << (self.depth - d) for d, p in done])
+        order = np.argsort(start)
+        self.slots = np.repeat(np.arange(len(start), dtype=np.int32), width[order])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         u = h.astype(np.int64).view(np.uint64)
@@ -130,13 +125,13 @@ def _owner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def settle() -> list[tuple]:
         out = []
         for _, number, members in chain:
-            out += [(e, f"{last[1]}-{number}", n, top, e_row) for e, n, top, e_row in members]
+            out += [(e, f"{last[1]}-{number}", *rest) for e, *rest in members]
         return out
 
     rows: list[tuple] = []
-    columns = ["entry", "node", "n", "top", "lead"]
+    columns = ["entry", "node", "n", "known", "top", "lead"]
     for pdf in batches:
-        for bucket, h, entry, n, top, lead, packed in zip(pdf["bucket"], pdf["h"], pdf["entry"], pdf["n"], pdf["top"], pdf["lead"], pdf["packed"]):
+        for bucket, h, entry, n, known, top, lead, packed in zip(pdf["bucket"], pdf["h"], pdf["entry"], pdf["n"], pdf["known"], pdf["top"], pdf["lead"], pdf["packed"]):
             if (bucket, h) != last:
                 rows += settle()
                 chain, last = [], (bucket, h)
@@ -147,7 +142,7 @@ def _owner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 node = [text, len(chain), []]
                 chain.append(node)
-            node[2].append((entry, n, top, lead))
+            node[2].append((entry, n, known, top, lead))
         if len(rows) > 20000:
             yield pd.DataFrame(rows, columns=columns)
             rows = []
@@ -159,33 +154,37 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, carry: list[s
     """doc_id, keep_id, group_size, kept, text_sha256 and the columns named in carry, a row for each row of docs."""
     spark = docs.sparkSession
     names = {c: f"carry_{i}" for i, c in enumerate(carry or [])}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("data"), *[F.col(c).alias(a) for c, a in names.items()])
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), as_bytes(F.col("text")).alias("data"), *[F.col(c).alias(a) for c, a in names.items()])
     extra = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name in names.values()])
-    schema = T.StructType(T.StructType.fromDDL("entry string, h long, sha binary, n long, top long, lead long, size long, packed binary, doc_id long, row long").fields + extra.fields)
+    schema = T.StructType(T.StructType.fromDDL("entry string, h long, sha binary, n long, known boolean, top long, lead long, packed binary, row long").fields + extra.fields)
     log = stage(rows.mapInPandas(_log(extra), schema), "dedup-log")
     entries, members = log.where("packed IS NOT NULL"), log.where("packed IS NULL")
 
     # bounded by 2**MAX_DEPTH prefixes, whatever the input
     histogram = entries.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("p")).agg(F.sum(F.length("packed") + F.lit(64)).alias("s"))
-    directory = Directory({r.p: r.s for r in histogram.toLocalIterator()}, bucket_bytes)
-    shared = spark.sparkContext.broadcast(directory)
+    sizes = np.zeros(1 << MAX_DEPTH, np.int64)
+    with sweeping(spark):
+        for r in histogram.toLocalIterator():
+            sizes[r.p] = r.s
+    shared = spark.sparkContext.broadcast(Directory(sizes, bucket_bytes))
 
     @F.pandas_udf("int")
     def bucket(h: pd.Series) -> pd.Series:
         return pd.Series(shared.value.find(h.to_numpy()))
 
-    dealt = entries.select(bucket("h").alias("bucket"), "h", "entry", "n", "top", "lead", "packed").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "h")
+    dealt = entries.select(bucket("h").alias("bucket"), "h", "entry", "n", "known", "top", "lead", "packed").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "h")
     # an owner's chain nodes hold one text each; what is summed over a node's entries is one row per task that saw the text
-    nodes = stage(dealt.mapInPandas(_owner, "entry string, node string, n long, top long, lead long"), "dedup-nodes")
+    nodes = stage(dealt.mapInPandas(_owner, "entry string, node string, n long, known boolean, top long, lead long"), "dedup-nodes")
     whole = Window.partitionBy("node")
-    best = F.max(F.struct("top", "entry")).over(whole)
-    verdict = nodes.select("entry", F.sum("n").over(whole).alias("group_size"), best["top"].alias("keep_id"), F.when(best["entry"] == F.col("entry"), F.col("lead")).alias("lead"))
+    best = F.max(F.struct("known", "top", "entry")).over(whole)
+    verdict = nodes.select("entry", F.sum("n").over(whole).alias("group_size"), best["known"].alias("any_id"), best["top"].alias("keep"), F.when(best["entry"] == F.col("entry"), F.col("lead")).alias("chosen"))
     about = entries.select("entry", F.lower(F.hex("sha")).alias("text_sha256")).join(verdict, "entry")
-    return members.select("entry", "doc_id", "row", *names.values()).join(about, "entry").select(
-        "doc_id",
-        F.when(F.col("keep_id") != NONE, F.col("keep_id")).alias("keep_id"),
+    return members.select("entry", "known", "top", "row", *names.values()).join(about, "entry").select(
+        F.when(F.col("known"), F.col("top")).alias("doc_id"),
+        F.when(F.col("any_id"), F.col("keep")).alias("keep_id"),
         "group_size",
-        (F.col("lead").isNotNull() & (F.col("lead") == F.col("row"))).alias("kept"),
+        (F.col("chosen").isNotNull() & (F.col("chosen") == F.col("row"))).alias("kept"),
         "text_sha256",
         *[F.col(a).alias(c) for c, a in names.items()],
     )
