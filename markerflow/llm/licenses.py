@@ -2,10 +2,14 @@
 
 Texts are cut into overlapping windows of WINDOW words that start every STRIDE words, so that each shingle of five words lies
 whole in at least one window. Each template is cut at every offset, so an intact passage meets a template window with the same
-shingles whatever its place in the text. A window's signature has BANDS bands of one MinHash value each: windows whose shingle
-sets have Jaccard similarity J meet in some band with probability 1 - (1 - J)**BANDS, which is over 0.998 at J = 1/4, the least
-that a single shared shingle gives. Candidates are then verified by exact containment of the template's shingles in the whole
-text.
+shingles whatever its place in the text. A window's signature has BANDS bands of one MinHash value each, in BANDS orders of mixed
+hashes: windows whose shingle sets have Jaccard similarity J meet in some band with probability 1 - (1 - J)**BANDS. For the
+template of one shingle J is 1/4 and that probability 0.9999; for two full windows that share but one of their four shingles J is
+1/7 and it is 0.993, and a longer template that is contained to 0.75 has several such windows or equal ones. Candidates are then
+verified by exact containment of the template's shingles in the whole text.
+
+Templates of more than TEMPLATE_BYTES are scanned for in passes of at most so many, each of which broadcasts no more; a template that is
+longer by itself is joined without a broadcast.
 
 Defined cases: null or empty text and texts of fewer than five words contain nothing; rows with the same doc_id and the same text
 are reported each; an empty table gives no rows; other columns are ignored.
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 8, 4, 24, 0.75
-#: Most bytes of templates that are broadcast; a larger set of templates is refused.
+SHINGLE, WINDOW, STRIDE, BANDS, CONTAINMENT = 5, 8, 4, 32, 0.75
+#: Most bytes of templates that are broadcast in a pass.
 TEMPLATE_BYTES = 1 << 20
 
 # Opening notices of public licences, as their authors word them.
@@ -57,7 +61,7 @@ def shingles(words: Column) -> Column:
     return F.element_at(F.transform(F.array(words), cut), 1)
 
 
-#: One constant per band; shingle hashes are ordered by their exclusive or with it.
+#: One constant per band; shingle hashes are ordered by their hash together with it.
 _ORDERS = [c - (1 << 64) if c >> 63 else c for c in ((0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) for b in range(BANDS))]
 
 
@@ -72,33 +76,52 @@ def _windows(rows: DataFrame, keep: list[str], stride: int) -> DataFrame:
     # a shingle beyond the text is null, which least() passes over
     hashes = [F.when(F.size("words") >= F.col("start") + (j + SHINGLE), F.xxhash64(*[F.get("words", F.col("start") + (j + k)) for k in range(SHINGLE)])).alias(f"s{j}") for j in range(count)]
     each = cut.select(*keep, *hashes).select("*", F.explode(F.array(*[F.lit(c) for c in _ORDERS])).alias("order"))
-    return each.select(*keep, F.least(*[F.col(f"s{j}").bitwiseXOR(F.col("order")) for j in range(count)]).alias("band"))
+    return each.select(*keep, F.least(*[F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{j}", "order")) for j in range(count)]).alias("band"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
-        raise ValueError(f"templates exceed {TEMPLATE_BYTES} bytes; scan with fewer at a time")
     rows = spark.createDataFrame(list(templates.items()), "license string, body string").select("license", words_of(F.col("body")).alias("words"))
     return rows.withColumn("template", shingles(F.col("words"))).where(F.size("template") > 0)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, license, n_template, n_shared, containment: the templates of which each text has that share of shingles."""
-    spark = docs.sparkSession
-    known = template_table(spark, TEMPLATES if templates is None else templates)
+def passes(templates: dict[str, str], most: int) -> list[tuple[dict[str, str], bool]]:
+    """Templates in passes of at most `most` bytes, and whether a pass keeps to that: one template may be longer."""
+    out: list[dict[str, str]] = []
+    size = 0
+    for name, body in templates.items():
+        n = len(body.encode())
+        if not out or size + n > most:
+            out.append({})
+            size = 0
+        out[-1][name] = body
+        size += n
+    return [(p, sum(len(b.encode()) for b in p.values()) <= most) for p in out]
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], few: bool, containment: float) -> DataFrame:
+    known = template_table(docs.sparkSession, templates)
+    small = F.broadcast if few else (lambda df: df)  # few: at most TEMPLATE_BYTES of templates, so their bands are bounded too
     bands = _windows(known.select("license", "words"), ["license"], 1).distinct()
     texts = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    # templates are at most TEMPLATE_BYTES, so their bands are bounded too
-    hits = _windows(texts, ["doc_id"], STRIDE).join(F.broadcast(bands), "band").select("doc_id", "license").distinct()
+    hits = _windows(texts, ["doc_id"], STRIDE).join(small(bands), "band").select("doc_id", "license").distinct()
     # staged, so that its size is known when the join back to the texts is planned
     candidates = stage(hits, "license-candidates").withColumnRenamed("doc_id", "id")
     found = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "license", shingles(words_of(F.col("text"))).alias("own"))
-    found = found.join(F.broadcast(known.select("license", "template")), "license")
+    found = found.join(small(known.select("license", "template")), "license")
     shared = F.size(F.array_intersect("own", "template"))
     out = found.select("doc_id", "license", F.size("template").cast("long").alias("n_template"), shared.cast("long").alias("n_shared"))
     return out.where(F.col("n_shared") >= containment * F.col("n_template")).withColumn("containment", F.col("n_shared") / F.col("n_template"))
 
 
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, pass_bytes: int = TEMPLATE_BYTES) -> DataFrame:
+    """doc_id, license, n_template, n_shared, containment: the templates of which each text has that share of shingles."""
+    out = None
+    for some, few in passes(TEMPLATES if templates is None else templates, pass_bytes) or [({}, True)]:
+        found = _scan(docs, some, few, containment)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _SHINGLES = "CASE WHEN len(ws) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) END"
