@@ -4,7 +4,9 @@ A page's lines are the texts between its block tags. Per host, the pages that co
 lines above `ratio` (on at least `least` pages) are boilerplate and are dropped from every page of that host.
 
 A host's boilerplate lines number at most the mean of distinct lines per page divided by ratio, so the list that is joined to
-its pages is bounded; counts are summed before they are exchanged, and lines travel as 16-byte digests.
+its pages is bounded; counts are summed before they are exchanged, and lines travel as 16-byte digests. The lists are measured: if
+all of them fit in LIST_BYTES they are broadcast and no page is moved; else pages are dealt by host, and a host with more than its
+share of the pages over as many keys as it has shares.
 
 Defined cases: null html has no lines and an empty text; null url or one without a host belongs to host ''; a line repeated in
 a page counts once there; repeated page rows count as pages; other columns are ignored.
@@ -15,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, sweeping
 
 #: Share of a host's pages from which (exclusive) a line is boilerplate, and pages it must be on at least.
 RATIO, LEAST = 0.3, 3
-#: Tasks over which the pages of one host are dealt for the join with its bounded list.
-SALTS = 64
+#: Bytes of all hosts' lists that are broadcast; shares that pages are dealt in, and the least pages of a share: a host above a share is
+#: dealt over several keys, and there are at most SHARES such hosts.
+LIST_BYTES, SHARES, SHARE_PAGES = 16 << 20, 10_000, 10_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: Each pattern is applied in turn: what has no text, block tags (a new line), other tags, white space within a line.
 STRIP = (
@@ -39,7 +42,7 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST, list_bytes: int = LIST_BYTES, share_pages: int = SHARE_PAGES) -> DataFrame:
     """page_id, url, host, n_lines, n_dropped and the text of the lines kept, for each row of pages."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     rows = stage(pages.select("page_id", "url", host.alias("host"), lines_of(F.col("html")).alias("lines")), "lines")
@@ -47,10 +50,21 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> Da
     per_line = rows.select("host", F.explode(F.array_distinct(F.transform("lines", digest))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     per_host = rows.groupBy("host").agg(F.count("*").alias("pages"))
     common = per_line.where(F.col("n") >= least).join(per_host, "host").where(F.col("n") > ratio * F.col("pages"))
-    lists = common.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
+    lists = stage(common.groupBy("host").agg(F.collect_list("line").alias("boilerplate")), "line-lists")
+    with sweeping(pages.sparkSession):
+        size = lists.agg(F.sum(64 + F.length("host") + 32 * F.size("boilerplate"))).first()[0] or 0
+    if size <= list_bytes:
+        matched = rows.join(F.broadcast(lists), "host", "left")
+    else:
+        with sweeping(pages.sparkSession):
+            share = max(share_pages, -(-rows.count() // SHARES))
+        large = F.broadcast(per_host.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / share).alias("keys")))  # at most SHARES rows
+        keys = F.coalesce("keys", F.lit(1).cast("long"))
+        dealt = rows.join(large, "host", "left").withColumn("key", F.pmod(F.xxhash64("page_id", "url", F.size("lines")), keys)).drop("keys")
+        copies = lists.join(large, "host", "left").withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1))).drop("keys")
+        matched = dealt.join(copies, ["host", "key"], "left")
     kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), digest(x))))
-    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left").select(
+    return matched.select(
         "page_id",
         "url",
         "host",
