@@ -1,10 +1,15 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of whole documents inside a task. Words that no benchmark phrase has cannot take part in a match, so a
+A shard is a run of whole documents inside a task, of SHARD_WORDS words or one longer document. Words that no benchmark phrase has cannot take part in a match, so a
 shard's index holds the runs of phrase words between them (exactly the text in which a phrase can occur), with a separator
 after each run. The index is a suffix array's Burrows-Wheeler transform in a wavelet matrix; all phrases are searched backward
-together, each step being one vectorised rank in each level; occurrences are located by stepping back to sampled suffix
-positions, and the spans they cover are merged per document. Nothing is shuffled, and a lost task is simply run again.
+together, each step being one vectorised rank in each level (bits packed in words, with counts before each word); occurrences are
+located by stepping back to sampled suffix positions, which alone are kept, and the spans they cover are merged per document.
+Nothing is shuffled, and a lost task is simply run again.
+
+The benchmark is read in passes of PASS_BYTES. One pass, as for all public benchmarks, is a column over the documents. Of several, each
+is broadcast alone, what it finds is staged by a digest of the text (a row for each different contaminated text), and the results of all
+are joined to the documents.
 
 Defined cases: null or empty text has no words and no hits; a benchmark row without words is no item; repeated item_ids are
 one item, a null item_id reads as the empty string; an empty benchmark hits nothing; other columns pass through untouched.
@@ -12,16 +17,16 @@ one item, a null item_id reads as the empty string; an empty benchmark hits noth
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, stage
 
 #: Words in a window; words after which a shard is indexed; bytes of benchmark text searched in one pass (a larger benchmark
 #: takes more passes, so what is broadcast is bounded).
@@ -32,7 +37,8 @@ SAMPLE = 8
 _WORD = bytes(i for i in range(256) if i >= 0x80 or chr(i).isalnum())
 _FOLD = bytes(i if i in _WORD else 32 for i in range(256)).lower()
 _AT = re.compile(rb"[^ ]+")
-RESULT = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>, items array<string>"
+SPANS = "array<struct<start:int,end:int>>"
+RESULT = f"n_words long, n_hit long, spans {SPANS}, cuts {SPANS}, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,44 +86,74 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Bits:
+    """A bit vector in words of 64, with the number of ones before each."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.n = len(bits)
+        packed = np.packbits(bits.astype(bool), bitorder="little")
+        self.words = np.zeros(self.n // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int32)]).astype(np.int32)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & below)
+
+
 class Wavelet:
-    """A wavelet matrix: rank of a symbol before a position takes one table look-up per bit of the symbol."""
+    """A wavelet matrix: rank of a symbol before a position, and the symbol at one, take a rank in each bit of the symbols."""
 
     def __init__(self, values: np.ndarray, top: int) -> None:
         self.bits = max(1, int(top).bit_length())
-        self.ones, self.zeros = [], []
+        self.levels, self.zeros = [], []
         for b in range(self.bits - 1, -1, -1):
-            bit = (values >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
+            bit = ((values >> b) & 1).astype(bool)
+            self.levels.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
-            values = np.concatenate([values[bit == 0], values[bit == 1]])
+            values = np.concatenate([values[~bit], values[bit]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         start = np.zeros_like(at)
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
             one = ((symbol >> b) & 1).astype(bool)
-            table, zeros = self.ones[level], self.zeros[level]
-            at = np.where(one, zeros + table[at], at - table[at])
-            start = np.where(one, zeros + table[start], start - table[start])
+            bits, zeros = self.levels[level], self.zeros[level]
+            x, y = bits.ones(at), bits.ones(start)
+            at = np.where(one, zeros + x, at - x)
+            start = np.where(one, zeros + y, start - y)
         return at - start
 
+    def symbol(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(at)
+        for bits, zeros in zip(self.levels, self.zeros):
+            one, x = bits[at], bits.ones(at)
+            out = 2 * out + one
+            at = np.where(one, zeros + x, at - x)
+        return out
+
 
 class FMIndex:
     """Over runs of symbols 1.. that each end with 0; text[0] must be 0."""
 
     def __init__(self, text: np.ndarray) -> None:
         order = suffix_array(text)
-        self.last = text[order - 1]  # the symbol before each suffix; before the first, which is a separator, the last separator
-        self.tree = Wavelet(self.last, int(text.max()))
+        last = text[order - 1]  # the symbol before each suffix; before the first, which is a separator, the last separator
+        self.n = len(text)
+        self.tree = Wavelet(last, int(text.max()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
-        opens = text[order - 1] == 0
-        self.kept = opens | (order % SAMPLE == 0)
-        self.place = np.where(self.kept, order, -1)
+        kept = (last == 0) | (order % SAMPLE == 0)
+        self.kept = Bits(kept)
+        self.place = order[kept].astype(np.int32)
 
     def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that start with each row of symbols (-1: nothing there)."""
         low = np.zeros(len(rows), dtype=np.int64)
-        high = np.full(len(rows), len(self.last), dtype=np.int64)
+        high = np.full(len(rows), self.n, dtype=np.int64)
         top = len(self.first) - 2
         for column in range(rows.shape[1] - 1, -1, -1):
             symbol = rows[:, column]
@@ -133,11 +169,11 @@ class FMIndex:
         at, back = rows.copy(), np.zeros(len(rows), dtype=np.int64)
         todo = np.flatnonzero(~self.kept[at])
         while len(todo):
-            symbol = self.last[at[todo]]
+            symbol = self.tree.symbol(at[todo])
             at[todo] = self.first[symbol] + self.tree.rank(symbol, at[todo])
             back[todo] += 1
             todo = todo[~self.kept[at[todo]]]
-        return self.place[at] + back
+        return self.place[self.kept.ones(at)] + back
 
 
 def search(shard: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +240,12 @@ def _searcher(shared):
                 return 0
 
         number = Numbers(phrases.vocabulary).__getitem__
-        for batch in batches:
-            rows: list[tuple] = []
-            texts, shard, held = [], [], 0
+        texts, shard, held = [], [], 0
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame(_shard(texts, shard, phrases), columns=["n_words", "n_hit", "spans", "cuts", "items"])
+
+        for batch in batches:  # a shard may hold several: results come when it is full
             for data in batch:
                 text = bytes(data)
                 words = words_of(text)
@@ -214,49 +253,79 @@ def _searcher(shared):
                 shard.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
                 held += len(words)
                 if held >= SHARD_WORDS:
-                    rows += _shard(texts, shard, phrases)
+                    yield found()
                     texts, shard, held = [], [], 0
-            if shard:
-                rows += _shard(texts, shard, phrases)
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "cuts", "items"])
+        if shard:
+            yield found()
 
     return leaks
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items in passes of at most PASS_BYTES (a longer item is a pass of its own)."""
-    out: list[list[tuple[str, bytes]]] = [[]]
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in passes of at most PASS_BYTES (a longer item is a pass of its own), of which the driver holds two at most."""
+    out: list[tuple[str, bytes]] = []
     size = 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), as_bytes(F.col("text")).alias("t")).toLocalIterator():
         if size and size + len(row.t) > PASS_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((row.i, bytes(row.t)))
+            yield out
+            out, size = [], 0
+        out.append((row.i, bytes(row.t)))
         size += len(row.t)
-    return out
+    yield out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
-    """docs with a struct column (one of that name is replaced): n_words, n_hit, spans (of words, merged), cuts (the same as byte ranges of the UTF-8
-    text), items (ids as sorted strings).
-
-    The benchmark is an evaluation set read pass by pass; each pass broadcasts at most PASS_BYTES of it.
-    """
-    spark = docs.sparkSession
-    data = as_bytes(F.col("text"))
-    parts = [_searcher(spark.sparkContext.broadcast(p))(data) for p in _passes(benchmark)]
-    if len(parts) == 1:
-        return docs.withColumn(column, parts[0])
+def _merged(found: DataFrame) -> DataFrame:
+    """(key, leaks) of the passes' results (key, leaks) of one text."""
 
     @F.pandas_udf(RESULT)
-    def union(all_data: pd.Series, *found: pd.DataFrame) -> pd.DataFrame:
+    def union(data: pd.Series, results: pd.Series) -> pd.DataFrame:
         rows = []
-        for i, text in enumerate(all_data):
-            merged = _merge([(s["start"], s["end"]) for f in found for s in f["spans"][i]])
-            rows.append((found[0]["n_words"][i], sum(b - a for a, b in merged), merged, _cuts(bytes(text), merged) if merged else [], sorted({x for f in found for x in f["items"][i]})))
+        for text, parts in zip(data, results):
+            spans = _merge([(s["start"], s["end"]) for p in parts for s in p["spans"]])
+            items = sorted({x for p in parts for x in p["items"]})
+            rows.append((int(parts[0]["n_words"]), sum(b - a for a, b in spans), spans, _cuts(bytes(text), spans), items))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "cuts", "items"])
 
-    return docs.withColumn(column, union(data, *parts))
+    # a text's results are one a pass
+    every = found.groupBy("key").agg(F.first("data").alias("data"), F.collect_list("leaks").alias("parts"))
+    return every.select("key", union("data", "parts").alias("leaks"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
+    """docs with a struct column (one of that name is replaced): n_words, n_hit, spans (of words, merged), cuts (the same as byte ranges of the UTF-8
+    text), items (ids as sorted strings)."""
+    spark = docs.sparkSession
+    data = as_bytes(F.col("text"))
+    passes = _passes(benchmark)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return docs.withColumn(column, _searcher(spark.sparkContext.broadcast(first))(data))
+
+    every = None
+    for items in itertools.chain([first, second], passes):
+        shared = spark.sparkContext.broadcast(items)
+        rows = docs.select(data.alias("data"), _searcher(shared)(data).alias("leaks")).where("leaks.n_hit > 0")
+        found = stage(rows.groupBy(F.md5("data").alias("key")).agg(F.first("data").alias("data"), F.first("leaks").alias("leaks")), "leaks")
+        every = found if every is None else every.unionByName(found)
+        shared.destroy()
+    merged = stage(_merged(every), "leaks-merged")
+    names = {"key": _unused(docs, "leak_key"), "leaks": _unused(docs, "leak_found")}
+    n_words = F.when(F.length(data) == 0, 0).otherwise(_count_words(data)).cast("long")
+    empty = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *[F.array().cast(t).alias(n) for n, t in (("spans", SPANS), ("cuts", SPANS), ("items", "array<string>"))])
+    joined = docs.join(merged.withColumnsRenamed(names), F.md5(data) == F.col(names["key"]), "left")
+    return joined.withColumn(column, F.coalesce(names["leaks"], empty)).drop(*names.values())
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _count_words(data: Column) -> Column:
+    """Words of UTF-8 bytes: runs of what is not ASCII, or is an ASCII letter or digit."""
+    return F.regexp_count(data.cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
 def digest(found: DataFrame) -> DataFrame:
