@@ -4,9 +4,11 @@ A text's features are the distinct hashed character n-grams of its lower-cased f
 smoothed document counts among toxic and other training texts scales its (binary) value; logistic regression is fitted on the
 scaled values. Scale and coefficient fold into one weight per hash bin, so scoring whole texts is a table look-up.
 
-Fitting reads at most `train_rows` labelled rows (the first in the order of a hash of doc_id); scoring reads every row whole.
+Fitting reads at most `train_rows` labelled rows (the first in the order of a hash of doc_id); scoring reads every row whole. Every
+n-gram that tells the classes apart by more than chance takes part, however many there are: the training rows are bounded, and their
+n-grams lie in blocks of rows.
 
-Defined cases: null text is the empty text and scores as the intercept alone; labels that are null, not 0 or 1, or held out are
+Defined cases: of rows with one doc_id the one whose text has the least hash is learnt from; null text is the empty text and scores as the intercept alone; labels that are null, not 0 or 1, or held out are
 not learnt from; with labels of one class or none, every score is their smoothed rate; other columns pass through untouched.
 """
 
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import in_training, stage
 
 #: Lengths of the n-grams, hash bins, most labelled rows to learn from, least log-likelihood ratio between the classes from
-#: which an n-gram is taken as more than chance among so many, n-grams kept.
-SIZES, BINS, TRAIN_ROWS, LEAST, KEPT = (3, 4, 5), 1 << 19, 8_000, 20.0, 6_000
+#: which an n-gram is taken as more than chance among so many.
+SIZES, BINS, TRAIN_ROWS, LEAST = (3, 4, 5), 1 << 20, 8_000, 20.0
+#: Rows in a block of the design matrix, bins judged at a time.
+BLOCK_ROWS, BLOCK_BINS = 256, 1 << 16
 #: A score from which a text counts as toxic.
 TOXIC = 0.3
 
@@ -58,7 +62,53 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train_rows: int) ->
     """At most train_rows rows (text, y) from which to learn, staged; the broadcast side has at most so many ids."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    return stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y"), "train")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return stage(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")), "train")
+
+
+def log_count_ratios(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """By bin, the log ratio of the smoothed shares of toxic (1) and other (0) texts that have it."""
+    p, q = ((counts[k] + 1.0) / (total[k] + 2.0) for k in (1, 0))
+    return np.log(p / q)
+
+
+def likelihood_ratios(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """By bin, the log-likelihood ratio (G) of having it against the class."""
+    rate = counts.sum(axis=0) / total.sum()
+    worth = np.zeros(counts.shape[1])
+    for seen, expected in ((counts, rate * total[:, None]), (total[:, None] - counts, (1 - rate) * total[:, None])):
+        worth += 2 * (seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))).sum(axis=0)
+    return worth
+
+
+def regression(blocks: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of logistic regression on rows that have the scaled columns listed in blocks of (row, column)."""
+    prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    v, b = np.zeros(len(scale)), prior
+    sums = lambda at, by, n: np.bincount(at, weights=by, minlength=n)
+    # diagonal bound of the curvature, for steps that need no line search
+    size, bound = np.abs(scale), np.full(len(v), penalty * len(y) + 1e-9)
+    for rows, columns in blocks:
+        first = rows[0] if len(rows) else 0
+        bound += 0.25 * sums(columns, size[columns] * sums(rows - first, size[columns], 0)[rows - first], len(v))
+    look_v, look_b, momentum = v, b, 1.0
+    for _ in range(rounds):
+        z = np.full(len(y), look_b)
+        steep = look_v * scale
+        for rows, columns in blocks:
+            if len(rows):
+                part = sums(rows - rows[0], steep[columns], 0)
+                z[rows[0] : rows[0] + len(part)] += part
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        slope = np.zeros(len(v))
+        for rows, columns in blocks:
+            slope += sums(columns, error[rows], len(v))
+        slope = slope * scale + penalty * len(y) * look_v
+        new_v, new_b = look_v - slope / bound, look_b - error.mean()
+        faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        look_v, look_b = new_v + (momentum - 1) / faster * (new_v - v), new_b + (momentum - 1) / faster * (new_b - b)
+        v, b, momentum = new_v, new_b, faster
+    return v, b
 
 
 def fit(rows: DataFrame, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -73,43 +123,33 @@ def fit(rows: DataFrame, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.n
     prior = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total.all():
         return np.zeros(BINS, np.float32), prior
-    p, q = ((counts[k] + 1.0) / (total[k] + 2.0) for k in (1, 0))
-    ratio = np.log(p / q)
-    have = counts.astype(np.float64)
-    rate = have.sum(axis=0) / total.sum()
-    worth = 0.0
-    for seen, expected in ((have, rate * total[:, None]), (total[:, None] - have, (1 - rate) * total[:, None])):
-        worth = worth + 2 * (seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))).sum(axis=0)
-    worth[worth < LEAST] = 0
-    chosen = np.argsort(-worth, kind="stable")[:KEPT]
-    chosen = chosen[worth[chosen] > 0]
+    kept = [np.flatnonzero(likelihood_ratios(counts[:, i : i + BLOCK_BINS].astype(np.float64), total) >= LEAST) + i for i in range(0, BINS, BLOCK_BINS)]
+    chosen = np.concatenate(kept)
     if not len(chosen):
         return np.zeros(BINS, np.float32), prior
+    scale = log_count_ratios(counts[:, chosen], total)
+    del counts
     slot = np.full(BINS, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
-    doc, column, y = [], [], []
-    for i, row in enumerate(rows.toLocalIterator()):
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
+    y = []
+    begin = 0
+
+    def block() -> None:
+        sizes = [len(h) for h in held]
+        blocks.append((np.repeat(np.arange(begin, begin + len(held), dtype=np.int32), sizes), np.concatenate([np.empty(0, np.int32), *held])))
+        held.clear()
+
+    for row in rows.toLocalIterator():
         mine = slot[features(row.text)]
-        mine = mine[mine >= 0]
-        column.append(mine)
-        doc.append(np.full(len(mine), i, dtype=np.int32))
+        held.append(mine[mine >= 0])
         y.append(row.y)
-    doc, column, y = np.concatenate(doc), np.concatenate(column), np.array(y, dtype=np.float64)
-    scale = ratio[chosen]
-    v, b = np.zeros(len(chosen)), prior
-    value = scale[column]
-    # diagonal bound of the curvature, for steps that need no line search
-    size = np.bincount(doc, weights=np.abs(value), minlength=len(y))
-    bound = 0.25 * np.bincount(column, weights=np.abs(value) * size[doc], minlength=len(v)) + penalty * len(y) + 1e-9
-    look_v, look_b, momentum = v, b, 1.0
-    for _ in range(rounds):
-        z = look_b + np.bincount(doc, weights=value * look_v[column], minlength=len(y))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.bincount(column, weights=value * error[doc], minlength=len(v)) + penalty * len(y) * look_v
-        new_v, new_b = look_v - slope / bound, look_b - error.mean()
-        faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        look_v, look_b = new_v + (momentum - 1) / faster * (new_v - v), new_b + (momentum - 1) / faster * (new_b - b)
-        v, b, momentum = new_v, new_b, faster
+        if len(held) == BLOCK_ROWS:
+            block()
+            begin = len(y)
+    block()
+    v, b = regression(blocks, np.array(y, dtype=np.float64), scale, rounds, penalty)
     weight = np.zeros(BINS, dtype=np.float32)
     weight[chosen] = v * scale
     return weight, float(b)
