@@ -114,11 +114,13 @@ def test_exact_dedup(docs, empty, bucket_bytes):
 
 
 def test_directory_doubles():
-    d = exact_dedup.Directory({0: 10, 1: 10, 1 << 19: 10}, 15)
+    sizes = np.zeros(1 << 20, np.int64)
+    sizes[[0, 1, 1 << 19]] = 10
+    d = exact_dedup.Directory(sizes, 15)
     assert d.depth == 20 and len(d.slots) == 1 << 20  # two neighbours part at the last bit
     h = np.array([0, 1 << 44, -(1 << 63)], dtype=np.int64)
     assert len(set(d.find(h).tolist())) == 3
-    assert exact_dedup.Directory({}, 1).find(h).tolist() == [0, 0, 0]
+    assert exact_dedup.Directory(np.zeros(1 << 20), 1).find(h).tolist() == [0, 0, 0]
 
 
 BENCH = [(1, "alpha beta"), (2, sentence(3)), (2, sentence(3)), (None, "Kappa, LAMBDA"), (3, None), (4, "..."), (5, sentence(1, 120)), (6, "one two three")]
@@ -283,10 +285,12 @@ def test_license_scan(spark, docs, empty):
     rows = [(1, sentence(1) + " " + mit.upper() + " " + sentence(2)), (2, sentence(3) + "\n" + apache), (3, " ".join(w[:20] + ["oops"] + w[21:])), (4, " ".join(w[: len(w) // 2])), (5, None), (6, ""), (2, sentence(3) + "\n" + apache), (None, apache), (7, "Licensed under the")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
     found = collections.Counter((r.doc_id, r.license) for r in got.collect())
-    assert found == {(1, "mit"): 1, (2, "apache-2.0-line"): 4, (3, "mit"): 1, (None, "apache-2.0-line"): 1} or found == {(1, "mit"): 1, (2, "apache-2.0-line"): 2, (3, "mit"): 1, (None, "apache-2.0-line"): 1}
+    assert found == {(1, "mit"): 1, (2, "apache-2.0-line"): 2, (3, "mit"): 1, (None, "apache-2.0-line"): 1}
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan_licenses(docs, {"big": "x" * (licenses.TEMPLATE_BYTES + 1)})
+    in_passes = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), pass_bytes=100)
+    assert collections.Counter((r.doc_id, r.license) for r in in_passes.collect()) == found
+    assert [len(p) for p, _ in licenses.passes({"a": "x" * 60, "b": "y" * 50, "c": "z" * 200}, 120)] == [2, 1] and not licenses.passes({"c": "z" * 200}, 120)[0][1]
+    assert licenses.scan_licenses(docs, {}).count() == 0
 
 
 def test_license_scan_equals_sql(spark):
