@@ -373,6 +373,149 @@ def test_classifiers(spark, empty, kind):
     assert one[column].nunique() == 1
 
 
+def test_naive_bayes_ratios_and_regression():
+    """Against counts and a plain gradient descent, feature by feature."""
+    rng = np.random.default_rng(11)
+    have = rng.random((60, 9)) < np.linspace(0.1, 0.9, 9)
+    y = (have[:, 2] ^ (rng.random(60) < 0.2)).astype(float)
+    total = np.bincount(y.astype(int), minlength=2)
+    counts = np.stack([have[y == k].sum(axis=0) for k in (0, 1)])
+    ratio = toxicity.log_count_ratios(counts, total)
+    worth = toxicity.likelihood_ratios(counts.astype(float), total)
+    for f in range(9):
+        in_one, in_other = sum(have[i, f] for i in range(60) if y[i]), sum(have[i, f] for i in range(60) if not y[i])
+        assert abs(ratio[f] - np.log(((in_one + 1) / (total[1] + 2)) / ((in_other + 1) / (total[0] + 2)))) < 1e-12
+        g = 0.0
+        for k in (0, 1):
+            for on in (True, False):
+                seen = sum(1 for i in range(60) if y[i] == k and have[i, f] == on)
+                expected = total[k] * sum(1 for i in range(60) if have[i, f] == on) / 60
+                g += 2 * seen * np.log(seen / expected) if seen else 0.0
+        assert abs(worth[f] - g) < 1e-9
+    entries = [np.flatnonzero(h) for h in have]
+    blocks = [(np.repeat(np.arange(i, min(i + 7, 60)), [len(e) for e in entries[i : i + 7]]), np.concatenate(entries[i : i + 7])) for i in range(0, 60, 7)]
+    v, b = toxicity.regression(blocks, y, ratio, 4000, 1e-2)
+    x = have * ratio
+    slope = x.T @ (1 / (1 + np.exp(-(x @ v + b))) - y) + 1e-2 * 60 * v
+    assert np.abs(slope).max() < 1e-5 and abs((1 / (1 + np.exp(-(x @ v + b))) - y).mean()) < 1e-6  # the gradient of the loss is 0 there
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 12, (300, 3)).astype(float), (rng.random(300) < 0.4).astype(float)
+    y[x[:, 1] > 6] = 1
+    model = quality.fit(x, y)
+    base = np.log((y.sum() + 0.5) / (300 - y.sum() + 0.5))
+    p = 1 / (1 + np.exp(-base))
+    g, h = p - y, np.full(300, p * (1 - p) + 1e-6)
+    best = max(
+        (gl := g[left].sum()) ** 2 / (h[left].sum() + 1) + (g.sum() - gl) ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+        for f in range(3)
+        for t in np.unique(x[:, f])
+        if min((left := x[:, f] <= t).sum(), (~left).sum()) >= quality.LEAF
+    )
+    left = x[:, model["feature"][0, 0]] <= model["threshold"][0, 0]
+    gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+    assert abs(gain - best) < 1e-9 and model["feature"][0, 0] == 1
+
+
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_classifiers_with_repeats_nulls_and_clashing_columns(spark, kind):
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled_docs(spark)
+    few = toxicity.labelled(docs, labels, kind, 50)
+    assert few.count() == 50
+    many = docs.union(docs).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    assert toxicity.labelled(many, labels, kind, 50).count() == 50  # repeated ids add no rows
+    wide = many.withColumns({n: F.lit("own") for n in ("y", "id", "x", "toxic", "quality")})
+    run, column = (toxicity.toxicity, "toxicity") if kind == "toxic" else (quality.quality, "quality_score")
+    got = run(wide, labels, train_rows=300)
+    assert got.count() == 2 * 703 + 3 and {tuple(r) for r in got.select("y", "id", "x", "toxic", "quality").distinct().collect()} == {("own",) * 5}
+    assert got.where("doc_id IS NULL AND toxicity IS NULL" if kind == "toxic" else "doc_id IS NULL AND quality_score IS NULL").count() == 0
+    by_text = got.groupBy("text").agg(F.count_distinct(column).alias("n")).where("n > 1")
+    assert by_text.count() == 0
+
+
+def test_largest_and_smallest_ids(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, "x" * 60), (low, "x" * 60), (None, "X" * 60), (top, "lone text"), (None, None), (low, "lone text more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()}
+    assert got == {(top, top, 3, True), (low, top, 3, False), (None, top, 3, False), (top, top, 1, True), (None, None, 1, True), (low, low, 1, True)}
+    joined = {(r.doc_id, r.component_id) for r in ngram_join.ngram_join(d).collect()}
+    assert joined == {(top, low), (low, low), (None, low), (top, top), (None, None)}
+    cut = {(r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(d).collect()}
+    assert (top, 60) in cut and (low, 0) in cut and (None, 0) in cut
+
+
+def test_hot_anchors_are_spread_and_lose_nothing(spark, monkeypatch):
+    """One 24-byte string in very many contexts, some of which repeat."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    rng = np.random.default_rng(13)
+    anchor = "the same words in all of "
+    rows = [(i, "".join(chr(97 + c) for c in rng.integers(0, 2, 30)) + anchor + "".join(chr(97 + c) for c in rng.integers(0, 2, 30))) for i in range(40)]
+    rows += [(100 + i, t[5:] + "tail") for i, t in rows[:10]]
+    at, keys = suffix_dedup.anchors(rows[0][1].encode())
+    context = suffix_dedup.contexts(rows[0][1].encode(), at)
+    wide = suffix_dedup.spread(context, keys, at, np.ones(len(at), bool))
+    assert len(wide[0]) == 2 * len(at) and len(set(wide[1].tolist())) == 2 * len(at)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert bag(tuple(r) for r in suffix_dedup.suffix_dedup(d).drop("spans").collect()) == bag(brute_suffix(rows))
+
+
+def test_labels_of_a_block_are_cells_of_their_own(spark):
+    """A group of near copies beside texts that share its words and do not link: every pair of labels meets, no pair within one does."""
+    words = sentence(21, 80).split()
+    rows = [(i, " ".join(words[:40] + [f"n{i}"] + words[40:])) for i in range(12)]
+    rows += [(50 + i, " ".join(words[: 55 + i] + sentence(60 + i, 25).split())) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile in (1000, 4, 1):
+        assert bag(tuple(r) for r in ngram_join.ngram_join(d, tile=tile).collect()) == bag(brute_components(rows))
+    texts = spark.createDataFrame([(1, 7 if i < 10 else 100 + i, i, b"", 50, 10) for i in range(14)], "root long, label long, node long, text binary, n long, size long")
+    met = ngram_join.tiled(texts, 4, 1 << 20).collect()
+    sides = [(a, b) for a in met for b in met if (a.low, a.high) == (b.low, b.high) and a.node < b.node and (a.cell != b.cell or a.low == a.high)]
+    assert {(a.node, b.node) for a, b in sides if a.label != b.label} == {(i, j) for i in range(14) for j in range(i + 1, 14) if j >= 10}
+    assert not [1 for a, b in sides if a.label == b.label]
+
+
+CLASSES = "comments-area comment-list sidebar-left ad-slot ad-container cookie-bar related-posts share-buttons footer-links nav-item newsletter-box promo-box notice-bar".split()
+
+
+def test_html_names_and_siblings(spark):
+    long = "A sentence of the article, with commas, and some more words. " * 4
+    for name in CLASSES:
+        for page in ('<body><div class=post><h1>T</h1><p>{0}</p><div class="{1}"><p>Junk, junk.</p></div></div>', '<body><article><p>{0}</p><div id="{1}"><p>Junk, junk.</p></div></article>', '<body><div><p>{0}</p></div><div class="{1}"><p>Junk, junk.</p></div>'):
+            text = html_text.main_text(page.format(long, name))
+            assert "Junk" not in text and long.strip() in text, name
+    assert html_text.main_text(f'<body class="has-sidebar comments-open"><div class=post><p>{long}</p></div>') == long.strip()
+    board = html_text.main_text(f'<div class="notice-board"><h2>Board</h2><p>{long}</p><p>{long}</p></div><div class=notice><p>Closed today.</p></div>')
+    assert board.startswith("Board\n") and "Closed" not in board
+    assert html_text.main_text(f"<div class=post><p>Short, yes.</p></div><div id=comments><p>{long}</p></div>") == "Short, yes."
+    assert html_text.main_text(f"<div class=post><p>{long}</p></div><div><span>Short closing para of the article.</span></div>").endswith("\nShort closing para of the article.")
+    assert html_text.main_text(f"<article><p>{long}</p></article><h2>Related posts</h2><p>Copyright 2020 Somebody</p>") == long.strip()
+    d = spark.createDataFrame([(1, "u", f"<p>{long}", "own", "mine")], "page_id long, url string, html string, text string, n_chars string")
+    row = html_text.extract(d).first()
+    assert row.text == long.strip() and row.n_chars == "mine"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350000, "<div>" * 100000 + "<p>x", '<a "' * 200001 + ">", "<i>" * 100000 + "</b>" * 100000, "<b>" * 60000 + "<hr>" * 60000, "<p " + "a" * 1000000 + ">x", "<" * 500000, "<!--" * 200000, "<script>" * 100000, "<div class=sidebar>" * 50000], ids=range(10))
+def test_html_is_linear(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8
+
+
+def test_line_dedup_of_large_hosts(spark, tmp_path):
+    rows = [(i, f"https://h{i % 2 if i % 5 else 0}.example.com/{i}", f"<p>Menu {i % 2 if i % 5 else 0}<p>Body {i}<p>Foot", "own") for i in range(60)] + [(60, None, None, "own")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    d.drop("host").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for bytes_, pages in ((1 << 20, 10_000), (0, 10), (0, 1000)):
+        same(line_dedup.line_dedup(d, list_bytes=bytes_, share_pages=pages), line_dedup.ORACLE, str(tmp_path))
+
+
 def test_trees_flattened_walk_equals_recursion():
     rng = np.random.default_rng(4)
     x = rng.random((500, 6))

@@ -32,6 +32,27 @@ def test_stages_are_named_and_whole(spark, folder):
         assert step(spark, docs.limit(0), folder).count() == 0
 
 
+def test_toxicity_stage(spark):
+    """What the operator scores as toxic goes, all else stays, row by row."""
+    from markerflow.llm import toxicity
+    from markerflow.llm.common import table
+
+    docs = table(spark, SMALL, "documents")
+    scored = toxicity.toxicity(docs, table(spark, SMALL, "labels")).collect()
+    want = sorted(r.doc_id for r in scored if r.toxicity < toxicity.TOXIC)
+    kept = stage("toxicity")(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == docs.columns
+
+
+def test_mixing_stage(spark, folder):
+    from markerflow.llm import mixing
+
+    from ..compare import same
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    same(stage("mixing sources")(spark, docs, folder), mixing.ORACLE, folder)
+
+
 def test_exact_stage(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [(r.doc_id, (r.text or "").encode().lower()) for r in stage("exact dedup")(spark, docs, folder).collect()]
