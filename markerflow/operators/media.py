@@ -40,11 +40,18 @@ def devices(adverts: DataFrame) -> DataFrame:
 
 
 def batch_status(batches: DataFrame) -> DataFrame:
-    """Per side the batches by status and the rows of all of them, whatever their status."""
+    """Per side the batches by status and the rows of all of them, whatever their status. A side's lists are one row; batch_states
+    gives the same as rows, for runs whose batches don't fit one."""
     named = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("batch")))).alias(s)
     return batches.groupBy("side").agg(named("ok"), named("stopped"), named("failed"), F.sum("rows").alias("rows"))
 
 
+def batch_states(batches: DataFrame) -> DataFrame:
+    """What batch_status lists, a row for each batch of a side and status: how often it occurs, and its rows. Other statuses and null
+    batches, whose rows batch_status counts but which it does not list, are rows too."""
+    return batches.groupBy("side", "status", "batch").agg(F.count("*").alias("times"), F.sum("rows").alias("rows"))
+
+
 def complete(batches: DataFrame, fingerprint) -> DataFrame:
     ok = (F.col("status") == "ok") & (F.col("fingerprint") == fingerprint) & (F.col("rows") >= F.col("frames") * F.size("object_ids"))
     return batches.withColumn("complete", F.coalesce(ok, F.lit(False)))

@@ -809,14 +809,22 @@ def a20_batch_completeness(spark, d):
     return c.groupBy("status").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.count_if("complete").alias("complete"))
 
 
+def _batches(spark, d):
+    status = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "A", "stopped").otherwise("failed")
+    return fx.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), status.alias("status"), F.col("l_orderkey").alias("batch"), F.col("l_quantity").cast("long").alias("rows"))
+
+
 @query("SELECT l_linestatus AS side, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'N') AS ok, list(l_orderkey ORDER BY l_orderkey) FILTER (l_returnflag = 'A') AS stopped, CAST(sum(l_quantity) AS BIGINT) AS rows FROM lineitem GROUP BY 1")
 def a19_batch_status(spark, d):
-    st = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "A", "stopped").otherwise("failed")
-    b = fx.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("side"), st.alias("status"), F.col("l_orderkey").alias("batch"), F.col("l_quantity").cast("long").alias("rows"))
-    s = media.batch_status(b)
+    s = media.batch_status(_batches(spark, d))
     return s.select("side", F.when(F.size("ok") > 0, F.col("ok")).alias("ok"), F.when(F.size("stopped") > 0, F.col("stopped")).alias("stopped"), "rows")
 
 
+@query("SELECT l_linestatus AS side, CASE l_returnflag WHEN 'N' THEN 'ok' WHEN 'A' THEN 'stopped' ELSE 'failed' END AS status, l_orderkey AS batch, count(*) AS times, CAST(sum(l_quantity) AS BIGINT) AS rows FROM lineitem GROUP BY 1, 2, 3")
+def a19_batch_states(spark, d):
+    return media.batch_states(_batches(spark, d))
+
+
 @query("SELECT l_suppkey AS cache, count(DISTINCT l_orderkey) AS present, min(l_orderkey) AS first, max(l_orderkey) AS last, count(DISTINCT l_orderkey) >= 500 AS complete FROM lineitem GROUP BY l_suppkey")
 def a21_cache_status(spark, d):
     return media.cache_status(fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cache"), F.col("l_orderkey").alias("frame")), "cache", 500)

@@ -568,3 +568,16 @@ def test_stream_match(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.gframe, r.uL, r.uR) for r in spark.table("pairs").collect()) == [(g, g - 1.0, float(g)) for g in range(1, 5)]
+
+
+def test_batch_states_give_the_lists_of_batch_status(spark):
+    rows = [("L", "ok", 2, 10), ("L", "ok", 1, 5), ("L", "ok", 2, 1), ("L", "failed", 3, 7), ("L", "ok", None, 4), ("R", "other", 9, 2), ("R", None, 9, 3)]
+    batches = spark.createDataFrame(rows, "side string, status string, batch int, rows long")
+    states = media.batch_states(batches).collect()
+    assert {tuple(r) for r in states} == {("L", "ok", 1, 1, 5), ("L", "ok", 2, 2, 11), ("L", "failed", 3, 1, 7), ("L", "ok", None, 1, 4), ("R", "other", 9, 1, 2), ("R", None, 9, 1, 3)}
+    for side in media.batch_status(batches).collect():
+        mine = [r for r in states if r.side == side.side]
+        assert side.rows == sum(r["rows"] for r in mine)
+        for status in ("ok", "stopped", "failed"):
+            assert side[status] == sorted(b for r in mine if r.status == status and r.batch is not None for b in [r.batch] * r.times)
+    assert media.batch_states(batches.limit(0)).count() == 0
