@@ -6,10 +6,11 @@ follow each other. Exactly one token can end each prefix, so a node of the trie
 
 Distinct words of a task go into the trie in order, and a node that is new gets its token from the nodes above it, depth first; what two
 words begin with alike is looked at once. Words after that are numbers, whose token ids are gathered from one array. A trie of
-TRIE_NODES nodes is given up for a new one, so memory is bounded; a word over LONG_WORD bytes is walked without being stored.
+TRIE_NODES nodes is given up for a new one, as are the numbers of WORDS_KEPT words, so memory is bounded; a word over LONG_WORD bytes is walked without being stored.
 
 The vocabulary is a file of the tokenizers library (byte-level BPE, added tokens that strip nothing), read on the driver and
-broadcast: it does not grow with the data. Texts are encoded whole, task by task, without a shuffle.
+broadcast: it does not grow with the data. Texts are encoded whole, task by task, without a shuffle; round_trip does both ways in one
+pass of Python, so that a task has one worker and no ids travel.
 
 Defined cases: null or empty text has no ids; null ids decode to the empty text; ids that no token has are left out in decoding, bytes that
 are no UTF-8 become U+FFFD; added tokens in a text are taken as such, as the library does; a column of the result's name
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes of a trie before it is given up, bytes of a word that is not stored, characters of texts encoded together.
-TRIE_NODES, LONG_WORD, GROUP_CHARS = 1 << 20, 256, 4 << 20
+#: Nodes of a trie before it is given up, words whose ids are kept (and ids in all, four a word), bytes of a word that is not stored, characters
+#: of texts encoded together.
+TRIE_NODES, WORDS_KEPT, LONG_WORD, GROUP_CHARS = 1 << 18, 1 << 20, 256, 4 << 20
 # Letters and numbers of Unicode 17 (code points, ranges in hexadecimal), which the tokenizers library, at Unicode 16, does not
 # know as such; and how its byte-level pre-tokenizer cuts a text. White space is what Unicode calls so.
 NOT_YET = """
@@ -98,13 +100,16 @@ class Encoder:
         for t in self.ids:
             if len(t) > 2:
                 self.longest[t[-3:]] = max(self.longest.get(t[-3:], 3), len(t))
-        self.renew()
+        self.forget_trie()
+        self.forget_words()
 
-    def renew(self) -> None:
+    def forget_trie(self) -> None:
         self.child: dict[int, int] = {}
         self.last: list[int] = [-1]  # the token that ends at each node
         self.follows: dict[tuple[int, int], bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
+
+    def forget_words(self) -> None:
         self.number = _Numbers()
         self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -212,8 +217,10 @@ class Encoder:
         return out + self.words.findall(text[at:])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.last) > TRIE_NODES or len(self.flat) > 4 * TRIE_NODES:
-            self.renew()
+        if len(self.last) > TRIE_NODES:
+            self.forget_trie()
+        if len(self.number) > WORDS_KEPT or len(self.flat) > 4 * WORDS_KEPT:
+            self.forget_words()
         rows = []
         for text in texts:
             words = self._words(text)
@@ -266,30 +273,44 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", column: str = "i
     return docs.withColumn(column, ids(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
+class Decoder:
+    def __init__(self, vocabulary: dict) -> None:
+        self.tokens = list(vocabulary["tokens"])
+        for i, text in vocabulary["added"].items():
+            self.tokens += [b""] * (i + 1 - len(self.tokens))
+            self.tokens[i] = text.encode()
+
+    def text(self, ids: np.ndarray | None) -> str:
+        if ids is None or not len(ids):
+            return ""
+        known = ids if ids.min() >= 0 and ids.max() < len(self.tokens) else ids[(ids >= 0) & (ids < len(self.tokens))]
+        return b"".join(map(self.tokens.__getitem__, known.tolist())).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", column: str = "text") -> DataFrame:
     """encoded with a column (one of that name is replaced) of the text that each array of ids stands for."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = shared.value
-        token = dict(enumerate(vocabulary["tokens"])) | {i: t.encode() for i, t in vocabulary["added"].items()}
+        decoder = Decoder(shared.value)
         for batch in batches:
-            yield pd.Series([b"".join([token.get(i, b"") for i in row.tolist()]).decode("utf-8", "replace") if row is not None else "" for row in batch], dtype=object)
+            yield pd.Series([decoder.text(row) for row in batch], dtype=object)
 
     return encoded.withColumn(column, text(F.col(ids)))
 
 
-def ids_sha256(ids: Column) -> Column:
-    """Lowercase hex of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.pandas_udf("string")
-    def digests(batch: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(i if i is not None else [], dtype="<u4").tobytes()).hexdigest() for i in batch], dtype=object)
-
-    return digests(ids)
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", column: str = "tokens") -> DataFrame:
+    """docs with a struct column (one of that name is replaced) of what encoding each whole text and decoding its ids again give: n_tokens, ids_sha256 (of the ids
+    as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded text in UTF-8), both in lowercase hex."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
+    digest = lambda data: hashlib.sha256(data).hexdigest()
 
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = _encoder(shared.value), Decoder(shared.value)
+        for batch in batches:
+            rows = [(len(i), digest(i.astype("<u4").tobytes()), digest(decoder.text(i).encode())) for group in _groups(batch) for i in encoder.encode(group)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """The contract's columns of doc_id, ids and the decoded text."""
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return docs.withColumn(column, digests(F.coalesce(F.col(text).cast("string"), F.lit(""))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, ngram_join, suffix_dedup
+from . import bpe, collocations, decontaminate, exact_dedup, hard_negatives, html_text, licenses, line_dedup, mixing, ngram_join, suffix_dedup
 from . import quality as quality_trees
 from . import toxicity as toxic_ngrams
 from .common import table
@@ -56,6 +56,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -65,8 +69,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
-    return bpe.digest(bpe.decode(encoded, tokenizer, column="decoded"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer).select("doc_id", "tokens.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
@@ -90,5 +94,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_collocations": collocations.ORACLE,
 }
