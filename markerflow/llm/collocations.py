@@ -6,7 +6,8 @@
 2. Which n-grams reach LEAST over all shards is found from hashes: sorted runs of 48-bit keys, front-coded, are exchanged by key range and
    their counts summed and sent back. Words and pairs go first; then only those of three and four words whose pairs all reach it. A hash that two
    n-grams share can only keep one more.
-3. The kept n-grams leave the shards as phrases with counts, which are merged by (lang, phrase): exact from here on.
+3. The kept n-grams leave the shards as phrases with counts, in a packed run for each part of the phrases' hashes, and are merged by
+   (lang, phrase): exact from here on.
 4. Each cut of a candidate looks up its two parts by joins; containment is a join with the sub-phrases of longer candidates. A lang's
    first rows are found by a histogram of its scores, then by ranks inside LANES lanes, then among the lanes' first rows, so a lang with
    most phrases is not one task.
@@ -19,6 +20,7 @@ a text of any length is read in chunks that end at a cut between pieces; other c
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from .batches import BATCH_BITS, MANY, TASK_BITS, _counts, flags_of, front, give
 from .common import as_bytes, partitions, stage, unstage
 
 #: Longest phrase; occurrences of a candidate; words of a shard; bytes of a text numbered at once; rows of a lang.
-LONGEST, LEAST, SHARD_WORDS, CHUNK_BYTES, TOP = 4, 30, 1 << 21, 8 << 20, 2000
+LONGEST, LEAST, SHARD_WORDS, CHUNK_BYTES, TOP = 4, 30, 3 << 19, 8 << 20, 2000
 #: Lanes that a lang's rows are ranked in before the last ranking; scores are at most SCALE / 2, in bins of BIN.
 LANES, SCALE, BIN = 64, 2_000_000, 1000
 # What ends a piece, and what is between its words.
@@ -193,23 +195,50 @@ class Grams:
         start[: len(self.text)][start[: len(self.text)]] = pairs[self.member[2][self.member[2] >= 0]]
         return {k: np.logical_and.reduce([start[self.at[k] + j] for j in range(k - 1)]) for k in range(3, LONGEST + 1)}
 
-    def phrases(self, some: dict[int, np.ndarray]) -> pd.DataFrame:
-        """(lang, phrase, words, n) of those n-grams, and a row without a phrase that counts each lang's words."""
+    def phrases(self, some: dict[int, np.ndarray]) -> Iterator[tuple[str, int]]:
+        """(lang, number of words and phrase in one, n) of those n-grams, and one of no words that counts each lang's words."""
         edges = np.cumsum([0] + [n for _, n in self.langs])
         names = np.array([lang for lang, _ in self.langs], dtype=object)
         word = [b"", *(w.replace(b"\xfe", b"\0").decode("utf-8", "replace") for w in self.words)]
-        out = []
         for k, kept in some.items():
             at = self.at[k][kept]
-            lang = names[np.searchsorted(edges, self.text[at] - 1, side="right") - 1]
-            texts = [" ".join([word[i] for i in row]) for row in self.text[at[:, None] + np.arange(k)].tolist()]
-            out.append(pd.DataFrame({"lang": lang, "phrase": texts, "words": k, "n": self.times[k][kept]}))
+            lang = np.searchsorted(edges, self.text[at] - 1, side="right") - 1
+            for a, row, n in zip(lang.tolist(), self.text[at[:, None] + np.arange(k)].tolist(), self.times[k][kept].tolist()):
+                yield f"{names[a]}\n{k}{' '.join([word[i] for i in row])}", n
         every = np.bincount(np.searchsorted(edges, self.text[self.text > 0] - 1, side="right") - 1, minlength=len(names))
-        out.append(pd.DataFrame({"lang": names, "phrase": None, "words": 0, "n": every}))
-        return pd.concat(out)
+        yield from ((f"{lang}\n0", n) for lang, n in zip(names, every.tolist()))
+
+
+def _pack(rows: list[tuple[bytes, int]], packer: zstandard.ZstdCompressor) -> bytes:
+    size = np.array([len(p) for p, _ in rows], np.int32)
+    return packer.compress(b"".join((np.int64(len(rows)).tobytes(), size.tobytes(), np.array([n for _, n in rows], np.int64).tobytes(), *(p for p, _ in rows))))
 
 
-_SHARD = ("batch", "langs", "words", "packed")
+def _unpack(run: bytes) -> Iterator[tuple[bytes, int]]:
+    raw = zstandard.ZstdDecompressor().decompress(bytes(run))
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8 + 12 * n
+    for size, count in zip(np.frombuffer(raw, np.int32, n, 8).tolist(), np.frombuffer(raw, np.int64, n, 8 + 4 * n).tolist()):
+        yield raw[at : at + size], count
+        at += size
+
+
+def _merge(least: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums the counts of one part of the phrases, of which each shard sends one run, and keeps those that reach least. A phrase is once in a run, so
+        no part is larger for a phrase that is everywhere."""
+        total: dict[bytes, int] = collections.defaultdict(int)
+        for r in pdf["run"]:
+            for phrase, n in _unpack(r):
+                total[phrase] += n
+        out = []
+        for phrase, n in total.items():
+            lang, rest = phrase.decode("utf-8", "surrogatepass").rsplit("\n", 1)  # no word has a line's end
+            if n >= least or rest == "0":
+                out.append((lang, rest[1:] if rest != "0" else None, int(rest[0]), n))
+        return pd.DataFrame(out, columns=["lang", "phrase", "words", "n"])
+
+    return run
 
 
 def _counted(shards: DataFrame, keys_of) -> DataFrame:
@@ -248,20 +277,28 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
         grams = Grams(row)
         return grams.keys(long, grams.longer(grams.reaching(short, row["flags"], least)[2]))[:2]
 
+    parts = 2 * partitions(docs.sparkSession)
+
     def kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=1)
         for pdf in frames:
             for _, row in pdf.iterrows():
                 grams = Grams(row)
                 some = grams.reaching(short, row["flags"], least)
-                yield grams.phrases(some | grams.reaching(long, row["more"], least, grams.longer(some[2])))
-                del grams, some
+                some |= grams.reaching(long, row["more"], least, grams.longer(some[2]))
+                runs: dict[int, list] = collections.defaultdict(list)
+                for phrase, n in grams.phrases(some):
+                    data = phrase.encode("utf-8", "surrogatepass")
+                    runs[xxhash.xxh3_64_intdigest(data) % parts].append((data, n))
+                yield pd.DataFrame([(p, _pack(r, packer)) for p, r in runs.items()], columns=["part", "run"])
+                del grams, some, runs
                 give_back()
 
     flags = stage(_counted(shards, first_keys), "phrases-short", "snappy")
     known = shards.join(flags, "batch")
     more = _counted(known, next_keys).withColumnRenamed("flags", "more")
-    found = known.join(more, "batch", "left").mapInPandas(kept, "lang string, phrase string, words int, n long")
-    out = stage(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
+    found = known.join(more, "batch", "left").mapInPandas(kept, "part int, run binary")
+    out = stage(found.groupBy("part").applyInPandas(_merge(least), "lang string, phrase string, words int, n long"), "phrases")
     unstage(shards)
     unstage(flags)
     return out
