@@ -9,7 +9,8 @@ all of them fit in LIST_BYTES they are broadcast and no page is moved; else page
 share of the pages over as many keys as it has shares.
 
 Defined cases: null html has no lines and an empty text; null url or one without a host belongs to host ''; a line repeated in
-a page counts once there; repeated page rows count as pages; other columns are ignored.
+a page counts once there; repeated page rows count as pages; a comment, script or style that never closes goes on to the end of the page, and a <
+after the last > is text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +26,37 @@ RATIO, LEAST = 0.3, 3
 #: dealt over several keys, and there are at most SHARES such hosts.
 LIST_BYTES, SHARES, SHARE_PAGES = 16 << 20, 10_000, 10_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-#: Each pattern is applied in turn: what has no text, block tags (a new line), other tags, white space within a line.
-STRIP = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>", "\n"),
-    (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-    (r"[ \t\r]+", " "),
-)
+# What has no text: from an opening to its end, and what stands in its place.
+COMMENT, COMMENT_END = "<!--", "-->"
+RAW, RAW_END = r"(?i)<(?:script|style)\b", r"(?is)^.*?</(?:script|style)[ \t\n\f\r]*>"
+#: Then each pattern in turn: block tags (a new line), other tags, white space within a line.
+BLOCKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+TAGS, SPACES = r"<[^>]*>", r"[ \t\r]+"
+
+
+def _with(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _tags(text: Column, pattern: str, by: str) -> Column:
+    """Replaces tags up to the last >, as none can end after it and each < there would look for its end in vain."""
+
+    def replace(t: Column) -> Column:
+        rest = F.substring_index(t, ">", -1)
+        return F.concat(F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(rest)), pattern, by), rest)
+
+    return _with(text, replace)
 
 
 def lines_of(html: Column) -> Column:
-    text = F.coalesce(html, F.lit(""))
-    for pattern, by in STRIP:
-        text = F.regexp_replace(text, pattern, by)
+    """The page's lines. A page is cut at all openings of comments, then at those of scripts and styles, and each piece is looked through
+    once for the end of its own, so the work is linear however many never close; what never closes goes on to the end of the page."""
+    at = F.instr
+    text = F.split(F.coalesce(html, F.lit("")), COMMENT)
+    text = F.array_join(F.transform(text, lambda x, i: F.when(i == 0, x).when(at(x, COMMENT_END) > 0, F.substring(x, at(x, COMMENT_END) + len(COMMENT_END), F.length(x))).otherwise("")), " ")
+    text = F.array_join(F.transform(F.split(text, RAW), lambda x, i: F.when(i == 0, x).when(F.rlike(x, F.lit(RAW_END)), F.regexp_replace(x, RAW_END, "")).otherwise("")), "\n")
+    text = F.regexp_replace(_tags(_tags(text, BLOCKS, "\n"), TAGS, ""), SPACES, " ")
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -78,12 +96,19 @@ def _sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-_CLEAN = "coalesce(html, '')"
-for _p, _by in STRIP:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_sql(_p)}', {'chr(10)' if _by == chr(10) else repr(_by)}, 'g')"
+def _sql_tags(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace(substring({text}, 1, length({text}) - length(string_split({text}, '>')[-1])), '{_sql(pattern)}', {by}, 'g') || string_split({text}, '>')[-1]"
+
+
 ORACLE = f"""
-WITH r AS (SELECT row_number() OVER () AS row, page_id, url, lower(regexp_extract(coalesce(url, ''), '{_sql(HOST)}', 1)) AS host,
-                  list_filter(list_transform(string_split({_CLEAN}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM pages),
+WITH t0 AS (SELECT row_number() OVER () AS row, page_id, url, lower(regexp_extract(coalesce(url, ''), '{_sql(HOST)}', 1)) AS host, coalesce(html, '') AS t FROM pages),
+t1 AS (SELECT row, page_id, url, host, array_to_string(list_transform(string_split(t, '{COMMENT}'),
+       lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, '{COMMENT_END}') THEN substring(x, position('{COMMENT_END}' IN x) + {len(COMMENT_END)}) ELSE '' END), ' ') AS t FROM t0),
+t2 AS (SELECT row, page_id, url, host, array_to_string(list_transform(regexp_split_to_array(t, '{_sql(RAW)}'),
+       lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '{_sql(RAW_END)}') THEN regexp_replace(x, '{_sql(RAW_END)}', '') ELSE '' END), chr(10)) AS t FROM t1),
+t3 AS (SELECT row, page_id, url, host, {_sql_tags("t", BLOCKS, "chr(10)")} AS t FROM t2),
+t4 AS (SELECT row, page_id, url, host, {_sql_tags("t", TAGS, "''")} AS t FROM t3),
+r AS (SELECT row, page_id, url, host, list_filter(list_transform(string_split(regexp_replace(t, '{SPACES}', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM t4),
 p AS (SELECT host, count(*) AS pages FROM r GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM r) GROUP BY host, line),
 b AS (SELECT host, list(line) AS boilerplate FROM c JOIN p USING (host) WHERE n >= {LEAST} AND n > {RATIO} * pages GROUP BY host),
