@@ -7,7 +7,9 @@ together, each step being one vectorised rank in each level (bits packed in word
 located by stepping back to sampled suffix positions, which alone are kept, and the spans they cover are merged per document.
 Nothing is shuffled, and a lost task is simply run again.
 
-The benchmark is read in passes of PASS_BYTES. One pass, as for all public benchmarks, is a column over the documents. Of several, each
+The benchmark is read in passes of PASS_BYTES. A pass becomes arrays on the driver (words, windows and owners as numbers, vocabulary and names as one
+string each), which are broadcast and which all workers read as they are: 16 MB of text take under 150 MB. A shard searches the windows
+whose words it has. One pass, as for all public benchmarks, is a column over the documents. Of several, each
 is broadcast alone, what it finds is staged by a digest of the text (a row for each different contaminated text), and the results of all
 are joined to the documents.
 
@@ -17,12 +19,15 @@ one item, a null item_id reads as the empty string; an empty benchmark hits noth
 
 from __future__ import annotations
 
+import array
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from .common import as_bytes, stage
 #: Words in a window; words after which a shard is indexed; bytes of benchmark text searched in one pass (a larger benchmark
 #: takes more passes, so what is broadcast is bounded).
 WINDOW, SHARD_WORDS, PASS_BYTES = 10, 1 << 21, 16 << 20
+#: Windows searched at a time, and words whose numbers a task remembers.
+SEARCHED, WORDS_KEPT = 1 << 18, 1 << 18
 #: Every so many positions of a run keep their place in the text.
 SAMPLE = 8
 
@@ -46,23 +53,101 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Strings:
+    """Many byte strings in one, in order; those of hashed ones are found by hash, then by their bytes."""
+
+    def __init__(self, strings: list[bytes], hashed: bool) -> None:
+        hashes = [xxhash.xxh3_64_intdigest(x) for x in strings] if hashed else []
+        if hashed:
+            order = sorted(range(len(strings)), key=hashes.__getitem__)
+            strings, hashes = [strings[i] for i in order], [hashes[i] for i in order]
+        self.hashes = array.array("Q", hashes)
+        self.ends = np.cumsum([0, *map(len, strings)], dtype=np.int64)
+        self.data = b"".join(strings)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.ends[i] : self.ends[i + 1]]
+
+    def find(self, string: bytes) -> int:
+        """Its place, -1 if it is not there."""
+        key = xxhash.xxh3_64_intdigest(string)
+        i = bisect.bisect_left(self.hashes, key)
+        while i < len(self.hashes) and self.hashes[i] == key:
+            if self[i] == string:
+                return i
+            i += 1
+        return -1
+
+
 class Phrases:
-    """Distinct windows of the benchmark items as rows of word numbers (1 up), padded at the left with -1."""
+    """Distinct windows of the benchmark items, in arrays: ids has the items' words as numbers (1 up), an item of fewer than WINDOW words with
+    zeros after it; a window is the WINDOW numbers from its start on. Which items have a window is a range of owner."""
 
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        numbers: dict[bytes, int] = {}
+        parts, sizes, names = [], [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + WINDOW]), set()).add(name)
-        windows = list(owners)
-        self.owners = [sorted(owners[w]) for w in windows]
-        self.lengths = np.array([len(w) for w in windows], dtype=np.int64)
-        self.rows = np.full((len(windows), WINDOW), -1, dtype=np.int64)
-        for i, w in enumerate(windows):
-            self.rows[i, WINDOW - len(w) :] = w
-        self.shortest = int(self.lengths.min()) if windows else 0
+            words = words_of(text)
+            if words:
+                parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)) + 1)
+                sizes.append(len(words))
+                names.append(name.encode("utf-8", "surrogatepass"))
+        self.vocabulary = Strings(list(numbers), True)
+        place = np.zeros(len(numbers) + 1, np.int32)
+        for i in range(len(self.vocabulary)):
+            place[numbers[self.vocabulary[i]] + 1] = i + 1
+        del numbers
+        self.names = Strings(sorted(set(names)), False)
+        known = {self.names[i]: i for i in range(len(self.names))}
+        size = np.array(sizes, dtype=np.int64)
+        room = np.maximum(size, WINDOW)
+        first = np.cumsum(room) - room
+        self.ids = np.zeros(int(room.sum()) + WINDOW, np.int32)
+        for at, part in zip(first.tolist(), parts):
+            self.ids[at : at + len(part)] = place[part]
+        count = np.maximum(size - WINDOW + 1, 1)
+        begin = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        owner = np.repeat(np.array([known[n] for n in names], dtype=np.int64), count)
+        rank, _ = _ranked(self.ids, WINDOW)
+        _, at, which = np.unique(rank[begin], return_index=True, return_inverse=True)
+        self.start = begin[at].astype(np.int32)
+        self.lengths = np.zeros(len(at), np.int64)
+        for c in range(WINDOW):
+            self.lengths += self.ids[self.start + c] > 0
+        pairs = np.unique(which * max(1, len(self.names)) + owner)
+        self.owner = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.owned = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(at) + 1)).astype(np.int32)
+        self.shortest = int(self.lengths.min()) if len(at) else 0
+
+    def number(self, word: bytes) -> int:
+        """A word's number, 0 if no phrase has it."""
+        return self.vocabulary.find(word) + 1
+
+    def made_of(self, some: np.ndarray) -> np.ndarray:
+        """The windows all of whose words are in some (true for numbers)."""
+        good = some[self.ids] | (self.ids == 0)
+        keep = np.arange(len(self.start))
+        for c in range(WINDOW):
+            keep = keep[good[self.start[keep] + c]]
+        return keep
+
+
+def _ranked(ids: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """A number for each place, equal for places from which on width numbers are equal, by doubling; what is after the end counts as 0."""
+    if width == 1:
+        return ids.astype(np.int64), 1
+    half, step = _ranked(ids, width // 2)
+    both, step = _joined(half, half, step), 2 * step
+    return (_joined(both, ids.astype(np.int64), step), width) if width % 2 else (both, step)
+
+
+def _joined(head: np.ndarray, tail: np.ndarray, step: int) -> np.ndarray:
+    after = np.zeros(len(head), np.int64)
+    after[:-step] = tail[step:]
+    return np.unique(head * (int(tail.max()) + 1) + after, return_inverse=True)[1]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -150,14 +235,14 @@ class FMIndex:
         self.kept = Bits(kept)
         self.place = order[kept].astype(np.int32)
 
-    def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that start with each row of symbols (-1: nothing there)."""
-        low = np.zeros(len(rows), dtype=np.int64)
-        high = np.full(len(rows), self.n, dtype=np.int64)
+    def find(self, ids: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that start with the width symbols of ids from each start on (0: nothing there)."""
+        low = np.zeros(len(start), dtype=np.int64)
+        high = np.full(len(start), self.n, dtype=np.int64)
         top = len(self.first) - 2
-        for column in range(rows.shape[1] - 1, -1, -1):
-            symbol = rows[:, column]
-            on = np.flatnonzero((symbol >= 0) & (low < high))
+        for column in range(width - 1, -1, -1):
+            symbol = ids[start + column].astype(np.int64)
+            on = np.flatnonzero((symbol > 0) & (low < high))
             known = np.minimum(symbol[on], top)
             below = self.first[known]
             new_low, new_high = below + self.tree.rank(known, low[on]), below + self.tree.rank(known, high[on])
@@ -183,18 +268,28 @@ def search(shard: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.nd
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts >= phrases.shortest
     starts, ends = starts[long], ends[long]
-    if not len(starts) or not len(phrases.rows):
+    if not len(starts) or not len(phrases.start):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sizes = ends - starts + 1
     origin = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     text = words[origin]  # each run and the 0 after it
     text, origin = np.append(0, text), np.append(-1, origin)
+    here = np.zeros(len(phrases.vocabulary) + 1, dtype=bool)
+    here[text] = True
+    able = phrases.made_of(here)
+    if not len(able):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     index = FMIndex(text)
-    low, high = index.find(phrases.rows)
-    found = np.flatnonzero(high > low)
-    many = (high - low)[found]
-    rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(many.sum())
-    return origin[index.locate(rows)], np.repeat(found, many)
+    places, windows = [], []
+    for at in range(0, len(able), SEARCHED):
+        some = able[at : at + SEARCHED]
+        low, high = index.find(phrases.ids, phrases.start[some], WINDOW)
+        found = np.flatnonzero(high > low)
+        many = (high - low)[found]
+        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(many.sum())
+        places.append(origin[index.locate(rows)])
+        windows.append(np.repeat(some[found], many))
+    return np.concatenate(places), np.concatenate(windows)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,31 +316,40 @@ def _shard(texts: list[bytes], shard: list[np.ndarray], phrases: Phrases) -> lis
     for d, p, w in zip(doc.tolist(), (position - begin[doc]).tolist(), window.tolist()):
         spans, items = by.setdefault(d, ([], set()))
         spans.append((p, p + int(phrases.lengths[w])))
-        items.update(phrases.owners[w])
+        items.update(phrases.owner[phrases.owned[w] : phrases.owned[w + 1]].tolist())
     out = []
     for d, ids in enumerate(shard):
         spans, items = by.get(d, ((), ()))
         merged = _merge(list(spans))
-        out.append((len(ids), sum(b - a for a, b in merged), merged, _cuts(texts[d], merged) if merged else [], sorted(items)))
+        out.append((len(ids), sum(b - a for a, b in merged), merged, _cuts(texts[d], merged) if merged else [], [phrases.names[i].decode("utf-8", "surrogatepass") for i in sorted(items)]))
     return out
 
 
+class _Numbers(dict):
+    """Numbers of the words met, as they are looked up once."""
+
+    def __init__(self, phrases: Phrases) -> None:
+        self.phrases = phrases
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.phrases.number(word)
+        return n
+
+
 def _searcher(shared):
     @F.pandas_udf(RESULT)
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        phrases: Phrases = Phrases(shared.value)
-
-        class Numbers(dict):
-            def __missing__(self, key: bytes) -> int:
-                return 0
-
-        number = Numbers(phrases.vocabulary).__getitem__
+        phrases: Phrases = shared.value
+        numbers = _Numbers(phrases)
+        number = numbers.__getitem__
         texts, shard, held = [], [], 0
 
         def found() -> pd.DataFrame:
             return pd.DataFrame(_shard(texts, shard, phrases), columns=["n_words", "n_hit", "spans", "cuts", "items"])
 
         for batch in batches:  # a shard may hold several: results come when it is full
+            if len(numbers) > WORDS_KEPT:
+                numbers.clear()
             for data in batch:
                 text = bytes(data)
                 words = words_of(text)
@@ -299,11 +403,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") ->
     passes = _passes(benchmark)
     first, second = next(passes), next(passes, None)
     if second is None:
-        return docs.withColumn(column, _searcher(spark.sparkContext.broadcast(first))(data))
+        return docs.withColumn(column, _searcher(spark.sparkContext.broadcast(Phrases(first)))(data))
 
     every = None
     for items in itertools.chain([first, second], passes):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Phrases(items))
         rows = docs.select(data.alias("data"), _searcher(shared)(data).alias("leaks")).where("leaks.n_hit > 0")
         found = stage(rows.groupBy(F.md5("data").alias("key")).agg(F.first("data").alias("data"), F.first("leaks").alias("leaks")), "leaks")
         every = found if every is None else every.unionByName(found)
