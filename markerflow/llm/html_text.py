@@ -7,7 +7,9 @@ element around it is taken instead, and then only siblings with points count, an
 
 Inside them, menus, adverts, forms, notices and comments are left out: elements and roles that say so at once, others by the words of their
 class and id. A word alone may mislead (a page about a notice board): an element that holds the page's title, or, for words that
-are no sure sign, more than half of the page's text outside links, stays.
+are no sure sign, more than half of the page's text outside links, stays. So does a form whose blocks hold more than half of the page's text: it is
+wrapped around the page, and only its controls and labels go. What no name tells is judged by structure: blocks of links, signed replies
+after the text, and boxes of a line or two beside paragraphs.
 
 Every step is linear in the page: tags are found by one scan, and what is open is looked up by tag.
 
@@ -37,14 +39,14 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 CELL = frozenset(("td", "th", "option"))
 # What never belongs to the article's text, by element, by role and by words of class and id.
-DROPPED = frozenset("nav footer aside form script style head noscript template iframe svg button select textarea input object dialog menu canvas audio video search".split())
+DROPPED = frozenset("nav footer aside script style head noscript template iframe svg button select textarea input object dialog menu canvas audio video search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # Words of class and id of what is no article: sure signs, and signs that the page's text outweighs.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus cookie cookies consent gdpr".split()
 )
 WEAK = frozenset(
-    "sponsor sponsors promo promos promotion promotions banner banners menu menus notice notices popup modal newsletter subscribe signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager hidden".split()
+    "disclaimer sponsor sponsors promo promos promotion promotions banner banners menu menus notice notices popup modal newsletter subscribe signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager hidden".split()
 )
 HEADS = frozenset("header masthead topbar".split())
 HEAD_OF = frozenset("site page top main global".split())
@@ -59,12 +61,15 @@ BESIDE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table ul ol dl figure".sp
 #: more than one child then), and the share of links from which a sibling is navigation.
 SIBLING, PARENT, LINKS = 0.1, 0.6, 0.3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a form that are no text; shares of a page's text: a named block of links, of replies, of a line or two beside paragraphs.
+LABELS = frozenset(("label", "legend", "option", "datalist"))
+LINK_BLOCK, REPLIES, BOX_CHARS = 0.6, 0.5, 120
 _PROSE = re.compile(r"(?:\S+\s+){3,}\S*[.!?…。][\"'”’)]*$")
 _RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "inside", "doubt", "titled", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "inside", "doubt", "titled", "points", "chars", "linked", "names")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -74,6 +79,7 @@ class Node:
         self.doubt = 0  # 1: its names are a sign of what is no article, 2: a sure one
         self.points = 0.0
         self.chars = self.linked = 0
+        self.names = ""
 
 
 def doubtful(names: str) -> int:
@@ -104,14 +110,16 @@ def _judge(node: Node, attributes: str) -> None:
     if node.tag in DROPPED or (node.tag == "header" and not node.inside):
         node.dropped = True
         return
+    if node.tag == "form":
+        node.doubt = 3
     if "=" not in attributes and "hidden" not in attributes:
         return
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if values.get("role", "").lower() in ROLES or _HIDES.search(values.get("style", "")) or values.get("aria-hidden") == "true" or _HIDDEN.search(_ATTRIBUTE.sub("", attributes)):
         node.dropped = True
     elif node.tag not in ("html", "body", "main") and not (node.tag == "article" and not node.inside and node.parent.doubt < 2):
-        names = f"{values.get('class', '')} {values.get('id', '')}"
-        node.doubt = doubtful(names)
+        node.names = names = f"{values.get('class', '')} {values.get('id', '')}".strip()
+        node.doubt = max(node.doubt, doubtful(names))
         node.dropped = not node.inside and _heads(names)
 
 
@@ -207,25 +215,92 @@ def _settle(root: Node) -> None:
     links = {id(root): False}
     plain: dict[int, int] = {}  # characters outside links
     whole: dict[int, int] = {}
+    blocks: dict[int, int] = {}  # characters outside links in blocks: what a form says besides its controls
+    bare = {id(root): False}  # whether a node's text stands right in a form, or is a label
     for n in order:
         link = links[id(n)] or n.tag == "a"
+        bare[id(n)] = n.tag == "form" or n.tag in LABELS or (bare.get(id(n.parent), False) and (n.tag not in BLOCK and n.tag not in CELL or n.parent.tag in LABELS))
         size = sum(len(x.strip()) for x in n.items if isinstance(x, str))
         whole[id(n)], plain[id(n)] = size, 0 if link else size
+        blocks[id(n)] = 0 if link or bare[id(n)] else size
         n.titled = n.tag in ("h1", "main")
         for x in n.items:
             if isinstance(x, Node) and not x.dropped:
                 links[id(x)] = link
     for n in reversed(order):
         if n.parent is not None:
-            plain[id(n.parent)] += plain[id(n)]
-            whole[id(n.parent)] += whole[id(n)]
+            for sums in (plain, whole, blocks):
+                sums[id(n.parent)] += sums[id(n)]
             n.parent.titled = n.parent.titled or n.titled
     total = plain[id(root)]
     for n in order:
-        if n.doubt:
+        if n.doubt == 3:  # a page inside a form keeps its text, of which the form's labels are none
+            n.dropped = not 2 * blocks[id(n)] > total
+        elif n.doubt:
             most = 2 * plain[id(n)] > total
             prose = plain[id(n)] > (1 - LINKS) * whole[id(n)]
             n.dropped = not (n.titled or (n.doubt == 1 and most and prose))
+        if n.tag in LABELS and _in_form(n):
+            n.dropped = True
+
+
+def _in_form(node: Node) -> bool:
+    while node is not None and node.tag != "form":
+        node = node.parent
+    return node is not None
+
+
+def _set_aside(best: Node) -> None:
+    """Drops, inside the best container, what its structure says is no text of the article: named blocks that are mostly links, replies (items of
+    one kind after the article's text, each signed, none with a heading), and named boxes of a line or two beside paragraphs."""
+    order = _in_order(best)
+    if best.chars <= 0:
+        return
+    told = 0  # characters before the block, outside links
+    counts: dict[int, list[int]] = {}
+    for n in reversed(order):
+        own = counts.setdefault(id(n), [0, 0, 0])  # links, headings, paragraphs
+        own[0] += n.tag == "a"
+        own[1] += n.tag in HEADINGS
+        own[2] += n.tag in BESIDE or n.tag in ("li", "img", "br")
+        if n is not best:
+            above = counts.setdefault(id(n.parent), [0, 0, 0])
+            for k in range(3):
+                above[k] += own[k]
+    todo = [best]
+    while todo:  # in page order
+        n = todo.pop()
+        if isinstance(n, str):
+            told += len(n.strip())
+            continue
+        if n.dropped:
+            continue
+        links, heads, paragraphs = counts.get(id(n), (0, 0, 0))
+        if n is not best and n.tag in ("div", "section", "ul", "ol", "table", "ins") and n.chars and 2 * n.chars < best.chars:
+            linked = n.names and links > 1 and n.linked >= LINK_BLOCK * n.chars and not heads
+            box = n.names and n.tag in ("div", "section", "ins") and not paragraphs and n.chars <= BOX_CHARS and told and not _PROSE.search(" ".join(_blocks([n])))
+            if linked or box or (told > (1 - REPLIES) * (best.chars - best.linked) and _replies(n, counts)):
+                n.dropped = True
+                continue
+        todo += reversed(n.items)
+
+
+def _replies(node: Node, counts: dict[int, list[int]]) -> bool:
+    """Two or more items alike in tag and name, each with a short signed part and a text, and no heading or picture in any."""
+    items = [x for x in node.items if isinstance(x, Node) and not x.dropped and x.chars]
+    kinds: dict[tuple[str, str], list[Node]] = {}
+    for x in items:
+        if x.tag in ("div", "article", "section", "li") and (x.names or x.tag != "div"):
+            kinds.setdefault((x.tag, x.names), []).append(x)
+    most = max(kinds.values(), key=len, default=[])
+    if len(most) < 2 or 2 * sum(x.chars for x in most) < node.chars:
+        return False
+    for x in most:
+        parts = [y for y in x.items if isinstance(y, Node) and y.chars]
+        signed = any(y.tag in ("span", "div", "b", "strong", "cite", "time", "a", "small", "header", "h5", "h6", "p") and y.chars <= 60 and (y.names or y.tag in ("b", "strong", "cite", "time", "a", "small")) for y in parts)
+        if counts[id(x)][1] or len(parts) < 2 or not signed or not any(y.tag in ("p", "div", "blockquote", "span") and y.chars > 0 for y in parts[1:]):
+            return False
+    return True
 
 
 def _clean(pieces: list[str]) -> str:
@@ -341,6 +416,7 @@ def main_text(page: str) -> str:
         best = best.parent
     while not around and best.parent is not None and best.parent.tag not in ("body", "html") and best.parent.points >= PARENT * best.points:
         best = best.parent
+    _set_aside(best)
     kept = _beside(best, around is not None) if best.parent is not None and best.tag not in ("body", "html") else [best]
     return "\n".join(_blocks(kept))
 
