@@ -6,7 +6,8 @@
    are counted, and prefixes are taken again with the rarest shingles first, so that what very many texts share is in
    hardly any prefix. A shingle that no other text has joins nothing.
 3. The texts of a shingle are put in order of size, and each is compared with the next: as many pairs as postings at most, each once
-   however many shingles give it, dealt evenly. What links ties nearly all of a group of near copies, and its label is known.
+   however many shingles give it, dealt evenly. What links ties nearly all of a group of near copies, and its label is known. A shingle that
+   MANY texts have is dealt over lanes, each put in order by itself, and the lanes' first texts are compared and tied in turn.
 4. Only shingles whose texts have different labels are left. Their labels are tied into blocks. A block is cut into cells by size (a
    band is a factor 1/s wide, so only cells of neighbouring bands can hold linked pairs), by label where a label fills half a cell,
    and by hash when there are more than TILE texts; two cells of one label never meet. A task compares a pair of cells: bitmaps give an
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
+from .batches import MANY, SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
 from .common import partitions, stage, unstage
 from .graph import components
 
@@ -128,8 +129,9 @@ def _sharing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"node": [None], "n": [None], "batch": [batch], "nodes": [[(int(batch) << SLOT_BITS) + s for s in kept]], "packed": [pack([texts[s] for s in kept])]})
 
 
-def _rare(parts: int):
-    """Runs of (key, node, size) of the prefixes with the rarest shingles first, without those that one text has alone."""
+def _rare(parts: int, many: int):
+    """Runs of (key, node, size) of the prefixes with the rarest shingles first, without those that one text has alone. A shingle that MANY texts or more
+    have is no key of one part: its postings go to lanes (parts from `parts` on) by node."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -137,7 +139,7 @@ def _rare(parts: int):
             for nodes, packed, flags in zip(pdf["nodes"], pdf["packed"], pdf["flags"]):
                 own = [shingles(t) for t in unpack(packed)]
                 ordered, counts = np.unique(short(np.concatenate(own))), flags_of(flags)
-                keys, at, sizes = [], [], []
+                keys, at, sizes, hot = [], [], [], []
                 for node, k in zip(nodes, own):
                     times = counts[np.searchsorted(ordered, short(k))]
                     first = np.lexsort((k * _TURN, times))[: prefix_length(len(k))]
@@ -145,11 +147,14 @@ def _rare(parts: int):
                     keys.append(k[first])
                     at.append(np.full(len(first), node, np.int64))
                     sizes.append(np.full(len(first), len(k), np.int64))
-                keys, at, sizes = np.concatenate(keys), np.concatenate(at), np.concatenate(sizes)
-                order = np.argsort(keys, kind="stable")
-                keys, at = keys[order], np.stack([at[order], sizes[order]])
-                edges = np.append(np.searchsorted(keys, part_starts(parts)), len(keys))
-                rows = [(p, packer.compress(front(keys[edges[p] : edges[p + 1]])), packer.compress(at[:, edges[p] : edges[p + 1]].tobytes())) for p in range(parts) if edges[p] < edges[p + 1]]
+                    hot.append(times[first] >= many)
+                keys, at, hot = np.concatenate(keys), np.stack([np.concatenate(at), np.concatenate(sizes)]), np.concatenate(hot)
+                part = np.searchsorted(part_starts(parts), keys, side="right") - 1
+                part = np.where(hot, parts + (mix(at[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), part)
+                order = np.lexsort((keys, part))
+                keys, at, part = keys[order], at[:, order], part[order]
+                edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                rows = [(int(part[a]), packer.compress(front(keys[a:b])), packer.compress(np.ascontiguousarray(at[:, a:b]).tobytes())) for a, b in zip(edges, edges[1:])]
                 yield pd.DataFrame(rows, columns=["part", "run", "nodes"])
 
     return run
@@ -185,6 +190,13 @@ def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
     return _pairs(np.stack([nodes, first], axis=1)[same])
 
 
+def _lane_firsts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(key, node, size) of the first text of each shingle of a lane."""
+    same, nodes, sizes = _postings(pdf)
+    keys = np.unique(np.concatenate([unfront(zstandard.ZstdDecompressor().decompress(bytes(r))) for r in pdf["run"]]))
+    return pd.DataFrame({"key": keys.view(np.int64), "node": nodes[~same], "size": sizes[~same]})
+
+
 def _linked_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of pairs with their texts, those that link. Rows come sorted by a, whose shingles are made once."""
     unpacker = zstandard.ZstdDecompressor()
@@ -215,8 +227,8 @@ def linked(left: np.ndarray, right: np.ndarray) -> bool:
     return OF * both >= SIMILAR * (len(left) + len(right) - both)
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets of a tile as all its links do; across: only between the two sides; label: what is connected already."""
+def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool, label: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect the sets of a tile as all its links do, or every link; across: only between the two sides; label: what is connected already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets, side = [sets[i] for i in order], side[order]
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -242,31 +254,36 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, across: bool, label: np
         most = np.minimum(n[i] - only_x, n[ys] - only_y)
         for y in ys[OF * most >= SIMILAR * (n[i] + n[ys] - most)].tolist():
             if label[y] != label[i] and linked(sets[i], sets[y]):
-                label[label == label[y]] = label[i]
+                if not every:
+                    label[label == label[y]] = label[i]
                 out.append((order[i], order[y]))
     return out
 
 
-def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tiles(every: bool):
     """Rows come sorted by tile; a tile has at most two cells."""
-    unpacker = zstandard.ZstdDecompressor()
-    held: list[tuple] = []
-    tile = None
 
-    def settle() -> pd.DataFrame:
-        sets = [shingles(unpacker.decompress(bytes(t))) for _, t, _, _ in held]
-        found = tile_links(sets, np.array([s for _, _, s, _ in held]), tile[1] != tile[2], np.array([g for _, _, _, g in held])) if len(held) > 1 else []
-        return pd.DataFrame([(held[i][0], held[j][0]) for i, j in found], columns=["a", "b"], dtype="int64")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacker = zstandard.ZstdDecompressor()
+        held: list[tuple] = []
+        tile = None
 
-    for pdf in frames:
-        for root, low, high, node, text, cell, label in zip(pdf["root"], pdf["low"], pdf["high"], pdf["node"], pdf["text"], pdf["cell"], pdf["label"]):
-            if (root, low, high) != tile:
-                if held:
-                    yield settle()
-                tile, held = (root, low, high), []
-            held.append((node, text, cell, label))
-    if held:
-        yield settle()
+        def settle() -> pd.DataFrame:
+            sets = [shingles(unpacker.decompress(bytes(t))) for _, t, _, _ in held]
+            found = tile_links(sets, np.array([s for _, _, s, _ in held]), tile[1] != tile[2], np.array([g for _, _, _, g in held]), every) if len(held) > 1 else []
+            return pd.DataFrame([(held[i][0], held[j][0]) for i, j in found], columns=["a", "b"], dtype="int64")
+
+        for pdf in frames:
+            for root, low, high, node, text, cell, label in zip(pdf["root"], pdf["low"], pdf["high"], pdf["node"], pdf["text"], pdf["cell"], pdf["label"]):
+                if (root, low, high) != tile:
+                    if held:
+                        yield settle()
+                    tile, held = (root, low, high), []
+                held.append((node, text, cell, label))
+        if held:
+            yield settle()
+
+    return run
 
 
 def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -292,9 +309,12 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     return rows.select("root", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "label", "text")
 
 
-def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES, tie: str | None = None) -> DataFrame:
+def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES, tie: str | None = None, every: bool = False, many: int = MANY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), a row for each row of docs.
 
+    many: texts from which on a shingle's are dealt over lanes (MANY at most).
+    every: compare all texts that share a prefix shingle, connected or not, and return n_links too: how many other texts (equal ones are one) a text is linked with.
+
     tie: a column of longs that tells rows with one doc_id apart. It is returned too, and stays, which is true for the rows with
     the component's smallest pair of doc_id and tie and for those without shingles.
     """
@@ -309,16 +329,24 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     some = sharing.where("batch IS NOT NULL").select("batch", "nodes", "packed")
 
     parts = 2 * partitions(spark)
-    runs = stage(some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts), "part int, run binary, nodes binary"), "grams-runs", "snappy")
+    runs = stage(some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts, many), "part int, run binary, nodes binary"), "grams-runs", "snappy")
     texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(sizes, "node"), "grams-texts", "snappy")
     unstage(sharing)
     text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    near = runs.groupBy("part").applyInPandas(_neighbours, "a long, b long").distinct().join(text("b"), "b").join(text("a"), "a")
-    links = stage(near.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInPandas(_linked_pairs, "a long, b long"), "grams-links")
-    ties = stage(runs.groupBy("part").applyInPandas(_ties, "a long, b long").distinct(), "grams-ties")
+    # a shingle's lanes are tied by their first texts, which are as many as lanes at most
+    lanes = runs.where(F.col("part") >= parts).groupBy("part").applyInPandas(_lane_firsts, "key long, node long, size long")
+    last = lambda c: F.lag(c).over(Window.partitionBy("key").orderBy("size", "node"))
+    chain = stage(lanes.select(last("node").alias("a"), F.col("node").alias("b"), last("size").alias("size_a"), "size").where("a IS NOT NULL").distinct(), "grams-lanes")
+    links = None
+    if not every:
+        near = runs.groupBy("part").applyInPandas(_neighbours, "a long, b long").union(chain.where(OF * F.col("size_a") >= SIMILAR * F.col("size")).select(F.least("a", "b"), F.greatest("a", "b")))
+        near = near.distinct().join(text("b"), "b").join(text("a"), "a")
+        links = stage(near.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInPandas(_linked_pairs, "a long, b long"), "grams-links")
+    ties = stage(runs.groupBy("part").applyInPandas(_ties, "a long, b long").union(chain.select("a", "b")).distinct(), "grams-ties")
     unstage(runs)
+    unstage(chain)
 
-    found = stage(components(links), "grams-labels")
+    found = stage(components(links) if links is not None else spark.createDataFrame([], "node long, root long"), "grams-labels")
     label = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"label_{side}"))
     labelled = ties.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     blocks = components(labelled.where("a <> b"))
@@ -327,17 +355,23 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     unstage(texts)
     unstage(ties)
     dealt = tiled(mixed, tile, tile_bytes).repartition(partitions(spark), "root", "low", "high").sortWithinPartitions("root", "low", "high")
-    groups = components(links.union(dealt.mapInPandas(_tiles, "a long, b long")))
+    compared = stage(dealt.mapInPandas(_tiles(every), "a long, b long"), "grams-compared")
+    groups = components(compared if links is None else links.union(compared))
     unstage(mixed)
 
     known = about.where("node = head").select("head", "first").join(sizes.withColumnRenamed("node", "head"), "head").join(groups.withColumnRenamed("node", "head"), "head", "left")
+    if every:
+        ends = compared.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("links"))
+        known = known.join(ends, "head", "left")
     least = known.groupBy(F.coalesce("root", "head").alias("group")).agg(F.min("first").alias("component"))
-    nodes = about.select("node", "head").join(known.select("head", "n", F.coalesce("root", "head").alias("group")), "head").join(least, "group")
+    more = [F.coalesce("links", F.lit(0).cast("long")).alias("n_links")] if every else []
+    nodes = about.select("node", "head").join(known.select("head", "n", *more, F.coalesce("root", "head").alias("group")), "head").join(least, "group")
     alone = F.col("n") == 0
     out = members.join(nodes, "node").select(
         F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(alone & ~F.col("none"), F.col("doc_id")).when(~alone & ~F.col("component.none"), F.col("component.doc_id")).alias("component_id"),
+        *(["n_links"] if every else []),
         *([F.col("tie").alias(tie), (alone | (F.struct("doc_id", "none", "tie") == F.col("component"))).alias("stays")] if tie else []),
     )
     return out

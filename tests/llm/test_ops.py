@@ -596,3 +596,76 @@ def test_removing_the_subpackage_leaves_the_rest(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", without)
     monkeypatch.setattr(entry.os.path, "exists", lambda p: False)
     assert "flagship_match_by_object" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() and n.split("_")[0] in {f"op{i}" for i in range(1, 11)} for n in entry.queries())
+
+
+PROSE = "The river rises in the hills, runs past the old mill, and reaches the sea after forty miles. It floods in spring, when the snow melts."
+ARTICLE = "".join(f"<p>{PROSE} Part {i}.</p>" for i in range(6))
+
+
+def paragraphs(n=6):
+    return "\n".join(f"{PROSE} Part {i}." for i in range(n))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><form id=aspnet>{ARTICLE}<label>Search</label><input name=q><button>Go</button></form></body>", paragraphs()),
+    (f"<body><form action=/ id=f><div><h1>Title here</h1>{ARTICLE}</div><fieldset><legend>Login</legend><label>User <input></label></fieldset></form></body>", "Title here\n" + paragraphs()),
+    (f"<body>{ARTICLE}<form>Search the site <input></form></body>", paragraphs()),
+    (f"<body>{ARTICLE}<form><p><label>Your name</label><input></p><p>Your address will not be published.</p><textarea>x</textarea></form></body>", paragraphs()),
+    ("<body><p>Hi there, all.</p><form>Search this whole site now <input></form></body>", "Hi there, all."),
+    (f"<article>{ARTICLE}<div class=zone7><a href=1>You will not believe this</a><a href=2>Ten things to buy</a></div></article>", paragraphs()),
+    (f"<article>{ARTICLE}<div class='reader-responses'><div class=r><span class=who>Ann</span><p>Nice.</p></div><div class=r><span class=who>Bob</span><p>I did not like it at all, sorry.</p></div></div></article>", paragraphs()),
+    (f"<article><div class=adbox>Great deals on boats</div>{ARTICLE}<div class=adbox>Great deals on mills</div></article>", "Great deals on boats\n" + paragraphs()),
+    (f"<article>{ARTICLE}<div class=step><h3>One</h3><p>Boil the water.</p></div><div class=step><h3>Two</h3><p>Add the tea.</p></div></article>", paragraphs() + "\nOne\nBoil the water.\nTwo\nAdd the tea."),
+    (f"<article>{ARTICLE}<ul><li>First point of the list</li><li>Second point</li></ul></article>", paragraphs() + "\nFirst point of the list\nSecond point"),
+])
+def test_page_wide_forms_and_unnamed_junk(page, want):
+    assert html_text.main_text(page) == want
+
+
+def hot_corpus():
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 500, 60)]
+    rows = []
+    for i in range(90):  # near copies of one text, all different
+        words = list(base)
+        words[int(rng.integers(60))] = f"own{i}"
+        words += [f"end{j}" for j in range(int(rng.integers(3)))]
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"v{x}" for x in rng.integers(0, 3000, 40))) for i in range(60)] + [(200, rows[0][1]), (201, rows[0][1].upper()), (202, None)]
+    return rows
+
+
+@pytest.mark.parametrize("many", [3, 20, 255])
+def test_ngram_join_with_a_hot_group(spark, many):
+    rows = hot_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    linked = [[bool(a and b and 100 * len(a & b) >= 75 * len(a | b)) for b in sets] for a in sets]
+    least = [i for i, _ in rows]
+    while True:
+        new = [min([least[a]] + [least[b] for b in range(len(rows)) if linked[a][b]]) for a in range(len(rows))]
+        if new == least:
+            break
+        least = new
+    want = [(rows[k][0], len(sets[k]), least[k]) for k in range(len(rows))]
+    got = ngram_join.ngram_join(df, tile=10, many=many)
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == bag(want)
+    if many == 20:
+        full = ngram_join.ngram_join(df, tile=10, many=many, every=True)
+        different = [len({frozenset(sets[b]) for b in range(len(rows)) if linked[a][b] and (rows[b][1] or "").lower() != (rows[a][1] or "").lower()}) for a in range(len(rows))]
+        assert bag((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in full.select("doc_id", "n_shingles", "component_id", "n_links").collect()) == bag((*w, n) for w, n in zip(want, different))
+
+
+def test_a_hot_shingle_is_dealt_over_many_tasks(spark):
+    """Postings of near copies, which all have the same shingles, by part."""
+    from markerflow.llm import batches
+
+    texts = [ngram_join.words_joined(t.encode()) for _, t in hot_corpus()[:90]]
+    own = [ngram_join.shingles(t) for t in texts]
+    keys, counts = np.unique(ngram_join.short(np.concatenate(own)), return_counts=True)
+    flags = [{"part": 0, "flags": __import__("zstandard").ZstdCompressor().compress(np.minimum(counts, 255).astype(np.uint8).tobytes())}]
+    pdf = pd.DataFrame([{"nodes": list(range(90)), "packed": batches.pack(texts), "flags": flags}])
+    rows = pd.concat(ngram_join._rare(8, 20)(iter([pdf])))
+    size = {p: sum(len(batches.unfront(__import__("zstandard").ZstdDecompressor().decompress(r))) for r in g["run"]) for p, g in rows.groupby("part")}
+    lanes = [n for p, n in size.items() if p >= 8]
+    assert len(lanes) == 8 and max(lanes) < 2.5 * np.median(lanes) and sum(lanes) > 0.5 * sum(size.values())
