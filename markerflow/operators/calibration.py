@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import Rig, distort, lens, rays
+from .geometry import Rig, distort, rays
 from .idioms import pinned
 
 #: Views worked on together, rounds of a pose and of the shared parameters, and the relative gain at which rounds end.
@@ -36,7 +36,8 @@ def views(corners: DataFrame, by: str = "view", pixels: tuple[str, ...] = ("u",
     finite = F.lit(True)
     for n in names:
         finite = finite & F.col(n).isNotNull() & ~F.isnan(F.col(n)) & (F.abs(F.col(n)) < float("inf"))
-    rows = corners.where(finite).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*[F.col(n).cast("double").alias(n) for n in names]))).alias("points"))
+    point = F.when(finite, F.struct(*[F.col(n).cast("double").alias(n) for n in names]))  # a filter would be pushed into the expressions of the pixels
+    rows = corners.groupBy(by).agg(F.sort_array(F.collect_list(point)).alias("points"))
     return rows.where(F.size("points") >= LEAST_POINTS)
 
 
@@ -434,8 +435,8 @@ class Rectification:
                 into += [centre[0] / (centre[0] - x0), centre[1] / (centre[1] - y0), (w - centre[0]) / (x1 - centre[0]), (h - centre[1]) / (y1 - centre[1])]
         return max(inside) * (1 - alpha) + min(outside) * alpha
 
-    def source(self, u: Column, v: Column, right: bool) -> tuple[Column, Column]:
-        """Where in its camera's image the rectified pixel (u, v) comes from, as Columns."""
+    def source(self, u: np.ndarray, v: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where in its camera's image rectified pixels (u, v) come from."""
         k, d, r = (self.rig.k2, self.rig.d2, self.r2) if right else (self.rig.k1, self.rig.d1, self.r1)
         x, y = (u - float(self.centre[0])) / self.focal, (v - float(self.centre[1])) / self.focal
         a, b, c = (x * float(m[0]) + y * float(m[1]) + float(m[2]) for m in r.T)
@@ -462,9 +463,14 @@ class Rectification:
 def rectify_map(spark: SparkSession, flat: Rectification, right: bool) -> DataFrame:
     """(u, v, sx, sy): for each pixel of the rectified image where it comes from."""
     w, h = flat.size
-    at = spark.range(w * h).select((F.col("id") % w).cast("int").alias("u"), F.floor(F.col("id") / w).cast("int").alias("v"))
-    sx, sy = flat.source(F.col("u").cast("double"), F.col("v").cast("double"), right)
-    return at.select("u", "v", sx.alias("sx"), sy.alias("sy"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            u, v = pdf["id"].to_numpy() % w, pdf["id"].to_numpy() // w
+            sx, sy = flat.source(u.astype(float), v.astype(float), right)
+            yield pd.DataFrame({"u": u, "v": v, "sx": sx, "sy": sy})
+
+    return spark.range(w * h).mapInPandas(run, "u int, v int, sx double, sy double")
 
 
 def remap(pixels: DataFrame, source: DataFrame, by: list[str], tile: int = 64) -> DataFrame:

@@ -1253,3 +1253,6 @@ def a8_axial_mean(spark, d):
 @query("SELECT count, cols, rows FROM (VALUES (20, 5, 4), (19, 19, 1), (12, 4, 3), (36, 6, 6)) t(count, cols, rows)")
 def o18_grid_shape(spark, d):
     return spark.createDataFrame([(n, *netframe.grid_shape(n, y, z)) for n, y, z in ((20, 5.0, 3.0), (19, 9.0, 1.0), (12, 3.0, 2.0), (36, 1.0, 1.0))], "count int, cols int, rows int")
+
+
+from . import calibrated, vision  # noqa: E402, F401  the queries that they register
