@@ -69,10 +69,10 @@ def pair_distance(points: DataFrame, first: int, second: int, frame: str = "fram
     return both.withColumn("distance", dist).withColumn("distance_err", error)
 
 
-def missing_ids(rows: DataFrame, expected: list[int]) -> DataFrame:
+def missing_ids(rows: DataFrame, expected: list[int], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Expected ids without a valid row, per frame."""
-    seen = rows.groupBy("frame").agg(F.collect_set(F.when(F.col("valid") == 1, F.col("obj_id"))).alias("seen"))
-    return seen.select("frame", F.array_sort(F.array_except(F.array(*[F.lit(i) for i in expected]), "seen")).alias("missing"), F.size("seen").alias("n_valid"))
+    seen = rows.groupBy(*by, "frame").agg(F.collect_set(F.when(F.col("valid") == 1, F.col("obj_id"))).alias("seen"))
+    return seen.select(*by, "frame", F.array_sort(F.array_except(F.array(*[F.lit(i) for i in expected]), "seen")).alias("missing"), F.size("seen").alias("n_valid"))
 
 
 def overlapping(queries: DataFrame, regions: DataFrame, width: int = 1024) -> DataFrame:
@@ -154,9 +154,9 @@ def upsert(rows: DataFrame, keys: list[str], version: str, restart: int | None =
     return last_wins(rows, keys, version)
 
 
-def auto_pause(rows: DataFrame, expected: list[int]) -> DataFrame:
+def auto_pause(rows: DataFrame, expected: list[int], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Per frame how many of the expected objects are valid, which are missing, and whether tracking pauses for them, with its reason."""
-    found = missing_ids(rows.where(F.col("obj_id").isin(expected)), expected)
+    found = missing_ids(rows.where(F.col("obj_id").isin(expected)), expected, by)
     shown = F.concat(F.array_join(F.transform(F.slice("missing", 1, 20), lambda i: i.cast("string")), ", "), F.lit("]"), F.when(F.size("missing") > 20, "...").otherwise(""))
     reason = F.concat(F.lit("  AUTO missing ["), shown, F.format_string(" (%d/%d)", "n_valid", F.lit(len(expected))))
     return found.withColumn("pause", F.col("n_valid") < len(expected)).withColumn("reason", F.when(F.col("pause"), reason).otherwise(""))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import c
 from .idioms import islands, pinned, ranked
 
 
@@ -18,6 +19,12 @@ def halving_steps(base: int, levels: int = 4) -> list[int]:
     return steps
 
 
+def halved(base, levels: int = 4) -> Column:
+    """halving_steps of a column of whole numbers, as an array."""
+    step = lambda i: F.greatest(F.lit(1), F.floor(F.greatest(c(base), F.lit(1)) / F.pow(F.lit(2), i)).cast("int"))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: (i == 0) | (step(i - 1) > 1)), step)
+
+
 def iteration_count(total: int, start: int, step: int, most: int | None = None) -> int:
     if step <= 0 or total <= start:
         return 0
@@ -66,40 +73,33 @@ def chunks(df: DataFrame, order: str, size: int, by: list[str] = []) -> DataFram
     return ranked(df, order, "_place", by).withColumn("chunk", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def grid(spark, cols: int, rows: int, square: float = 1.0) -> DataFrame:
-    """(row, col, x, y) of a regular grid, row by row."""
-    return spark.range(cols * rows).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"), ((F.col("id") % cols) * square).alias("x"), (F.floor(F.col("id") / cols) * square).alias("y"))
-
-
-def point_grid(spark, n: int) -> DataFrame:
-    """n x n points at the centres of equal cells of the unit square."""
-    return spark.range(n * n).select(((F.col("id") % n + 0.5) / n).alias("x"), ((F.floor(F.col("id") / n) + 0.5) / n).alias("y"))
-
-
-def point_grids(spark, n: int, layers: int, scale: int) -> DataFrame:
-    """Point grids of each crop layer, coarser by scale**layer."""
-    out = None
-    for layer in range(layers + 1):
-        g = point_grid(spark, int(n / scale**layer)).withColumn("layer", F.lit(layer))
-        out = g if out is None else out.union(g)
-    return out
-
-
-def crop_boxes(height: int, width: int, layers: int, overlap_share: float) -> list[tuple[int, int, int, int, int]]:
-    """(layer, x0, y0, x1, y1) of a crop pyramid: the frame, then 2**layer crops a side that overlap by a share of the frame's shorter
-    side which halves with each layer, cut at the frame."""
-    boxes = [(0, 0, 0, width, height)]
-    for layer in range(1, layers + 1):
-        n = 2**layer
-        overlap = int(overlap_share * min(height, width) * 2 / n)
-        w, h = (-(-(overlap * (n - 1) + extent) // n) for extent in (width, height))
-        boxes += [(layer, i * (w - overlap), j * (h - overlap), min(i * (w - overlap) + w, width), min(j * (h - overlap) + h, height)) for i in range(n) for j in range(n)]
-    return boxes
-
-
-def crop_pyramid(spark, height: int, width: int, layers: int, overlap_share: float) -> DataFrame:
-    """The same as rows; they number 4**layers and depend on no table."""
-    return spark.createDataFrame(crop_boxes(height, width, layers, overlap_share), "layer int, x0 int, y0 int, x1 int, y1 int")
+def grids(boards: DataFrame, cols: str, rows: str, square=1.0) -> DataFrame:
+    """boards with the points (row, col, x, y) of their regular grids, row by row. A board has as many as its columns and rows say."""
+    at = F.explode(F.sequence(F.lit(0), F.col(rows) * F.col(cols) - 1)).alias("_at")
+    placed = boards.select("*", at).withColumns({"row": F.floor(F.col("_at") / F.col(cols)).cast("int"), "col": (F.col("_at") % F.col(cols)).cast("int")})
+    side = square if isinstance(square, Column) else F.lit(float(square))
+    return placed.withColumns({"x": F.col("col") * side, "y": F.col("row") * side}).drop("_at")
+
+
+def point_grids_of(frames: DataFrame, side: str, layers: int, scale: int) -> DataFrame:
+    """frames with the points (layer, x, y) at the centres of equal cells of the unit square, `side` cells each way, coarser by scale**layer."""
+    n = F.greatest(F.floor(F.col(side) / F.pow(F.lit(scale), F.col("layer"))).cast("int"), F.lit(1))
+    levels = frames.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers)))).withColumn("_n", n)
+    return grids(levels, "_n", "_n").withColumns({"x": (F.col("col") + 0.5) / F.col("_n"), "y": (F.col("row") + 0.5) / F.col("_n")}).drop("row", "col", "_n")
+
+
+def crops_of(frames: DataFrame, height: str, width: str, layers: int, overlap_share: float) -> DataFrame:
+    """frames with the boxes (layer, x0, y0, x1, y1) of their crop pyramids: the frame, then 2**layer crops a side that overlap by a share of the frame's
+    shorter side which halves with each layer, cut at the frame."""
+    h, w = F.col(height), F.col(width)
+    levels = frames.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers)))).withColumn("_n", F.pow(F.lit(2), F.col("layer")).cast("int"))
+    overlap = F.when(F.col("layer") == 0, 0).otherwise(F.floor(F.least(h, w) * F.lit(overlap_share) * 2 / F.col("_n")).cast("int"))
+    size = lambda extent: F.ceil((F.col("_o") * (F.col("_n") - 1) + extent) / F.col("_n")).cast("int")
+    sized = levels.withColumn("_o", overlap).withColumns({"_cw": size(w), "_ch": size(h)})
+    each = grids(sized, "_n", "_n")
+    x0, y0 = F.col("col") * (F.col("_cw") - F.col("_o")), F.col("row") * (F.col("_ch") - F.col("_o"))
+    boxes = each.withColumns({"x0": x0, "y0": y0, "x1": F.least(x0 + F.col("_cw"), w), "y1": F.least(y0 + F.col("_ch"), h)})
+    return boxes.drop("row", "col", "x", "y", "_n", "_o", "_cw", "_ch")
 
 
 def scan_budget(found: DataFrame, order: str, most: int) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import candidates as cand
 from ..operators import geometry as geo
 from ..operators import idioms, masks, match, media, netframe, scans, signals
 from ..sources import files, images
-from ..streaming import memory
+from ..streaming import memory, sessions
 from . import adapters as fx
 from .adapters import CANDS_SQL, MEDIA_SQL, POINTS_SQL, RLE_SQL, SIGNAL_SQL, TRACKS_SQL
 
@@ -98,9 +98,9 @@ def g11_two_point_distance(spark, d):
     return match.pair_distance(p, 1, 2, "frame_L", ("X_err", "Y_err", "Z_err")).select("frame_L", r6("distance"), r6("distance_err"))
 
 
-@query(f"SELECT frame, list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(ids, i))) AS missing, CAST(len(ids) AS INT) AS n_valid FROM (SELECT frame, coalesce(list(DISTINCT CASE WHEN valid = 1 THEN obj_id END) FILTER (valid = 1), []) AS ids FROM {TRACKS_SQL} WHERE side = 'left' GROUP BY frame)")
+@query(f"SELECT side, frame, list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(ids, i))) AS missing, CAST(len(ids) AS INT) AS n_valid FROM (SELECT side, frame, coalesce(list(DISTINCT CASE WHEN valid = 1 THEN obj_id END) FILTER (valid = 1), []) AS ids FROM {TRACKS_SQL} GROUP BY side, frame)")
 def j12_missing_ids(spark, d):
-    return match.missing_ids(fx.sides(spark, d)[0], list(range(1, 8)))
+    return match.missing_ids(fx.tracks(spark, d), list(range(1, 8)), ["side"])
 
 
 @query("SELECT DISTINCT s AS start, e AS \"end\" FROM (SELECT o_orderkey AS s, o_orderkey + 5 AS e FROM orders) q WHERE EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'error' AND q.s < r.event_id + 3 AND q.e > r.event_id)")
@@ -242,13 +242,54 @@ def a6_mean_covariance(spark, d):
     return r.agg(F.count("*").alias("n"), r6(F.avg("X0"), "mx"), r6(F.avg("Y0"), "my"), r6(F.avg("Z0"), "mz"), r6(F.covar_samp("X0", "X0"), "cxx", 5), r6(F.covar_samp("X0", "Y0"), "cxy", 5), r6(F.covar_samp("Y0", "Z0"), "cyz"))
 
 
-# a rotation about the mean of the references keeps the distance from it
-@query(f"""WITH m AS (SELECT avg(X0) AS a, avg(Y0) AS b, avg(Z0) AS c FROM {_REFS}) SELECT frame_L, obj_id, round(sqrt((X - a)**2 + (Y - b)**2 + (Z - c)**2), 5) AS far FROM {_VALID}, m""")
+def _net_frame_sql() -> str:
+    """Eigenvectors of the references' covariance in closed form: the normal of the least eigenvalue, y of the largest, z across both; signs by
+    the rule of the net frame."""
+    cross = lambda l, p, q: [f"({p[i]} * {q[j]} - {p[j]} * {q[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+    row = lambda k, l: [f"({x} - {l})" if i == k else x for i, x in enumerate((("a", "b", "c"), ("b", "d", "e"), ("c", "e", "f"))[k])]
+    n, y = cross("l3", row(0, "l3"), row(1, "l3")), cross("l1", row(1, "l1"), row(2, "l1"))
+    dot = lambda p, q: " + ".join(f"{u} * {v}" for u, v in zip(p, q))
+    names = lambda x: [f"{x}{k}" for k in "012"]
+    unit = lambda v, to: ", ".join(f"{x} / sqrt({dot(v, v)}) AS {to}{k}" for k, x in enumerate(v))
+    big = "CASE WHEN abs(n0) >= abs(n1) AND abs(n0) >= abs(n2) THEN sign(n0) WHEN abs(n1) >= abs(n2) THEN sign(n1) ELSE sign(n2) END"
+    off = ["(fx - mx)", "(fy - my)", "(fz - mz)"]
+    local = [f"round((X - mx) * {v[0]} + (Y - my) * {v[1]} + (Z - mz) * {v[2]}, 4) + 0.0" for v in (names("n"), names("y"), names("z"))]
+    return f"""WITH r AS (SELECT * FROM {_REFS}), m AS (SELECT obj_id, quantile_cont(disp, 0.95) AS p95 FROM {_DISP} GROUP BY obj_id), t AS (SELECT quantile_cont(p95, 0.15) AS low FROM m),
+  w AS (SELECT avg(X0) AS fx, avg(Y0) AS fy, avg(Z0) AS fz FROM r JOIN m USING (obj_id), t WHERE p95 <= low),
+  k AS (SELECT avg(X0) AS mx, avg(Y0) AS my, avg(Z0) AS mz, covar_samp(X0, X0) AS a, covar_samp(X0, Y0) AS b, covar_samp(X0, Z0) AS c, covar_samp(Y0, Y0) AS d, covar_samp(Y0, Z0) AS e, covar_samp(Z0, Z0) AS f FROM r),
+  q AS (SELECT *, (a + d + f) / 3 AS q FROM k), p AS (SELECT *, sqrt(((a - q)**2 + (d - q)**2 + (f - q)**2 + 2 * (b * b + c * c + e * e)) / 6) AS p FROM q),
+  h AS (SELECT *, acos(least(greatest(((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p**3), -1), 1)) / 3 AS phi FROM p),
+  l AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM h),
+  v AS (SELECT *, {unit(n, "n")}, {unit(y, "y")} FROM l), g AS (SELECT * REPLACE (n0 * {big} AS n0, n1 * {big} AS n1, n2 * {big} AS n2) FROM v),
+  o AS (SELECT *, {unit(cross("", names("n"), names("y")), "z")} FROM g, w),
+  u AS (SELECT * REPLACE ({", ".join(f"y{k} * CASE WHEN {dot(off, names('y'))} > 0 THEN -1 ELSE 1 END AS y{k}" for k in range(3))}, {", ".join(f"z{k} * CASE WHEN {dot(off, names('z'))} < 0 THEN -1 ELSE 1 END AS z{k}" for k in range(3))}) FROM o)
+  SELECT frame_L, obj_id, {local[0]} AS lx, {local[1]} AS ly, {local[2]} AS lz FROM {_VALID}, u"""
+
+
+@query(_net_frame_sql())
 def g6_net_frame_local(spark, d):
     v = idioms.pinned(_valid(spark, d))
     moved = netframe.motion(netframe.displacements(v))
     origin, basis = netframe.net_frame(netframe.reference_positions(v), moved.where("fixed"))
-    return netframe.to_local(v.drop("pos"), origin, basis).select("frame_L", "obj_id", r6(num.norm("lx", "ly", "lz"), "far", 5))
+    return netframe.to_local(v.drop("pos"), origin, basis).select("frame_L", "obj_id", *[(F.round(n, 4) + 0.0).alias(n) for n in ("lx", "ly", "lz")])
+
+
+_BOX = [float(x) for x in netframe.BOX]
+
+
+@query(f"""WITH r AS (SELECT * FROM {_REFS}), m AS (SELECT obj_id, quantile_cont(disp, 0.95) AS p95 FROM {_DISP} GROUP BY obj_id), t AS (SELECT quantile_cont(p95, 0.15) AS low FROM m),
+  b AS (SELECT min(X0) AS x0, max(X0) AS x1, min(Y0) AS y0, max(Y0) AS y1, min(Z0) AS z0, max(Z0) AS z1, avg(X0) AS ax, avg(Y0) AS ay, avg(Z0) AS az FROM r),
+  f AS (SELECT avg(X0) AS fx, avg(Y0) AS fy, avg(Z0) AS fz FROM r JOIN m USING (obj_id), t WHERE p95 <= low),
+  c AS (SELECT azim, radians(azim) AS a, radians(30) AS e FROM (SELECT unnest([-60, -45, 45, 60]) AS azim)),
+  k AS (SELECT azim, a, e, o, ({_BOX[0]!r} * ((px - x0) / (x1 - x0) - 0.5)) AS x, ({_BOX[1]!r} * ((py - y0) / (y1 - y0) - 0.5)) AS y, ({_BOX[2]!r} * ((pz - z0) / (z1 - z0) - 0.5)) AS z
+        FROM c, b, (SELECT 1 AS o, fx AS px, fy AS py, fz AS pz FROM f UNION ALL SELECT -1, ax, ay, az FROM b)),
+  s AS (SELECT azim, sum(o * (-sin(a) * x + cos(a) * y - sin(e) * cos(a) * x - sin(e) * sin(a) * y + cos(e) * z) / (10 - (cos(e) * cos(a) * x + cos(e) * sin(a) * y + sin(e) * z))) AS score FROM k GROUP BY azim)
+  SELECT azim, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, azim) = 1 AS chosen FROM s""")
+def g9_azimuth(spark, d):
+    refs = idioms.pinned(netframe.reference_positions(_valid(spark, d)))
+    moved = netframe.motion(netframe.displacements(_valid(spark, d)))
+    scores = netframe.azimuth_scores(refs, refs.join(moved.where("fixed"), "obj_id", "left_semi"), ("X0", "Y0", "Z0"))
+    return scores.select("azim", r6("score"), "chosen")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k FROM part WHERE p_size <> 7) SELECT CAST(a.k AS INT) AS a, CAST(b.k AS INT) AS b FROM p a JOIN p b ON (b.k = a.k + 1 AND a.k % 40 <> 39) OR b.k = a.k + 40""")
@@ -295,19 +336,19 @@ def o2_first_frames_list(spark, d):
     return f.select("frame_L", F.size("points").cast("long").alias("n"), F.transform("points", lambda p: p["obj_id"]).alias("ids"))
 
 
-_EDGES5 = f"(SELECT DISTINCT obj_id AS a, obj_id + 1 AS b FROM {_VALID} WHERE obj_id < 5)"
+_ALL_EDGES = f"(SELECT DISTINCT obj_id AS a, obj_id + 1 AS b FROM {_VALID})"
 
 
 def _payload(spark, d, side: str | None = None):
     v = _valid(spark, d) if side is None else _valid(spark, d).where(F.col("obj_id") % 2 == int(side == "right"))
-    e = v.where("obj_id < 5").select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
+    e = v.select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
     return files.viewer_payload(netframe.frames_list(v), e, {"label": side or "run"}), netframe.padded_limits(v, ("X", "Y", "Z"))
 
 
 _PAYLOAD = "struct<label:string,frameCount:int,frames:array<struct<frame_L:int,points:array<struct<obj_id:int,X:double,Y:double,Z:double>>>>,edges:array<array<int>>>"
 
 
-@query(f"""SELECT frame_L, count(*) AS n, round(sum(X), 6) AS x, (SELECT CAST(count(DISTINCT frame_L) AS INT) FROM {_VALID}) AS frames, (SELECT CAST(count(*) AS INT) FROM {_EDGES5}) AS edges FROM {_VALID} GROUP BY frame_L""")
+@query(f"""SELECT frame_L, count(*) AS n, round(sum(X), 6) AS x, (SELECT CAST(count(DISTINCT frame_L) AS INT) FROM {_VALID}) AS frames, (SELECT CAST(count(*) AS INT) FROM {_ALL_EDGES}) AS edges FROM {_VALID} GROUP BY frame_L""")
 def k7_viewer_payload(spark, d):
     p = _payload(spark, d)[0].select(F.from_json("json", _PAYLOAD).alias("p")).select(F.explode("p.frames").alias("f"), "p.frameCount", "p.edges")
     return p.select("f.frame_L", F.size("f.points").cast("long").alias("n"), r6(F.aggregate("f.points", F.lit(0.0), lambda s, q: s + q["X"]), "x"), F.col("frameCount").alias("frames"), F.size("edges").alias("edges"))
@@ -350,15 +391,17 @@ def g13_canonical_corners(spark, d):
     return p.select("id", F.posexplode("g").alias("pos", "q")).select("id", "pos", "q.x", "q.y")
 
 
-@query("SELECT p_partkey AS id, round(CAST(p_size AS DOUBLE), 5) AS gx, round(CAST(p_size * 2 AS DOUBLE), 5) AS gy FROM part")
+@query("SELECT p_partkey AS id, round((p_size * 0.3 + 0.2 * 0.8 + 3) / (0.01 * p_size * 0.3 + 0.05 * 0.8 + 1), 5) AS gx, round((0.1 * 0.3 + 2 * p_size * 0.8 + 1) / (0.01 * p_size * 0.3 + 0.05 * 0.8 + 1), 5) AS gy FROM part")
 def g10_fitted_homography(spark, d):
+    """A perspective of its own for each part, fitted to four corners and applied to a point inside."""
     s = F.col("p_size").cast("double")
-    corner = [(0, 0), (1, 0), (1, 1), (0, 1)]
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), (x * s).alias("u"), (2 * y * s).alias("v")) for i, (x, y) in enumerate(corner)]))
+    seen = lambda x, y: ((s * x + 0.2 * y + 3) / (0.01 * s * x + 0.05 * y + 1), (0.1 * x + 2 * s * y + 1) / (0.01 * s * x + 0.05 * y + 1))
+    corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("x"), F.lit(y).alias("y"), seen(x, y)[0].alias("u"), seen(x, y)[1].alias("v")) for i, (x, y) in enumerate(corners)]))
     fitted = geo.fit_homographies(fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), pairs.alias("q")).select("id", "q.*"), ["id"])
     h = [F.get("h", F.lit(i)) for i in range(9)]
-    w = h[6] + h[7] + h[8]  # the image of (1, 1)
-    return fitted.select("id", r6((h[0] + h[1] + h[2]) / w, "gx", 5), r6((h[3] + h[4] + h[5]) / w, "gy", 5))
+    w = h[6] * 0.3 + h[7] * 0.8 + h[8]
+    return fitted.select("id", r6((h[0] * 0.3 + h[1] * 0.8 + h[2]) / w, "gx", 5), r6((h[3] * 0.3 + h[4] * 0.8 + h[5]) / w, "gy", 5))
 
 
 @query(f"""WITH p AS (SELECT * FROM {POINTS_SQL}) SELECT a.frame_L, round(sqrt((b.X-a.X)**2 + (b.Y-a.Y)**2 + (b.Z-a.Z)**2), 6) AS distance, round(sqrt(a.err**2 + b.err**2), 6) AS distance_err FROM p a JOIN p b ON a.frame_L = b.frame_L WHERE a.obj_id = 1 AND b.obj_id = 2""")
@@ -452,9 +495,9 @@ def o14_adaptive_scan(spark, d):
     return scans.adaptive_scan(spark, total, 0, 8, 4000, lambda idx: idx.join(_found(spark, d), "idx", "left_semi"))
 
 
-@query("SELECT CAST(i AS INT) AS level, CAST(greatest(1, 37 // CAST(2**i AS INT)) AS INT) AS step FROM range(4) t(i)")
+@query("SELECT p_partkey AS id, CAST(i AS INT) AS level, CAST(greatest(1, p_size // CAST(2**i AS INT)) AS INT) AS step FROM part, range(4) t(i) WHERE i = 0 OR p_size // CAST(2**(i - 1) AS INT) > 1")
 def o13_halving_steps(spark, d):
-    return spark.createDataFrame(list(enumerate(scans.halving_steps(37))), "level int, step int")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(scans.halved("p_size")).alias("level", "step"))
 
 
 @query("SELECT frame, value FROM (SELECT o_orderkey AS frame, o_totalprice AS value FROM orders) WHERE frame >= 5 AND (frame - 5) % 7 = 0 AND frame < 5 + 500 * 7")
@@ -490,12 +533,12 @@ def o3_strongest(spark, d):
     return cand.strongest(fx.candidates(spark, d), ["method"], 7).select("id", "method")
 
 
-# part of a brand stands for a frame; a method is one of the detectors
-_FRAMED = "(SELECT id, method AS frame, x, y, area, score, ['hsv', 'lab', 'gray', 'blob'][1 + id % 4] AS method, x / 2 AS local_x, y / 2 AS local_y, struct_pack(x0 := x, y0 := y) AS bbox FROM {})".format(CANDS_SQL)
+# fifty parts stand for a frame; a method is one of the detectors
+_FRAMED = "(SELECT id, id // 50 AS frame, x, y, area, score, ['hsv', 'lab', 'gray', 'blob'][1 + id % 4] AS method, x / 2 AS local_x, y / 2 AS local_y, struct_pack(x0 := x, y0 := y) AS bbox FROM {})".format(CANDS_SQL)
 
 
 def _framed(spark, d):
-    c = fx.candidates(spark, d).withColumnRenamed("method", "frame").drop("cluster")
+    c = fx.candidates(spark, d).withColumnRenamed("cluster", "frame").drop("method")
     method = F.element_at(F.array(*[F.lit(m) for m in ("hsv", "lab", "gray", "blob")]), (F.col("id") % 4 + 1).cast("int"))
     return c.withColumns({"method": method, "local_x": F.col("x") / 2, "local_y": F.col("y") / 2, "bbox": F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"))})
 
@@ -539,45 +582,45 @@ _GREEDY = """WITH RECURSIVE p AS ({rows}), g AS (SELECT grp, 0 AS n, CAST([] AS
   FROM g JOIN p ON p.grp = g.grp AND len(list_filter(chosen, lambda k: k.id = p.id OR {blocks})) = 0 WHERE n < {most} GROUP BY g.grp, n) SELECT unnest(chosen).id AS id, grp FROM (SELECT grp, arg_max(chosen, n) AS chosen FROM g GROUP BY grp)"""
 
 
-@query(_GREEDY.format(rows=f"SELECT id, method AS grp, x AS a, y AS b, 0.0 AS c, 0.0 AS e, struct_pack(s := -score, y := y, x := x) AS o FROM {CANDS_SQL}", blocks="sqrt((k.a - p.a)**2 + (k.b - p.b)**2) < 80", most=12))
+@query(_GREEDY.format(rows=f"SELECT id, cluster AS grp, x AS a, y AS b, 0.0 AS c, 0.0 AS e, struct_pack(s := -score, y := y, x := x) AS o FROM {CANDS_SQL}", blocks="sqrt((k.a - p.a)**2 + (k.b - p.b)**2) < 80", most=12))
 def o4_suppress(spark, d):
-    return cand.suppress(fx.candidates(spark, d), ["method"], 80.0, 12).select("id", F.col("method").alias("grp"))
+    return cand.suppress(fx.candidates(spark, d), ["cluster"], 80.0, 12).select("id", F.col("cluster").alias("grp"))
 
 
 def _boxes(spark, d):
-    return fx.candidates(spark, d).select("id", "method", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("area")).alias("x1"), (F.col("y") + F.col("area")).alias("y1"), "score")
+    return fx.candidates(spark, d).select("id", "cluster", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("area")).alias("x1"), (F.col("y") + F.col("area")).alias("y1"), "score")
 
 
 _OVERLAP = "greatest(least(k.c, p.c) - greatest(k.a, p.a), 0) * greatest(least(k.e, p.e) - greatest(k.b, p.b), 0)"
 _IOU = f"{_OVERLAP} > {{}} * ((k.c - k.a) * (k.e - k.b) + (p.c - p.a) * (p.e - p.b) - {_OVERLAP})"
 
 
-@query(_GREEDY.format(rows=f"SELECT id, method AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM {CANDS_SQL}", blocks=_IOU.format(0.3), most=100000))
+@query(_GREEDY.format(rows=f"SELECT id, cluster AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM {CANDS_SQL}", blocks=_IOU.format(0.3), most=100000))
 def o6_box_nms(spark, d):
-    return cand.box_nms(_boxes(spark, d), ["method"], 0.3).select("id", F.col("method").alias("grp"))
+    return cand.box_nms(_boxes(spark, d), ["cluster"], 0.3).select("id", F.col("cluster").alias("grp"))
 
 
 # crops 0 (the frame) and 1 (its right half), boxes given from the crop's corner; the crops' second pass starts from the smaller one
-_CROPPED = "SELECT id, method, id % 2 AS k, x, y, area, score FROM {}".format(CANDS_SQL)
-_GREEDY_FIRST = _GREEDY.format(rows="SELECT id, method || k AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM w", blocks=_IOU.format(0.3), most=100000)
+_CROPPED = "SELECT id, cluster, id % 2 AS k, x, y, area, score FROM {}".format(CANDS_SQL)
+_GREEDY_FIRST = _GREEDY.format(rows="SELECT id, cluster * 2 + k AS grp, x AS a, y AS b, x + area AS c, y + area AS e, struct_pack(s := -score, a := x, b := y) AS o FROM w", blocks=_IOU.format(0.3), most=100000)
 
 
-@query(f"""WITH RECURSIVE w AS ({_CROPPED}), first AS ({_GREEDY_FIRST}), kept AS (SELECT w.* FROM w JOIN first USING (id)) """ + _GREEDY.format(rows="SELECT id, method AS grp, x + 600 * k AS a, y AS b, x + 600 * k + area AS c, y + area AS e, struct_pack(s := -k, a := x + 600 * k, b := y) AS o FROM kept", blocks=_IOU.format(0.5), most=100000).replace("WITH RECURSIVE p AS", ", p AS", 1).strip())
+@query(f"""WITH RECURSIVE w AS ({_CROPPED}), first AS ({_GREEDY_FIRST}), kept AS (SELECT w.* FROM w JOIN first USING (id)) """ + _GREEDY.format(rows="SELECT id, cluster AS grp, x + 600 * k AS a, y AS b, x + 600 * k + area AS c, y + area AS e, struct_pack(s := -k, a := x + 600 * k, b := y) AS o FROM kept", blocks=_IOU.format(0.5), most=100000).replace("WITH RECURSIVE p AS", ", p AS", 1).strip())
 def o6_crop_nms(spark, d):
     half = F.col("id") % 2
     b = _boxes(spark, d).withColumns({"cx0": (half * 600).cast("int"), "cy0": F.lit(0), "cx1": F.lit(1200), "cy1": F.lit(900)})
-    return cand.crop_nms(b, ["method"], ["cx0", "cy0", "cx1", "cy1"], 0.3, 0.5).select("id", F.col("method").alias("grp"))
+    return cand.crop_nms(b, ["cluster"], ["cx0", "cy0", "cx1", "cy1"], 0.3, 0.5).select("id", F.col("cluster").alias("grp"))
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT id, method, (x % 100) / 10 AS gx, y / 100 AS gy, score FROM {CANDS_SQL} WHERE (x % 100) / 10 BETWEEN -0.55 AND 9.55 AND y / 100 BETWEEN -0.55 AND 9.55),
-  g AS (SELECT method, -1 AS slot, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT method FROM {CANDS_SQL})
-  UNION ALL SELECT method, slot, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
-    SELECT g.method, g.slot + 1 AS slot, any_value(used) AS used, arg_min(c.id, struct_pack(d := sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2), s := -c.score)) AS pick
-    FROM g LEFT JOIN c ON c.method = g.method AND NOT list_contains(used, c.id) AND sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2) <= 0.48 WHERE g.slot < 99 GROUP BY g.method, g.slot))
-  SELECT g.method, CAST(slot // 10 AS INT) AS row, CAST(slot % 10 AS INT) AS col, round(coalesce(gx, slot % 10), 6) AS grid_x, round(coalesce(gy, slot // 10), 6) AS grid_y, coalesce(score, 0) AS score, pick IS NOT NULL AS detected FROM g LEFT JOIN c ON c.id = g.pick WHERE slot >= 0""")
+@query(f"""WITH RECURSIVE c AS (SELECT id, cluster AS frame, (x % 100) / 10 AS gx, y / 100 AS gy, score FROM {CANDS_SQL} WHERE (x % 100) / 10 BETWEEN -0.55 AND 9.55 AND y / 100 BETWEEN -0.55 AND 9.55),
+  g AS (SELECT frame, -1 AS slot, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT cluster AS frame FROM {CANDS_SQL})
+  UNION ALL SELECT frame, slot, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
+    SELECT g.frame, g.slot + 1 AS slot, any_value(used) AS used, arg_min(c.id, struct_pack(d := sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2), s := -c.score)) AS pick
+    FROM g LEFT JOIN c ON c.frame = g.frame AND NOT list_contains(used, c.id) AND sqrt((c.gx - (g.slot + 1) % 10)**2 + (c.gy - (g.slot + 1) // 10)**2) <= 0.48 WHERE g.slot < 99 GROUP BY g.frame, g.slot))
+  SELECT g.frame, CAST(slot // 10 AS INT) AS row, CAST(slot % 10 AS INT) AS col, round(coalesce(gx, slot % 10), 6) AS grid_x, round(coalesce(gy, slot // 10), 6) AS grid_y, coalesce(score, 0) AS score, pick IS NOT NULL AS detected FROM g LEFT JOIN c ON c.id = g.pick WHERE slot >= 0""")
 def j10_grid_assignment(spark, d):
-    c = fx.candidates(spark, d).select("method", ((F.col("x") % 100) / 10).alias("grid_x"), (F.col("y") / 100).alias("grid_y"), "score")
-    return cand.assign_grid(c, ["method"], 10, 10).withColumns({n: F.round(n, 6) for n in ("grid_x", "grid_y")})
+    c = fx.candidates(spark, d).select(F.col("cluster").alias("frame"), ((F.col("x") % 100) / 10).alias("grid_x"), (F.col("y") / 100).alias("grid_y"), "score")
+    return cand.assign_grid(c, ["frame"], 10, 10).withColumns({n: F.round(n, 6) for n in ("grid_x", "grid_y")})
 
 
 @query("SELECT p_partkey AS id, CAST(floor(least(greatest(p_retailprice / 1000 * 518 / 14, 0), 36)) AS INT) AS patch_x, CAST(floor(least(greatest(p_size / 40.0 * 392 / 14, 0), 27)) AS INT) AS patch_y FROM part")
@@ -681,9 +724,9 @@ def _track_sql(scale: float, joined: bool, original: bool) -> str:
     more = "CASE WHEN two THEN {} ELSE 0 END" if joined else "0 * {}"
     area, bw, bh = f"(w * h + {more.format(2)})", f"(w + {more.format(2)})", f"(h + {more.format(1)})"
     # hull of the pixel centres: the rectangle, and with a second one the two corners around the diagonal too
-    hull = f"(CASE WHEN two AND {joined} THEN (w - 1) * (h - 1) + (w - 1 + h - 1 + 2 * h) / 2.0 ELSE (w - 1) * (h - 1) END)"
-    return f"""WITH r AS (SELECT *, CAST(ceil(least(w, h) / 2.0) AS INT) AS k FROM {_RECTS}), m AS (SELECT *, {area} AS a, {bw} AS bw, {bh} AS bh, k * {up} AS radius FROM r WHERE NOT ({joined} AND two)),
-  q AS (SELECT *, CAST(round_even(a * {up * up}, 0) AS INT) AS area_px, CASE WHEN w > 1 AND h > 1 THEN a / greatest({hull}, 1.0) ELSE 1.0 END AS solidity FROM m),
+    hull = f"(CASE WHEN two AND {joined} THEN w * (h - 0.5) ELSE (w - 1) * (h - 1) END)"
+    return f"""WITH r AS (SELECT *, CAST(ceil(least(w, h) / 2.0) AS INT) AS k FROM {_RECTS}), m AS (SELECT *, {area} AS a, {bw} AS bw, {bh} AS bh, k * {up} AS radius FROM r),
+  q AS (SELECT *, CAST(round_even(a * {up * up}, 0) AS INT) AS area_px, CASE WHEN (w > 1 AND h > 1) OR (two AND {joined}) THEN a / greatest({hull}, 1.0) ELSE 1.0 END AS solidity FROM m),
   s AS (SELECT *, (CASE WHEN area_px < 50 OR area_px > 20000 THEN 0.5 ELSE 1.0 END) * (CASE WHEN radius < 3.0 THEN 0.8 ELSE 1.0 END) * (CASE WHEN greatest(bw, bh) / CAST(greatest(least(bw, bh), 1) AS DOUBLE) > 5 THEN 0.6 ELSE 1.0 END) AS quality FROM q)
   SELECT frame, (x0 + k - 1) / {scale} + CASE WHEN z % 3 = 0 THEN 100 ELSE 0 END AS u, (y0 + k - 1) / {scale} + 10 AS v, 'dt_peak' AS method, area_px, CAST(radius AS DOUBLE) AS core_radius_px, round(solidity, 6) AS solidity, round(quality, 6) AS quality, 1 AS valid FROM s"""
 
@@ -692,10 +735,10 @@ def _tracked(rows):
     return rows.select("frame", "u", "v", "method", "area_px", "core_radius_px", r6("solidity"), r6("quality"), "valid")
 
 
-# pixels joined over corners; parts with two touching rectangles are in m2_joined_over_corners
+# pixels joined over corners: two rectangles that touch there are one part
 @query(_track_sql(0.5, True, True))
 def m7_track_rows(spark, d):
-    return _tracked(masks.track_rows(_square(spark, d, "p_size % 2 = 1"), 0.5))
+    return _tracked(masks.track_rows(_square(spark, d), 0.5))
 
 
 @query(_track_sql(0.5, False, False))
@@ -923,10 +966,10 @@ def p31_prompt_assembly(spark, d):
     return p.select("id", F.transform("points", lambda q: q["x"]).alias("xs"), "labels")
 
 
-@query("SELECT o_custkey AS key, CAST(count(*) AS INT) AS n, list(o_orderkey ORDER BY o_orderkey)[1:10] AS head FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey AS key, CAST(count(*) AS INT) AS n, list(o_orderkey ORDER BY o_orderkey)[1:10] AS head, CASE WHEN count(*) > 10 THEN list(o_orderkey ORDER BY o_orderkey)[greatest(count(*) - 9, 11):count(*)] ELSE [] END AS tail FROM orders GROUP BY o_custkey")
 def a27_head_tail(spark, d):
     o = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"))
-    return o.select("key", txt.head_tail("l").alias("s")).select("key", F.col("s.count").alias("n"), F.col("s.head").alias("head"))
+    return o.select("key", txt.head_tail("l").alias("s")).select("key", F.col("s.count").alias("n"), F.col("s.head").alias("head"), F.col("s.tail").alias("tail"))
 
 
 @query("SELECT event_type AS method, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT p_brand FROM part) GROUP BY event_type")
@@ -951,21 +994,34 @@ def a13_found_pct(spark, d):
     return media.found_share(fx.table(spark, d, "events"), F.col("event_type") == "error").select("scanned", "found", r6("found_pct"))
 
 
-@query("SELECT CAST(y AS BIGINT) AS row, CAST(x AS BIGINT) AS col, round(x * 0.025, 6) AS px, round(y * 0.025, 6) AS py FROM range(9) a(x), range(6) b(y)")
+_BOARDS = "(SELECT p_partkey AS id, p_size % 4 + 2 AS n, p_size % 3 + 2 AS m, p_retailprice / 1000 AS square, p_retailprice AS p FROM part)"
+
+
+def _boards(spark, d):
+    size = F.col("p_size")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (size % 4 + 2).alias("n"), (size % 3 + 2).alias("m"), (F.col("p_retailprice") / 1000).alias("square"), F.col("p_retailprice").alias("p"))
+
+
+@query(f"SELECT id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(c * square, 6) AS px, round(r * square, 6) AS py FROM {_BOARDS}, range(5) a(c), range(4) b(r) WHERE c < n AND r < m")
 def o16_object_grid(spark, d):
-    return scans.grid(spark, 9, 6, 0.025).select("row", "col", r6("x", "px"), r6("y", "py"))
+    """The object points of each board."""
+    return scans.grids(_boards(spark, d), "n", "m", F.col("square")).select("id", "row", "col", r6("x", "px"), r6("y", "py"))
 
 
-@query("SELECT layer, round((x + 0.5) / n, 6) AS x, round((y + 0.5) / n, 6) AS y FROM (VALUES (0, 8), (1, 4)) l(layer, n), range(8) a(x), range(8) b(y) WHERE x < n AND y < n")
+@query(f"SELECT id, layer, round((x + 0.5) / k, 6) AS x, round((y + 0.5) / k, 6) AS y FROM (SELECT id, layer, greatest(n * 2 // CAST(2**layer AS INT), 1) AS k FROM {_BOARDS}, (SELECT unnest([0, 1]) AS layer)), range(10) a(x), range(10) b(y) WHERE x < k AND y < k")
 def o15_point_grids(spark, d):
-    return scans.point_grids(spark, 8, 1, 2).select("layer", r6("x"), r6("y"))
+    """Prompt points of each frame's crop layers, twice as many a side as its board has columns."""
+    g = scans.point_grids_of(_boards(spark, d).withColumn("side", F.col("n") * 2), "side", 1, 2)
+    return g.select("id", "layer", r6("x"), r6("y"))
 
 
-@query("SELECT CAST(c AS INT) AS col, CAST(r AS INT) AS row, round((1 - r/3.0)*((1 - c/4.0)*10 + c/4.0*110) + r/3.0*((1 - c/4.0)*12 + c/4.0*120), 6) AS x FROM range(5) a(c), range(4) b(r)")
+@query(f"SELECT id, CAST(c AS INT) AS col, CAST(r AS INT) AS row, round((1 - t) * ((1 - s) * 10 + s * (110 + p)) + t * ((1 - s) * 12 + s * 120), 6) AS x, round((1 - t) * ((1 - s) * p + s * 8) + t * ((1 - s) * (88 + p) + s * 90), 6) AS y FROM (SELECT *, c / (n - 1.0) AS s, r / (m - 1.0) AS t FROM {_BOARDS}, range(5) a(c), range(4) b(r) WHERE c < n AND r < m)")
 def o17_bilinear_grid(spark, d):
-    g = scans.grid(spark, 5, 4)
-    x, _ = num.bilinear([(10.0, 5.0), (110.0, 8.0), (120.0, 90.0), (12.0, 88.0)], "col", "row", F.lit(5), F.lit(4))
-    return g.select(F.col("col").cast("int").alias("col"), F.col("row").cast("int").alias("row"), r6(x, "x"))
+    """Slots between the measured corners of each board, in x and y."""
+    g = scans.grids(_boards(spark, d), "n", "m")
+    p = F.col("p")
+    x, y = num.bilinear([(F.lit(10.0), p), (110.0 + p, F.lit(8.0)), (F.lit(120.0), F.lit(90.0)), (F.lit(12.0), 88.0 + p)], "col", "row", "n", "m")
+    return g.select("id", "col", "row", r6(x, "x"), r6(y, "y"))
 
 
 @query("SELECT s_name AS serial, right(s_name, 4) AS short_id FROM supplier")
@@ -1005,9 +1061,53 @@ def x1_propagate_back(spark, d):
     return memory.propagate(s, ["side"], size=2, conds=2, reverse=True, limit=25).select("side", "frame", r6("output"))
 
 
-@query(f"SELECT frame, len(missing) = 0 AS complete, reason FROM (SELECT frame, missing, CASE WHEN len(missing) = 0 THEN '' ELSE '  AUTO missing [' || array_to_string(missing, ', ') || '] (' || (7 - len(missing)) || '/7)' END AS reason FROM (SELECT frame, list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(ids, i))) AS missing FROM (SELECT frame, coalesce(list(DISTINCT obj_id) FILTER (valid = 1), []) AS ids FROM {TRACKS_SQL} WHERE side = 'left' GROUP BY frame)))")
+# the same walk for each of 20 objects, conditioned every 10 frames
+_OBJ_SIGNAL = "(SELECT CAST(user_id % 20 AS INT) AS obj, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS INT) AS idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM events)"
+
+
+@query(_WALK.replace(f"SELECT side, idx, value FROM {SIGNAL_SQL}", f"SELECT obj AS side, idx, value FROM {_OBJ_SIGNAL}").replace("100", "10").replace("SELECT side, idx AS frame", "SELECT side AS obj, idx AS frame"))
+def x1_propagate_stream(spark, d):
+    """A stream over files that is stopped after the first half of the frames and started again from its checkpoint."""
+    rows = fx.table(spark, d, "events").select((F.col("user_id") % 20).cast("int").alias("obj"), "event_id", F.col("value").cast("float").cast("double").alias("value"))
+    observed = idioms.ranked(rows, "event_id", "frame", ["obj"]).select("obj", F.col("frame").cast("int").alias("frame"), "value", (F.col("frame") % 10 == 0).alias("corrected"))
+    observed = idioms.pinned(observed)
+    half = observed.agg((F.max("frame") / 2).cast("int")).first()[0] or 0
+    folder = fx.scratch(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (observed.where(F.col("frame") <= half), observed.where(F.col("frame") > half)):
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(observed.schema).parquet(f"{folder}/in")
+            out = memory.propagate_stream(stream, "obj", size=2, conds=2)
+            out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("obj int, frame int, output double").parquet(f"{folder}/out").select("obj", "frame", r6("output"))
+
+
+_PROMPTS = """(SELECT user_id AS session, event_id AS seq, event_id % 3 AS obj_id, event_id // 7 % 2 AS frame, CASE WHEN event_id * 7 % 23 < 14 THEN 'points' WHEN event_id * 7 % 23 < 17 THEN 'mask' WHEN event_id * 7 % 23 < 20 THEN 'clear' WHEN event_id * 7 % 23 < 22 THEN 'remove' ELSE 'reset' END AS kind,
+  CASE WHEN event_id % 13 = 0 THEN [2, 3] ELSE [CAST(event_id % 2 AS INT)] END AS labels, event_id % 5 = 0 AS fresh FROM events)"""
+
+
+@query(f"""WITH e AS (SELECT *, kind <> 'points' OR fresh OR NOT list_contains(labels, 2) AS accepted FROM {_PROMPTS}),
+  b AS (SELECT e.session, e.seq, max(q.seq) AS barrier, arg_max(q.kind, q.seq) AS by_kind FROM e JOIN e q ON q.session = e.session AND q.seq <= e.seq AND (q.kind = 'reset' OR (q.kind = 'remove' AND q.obj_id = e.obj_id)
+        OR (q.obj_id = e.obj_id AND q.frame = e.frame AND (q.kind IN ('mask', 'clear') OR (q.kind = 'points' AND q.fresh)))) GROUP BY 1, 2),
+  p AS (SELECT e.session, e.seq, flatten(list(q.labels ORDER BY q.seq)) AS labels FROM e LEFT JOIN b USING (session, seq) JOIN e q ON q.session = e.session AND q.obj_id = e.obj_id AND q.frame = e.frame AND q.kind = 'points' AND q.accepted AND q.seq <= e.seq AND q.seq >= coalesce(b.barrier, -1) GROUP BY 1, 2)
+  SELECT e.session, e.seq, e.kind, e.accepted, coalesce(p.labels, []) AS labels, coalesce(len(p.labels), 0) AS n_points, coalesce(b.by_kind = 'mask', false) AND p.labels IS NULL AS masked FROM e LEFT JOIN b USING (session, seq) LEFT JOIN p USING (session, seq)""")
+def x8_prompt_sessions(spark, d):
+    """What is prompted after each event of a log."""
+    k = F.col("event_id")
+    kind = F.when(k * 7 % 23 < 14, "points").when(k * 7 % 23 < 17, "mask").when(k * 7 % 23 < 20, "clear").when(k * 7 % 23 < 22, "remove").otherwise("reset")
+    labels = F.when(k % 13 == 0, F.array(F.lit(2), F.lit(3))).otherwise(F.array((k % 2).cast("int")))
+    points = F.transform(labels, lambda x: F.struct(x.cast("double").alias("x"), F.col("value").alias("y")))
+    log = fx.table(spark, d, "events").select(F.col("user_id").alias("session"), k.alias("seq"), (k % 3).alias("obj_id"), (F.floor(k / 7) % 2).alias("frame"), kind.alias("kind"), points.alias("points"), labels.alias("labels"), (k % 5 == 0).alias("fresh"))
+    return sessions.states(log).select("session", "seq", "kind", "accepted", "labels", F.size("points").cast("long").alias("n_points"), "masked")
+
+
+@query(f"SELECT side, frame, len(missing) = 0 AS complete, reason FROM (SELECT side, frame, missing, CASE WHEN len(missing) = 0 THEN '' ELSE '  AUTO missing [' || array_to_string(missing, ', ') || '] (' || (7 - len(missing)) || '/7)' END AS reason FROM (SELECT side, frame, list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(ids, i))) AS missing FROM (SELECT side, frame, coalesce(list(DISTINCT obj_id) FILTER (valid = 1), []) AS ids FROM {TRACKS_SQL} GROUP BY side, frame)))")
 def x6_auto_pause(spark, d):
-    return match.auto_pause(fx.sides(spark, d)[0], list(range(1, 8))).select("frame", (~F.col("pause")).alias("complete"), "reason")
+    return match.auto_pause(fx.tracks(spark, d), list(range(1, 8)), ["side"]).select("side", "frame", (~F.col("pause")).alias("complete"), "reason")
 
 
 @query(f"SELECT '100MEDIA' AS directory, name, '.mp4' AS ext, size, timestamp FROM {MEDIA_SQL}")
@@ -1224,10 +1324,12 @@ def p31_appended_prompts(spark, d):
     return kept.unionByName(cleared).select("id", F.transform("points", lambda q: q["x"]).alias("xs"), "labels")
 
 
-@query("""WITH b AS (SELECT layer, 2**layer AS n, CASE WHEN layer = 0 THEN 0 ELSE CAST(floor(0.34 * 480 * 2 / 2**layer) AS INT) END AS o FROM range(3) t(layer)), c AS (SELECT *, CAST(ceil((o * (n - 1) + 640) / n) AS INT) AS w, CAST(ceil((o * (n - 1) + 480) / n) AS INT) AS h FROM b)
-  SELECT CAST(layer AS INT) AS layer, CAST(i * (w - o) AS INT) AS x0, CAST(j * (h - o) AS INT) AS y0, CAST(least(i * (w - o) + w, 640) AS INT) AS x1, CAST(least(j * (h - o) + h, 480) AS INT) AS y1 FROM c, range(4) p(i), range(4) q(j) WHERE i < n AND j < n""")
+@query("""WITH f AS (SELECT p_partkey AS id, 300 + p_size * 8 AS h, 400 + p_partkey % 320 AS wide FROM part), b AS (SELECT *, CAST(2**layer AS INT) AS n, CASE WHEN layer = 0 THEN 0 ELSE CAST(floor(0.34 * least(h, wide) * 2 / 2**layer) AS INT) END AS o FROM f, range(3) t(layer)),
+  c AS (SELECT *, CAST(ceil((o * (n - 1) + wide) / n) AS INT) AS cw, CAST(ceil((o * (n - 1) + h) / n) AS INT) AS ch FROM b)
+  SELECT id, CAST(layer AS INT) AS layer, CAST(i * (cw - o) AS INT) AS x0, CAST(j * (ch - o) AS INT) AS y0, CAST(least(i * (cw - o) + cw, wide) AS INT) AS x1, CAST(least(j * (ch - o) + ch, h) AS INT) AS y1 FROM c, range(4) p(i), range(4) q(j) WHERE i < n AND j < n""")
 def o15_crop_pyramid(spark, d):
-    return scans.crop_pyramid(spark, 480, 640, 2, 0.34)
+    f = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (300 + F.col("p_size") * 8).cast("int").alias("h"), (400 + F.col("p_partkey") % 320).cast("int").alias("w"))
+    return scans.crops_of(f, "h", "w", 2, 0.34).select("id", "layer", "x0", "y0", "x1", "y1")
 
 
 @query(f"SELECT obj_id, sum(total) AS total, sum(invalid) AS invalid, round(100.0 * sum(invalid) / sum(total), 6) AS pct FROM (SELECT side, obj_id, count(*) AS total, count(*) FILTER (valid = 0) AS invalid FROM {TRACKS_SQL} GROUP BY 1, 2) GROUP BY obj_id")
@@ -1250,9 +1352,14 @@ def a8_axial_mean(spark, d):
     return spark.createDataFrame([(round(netframe.axial_mean(pairs, 0.5), 6),)], "angle double")
 
 
-@query("SELECT count, cols, rows FROM (VALUES (20, 5, 4), (19, 19, 1), (12, 4, 3), (36, 6, 6)) t(count, cols, rows)")
+@query(f"""WITH g AS (SELECT frame_L, count(*) AS n, max(Y) - min(Y) AS sy, max(Z) - min(Z) AS sz FROM {_VALID} GROUP BY frame_L),
+  k AS (SELECT *, n // c AS r FROM (SELECT *, unnest(range(1, n + 1)) AS c FROM g) WHERE n % c = 0), o AS (SELECT *, max(CASE WHEN least(c, r) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_L) AS wide FROM k),
+  s AS (SELECT *, abs((greatest(c, r) - 1) / CAST(greatest(least(c, r) - 1, 1) AS DOUBLE) - greatest(sy, sz) / greatest(least(sy, sz), 1e-9)) + CASE WHEN sign(c - r) * CASE WHEN sy >= sz THEN 1 ELSE -1 END < 0 THEN 0.25 ELSE 0 END + abs(c - r) / CAST(n AS DOUBLE) AS cost
+        FROM o WHERE wide = 0 OR least(c, r) > 1)
+  SELECT frame_L, n, CAST(arg_min(c, struct_pack(cost := cost, c := c)) AS INT) AS cols, CAST(arg_min(r, struct_pack(cost := cost, c := c)) AS INT) AS rows FROM s GROUP BY frame_L, n""")
 def o18_grid_shape(spark, d):
-    return spark.createDataFrame([(n, *netframe.grid_shape(n, y, z)) for n, y, z in ((20, 5.0, 3.0), (19, 9.0, 1.0), (12, 3.0, 2.0), (36, 1.0, 1.0))], "count int, cols int, rows int")
+    """The grid that each frame's points would form."""
+    return netframe.grid_shapes(_valid(spark, d), ["frame_L"], "Y", "Z").select("frame_L", "n", "cols", "rows")
 
 
 from . import calibrated, vision  # noqa: E402, F401  the queries that they register

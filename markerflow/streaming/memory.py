@@ -3,44 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any, Protocol
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.match import on_clock, usable
 
 
 class MaskModel(Protocol):
-    """What a segmentation model has to offer; weights and devices are outside this library. predict is the image form (prompts
-    without memory); step the video form (an observation with what is remembered); reset forgets all, remove one object."""
-
-    def predict(self, image: Any, points: list, labels: list) -> list[float]: ...
+    """What a model of a walk has to offer: a frame's output from its observation and what is remembered. Weights and devices are outside this library;
+    prompts, their removal and resets are in sessions."""
 
     def step(self, frame: int, value: float, memory: list[float]) -> float: ...
 
-    def remove(self, key: Any) -> None: ...
-
-    def reset(self) -> None: ...
-
 
-class MeanModel:
-    """A deterministic stand-in: the mean of the observation and what is remembered. It keeps nothing itself."""
-
-    def predict(self, image: Any, points: list, labels: list) -> list[float]:
-        return [float(sum(labels)) / max(1, len(labels))]
+class Smoothing:
+    """Smoothing over the memory: the mean of the observation and what is recalled for its frame."""
 
     def step(self, frame: int, value: float, memory: list[float]) -> float:
         return (value + sum(memory)) / (1 + len(memory))
 
-    def remove(self, key: Any) -> None:
-        pass
-
-    def reset(self) -> None:
-        pass
-
 
 def closest(frames: list[int], frame: int, most: int) -> list[int]:
     """Of conditioned frames (in order of insertion) those attended to: the last before, the first from there on, then the nearest."""
@@ -110,7 +95,7 @@ def walk(pdf: pd.DataFrame, memory: Memory, model: MaskModel, first: int | None
     return ordered.assign(output=out)
 
 
-def propagate(observations: DataFrame, by: list[str], model: Callable[[], MaskModel] = MeanModel, size: int = 7, stride: int = 1, restart: int | None = None, conds: int = 4, keep: int = 64, reverse: bool = False, start: int | None = None, limit: int | None = None) -> DataFrame:
+def propagate(observations: DataFrame, by: list[str], model: Callable[[], MaskModel] = Smoothing, size: int = 7, stride: int = 1, restart: int | None = None, conds: int = 4, keep: int = 64, reverse: bool = False, start: int | None = None, limit: int | None = None) -> DataFrame:
     """Batch form: one object's frames are one group, walked in order (backward with reverse).
 
     start is where the walk begins (the first corrected frame of the object unless given; its first frame if there is none), limit how
@@ -136,21 +121,46 @@ def restarted(output: DataFrame, again: DataFrame, restart: int) -> DataFrame:
     return output.where(F.col("frame") < restart).unionByName(again.where(F.col("frame") >= restart))
 
 
-def propagate_stream(observations: DataFrame, key: str, model: Callable[[], MaskModel] = MeanModel, size: int = 7, stride: int = 1, conds: int = 4, keep: int = 64) -> DataFrame:
-    """Streaming form: the memory of each key is state, bounded by size * stride other and keep conditioned frames; within a micro-batch,
-    frames are put in order first."""
+class _Walk(StatefulProcessor):
+    """The memory of one key as state: two maps from frame to output, of which only what changed is written. With expire_ms, what was not written for that
+    long is forgotten by the state store."""
+
+    def __init__(self, key: str, model: Callable[[], MaskModel], memory: dict[str, int], expire_ms: int | None) -> None:
+        self.key, self.model, self.memory, self.expire = key, model, memory, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = {"ttlDurationMs": self.expire} if self.expire else {}
+        self.kinds = {kind: handle.getMapState(kind, "frame int", "place int, value double", **ttl) for kind in ("cond", "other")}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        memory, held = Memory(**self.memory), {}
+        for kind, state in self.kinds.items():
+            held[kind] = sorted((int(v[0]), int(k[0]), float(v[1])) for k, v in state.iterator())  # conditioned frames in order of insertion
+            setattr(memory, kind, {frame: value for _, frame, value in held[kind]})
+        out = walk(pd.concat(list(rows)), memory, self.model())
+        for kind, state in self.kinds.items():
+            before = {frame: (place, value) for place, frame, value in held[kind]}
+            after = {frame: (place, value) for place, (frame, value) in enumerate(getattr(memory, kind).items())}
+            for frame in before.keys() - after.keys():
+                state.removeKey((frame,))
+            for frame, row in after.items():
+                if before.get(frame) != row:
+                    state.updateValue((frame,), row)
+        yield pd.DataFrame({self.key: key[0], "frame": out["frame"].astype("int32"), "output": out["output"].astype(float)})
+
+    def close(self) -> None:
+        pass
 
-    def run(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = Memory(size, stride, conds, keep)
-        if state.exists:
-            cf, cv, of, ov = state.get
-            memory.cond, memory.other = dict(zip(cf, cv)), dict(zip(of, ov))
-        out = walk(pd.concat(list(frames)), memory, model())
-        state.update((list(memory.cond), list(memory.cond.values()), list(memory.other), list(memory.other.values())))
-        yield out[[key, "frame", "output"]]
 
+def propagate_stream(observations: DataFrame, key: str, model: Callable[[], MaskModel] = Smoothing, size: int = 7, stride: int = 1, conds: int = 4, keep: int = 64, expire_ms: int | None = None) -> DataFrame:
+    """Streaming form: (key, frame, output) of observations (key, frame, value, corrected) as they arrive, the memory of each key being state in the state store
+    (which has to be RocksDB's), bounded by size * stride other and keep conditioned frames. Within a micro-batch frames are put in order; one that comes
+    after later frames were walked is walked with what is remembered then. A query that is stopped and started again from its
+    checkpoint goes on where it was."""
+    bounds = {"size": size, "stride": stride, "conds": conds, "keep": keep}
     kind = dict(observations.dtypes)[key]
-    return observations.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame int, output double", "cf array<int>, cv array<double>, of array<int>, ov array<double>", "append", GroupStateTimeout.NoTimeout)
+    processor = _Walk(key, model, bounds, expire_ms)
+    return observations.groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, frame int, output double", "Append", "ProcessingTime" if expire_ms else "None")
 
 
 def stream_match(left: DataFrame, right: DataFrame, quality_min: float, left_drop: int, right_drop: int, late: str = "10 seconds") -> DataFrame:

@@ -274,14 +274,19 @@ def test_memory():
     assert m.cond == {6: 1.0} and m.other == {}
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(s, f, float(f % 7), f % 10 == 0) for s in (0, 1) for f in range(30)]
     d = spark.createDataFrame(rows, "side int, frame int, value double, corrected boolean")
     d.repartition(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     q = memory.propagate_stream(stream, "side").writeStream.format("memory").queryName("walked").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     a = {(r.side, r.frame): r.output for r in spark.table("walked").collect()}
     b = {(r.side, r.frame): r.output for r in memory.propagate(d, ["side"]).collect()}
     assert a == b and len(a) == 60
@@ -433,38 +438,6 @@ def test_png_round_trip(spark, tmp_path):
         files.masks_of(frames, got).collect()
 
 
-def test_small_sources(spark, tmp_path):
-    import wave
-
-    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(np.array([0, 16384, -32768], "<i2").tobytes())
-    assert [(r.idx, r.value) for r in files.read_audio(spark, str(tmp_path / "a.wav")).orderBy("idx").collect()] == [(0, 0.0), (1, 0.5), (2, -1.0)]
-
-    def fetch(path):
-        if path == "old":
-            raise OSError("no answer")
-        return '{"ok": 1}' if path == "new" else "not json"
-
-    assert files.first_answer(["old", "text", "new"], fetch) == {"ok": 1}
-    with pytest.raises(OSError):
-        files.first_answer(["text", "old"], fetch)
-    for n, name in ((2, "00002.jpg"), (10, "10.JPEG"), (1, "f1.jpg")):
-        (tmp_path / name).write_bytes(b"x" * n)
-    assert [(r.frame, len(r.content)) for r in files.read_frames(spark, str(tmp_path)).collect()] == [(1, 1), (2, 2), (10, 10)]
-    (tmp_path / "clip.MP4").write_bytes(b"")
-    assert files.resolve_video(str(tmp_path / "clip.mp4")).endswith("clip.MP4")
-    with pytest.raises(FileNotFoundError):
-        files.resolve_video(str(tmp_path / "none.mp4"))
-    with pytest.raises(ValueError, match="workers"):
-        num.check_arguments(scale=0.5, step=1, workers=0)
-    num.check_arguments(scale=0.5, max_frames=-1)
-    files.write_package(spark.createDataFrame([("a/b.json", "{}")], "path string, body string"), str(tmp_path / "pkg"))
-    assert (tmp_path / "pkg" / "a" / "b.json").read_text() == "{}"
-    (tmp_path / "s.json").write_text("{}")
-    with pytest.raises(ValueError, match="detected_frame_indices"):
-        files.read_detections(spark, str(tmp_path / "s.json"))
-
-
 def test_error_columns():
     assert match.error_columns(["X", "err_px", "err"]) == ("err",) and match.error_columns(["X"]) == ()
     assert match.error_columns(["X_err", "err"]) == () and match.error_columns(["X_err", "Y_err", "Z_err", "err"]) == ("X_err", "Y_err", "Z_err")
@@ -581,3 +554,27 @@ def test_batch_states_give_the_lists_of_batch_status(spark):
         for status in ("ok", "stopped", "failed"):
             assert side[status] == sorted(b for r in mine if r.status == status and r.batch is not None for b in [r.batch] * r.times)
     assert media.batch_states(batches.limit(0)).count() == 0
+
+
+def test_small_sources(spark, tmp_path):
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(np.array([0, 16384, -32768], "<i2").tobytes())
+    assert [(r.idx, r.value) for r in files.read_audio(spark, str(tmp_path / "a.wav")).orderBy("idx").collect()] == [(0, 0.0), (1, 0.5), (2, -1.0)]
+
+    for n, name in ((2, "00002.jpg"), (10, "10.JPEG"), (1, "f1.jpg")):
+        (tmp_path / name).write_bytes(b"x" * n)
+    assert [(r.frame, len(r.content)) for r in files.read_frames(spark, str(tmp_path)).collect()] == [(1, 1), (2, 2), (10, 10)]
+    (tmp_path / "clip.MP4").write_bytes(b"")
+    assert files.resolve_video(str(tmp_path / "clip.mp4")).endswith("clip.MP4")
+    with pytest.raises(FileNotFoundError):
+        files.resolve_video(str(tmp_path / "none.mp4"))
+    with pytest.raises(ValueError, match="workers"):
+        num.check_arguments(scale=0.5, step=1, workers=0)
+    num.check_arguments(scale=0.5, max_frames=-1)
+    files.write_package(spark.createDataFrame([("a/b.json", "{}")], "path string, body string"), str(tmp_path / "pkg"))
+    assert (tmp_path / "pkg" / "a" / "b.json").read_text() == "{}"
+    (tmp_path / "s.json").write_text("{}")
+    with pytest.raises(ValueError, match="detected_frame_indices"):
+        files.read_detections(spark, str(tmp_path / "s.json"))
