@@ -77,7 +77,10 @@ def rays(uv: np.ndarray, k: np.ndarray, d: np.ndarray, rounds: int = 40) -> np.n
     x, y = x0.copy(), y0.copy()
     for _ in range(rounds):
         dx, dy = lens(x, y, d)
-        x, y = x + (x0 - dx), y + (y0 - dy)
+        dx, dy = x0 - dx, y0 - dy
+        x, y = x + dx, y + dy
+        if max(np.abs(dx).max(initial=0), np.abs(dy).max(initial=0)) < 1e-13:
+            break
     return np.stack([x, y], axis=1)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, tiles
+from ..operators import corners, detectors, tiles
 from . import adapters as fx
 from .adapters import PIXELS_SQL
 from .queries import query, r6
@@ -82,3 +82,33 @@ def m11_candidates(spark, d):
 
     found = detectors.detect(fx.pixels(spark, d), ["frame"], ("hsv", "lab", "gray", "blob"), fx.FRAME, 3.0, 400.0, 0.2, 4.0, size=32)
     return cand.merge_candidates(found, ["frame"], 4.0).select("frame", r6("x"), r6("y"), r6("area"), "method", r6("score"), "members")
+
+
+_BOARD = (4, 3)
+
+
+def _drawn_boards(spark, d):
+    """For each supplier a frame of 64 x 48 with a turned board of 4 x 3 inner corners, each pixel the mean of 16 points; and the board's place."""
+    key = F.col("s_suppkey")
+    s = fx.table(spark, d, "supplier").select(key.alias("image"), ((key % 11 - 5) * 0.1 + 0.04).alias("angle"), (31.2 + key % 5).alias("cx"), (23.6 - key % 3).alias("cy"), (8.0 + key % 2 * 0.5).alias("step"))
+    s = s.withColumns({"c": F.cos("angle"), "n": F.sin("angle")})
+    grid = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
+
+    def shade(k):
+        px, py = F.col("x") + (k % 4 + 0.5) / 4 - 0.5 - F.col("cx"), F.col("y") + (F.floor(k / 4) + 0.5) / 4 - 0.5 - F.col("cy")
+        u, v = (F.col("c") * px + F.col("n") * py) / F.col("step") + (_BOARD[0] - 1) / 2, (F.col("c") * py - F.col("n") * px) / F.col("step") + (_BOARD[1] - 1) / 2
+        field = F.when(F.pmod(F.floor(u) + F.floor(v), F.lit(2)) == 0, 30.0).otherwise(220.0)
+        return F.when(u.between(-1, _BOARD[0]) & v.between(-1, _BOARD[1]), field).otherwise(128.0)
+
+    value = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(15)), shade), F.lit(0.0), lambda a, b: a + b) / 16
+    return s, grid.select("image", "x", "y", value.alias("value"))
+
+
+@query("SELECT s_suppkey AS image, CAST(pos AS INT) AS pos, true AS close FROM supplier, range(12) t(pos)")
+def g13_board_corners(spark, d):
+    """Corners found in drawn frames, each within a tenth of a pixel of where it was drawn."""
+    s, frames = _drawn_boards(spark, d)
+    found = corners.find_boards(frames, ["image"], *_BOARD, size=32)
+    i, j = F.col("pos") % _BOARD[0] - (_BOARD[0] - 1) / 2, F.floor(F.col("pos") / _BOARD[0]) - (_BOARD[1] - 1) / 2
+    x, y = F.col("cx") + F.col("step") * (F.col("c") * i - F.col("n") * j), F.col("cy") + F.col("step") * (F.col("n") * i + F.col("c") * j)
+    return found.join(s, "image").select("image", "pos", ((F.abs(F.col("x") - x) < 0.1) & (F.abs(F.col("y") - y) < 0.1)).alias("close"))

@@ -259,3 +259,29 @@ def test_every_detector_gives_what_the_merge_takes(spark):
     found = detectors.detect(df, ["image"], ("hsv", "lab"), (40, 32), 3, 400, 0.1, 4.0, size=16)
     merged = candidates.merge_candidates(found, ["image"], 4.0).collect()
     assert merged and {m for r in found.collect() for m in [r.method]} <= {"hsv", "lab"}
+
+
+def drawn(h, w, cols, rows, step, angle, cx, cy, over=6):
+    ys, xs = np.mgrid[: h * over, : w * over]
+    x, y = (xs + 0.5) / over - 0.5 - cx, (ys + 0.5) / over - 0.5 - cy
+    c, n = np.cos(angle), np.sin(angle)
+    u, v = (c * x + n * y) / step + (cols - 1) / 2, (c * y - n * x) / step + (rows - 1) / 2
+    im = np.where((u >= -1) & (u <= cols) & (v >= -1) & (v <= rows), np.where((np.floor(u) + np.floor(v)) % 2 == 0, 30, 220), 128)
+    return im.reshape(h, over, w, over).mean(axis=(1, 3))
+
+
+@pytest.mark.parametrize("size", [16, 64])
+def test_boards_are_found(spark, size):
+    from markerflow.operators import corners
+
+    places = {1: (11.0, 0.15, 55.3, 38.7), 2: (9.0, -0.7, 50.0, 40.2), 3: (12.0, 1.4, 52.0, 41.0)}
+    images = {k: drawn(80, 104, 5, 4, *p) for k, p in places.items()} | {4: np.full((80, 104), 90.0), 5: drawn(80, 104, 3, 3, 10.0, 0.2, 50, 40)}
+    got = {}
+    for r in corners.find_boards(frame(spark, images), ["image"], 5, 4, size=size).collect():
+        got.setdefault(r.image, {})[r.pos] = (r.x, r.y)
+    assert set(got) == {1, 2, 3}
+    for k, (step, angle, cx, cy) in places.items():
+        c, n = np.cos(angle), np.sin(angle)
+        want = np.array([[(cx + step * (c * u - n * v), cy + step * (n * u + c * v)) for u in np.arange(5) - 2] for v in np.arange(4) - 1.5])
+        at = np.array([got[k][p] for p in range(20)])
+        assert np.abs(at - corners.canonical(want).reshape(-1, 2)).max() < 0.1
