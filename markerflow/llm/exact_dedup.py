@@ -4,7 +4,7 @@
    distinct text and one row per document: the index log, a table in the shared folder.
 2. The directory grows from a histogram of the entries' hash prefixes: a bucket whose entries exceed `bucket_bytes` is split
    by one more bit, and the directory doubles when a bucket has used all its bits.
-3. Owner tasks take ranges of buckets, chain the entries of a bucket by hash and compare bytes within a chain; each chain
+3. Owner tasks take ranges of buckets, which are ranges of the hash, of about as many bytes each; they chain the entries of a bucket by hash and compare bytes within a chain; each chain
    node counts its documents and keeps the largest doc_id.
 4. The verdict of an entry goes back to the documents of that entry. An entry never spans tasks, so a text that a third of
    all rows share makes one entry per task, and no join key is hot.
@@ -111,6 +111,13 @@ class Directory:
         order = np.argsort(start)
         self.slots = np.repeat(np.arange(len(start), dtype=np.int32), width[order])
 
+        held = np.bincount(self.slots[np.arange(len(sizes)) >> (most - self.depth)], weights=sizes, minlength=len(start))
+        self.middle = (np.cumsum(held) - held / 2) / max(1.0, held.sum())
+
+    def owners(self, n: int) -> np.ndarray:
+        """Of each bucket the owner among n: neighbours of about equal bytes go together."""
+        return np.minimum((self.middle * n).astype(np.int32), n - 1)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         u = h.astype(np.int64).view(np.uint64)
         return self.slots[(u >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(u), np.int32)
@@ -167,13 +174,17 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, carry: list[s
     with sweeping(spark):
         for r in histogram.toLocalIterator():
             sizes[r.p] = r.s
-    shared = spark.sparkContext.broadcast(Directory(sizes, bucket_bytes))
+    directory, owners = Directory(sizes, bucket_bytes), partitions(spark)
+    shared = spark.sparkContext.broadcast((directory, directory.owners(owners)))
 
-    @F.pandas_udf("int")
-    def bucket(h: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.find(h.to_numpy()))
+    @F.pandas_udf("bucket int, owner int")
+    def place(h: pd.Series) -> pd.DataFrame:
+        index, owner = shared.value
+        bucket = index.find(h.to_numpy())
+        return pd.DataFrame({"bucket": bucket, "owner": owner[bucket]})
 
-    dealt = entries.select(bucket("h").alias("bucket"), "h", "entry", "n", "known", "top", "lead", "packed").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "h")
+    placed = entries.select(place("h").alias("at"), "h", "entry", "n", "known", "top", "lead", "packed").select("at.bucket", "at.owner", "h", "entry", "n", "known", "top", "lead", "packed")
+    dealt = placed.repartitionById(owners, "owner").drop("owner").sortWithinPartitions("bucket", "h")
     # an owner's chain nodes hold one text each; what is summed over a node's entries is one row per task that saw the text
     nodes = stage(dealt.mapInPandas(_owner, "entry string, node string, n long, known boolean, top long, lead long"), "dedup-nodes")
     whole = Window.partitionBy("node")

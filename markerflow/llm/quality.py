@@ -4,7 +4,7 @@ The trees are flattened into arrays (feature, threshold, left child, leaf value)
 documents walks all trees level by level in numpy. Fitting reads at most `train_rows` labelled rows, of which only their
 statistics reach the driver; scoring reads every row whole.
 
-Defined cases: null text is the empty text, whose statistics are all 0; of rows with one doc_id the one whose text has the least hash is learnt
+Defined cases: a row with a null doc_id is not held out, and not learnt from, as no label is its own; null text is the empty text, whose statistics are all 0; of rows with one doc_id the one whose text has the least hash is learnt
 from; labels that are null, not 0 or 1, or held out are not
 learnt from; with labels of one class or none, every score is their smoothed rate; other columns pass through untouched.
 """

@@ -8,7 +8,7 @@ Fitting reads at most `train_rows` labelled rows (the first in the order of a ha
 n-gram that tells the classes apart by more than chance takes part, however many there are: the training rows are bounded, and their
 n-grams lie in blocks of rows.
 
-Defined cases: of rows with one doc_id the one whose text has the least hash is learnt from; null text is the empty text and scores as the intercept alone; labels that are null, not 0 or 1, or held out are
+Defined cases: a row with a null doc_id is not held out, and not learnt from, as no label is its own; of rows with one doc_id the one whose text has the least hash is learnt from; null text is the empty text and scores as the intercept alone; labels that are null, not 0 or 1, or held out are
 not learnt from; with labels of one class or none, every score is their smoothed rate; other columns pass through untouched.
 """
 
