@@ -25,6 +25,8 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below the classifier's threshold stay, repeated ones too; a null or empty text scores as the intercept alone, a null id changes nothing. Without
+    labels of both kinds every row scores alike, below the threshold."""
     score = unused(docs, "toxicity")
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), column=score)
     return scored.where(F.col(score) < toxicity.TOXIC).select(*docs.columns)
@@ -54,12 +56,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no window of a benchmark item stay, repeated ones too; a null or empty text holds none, an empty benchmark takes nothing."""
     leaks = unused(docs, "leaks")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks)
     return found.where(F.col(leaks)["n_hit"] == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, with what the mix takes of it (0 or more words); null sources are one source, a null text has no words."""
     return mixing.mix_sources(docs)
 
 
