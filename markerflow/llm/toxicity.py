@@ -9,7 +9,7 @@ n-gram that tells the classes apart by more than chance takes part, however many
 n-grams lie in blocks of rows.
 
 Defined cases: a row with a null doc_id is not held out, and not learnt from, as no label is its own; of rows with one doc_id the one whose text has the least hash is learnt from; null text is the empty text and scores as the intercept alone; labels that are null, not 0 or 1, or held out are
-not learnt from; with labels of one class or none, every score is their smoothed rate; other columns pass through untouched.
+not learnt from; with toxic labels alone every score is their smoothed rate, without any it is 0; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -111,6 +111,10 @@ def regression(blocks: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale
     return v, b
 
 
+#: Intercept where no text to learn from is marked: a score of 0.
+NOTHING_TOXIC = -500.0
+
+
 def fit(rows: DataFrame, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weight by bin, intercept) from the bounded staged rows; they stream past twice, text by text."""
     features = Features()
@@ -122,7 +126,7 @@ def fit(rows: DataFrame, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.n
     total = np.bincount(y, minlength=2)
     prior = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total.all():
-        return np.zeros(BINS, np.float32), prior
+        return np.zeros(BINS, np.float32), prior if total[1] else NOTHING_TOXIC
     kept = [np.flatnonzero(likelihood_ratios(counts[:, i : i + BLOCK_BINS].astype(np.float64), total) >= LEAST) + i for i in range(0, BINS, BLOCK_BINS)]
     chosen = np.concatenate(kept)
     if not len(chosen):

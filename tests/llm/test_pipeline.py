@@ -102,3 +102,12 @@ def test_near_stage_keeps_one_row_of_each_component(spark):
     assert {(5, first), (None, clean), rows[3], rows[5]} <= set(kept) and not {rows[1], rows[4]} & set(kept)
     assert [sum(t.startswith(s) for _, t in kept if t) for s in (first, second, third)] == [1, 1, 1]
     assert sum(1 for _, t in kept if not (t or "").strip()) == 4
+
+
+def test_without_toxic_labels_nothing_goes(spark):
+    from markerflow.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(8)] + [(None, None)], "doc_id long, text string")
+    for labels in ([], [(i, 0, 0) for i in range(8)]):
+        scored = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert scored.where(f"toxicity >= {toxicity.TOXIC}").count() == 0 and scored.count() == 9
