@@ -25,8 +25,8 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below the classifier's threshold stay, repeated ones too; a null or empty text scores as the intercept alone, a null id changes nothing. Without
-    labels of both kinds every row scores alike, below the threshold."""
+    """Rows scored below the classifier's threshold stay, repeated ones too; a null or empty text scores as the intercept alone, a null id changes nothing. Where no
+    text to learn from is marked toxic, no row goes; where all are, every row does."""
     score = unused(docs, "toxicity")
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), column=score)
     return scored.where(F.col(score) < toxicity.TOXIC).select(*docs.columns)
