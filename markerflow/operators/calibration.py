@@ -23,7 +23,7 @@ from .geometry import Rig, distort, rays
 from .idioms import pinned
 
 #: Views worked on together, rounds of a pose and of the shared parameters, and the relative gain at which rounds end.
-TOGETHER, POSE_ROUNDS, ROUNDS, GAIN = 256, 30, 60, 1e-13
+TOGETHER, POSE_ROUNDS, POSE_GAIN, ROUNDS, GAIN = 256, 30, 1e-9, 60, 1e-13
 LEAST_POINTS = 4
 
 
@@ -41,6 +41,11 @@ def views(corners: DataFrame, by: str = "view", pixels: tuple[str, ...] = ("u",
     return rows.where(F.size("points") >= LEAST_POINTS)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Views over all tasks: they are few bytes each, but work, and every round reads them."""
+    return pinned(rows.select("points").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _batches(pdf: pd.DataFrame, names: tuple[str, ...]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """(rows, points (views, most points, names), weights 0 or 1) of views taken together."""
     for at in range(0, len(pdf), TOGETHER):
@@ -198,7 +203,7 @@ def best_poses(residuals: Residuals, shared: np.ndarray, data: np.ndarray, weigh
         pick = good[:, None, None]
         r, t = np.where(pick, new_r, r), np.where(good[:, None], new_t, t)
         e, j = np.where(pick, new_e, e), np.where(pick[..., None], new_j, j)
-        done = ~good | (cost - new_cost <= 1e-15 * cost) | (np.abs(step).max(axis=1) < 1e-13)
+        done = ~good | (cost - new_cost <= POSE_GAIN * cost) | (new_cost <= 1e-22 * weight.sum(axis=1))
         damp = np.clip(np.where(good, damp * 0.1, damp * 10), 1e-15, 1e9)
         stuck = ~good & (damp > 1e6)
         cost = np.where(good, new_cost, cost)
@@ -240,7 +245,7 @@ def start_poses(shared_lens: np.ndarray, data: np.ndarray, weight: np.ndarray) -
     return board_poses(homographies(data[..., :2], np.clip(np.nan_to_num(flat), -1e3, 1e3), weight))
 
 
-def refine(rows: DataFrame, names: tuple[str, ...], residuals: Residuals, shared: np.ndarray, lens_at: Callable[[np.ndarray], np.ndarray], move: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> tuple[np.ndarray, float]:
+def refine(rows: DataFrame, names: tuple[str, ...], residuals: Residuals, shared: np.ndarray, lens_at: Callable[[np.ndarray], np.ndarray], move: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add, least_gain: float = GAIN) -> tuple[np.ndarray, float]:
     """(shared parameters, root mean square error in pixels a point) at the least squared error, from a start on. lens_at: the lens that poses start from;
     move: parameters after a step."""
     m = len(shared)
@@ -269,7 +274,7 @@ def refine(rows: DataFrame, names: tuple[str, ...], residuals: Residuals, shared
         if np.isfinite(new_cost) and new_cost <= cost:
             gain = cost - new_cost
             shared, a, g, cost, damp = new, new_a, new_g, new_cost, max(damp * 0.1, 1e-15)
-            if gain <= GAIN * cost or cost <= 1e-18 * n:
+            if gain <= least_gain * cost or cost <= 1e-18 * n:
                 break
         else:
             damp *= 10
@@ -314,10 +319,10 @@ def start_lens(rows: DataFrame, names: tuple[str, ...], size: tuple[int, int]) -
 def calibrate_camera(corners: DataFrame, size: tuple[int, int], coefficients: int = 8, by: str = "view", pixels: tuple[str, str] = ("u", "v")) -> tuple[np.ndarray, np.ndarray, float]:
     """(K, distortion, root mean square error) of a camera from its views' corners (by, x, y, pixels). coefficients: 0, 2, 4, 5 or 8 (rational)."""
     names = ("x", "y", *pixels)
-    rows = pinned(views(corners, by, pixels).select("points"))
+    rows = _dealt(views(corners, by, pixels))
     found = start_lens(rows, names, size)
     for n in sorted({0, min(2, coefficients), min(5, coefficients), coefficients}):  # each lens starts from a simpler one
-        found, rms = refine(rows, names, mono_residuals, np.concatenate([found, np.zeros(4 + n - len(found))]), lambda v: v)
+        found, rms = refine(rows, names, mono_residuals, np.concatenate([found, np.zeros(4 + n - len(found))]), lambda v: v, least_gain=GAIN if n == coefficients else 1e-2)
     k = np.array([[found[0], 0, found[2]], [0, found[1], found[3]], [0, 0, 1]])
     return k, found[4:], rms
 
@@ -345,7 +350,7 @@ def calibrate_stereo(corners: DataFrame, k1, d1, k2, d2, by: str = "view") -> tu
     names = ("x", "y", "uL", "vL", "uR", "vR")
     rig = Rig(k1, d1, k2, d2, np.eye(3), np.zeros(3))
     left, right = (np.concatenate([[k[0, 0], k[1, 1], k[0, 2], k[1, 2]], d[:8]]) for k, d in ((rig.k1, rig.d1), (rig.k2, rig.d2)))
-    rows = pinned(views(corners, by, names[2:]).select("points"))
+    rows = _dealt(views(corners, by, names[2:]))
 
     def numbers(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         out = np.zeros(13)

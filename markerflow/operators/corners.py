@@ -76,8 +76,10 @@ def saddles(pixels: DataFrame, by: list[str], value: str = "value", size: int =
     return strong.select(*by, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "response")
 
 
-def grow(points: np.ndarray, cols: int, rows: int) -> np.ndarray | None:
-    """Corners (rows, cols, 2) of a board among points, or nothing."""
+def grow(points: np.ndarray, cols: int, rows: int, strength: np.ndarray | None = None) -> np.ndarray | None:
+    """Corners (rows, cols, 2) of a board among points, or nothing. Where more fits than the board (its outer edge gives weak saddles too), the strongest
+    cols x rows are taken."""
+    strength = np.ones(len(points)) if strength is None else strength
     best: dict[tuple[int, int], int] = {}
     used: set[int] = set()
     for seed in np.argsort(np.hypot(*(points - points.mean(axis=0)).T)).tolist():
@@ -113,14 +115,15 @@ def grow(points: np.ndarray, cols: int, rows: int) -> np.ndarray | None:
         used |= taken
         if len(at) > len(best):
             best = at
+    found, most = None, -np.inf
     for w, h, turned in ((cols, rows, False), (rows, cols, True)):
         for i0 in sorted({i for i, _ in best}):
             for j0 in sorted({j for _, j in best}):
-                if all((i0 + i, j0 + j) in best for i in range(w) for j in range(h)):
-                    board = np.array([[points[best[i0 + i, j0 + j]] for i in range(w)] for j in range(h)])
-                    board = board.transpose(1, 0, 2) if turned else board
-                    return board
-    return None
+                at = [[best.get((i0 + i, j0 + j)) for i in range(w)] for j in range(h)]
+                if all(k is not None for line in at for k in line) and strength[np.array(at)].sum() > most:
+                    most, found = strength[np.array(at)].sum(), points[np.array(at)]
+                    found = found.transpose(1, 0, 2) if turned else found
+    return found
 
 
 def canonical(board: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def find_boards(pixels: DataFrame, by: list[str], cols: int, rows: int, value: s
     types = dict(found.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        board = grow(pdf[["x", "y"]].to_numpy(float), cols, rows) if len(pdf) >= cols * rows else None
+        board = grow(pdf[["x", "y"]].to_numpy(float), cols, rows, pdf["response"].to_numpy(float)) if len(pdf) >= cols * rows else None
         at = canonical(board).reshape(-1, 2) if board is not None else np.empty((0, 2))
         return pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(at) for n in by}, "pos": np.arange(len(at), dtype=np.int32), "x": at[:, 0], "y": at[:, 1]})
 

@@ -10,6 +10,7 @@ component are no blobs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,10 +108,10 @@ def shapes(pixels: DataFrame, by: list[str], score: str | None = None) -> DataFr
     least each), its centre, roundness (least by largest second moment), median distance of the outline from the centre, and the 80th percentile
     of the score."""
     types = dict(pixels.dtypes)
-    keys = "".join(f"`{n}` {types[n]}, " for n in by)
+    keys = [*by, "label"]
+    columns = [*keys, *[c.split(" ")[0] for c in _SHAPE.split(", ")]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+    def shape(x: np.ndarray, y: np.ndarray, scores) -> tuple:
         mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
         mask[y - y.min(), x - x.min()] = True
         ring = outline(mask)
@@ -123,12 +124,29 @@ def shapes(pixels: DataFrame, by: list[str], score: str | None = None) -> DataFr
             inertia = float((a + c - spread) / (a + c + spread)) if spread > 1e-2 * area else 1.0
         radius = float(np.median(np.hypot(ring[:, 0] - cx, ring[:, 1] - cy)))
         length = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
-        hull = hull_area(ring[:, 0], ring[:, 1])
-        top = float(np.percentile(pdf[score], 80)) if score else 0.0
-        row = (*[pdf[n].iloc[0] for n in by], pdf["label"].iloc[0], area, max(length, 1.0), max(hull, 1.0), float(cx + x.min()), float(cy + y.min()), inertia, radius, top)
-        return pd.DataFrame([row], columns=[*by, "label", "ring_area", "perimeter", "hull", "mx", "my", "inertia", "radius", "score80"])
-
-    return pixels.groupBy(*by, "label").applyInPandas(run, f"{keys}label long, {_SHAPE}")
+        return area, max(length, 1.0), max(hull_area(ring[:, 0], ring[:, 1]), 1.0), float(cx + x.min()), float(cy + y.min()), inertia, radius, float(np.percentile(scores, 80)) if scores is not None else 0.0
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components come one after the other; the last of a batch may go on in the next."""
+        held = None
+        for pdf in itertools.chain(frames, (None,)):
+            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            other = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(other)
+            ends = np.append(starts[1:], len(rows))
+            if pdf is not None:
+                held = rows.iloc[starts[-1] :].reset_index(drop=True)
+                starts, ends = starts[:-1], ends[:-1]
+            x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+            scores = rows[score].to_numpy() if score else None
+            names = list(zip(*(rows[k].to_numpy()[starts] for k in keys)))
+            yield pd.DataFrame([(*name, *shape(x[a:b], y[a:b], None if scores is None else scores[a:b])) for name, a, b in zip(names, starts, ends)], columns=columns)
+
+    # a component's pixels lie together in a task, and one component is held at a time
+    dealt = pixels.select(*keys, "x", "y", *([score] if score else [])).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, ", ".join(f"`{n}` {types[n]}" for n in keys) + ", " + _SHAPE)
 
 
 def candidates_of(pixels: DataFrame, by: list[str], method: str, least: float, most: float, score: float, scale: float = 1.0, crop: tuple[float, float] = (0, 0)) -> DataFrame:

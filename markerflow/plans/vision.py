@@ -64,7 +64,7 @@ def m11_components(spark, d):
     return stats.select("frame", "label", "area", "x", "y", "w", "h", r6("cx"), r6("cy"))
 
 
-_LEVELS = [150, 180, 200, 215]
+_LEVELS = [190, 205, 220]
 
 
 @query(f"""SELECT frame, threshold, label, {_STATS} FROM {_LABELS.format(f'SELECT frame, threshold, x, y FROM {_HSV_SQL} CROSS JOIN (SELECT unnest({_LEVELS}) AS threshold) WHERE luma > threshold', k='frame, threshold', q='m.frame, m.threshold', j='m.frame = r.frame AND m.threshold = r.threshold')} GROUP BY frame, threshold, label""")
