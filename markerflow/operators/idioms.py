@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,14 @@ def _one(df: DataFrame, keys: list[str], position, by) -> DataFrame:
 
 def pinned(df: DataFrame) -> DataFrame:
     """df computed once, where several branches of a plan or several actions read it: a reliable checkpoint in the folder that the
-    cluster shares. Without such a folder (spark.checkpoint.dir) df stays lazy and every branch computes it again."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    cluster shares (spark.checkpoint.dir). Where it is unset a local master, which has no other machine, gets a temporary one; elsewhere that is an
+    error, as every executor would write to a disk of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='markerflow-')}")
+    return df.checkpoint()
 
 
 def in_ranges(df: DataFrame, order: str) -> DataFrame:
