@@ -350,8 +350,15 @@ _PAYLOAD = "struct<label:string,frameCount:int,frames:array<struct<frame_L:int,p
 
 @query(f"""SELECT frame_L, count(*) AS n, round(sum(X), 6) AS x, (SELECT CAST(count(DISTINCT frame_L) AS INT) FROM {_VALID}) AS frames, (SELECT CAST(count(*) AS INT) FROM {_ALL_EDGES}) AS edges FROM {_VALID} GROUP BY frame_L""")
 def k7_viewer_payload(spark, d):
-    p = _payload(spark, d)[0].select(F.from_json("json", _PAYLOAD).alias("p")).select(F.explode("p.frames").alias("f"), "p.frameCount", "p.edges")
-    return p.select("f.frame_L", F.size("f.points").cast("long").alias("n"), r6(F.aggregate("f.points", F.lit(0.0), lambda s, q: s + q["X"]), "x"), F.col("frameCount").alias("frames"), F.size("edges").alias("edges"))
+    """The viewer's document as lines, of which each frame's is read back."""
+    v = _valid(spark, d)
+    e = v.select(F.col("obj_id").alias("a"), (F.col("obj_id") + 1).alias("b")).distinct()
+    lines = idioms.pinned(files.viewer_lines(netframe.frames_list(v), e, {"label": "run"}))
+    frame = F.from_json(F.ltrim(F.col("line"), F.lit(",")), "frame_L int, points array<struct<obj_id:int,X:double,Y:double,Z:double>>")
+    read = lines.where("section = 1").select(frame.alias("f"))
+    counts = lines.agg(F.max(F.when(F.col("section") == 0, F.regexp_extract("line", '"frameCount":([0-9]+)', 1).cast("int"))).alias("frames"), F.count_if(F.col("section") == 3).cast("int").alias("edges"))
+    return read.crossJoin(F.broadcast(counts)).select("f.frame_L", F.size("f.points").cast("long").alias("n"), r6(F.aggregate("f.points", F.lit(0.0), lambda s, q: s + q["X"]), "x"), "frames", "edges")
+
 
 
 @query(f"""WITH s AS (SELECT obj_id % 2 AS k, count(DISTINCT frame_L) AS frames, quantile_cont(X, 0.01) AS a, quantile_cont(X, 0.99) AS b FROM {_VALID} GROUP BY 1) SELECT 2 AS runs, round(least(min(a - 0.1 * (b - a + 1e-6)), 0), 5) AS lo, round(greatest(max(b + 0.1 * (b - a + 1e-6)), 0), 5) AS hi, CAST(sum(frames) AS BIGINT) AS frames FROM s""")

@@ -48,7 +48,7 @@ def m11_cleaned_mask(spark, d):
 def _cleaned(spark, d):
     p = m11_colours(spark, d)
     mask = p.select("frame", "x", "y", (F.col("h").between(14, 92) & (F.col("s") >= 90)).cast("int").alias("m"))
-    return tiles.near(tiles.pack(mask, ["frame"], ["m"], 16), ["frame"], 1, tiles.CLEAN_REACH, tiles.cleaned, 16)
+    return tiles.near(tiles.pack(mask, ["frame"], ["m"], 32), ["frame"], 1, tiles.CLEAN_REACH, tiles.cleaned, 32)
 
 
 # the least pixel of a component reaches all of it over pixels that come after it
@@ -59,8 +59,8 @@ _STATS = "CAST(count(*) AS BIGINT) AS area, min(x) AS x, min(y) AS y, max(x) - m
 
 @query(f"SELECT frame, label, {_STATS} FROM {_LABELS.format(f'SELECT frame, x, y FROM {_CLEAN_SQL} WHERE m = 1', k='frame', q='m.frame', j='m.frame = r.frame')} GROUP BY frame, label")
 def m11_components(spark, d):
-    """Components of the cleaned mask over tiles of 16 pixels."""
-    stats = tiles.component_stats(tiles.labelled(_cleaned(spark, d), ["frame"], ["m"], 16), ["frame"])
+    """Components of the cleaned mask over tiles of 32 pixels."""
+    stats = tiles.component_stats(tiles.labelled(_cleaned(spark, d), ["frame"], ["m"], 32), ["frame"])
     return stats.select("frame", "label", "area", "x", "y", "w", "h", r6("cx"), r6("cy"))
 
 

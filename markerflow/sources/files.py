@@ -284,6 +284,34 @@ def viewer_payload(frames: DataFrame, edges: DataFrame, about: dict[str, str]) -
     return f.crossJoin(e).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in about.items()], "frameCount", "frames", "edges")).alias("json"))
 
 
+def viewer_lines(frames: DataFrame, edges: DataFrame, about: dict[str, str], frame: str = "frame_L") -> DataFrame:
+    """The viewer's JSON in lines (section, a, b, line), which are the document one after the other in this order: its head, a line for each frame, what is
+    between, a line for each edge, its end. No row holds more than a frame, so a run of any length is written by as many tasks as it has ranges."""
+    blank = F.lit(None).cast("long")
+    comma = lambda first, text: F.concat(F.when(first, "").otherwise(","), text)
+    stats = frames.agg(F.count("*").alias("_n"), F.min(frame).alias("_first"))
+    least = edges.agg(F.min(F.struct("a", "b")).alias("_least"))
+    head = F.concat(F.lit("{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in about.items()) + '"frameCount":'), F.col("_n").cast("string"), F.lit(',"frames":['))
+    body = frames.crossJoin(F.broadcast(stats))  # one row
+    ends = edges.crossJoin(F.broadcast(least))  # one row
+    parts = [
+        stats.select(F.lit(0).alias("section"), blank.alias("a"), blank.alias("b"), head.alias("line")),
+        body.select(F.lit(1), F.col(frame).cast("long"), blank, comma(F.col(frame) == F.col("_first"), F.to_json(F.struct(*frames.columns)))),
+        stats.select(F.lit(2), blank, blank, F.lit('],"edges":[')),
+        ends.select(F.lit(3), F.col("a").cast("long"), F.col("b").cast("long"), comma((F.col("a") == F.col("_least.a")) & (F.col("b") == F.col("_least.b")), F.to_json(F.array("a", "b")))),
+        stats.select(F.lit(4), blank, blank, F.lit("]}")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes a document's lines as text files whose names are in its order."""
+    lines.orderBy("section", F.asc_nulls_first("a"), F.asc_nulls_first("b")).select("line").write.text(path)
+
+
 def viewer_runs(runs: list[DataFrame], limits: list[DataFrame], axes=("lx", "ly", "lz")) -> DataFrame:
     """One JSON of several runs' payloads (json) in the order given, with limits that hold all of them and 0."""
     from ..operators.netframe import merged_limits

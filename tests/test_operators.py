@@ -578,3 +578,21 @@ def test_small_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text("{}")
     with pytest.raises(ValueError, match="detected_frame_indices"):
         files.read_detections(spark, str(tmp_path / "s.json"))
+
+
+def test_viewer_lines_are_the_document(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    rows = [(f, o, float(f + o)) for f in range(30) for o in range(3)]
+    frames = spark.createDataFrame(rows, "frame_L int, obj_id int, X double").groupBy("frame_L").agg(F.sort_array(F.collect_list(F.struct("obj_id", "X"))).alias("points"))
+    edges = spark.createDataFrame([(2, 3), (0, 1), (0, 5)], "a int, b int")
+    whole = json.loads(files.viewer_payload(frames, edges, {"label": "a \"run\""}).first().json)
+    lines = files.viewer_lines(frames, edges, {"label": "a \"run\""})
+    files.write_lines(lines, str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert json.loads(text) == whole and len(whole["frames"]) == 30
+    empty = files.viewer_lines(frames.where("false"), edges.where("false"), {})
+    files.write_lines(empty, str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"frameCount": 0, "frames": [], "edges": []}
