@@ -32,11 +32,12 @@ def iteration_count(total: int, start: int, step: int, most: int | None = None)
     return n if most is None or most < 0 else min(most, n)
 
 
-def roi_intervals(found: DataFrame, margin: int, lo: int, hi: int, by: list[str] = [], index: str = "idx") -> DataFrame:  # noqa: B006
-    """Intervals of `margin` around the found indices, clipped, merged where they touch."""
+def roi_intervals(found: DataFrame, margin: int, lo: int, hi: int, by: list[str] = [], index: str = "idx", outside: bool = False) -> DataFrame:  # noqa: B006
+    """Intervals of `margin` around the found indices, clipped, merged where they touch. Found indices whose whole interval lies outside
+    the limits have none; with outside they stay as intervals that end before they begin."""
     margin = max(1, margin)
-    spans = found.select(*by, F.greatest(F.col(index) - margin, F.lit(lo)).alias("lo"), F.least(F.col(index) + margin, F.lit(hi)).alias("hi")).where("hi >= lo").distinct()
-    return islands(spans, by)
+    spans = found.select(*by, F.greatest(F.col(index) - margin, F.lit(lo)).alias("lo"), F.least(F.col(index) + margin, F.lit(hi)).alias("hi")).distinct()
+    return islands(spans if outside else spans.where("hi >= lo"), by)
 
 
 def scan_indices(intervals: DataFrame, step: int, lo: int, hi: int, by: list[str] = []) -> DataFrame:  # noqa: B006
