@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
+from .idioms import pinned
 
 #: Size of the blur, how far a saddle has to be the strongest, share of the frame's strongest that it needs, and how far from its predicted
 #: place a corner may lie (in steps of the board).
@@ -70,7 +71,7 @@ def saddles(pixels: DataFrame, by: list[str], value: str = "value", size: int =
     packed = tiles.pack(pixels.select(*by, "x", "y", value), by, [value], size)
     reach = BLUR // 2 + 3 + max(APART, WINDOW)
     answered = tiles.near(packed, by, 1, reach, saddle_response, size)
-    found = tiles.unpack(answered, by, ["response", "dx", "dy"]).where("response > 0")
+    found = pinned(tiles.unpack(answered, by, ["response", "dx", "dy"], positive=True))  # the few saddles of a frame, which are read twice
     top = found.groupBy(*by).agg(F.max("response").alias("_top"))
     strong = (found.join(top, by) if by else found.crossJoin(F.broadcast(top))).where(F.col("response") >= SHARE * F.col("_top"))  # one row
     return strong.select(*by, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "response")

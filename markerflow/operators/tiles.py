@@ -49,15 +49,16 @@ def pack(pixels: DataFrame, by: list[str], channels: list[str], size: int = SIZE
     return joined.groupBy(*by, "tx", "ty").applyInPandas(run, _keys(pixels, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
 
 
-def unpack(tiles: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
-    """Pixels (by, x, y, channels) of tiles."""
+def unpack(tiles: DataFrame, by: list[str], channels: list[str], positive: bool = False) -> DataFrame:
+    """Pixels (by, x, y, channels) of tiles; with positive only those whose first channel is above 0, so that no others become rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.to_dict("records"):
                 data = _array(row["data"], len(channels), row["h"], row["w"])
                 ys, xs = np.mgrid[row["y"] : row["y"] + row["h"], row["x"] : row["x"] + row["w"]]
-                yield pd.DataFrame({**{n: [row[n]] * xs.size for n in by}, "x": xs.ravel(), "y": ys.ravel(), **{c: data[i].ravel().astype(float) for i, c in enumerate(channels)}})
+                kept = data[0] > 0 if positive else np.ones(xs.shape, bool)
+                yield pd.DataFrame({**{n: [row[n]] * int(kept.sum()) for n in by}, "x": xs[kept], "y": ys[kept], **{c: data[i][kept].astype(float) for i, c in enumerate(channels)}})
 
     return tiles.mapInPandas(run, _keys(tiles, by) + "x int, y int, " + ", ".join(f"`{c}` double" for c in channels))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import corners, detectors, tiles
@@ -92,16 +94,20 @@ def _drawn_boards(spark, d):
     key = F.col("s_suppkey")
     s = fx.table(spark, d, "supplier").select(key.alias("image"), ((key % 11 - 5) * 0.1 + 0.04).alias("angle"), (31.2 + key % 5).alias("cx"), (23.6 - key % 3).alias("cy"), (8.0 + key % 2 * 0.5).alias("step"))
     s = s.withColumns({"c": F.cos("angle"), "n": F.sin("angle")})
-    grid = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
 
-    def shade(k):
-        px, py = F.col("x") + (k % 4 + 0.5) / 4 - 0.5 - F.col("cx"), F.col("y") + (F.floor(k / 4) + 0.5) / 4 - 0.5 - F.col("cy")
-        u, v = (F.col("c") * px + F.col("n") * py) / F.col("step") + (_BOARD[0] - 1) / 2, (F.col("c") * py - F.col("n") * px) / F.col("step") + (_BOARD[1] - 1) / 2
-        field = F.when(F.pmod(F.floor(u) + F.floor(v), F.lit(2)) == 0, 30.0).otherwise(220.0)
-        return F.when(u.between(-1, _BOARD[0]) & v.between(-1, _BOARD[1]), field).otherwise(128.0)
-
-    value = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(15)), shade), F.lit(0.0), lambda a, b: a + b) / 16
-    return s, grid.select("image", "x", "y", value.alias("value"))
+    def draw(frames):
+        y, x, sy, sx = np.mgrid[0:48, 0:64, 0:4, 0:4]
+        for pdf in frames:
+            for image, cx, cy, step, c, n in pdf.itertuples(index=False):
+                px, py = x + (sx + 0.5) / 4 - 0.5 - cx, y + (sy + 0.5) / 4 - 0.5 - cy
+                u, v = (c * px + n * py) / step + (_BOARD[0] - 1) / 2, (c * py - n * px) / step + (_BOARD[1] - 1) / 2
+                field = np.where((np.floor(u) + np.floor(v)) % 2 == 0, 30.0, 220.0)
+                value = np.where((u >= -1) & (u <= _BOARD[0]) & (v >= -1) & (v <= _BOARD[1]), field, 128.0).mean(axis=(2, 3))
+                yield pd.DataFrame({"image": np.full(value.size, image), "x": x[..., 0, 0].ravel(), "y": y[..., 0, 0].ravel(), "value": value.ravel()})
+
+    # a frame is 3,072 times its supplier's row: the number of tasks is given, as rows so small would be one task otherwise
+    dealt = s.select("image", "cx", "cy", "step", "c", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")
+    return s, dealt.mapInPandas(draw, "image long, x int, y int, value double")
 
 
 @query("SELECT s_suppkey AS image, CAST(pos AS INT) AS pos, true AS close FROM supplier, range(12) t(pos)")
