@@ -186,13 +186,17 @@ def fit_homographies(pairs: DataFrame, by: list[str]) -> DataFrame:
 def canonical_corners(corners, cols: int) -> Column:
     """Corners (x, y) of a grid, row by row, in the order in which the first row grows in x and the first column in y."""
     grid = c(corners)
-    rows = (F.size(grid) / cols).cast("int")
-    at = lambda a, i: F.get(a, F.lit(i) if isinstance(i, int) else i)
-    order = F.sequence(F.lit(0), F.size(grid) - 1)
-    turned = F.when(at(grid, 0)["x"] > at(grid, cols - 1)["x"], F.transform(order, lambda i: F.get(grid, i - i % cols + (cols - 1) - i % cols))).otherwise(grid)
-    last = ((rows - 1) * cols).cast("int")
-    upright = at(turned, 0)["y"] <= F.get(turned, last)["y"]
-    return F.when(upright, turned).otherwise(F.transform(order, lambda i: F.get(turned, (last - i + i % cols + i % cols).cast("int"))))
+    n = F.size(grid)
+    at = lambda i: F.get(grid, F.lit(i) if isinstance(i, int) else i)
+    mirrored = F.coalesce(at(0)["x"] > at(cols - 1)["x"], F.lit(False))
+    other = lambda i: i - i % cols + (cols - 1) - i % cols
+    last = (((n / cols).cast("int") - 1) * cols).cast("int")
+    first, below = (F.when(mirrored, at(other(i))["y"]).otherwise(at(i)["y"]) for i in (F.lit(0), last))
+    upright = F.coalesce(first <= below, F.lit(False))
+    # of each corner only where it comes from is worked out: an array inside another's lambda is made anew for each element
+    row = lambda i: F.when(upright, i).otherwise((last - i + i % cols + i % cols).cast("int"))
+    source = lambda i: F.when((row(i) >= 0) & (row(i) < n), F.when(mirrored, other(row(i))).otherwise(row(i)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(grid, source(i)))
 
 
 def reprojection_stats(errors: DataFrame, by: list[str] = [], sample="sample", error="error") -> DataFrame:  # noqa: B006
