@@ -46,15 +46,19 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return pinned(rows.select("points").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _flat(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Views whose points are one array of numbers, point by point, which numpy takes as it is; as structs each would be a Python dictionary."""
+    return rows.withColumn("points", F.flatten(F.transform("points", lambda p: F.array(*[p[n] for n in names]))))
+
+
 def _batches(pdf: pd.DataFrame, names: tuple[str, ...]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """(rows, points (views, most points, names), weights 0 or 1) of views taken together."""
+    """(rows, points (views, most points, names), weights 0 or 1) of flat views taken together."""
     for at in range(0, len(pdf), TOGETHER):
         part = pdf.iloc[at : at + TOGETHER]
-        most = max(len(p) for p in part["points"])
-        data, weight = np.zeros((len(part), most, len(names))), np.zeros((len(part), most))
-        for i, points in enumerate(part["points"]):
-            data[i, : len(points)] = [[p[n] for n in names] for p in points]
-            weight[i, : len(points)] = 1
+        many = np.array([len(p) for p in part["points"]]) // len(names)
+        on = np.arange(many.max()) < many[:, None]
+        data, weight = np.zeros((*on.shape, len(names))), on.astype(float)
+        data[on] = np.concatenate(list(part["points"])).reshape(-1, len(names))
         yield part, data, weight
 
 
@@ -122,9 +126,9 @@ def board_poses(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nearest_rotation(r), h[:, :, 2]
 
 
-def seen(points: np.ndarray, lens_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pixels, their derivatives by the camera point, and by the lens) of camera points (..., 3). lens_of: fx, fy, cx, cy, then up to 8
-    coefficients in the usual order k1 k2 p1 p2 k3 k4 k5 k6."""
+def seen(points: np.ndarray, lens_of: np.ndarray, by_lens: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(pixels, their derivatives by the camera point, and by the lens where asked for) of camera points (..., 3). lens_of: fx, fy, cx, cy, then
+    up to 8 coefficients in the usual order k1 k2 p1 p2 k3 k4 k5 k6."""
     fx, fy, cx, cy = lens_of[:4]
     d = np.zeros(8)
     d[: len(lens_of) - 4] = lens_of[4:]
@@ -140,6 +144,8 @@ def seen(points: np.ndarray, lens_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     xx, xy = radial + 2 * x * x * slope + 2 * p1 * y + 6 * p2 * x, 2 * x * y * slope + 2 * p1 * x + 2 * p2 * y
     yy = radial + 2 * y * y * slope + 6 * p1 * y + 2 * p2 * x
     by_point = np.stack([np.stack([fx * xx / z, fx * xy / z, -fx * (xx * x + xy * y) / z], -1), np.stack([fy * xy / z, fy * yy / z, -fy * (xy * x + yy * y) / z], -1)], -2)
+    if not by_lens:
+        return pixels, by_point, None
     o, one = np.zeros_like(x), np.ones_like(x)
     r4, r6 = r2 * r2, r2 * r2 * r2
     u = [xd, o, one, o, fx * x * r2 / down, fx * x * r4 / down, fx * 2 * x * y, fx * (r2 + 2 * x * x), fx * x * r6 / down, -fx * x * radial * r2 / down, -fx * x * radial * r4 / down, -fx * x * radial * r6 / down]
@@ -154,62 +160,72 @@ def cross(p: np.ndarray) -> np.ndarray:
     return np.stack([np.stack([o, -p[..., 2], p[..., 1]], -1), np.stack([p[..., 2], o, -p[..., 0]], -1), np.stack([-p[..., 1], p[..., 0], o], -1)], -2)
 
 
-Residuals = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+def by_pose_of(points: np.ndarray, by_point: np.ndarray) -> np.ndarray:
+    """Derivatives (..., 2, 6) by a turn about the origin and a shift of points (..., 3), from those by the point (..., 2, 3)."""
+    (x, y, z), (a, b, c) = np.moveaxis(points[..., None, :], -1, 0), np.moveaxis(by_point, -1, 0)
+    return np.stack([y * c - z * b, z * a - x * c, x * b - y * a, a, b, c], -1)
+
 
+#: (residuals, derivatives by what is shared unless only the pose is asked for, by the pose)
+Residuals = Callable[..., tuple[np.ndarray, np.ndarray | None, np.ndarray]]
 
-def mono_residuals(shared: np.ndarray, data: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def mono_residuals(shared: np.ndarray, data: np.ndarray, r: np.ndarray, t: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(residuals, derivatives by the lens, by the pose) of one camera; data has x, y, u, v."""
-    board = np.concatenate([data[..., :2], np.zeros(data.shape[:2] + (1,))], -1)
-    turned = np.einsum("vij,vpj->vpi", r, board)
-    pixels, by_point, by_lens = seen(turned + t[:, None], shared)
-    return pixels - data[..., 2:4], by_lens, by_point @ np.concatenate([-cross(turned), np.broadcast_to(np.eye(3), turned.shape + (3,))], -1)
+    turned = data[..., :2] @ np.swapaxes(r[:, :, :2], 1, 2)  # boards are flat
+    pixels, by_point, by_lens = seen(turned + t[:, None], shared, whole)
+    return pixels - data[..., 2:4], by_lens, by_pose_of(turned, by_point)
 
 
 def stereo_residuals(rig: Rig) -> Residuals:
     """Of both cameras with known lenses: shared is the rotation vector and translation from left to right, data has x, y, uL, vL, uR, vR."""
     left, right = (np.concatenate([[k[0, 0], k[1, 1], k[0, 2], k[1, 2]], d[:8]]) for k, d in ((rig.k1, rig.d1), (rig.k2, rig.d2)))
 
-    def run(shared: np.ndarray, data: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        board = np.concatenate([data[..., :2], np.zeros(data.shape[:2] + (1,))], -1)
-        turned = np.einsum("vij,vpj->vpi", r, board)
-        pose = np.concatenate([-cross(turned), np.broadcast_to(np.eye(3), turned.shape + (3,))], -1)
+    def run(shared: np.ndarray, data: np.ndarray, r: np.ndarray, t: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        turned = data[..., :2] @ np.swapaxes(r[:, :, :2], 1, 2)
         here = turned + t[:, None]
         over = turn(shared[:3])
         there = here @ over.T
-        pixels_l, by_l, _ = seen(here, left)
-        pixels_r, by_r, _ = seen(there + shared[3:], right)
-        by_shared = by_r @ np.concatenate([-cross(there), np.broadcast_to(np.eye(3), there.shape + (3,))], -1)
+        pixels_l, by_l, _ = seen(here, left, False)
+        pixels_r, by_r, _ = seen(there + shared[3:], right, False)
         residual = np.concatenate([pixels_l - data[..., 2:4], pixels_r - data[..., 4:6]], -1)
-        return residual, np.concatenate([np.zeros_like(by_shared), by_shared], -2), np.concatenate([by_l @ pose, by_r @ over @ pose], -2)
+        by_pose = np.concatenate([by_pose_of(turned, by_l), by_pose_of(turned, by_r @ over)], -2)
+        if not whole:
+            return residual, None, by_pose
+        by_shared = by_pose_of(there, by_r)
+        return residual, np.concatenate([np.zeros_like(by_shared), by_shared], -2), by_pose
 
     return run
 
 
 def best_poses(residuals: Residuals, shared: np.ndarray, data: np.ndarray, weight: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Poses at their least squared error for the shared parameters, all views together."""
-    w = weight[..., None]
-    damp = np.full(len(data), 1e-3)
-    e, _, j = residuals(shared, data, r, t)
+    """Poses at their least squared error for the shared parameters. Views go on together, each until its own error falls no more."""
+    best_r, best_t = r.copy(), t.copy()
+    views, damp = np.arange(len(data)), np.full(len(data), 1e-3)
+    w, floor = weight[..., None], 1e-22 * weight.sum(axis=1)
+    e, _, j = residuals(shared, data, r, t, False)
     cost = ((e * w) ** 2).sum(axis=(1, 2))
     for _ in range(POSE_ROUNDS):
-        jw = (j * w[..., None]).reshape(len(data), -1, 6)
-        a = np.swapaxes(jw, 1, 2) @ jw
-        g = np.einsum("vni,vn->vi", jw, (e * w).reshape(len(data), -1))
-        step = -np.linalg.solve(a + (damp[:, None] * np.einsum("vii->vi", a) + 1e-12)[:, :, None] * np.eye(6), g[..., None])[..., 0]
+        jw = (j * w[..., None]).reshape(len(views), -1, 6)
+        to = np.swapaxes(jw, 1, 2)
+        a, g = to @ jw, to @ (e * w).reshape(len(views), -1, 1)
+        step = -np.linalg.solve(a + (damp[:, None] * np.einsum("vii->vi", a) + 1e-12)[:, :, None] * np.eye(6), g)[..., 0]
         new_r, new_t = turn(step[:, :3]) @ r, t + step[:, 3:]
-        new_e, _, new_j = residuals(shared, data, new_r, new_t)
+        new_e, _, new_j = residuals(shared, data, new_r, new_t, False)
         new_cost = ((new_e * w) ** 2).sum(axis=(1, 2))
         good = np.isfinite(new_cost) & (new_cost <= cost)
-        pick = good[:, None, None]
-        r, t = np.where(pick, new_r, r), np.where(good[:, None], new_t, t)
-        e, j = np.where(pick, new_e, e), np.where(pick[..., None], new_j, j)
-        done = ~good | (cost - new_cost <= POSE_GAIN * cost) | (new_cost <= 1e-22 * weight.sum(axis=1))
+        best_r[views[good]], best_t[views[good]] = new_r[good], new_t[good]
         damp = np.clip(np.where(good, damp * 0.1, damp * 10), 1e-15, 1e9)
-        stuck = ~good & (damp > 1e6)
-        cost = np.where(good, new_cost, cost)
-        if ((done & good) | stuck).all():
+        # a step that changes the error by no more than its rounding ends the view too
+        done = (np.abs(new_cost - cost) <= POSE_GAIN * cost) | (good & (new_cost <= floor)) | (~good & (damp > 1e6))
+        if done.all():
             break
-    return r, t
+        go = ~done
+        pick = good[go, None, None]
+        r, t = np.where(pick, new_r[go], r[go]), np.where(good[go, None], new_t[go], t[go])
+        e, j = np.where(pick, new_e[go], e[go]), np.where(pick[..., None], new_j[go], j[go])
+        views, damp, cost, data, w, floor = views[go], damp[go], np.where(good, new_cost, cost)[go], data[go], w[go], floor[go]
+    return best_r, best_t
 
 
 def reduced(residuals: Residuals, shared: np.ndarray, data: np.ndarray, weight: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -241,7 +257,7 @@ def start_poses(shared_lens: np.ndarray, data: np.ndarray, weight: np.ndarray) -
     k = np.array([[shared_lens[0], 0, shared_lens[2]], [0, shared_lens[1], shared_lens[3]], [0, 0, 1]])
     d = np.zeros(14)
     d[: len(shared_lens) - 4] = shared_lens[4:]
-    flat = rays(data[..., 2:4].reshape(-1, 2), k, d, 20).reshape(data.shape[:2] + (2,))
+    flat = rays(data[..., 2:4].reshape(-1, 2), k, d, 5).reshape(data.shape[:2] + (2,))
     return board_poses(homographies(data[..., :2], np.clip(np.nan_to_num(flat), -1e3, 1e3), weight))
 
 
@@ -319,7 +335,7 @@ def start_lens(rows: DataFrame, names: tuple[str, ...], size: tuple[int, int]) -
 def calibrate_camera(corners: DataFrame, size: tuple[int, int], coefficients: int = 8, by: str = "view", pixels: tuple[str, str] = ("u", "v")) -> tuple[np.ndarray, np.ndarray, float]:
     """(K, distortion, root mean square error) of a camera from its views' corners (by, x, y, pixels). coefficients: 0, 2, 4, 5 or 8 (rational)."""
     names = ("x", "y", *pixels)
-    rows = _dealt(views(corners, by, pixels))
+    rows = _dealt(_flat(views(corners, by, pixels), names))
     found = start_lens(rows, names, size)
     for n in sorted({0, min(2, coefficients), min(5, coefficients), coefficients}):  # each lens starts from a simpler one
         found, rms = refine(rows, names, mono_residuals, np.concatenate([found, np.zeros(4 + n - len(found))]), lambda v: v, least_gain=GAIN if n == coefficients else 1e-2)
@@ -341,7 +357,7 @@ def view_poses(corners: DataFrame, k: np.ndarray, d: np.ndarray, by: str = "view
                 rms = np.sqrt(((e * weight[..., None]) ** 2).sum(axis=(1, 2)) / weight.sum(axis=1))
                 yield pd.concat([part[[by]].reset_index(drop=True), pd.DataFrame(np.column_stack([np.array([turn_vector(x) for x in r]), t, rms]), columns=out)], axis=1)
 
-    rows = views(corners, by, pixels)
+    rows = _flat(views(corners, by, pixels), names)
     return rows.mapInPandas(run, f"`{by}` {dict(rows.dtypes)[by]}, " + ", ".join(f"{n} double" for n in out))
 
 
@@ -350,7 +366,7 @@ def calibrate_stereo(corners: DataFrame, k1, d1, k2, d2, by: str = "view") -> tu
     names = ("x", "y", "uL", "vL", "uR", "vR")
     rig = Rig(k1, d1, k2, d2, np.eye(3), np.zeros(3))
     left, right = (np.concatenate([[k[0, 0], k[1, 1], k[0, 2], k[1, 2]], d[:8]]) for k, d in ((rig.k1, rig.d1), (rig.k2, rig.d2)))
-    rows = _dealt(views(corners, by, names[2:]))
+    rows = _dealt(_flat(views(corners, by, names[2:]), names))
 
     def numbers(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         out = np.zeros(13)
