@@ -88,8 +88,14 @@ def hybrid_event(signal: DataFrame, by=("side",), order="idx", value="value", mo
     return beside(rows, spread, list(by)).withColumn("_score", score).groupBy(*by).agg(first_argmax("_score", order).alias("m")).select(*by, (-F.col("m.turned")).alias("event"))
 
 
-def motion_curve(pixels: DataFrame, by=("side",), frame="frame", pixel="pixel", value="value") -> DataFrame:
-    """Mean level and mean absolute change of every frame from its per-pixel values."""
-    w = Window.partitionBy(*by, pixel).orderBy(frame)
-    change = F.abs(F.col(value) - F.lag(value).over(w))
-    return pixels.withColumn("_change", change).groupBy(*by, frame).agg(F.avg(value).alias("brightness"), F.coalesce(F.avg("_change"), F.lit(0.0)).alias("motion"))
+def motion_curve(pixels: DataFrame, by=("side",), frame="frame", pixel="pixel", value="value", block: int = BLOCK) -> DataFrame:
+    """Mean level and mean absolute change of every frame from its per-pixel values. A pixel's frames may have gaps, so it is cut into blocks
+    of frames, and each block's first change is from the last value of the block before that has one (a row a pixel and block)."""
+    keys = [*by, pixel]
+    rows = pixels.withColumn("_block", F.floor(F.col(frame) / block))
+    w = Window.partitionBy(*keys, "_block").orderBy(frame)
+    ends = rows.groupBy(*keys, "_block").agg(F.max(F.struct(F.col(frame), F.col(value).alias("_v"))).getField("_v").alias("_end"))
+    before = ends.select(*keys, "_block", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")).alias("_before"))
+    earlier = F.when(F.row_number().over(w) == 1, F.col("_before")).otherwise(F.lag(value).over(w))
+    changed = beside(rows, before, [*keys, "_block"]).withColumn("_change", F.abs(F.col(value) - earlier))
+    return changed.groupBy(*by, frame).agg(F.avg(value).alias("brightness"), F.coalesce(F.avg("_change"), F.lit(0.0)).alias("motion"))
