@@ -22,7 +22,6 @@ from ..functions.numeric import clip, percentile, shape_score
 from . import tiles
 from .candidates import ASPECT_MAX, COMPACT_MIN, EXTENT_MIN, SCORE_WEIGHT, SHAPE_WEIGHT, SOLID_MIN
 from .idioms import pinned
-from .masks import hull_area
 
 # Fixed values. Hue ranges (0 to 180) of paint: yellow to green, blue, and the two ends of red.
 HUES = ((14, 92), (95, 135), (0, 8), (165, 180))
@@ -71,24 +70,41 @@ def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
 # --- shapes -------------------------------------------------------------------------------------------------------------------------
 
 
+_RING = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))  # clockwise from the left
+# by a pixel's neighbours (a bit each) and where the border came from: the next neighbour, counterclockwise
+_NEXT = bytes(next(((came - k) % 8 for k in range(1, 9) if code >> (came - k) % 8 & 1), 0) for code in range(256) for came in range(8))
+
+
+def _neighbours(wide: np.ndarray) -> np.ndarray:
+    """Which of a pixel's neighbours are set, a bit each; the mask's border is not set."""
+    out = np.zeros(wide.shape, np.uint8)
+    h, w = wide.shape
+    for i, (dy, dx) in enumerate(_RING):
+        out[1:-1, 1:-1] |= (wide[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx] != 0).astype(np.uint8) << i
+    return out
+
+
+def _followed(codes: bytes, stride: int, start: int) -> list[int]:
+    """The outer border's places, one after the other, from the first pixel of a component."""
+    if not codes[start]:
+        return [start]
+    off = [dy * stride + dx for dy, dx in _RING]
+    came = next(i for i in range(8) if codes[start] >> i & 1)
+    last, at, out = start + off[came], start, []
+    while True:
+        out.append(at)
+        step = _NEXT[codes[at] * 8 + came]
+        after = at + off[step]
+        if after == start and at == last:
+            return out
+        at, came = after, step ^ 4
+
+
 def outline(mask: np.ndarray) -> np.ndarray:
     """Pixels (x, y) of the outer border of a component, one after the other, by border following from its first pixel."""
     wide = np.pad(mask, 1)
-    ring = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))  # clockwise from the left
-    place = {step: i for i, step in enumerate(ring)}
-    start = tuple(int(v[0]) for v in np.nonzero(wide))
-    step = next((i for i, (dy, dx) in enumerate(ring) if wide[start[0] + dy, start[1] + dx]), None)
-    if step is None:
-        return np.array([[start[1] - 1, start[0] - 1]])
-    last = (start[0] + ring[step][0], start[1] + ring[step][1])
-    before, at, out = last, start, []
-    while True:
-        came = place[before[0] - at[0], before[1] - at[1]]
-        after = next((at[0] + ring[(came - k) % 8][0], at[1] + ring[(came - k) % 8][1]) for k in range(1, 9) if wide[at[0] + ring[(came - k) % 8][0], at[1] + ring[(came - k) % 8][1]])
-        out.append((at[1] - 1, at[0] - 1))
-        if after == start and at == last:
-            return np.array(out)
-        before, at = at, after
+    ring = np.array(_followed(_neighbours(wide).tobytes(), wide.shape[1], int(np.flatnonzero(wide)[0])))
+    return np.stack([ring % wide.shape[1] - 1, ring // wide.shape[1] - 1], axis=1)
 
 
 def ring_moments(ring: np.ndarray) -> tuple[float, float, float, float, float, float]:
@@ -103,60 +119,101 @@ def ring_moments(ring: np.ndarray) -> tuple[float, float, float, float, float, f
 _SHAPE = "ring_area double, perimeter double, hull double, mx double, my double, inertia double, radius double, score80 double"
 
 
-def shapes(pixels: DataFrame, by: list[str], score: str | None = None) -> DataFrame:
-    """(by, label, ring_area, perimeter, hull, mx, my, inertia, radius, score80) of labelled pixels: what a component's outline encloses, its length and hull (1 at
-    least each), its centre, roundness (least by largest second moment), median distance of the outline from the centre, and the 80th percentile
-    of the score."""
-    types = dict(pixels.dtypes)
+def _hull(left: list[int], right: list[int]) -> float:
+    """Area of the convex hull of pixel centres, from the first and last of each row."""
+
+    def twice(xs: list[int]) -> int:
+        """Twice the area between the lower hull of xs over the rows and 0."""
+        out: list[tuple[int, int]] = []
+        for y, x in enumerate(xs):
+            while len(out) > 1 and (out[-1][1] - out[-2][1]) * (y - out[-1][0]) >= (x - out[-1][1]) * (out[-1][0] - out[-2][0]):
+                out.pop()
+            out.append((y, x))
+        return sum((b[0] - a[0]) * (a[1] + b[1]) for a, b in itertools.pairwise(out))
+
+    return (-twice([-x for x in right]) - twice(left)) / 2
+
+
+def _shaped(masks: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """What shapes tells of each mask of a component, but for the scores. Masks are laid one below the other, in a stack as wide as the widest."""
+    high, width = np.array([m.shape[0] for m in masks]), max(m.shape[1] for m in masks)
+    stride, top = width + 2, np.cumsum(high + 1) - high
+    stack = np.zeros((int(top[-1] + high[-1] + 1), stride), np.uint8)
+    for m, t in zip(masks, top):
+        stack[t : t + m.shape[0], 1 : 1 + m.shape[1]] = m
+    codes = _neighbours(stack).tobytes()
+    left, right = stack.argmax(axis=1), stride - 1 - stack[:, ::-1].argmax(axis=1)
+    rings = [_followed(codes, stride, int(t * stride + left[t])) for t in top]
+    hull = np.array([_hull(left[t : t + h].tolist(), right[t : t + h].tolist()) for t, h in zip(top, high)])
+    n = np.array([len(r) for r in rings])
+    start = np.cumsum(n) - n
+    which = np.repeat(np.arange(len(masks)), n)
+    places = np.fromiter(itertools.chain.from_iterable(rings), np.int64, int(n.sum()))
+    x, y = (places % stride - 1).astype(float), (places // stride - top[which]).astype(float)
+    after = np.arange(len(places)) + 1
+    after[start + n - 1] = start
+    u, v = x[after], y[after]
+    c = x * v - u * y
+    total = lambda t: np.add.reduceat(t, start)
+    moments = np.stack([total(c) / 2, total(c * (x + u)) / 6, total(c * (y + v)) / 6, total(c * (x * x + x * u + u * u)) / 12, total(c * (2 * x * y + x * v + u * y + 2 * u * v)) / 24, total(c * (y * y + y * v + v * v)) / 12])
+    area, sx, sy, sxx, sxy, syy = np.where(moments[0] < 0, -moments, moments)
+    some = area > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cx, cy = np.where(some, sx / area, total(x) / n), np.where(some, sy / area, total(y) / n)
+        p, q, r = sxx - sx * cx, sxy - sx * cy, syy - sy * cy
+        spread = np.hypot(2 * q, p - r)
+        inertia = np.where(some & (spread > 1e-2 * area), (p + r - spread) / (p + r + spread), 1.0)
+    far = np.hypot(x - cx[which], y - cy[which])
+    far = far[np.lexsort([far, which])]
+    radius = (far[start + (n - 1) // 2] + far[start + n // 2]) / 2
+    length = total(np.hypot(u - x, v - y))
+    return {"ring_area": area, "perimeter": np.maximum(length, 1.0), "hull": np.maximum(hull, 1.0), "mx": cx, "my": cy, "inertia": inertia, "radius": radius}
+
+
+def shapes(parts: DataFrame, by: list[str], score: str | None = None) -> DataFrame:
+    """(by, label, ring_area, perimeter, hull, mx, my, inertia, radius, score80) of the parts of components: what a component's outline encloses, its length
+    and hull (1 at least each), its centre, roundness (least by largest second moment), median distance of the outline from the centre, and the 80th
+    percentile of the score."""
+    types = dict(parts.dtypes)
     keys = [*by, "label"]
     columns = [*keys, *[c.split(" ")[0] for c in _SHAPE.split(", ")]]
 
-    def shape(x: np.ndarray, y: np.ndarray, scores) -> tuple:
-        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        mask[y - y.min(), x - x.min()] = True
-        ring = outline(mask)
-        area, sx, sy, sxx, sxy, syy = ring_moments(ring)
-        cx, cy = (sx / area, sy / area) if area > 0 else ring.mean(axis=0)
-        inertia = 1.0
-        if area > 0:
-            a, b, c = sxx - sx * cx, sxy - sx * cy, syy - sy * cy
-            spread = np.hypot(2 * b, a - c)
-            inertia = float((a + c - spread) / (a + c + spread)) if spread > 1e-2 * area else 1.0
-        radius = float(np.median(np.hypot(ring[:, 0] - cx, ring[:, 1] - cy)))
-        length = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
-        return area, max(length, 1.0), max(hull_area(ring[:, 0], ring[:, 1]), 1.0), float(cx + x.min()), float(cy + y.min()), inertia, radius, float(np.percentile(scores, 80)) if scores is not None else 0.0
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Components come one after the other; the last of a batch may go on in the next."""
-        held = None
-        for pdf in itertools.chain(frames, (None,)):
-            rows = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            other = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(other)
-            ends = np.append(starts[1:], len(rows))
-            if pdf is not None:
-                held = rows.iloc[starts[-1] :].reset_index(drop=True)
-                starts, ends = starts[:-1], ends[:-1]
-            x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-            scores = rows[score].to_numpy() if score else None
-            names = list(zip(*(rows[k].to_numpy()[starts] for k in keys)))
-            yield pd.DataFrame([(*name, *shape(x[a:b], y[a:b], None if scores is None else scores[a:b])) for name, a, b in zip(names, starts, ends)], columns=columns)
-
-    # a component's pixels lie together in a task, and one component is held at a time
-    dealt = pixels.select(*keys, "x", "y", *([score] if score else [])).repartition(*keys).sortWithinPartitions(*keys)
+        """Components are taken some at a time, those of a width together, as a stack of masks is as wide as its widest."""
+        for pdf, starts in tiles.whole(frames, keys):
+            low = {n: np.minimum.reduceat(pdf[n].to_numpy(), starts) for n in "xy"}
+            high = {n: np.maximum.reduceat((pdf[n] + pdf[d]).to_numpy(), starts) for n, d in zip("xy", "wh")}
+            ends = np.append(starts[1:], len(pdf))
+            width = np.ceil(np.log2(high["x"] - low["x"])).astype(int)
+            order = np.argsort(width, kind="stable")
+            rows = list(zip(*(pdf[n].to_numpy() for n in ("x", "y", "w", "h", "bits"))))
+            cuts = np.flatnonzero((np.diff(width[order]) != 0) | (np.arange(1, len(order)) % 1024 == 0)) + 1
+            for some in np.split(order, cuts):
+                masks = []
+                for i in some:
+                    x0, y0 = low["x"][i], low["y"][i]
+                    mask = np.zeros((high["y"][i] - y0, high["x"][i] - x0), np.uint8)
+                    for x, y, w, h, bits in rows[starts[i] : ends[i]]:
+                        mask[y - y0 : y - y0 + h, x - x0 : x - x0 + w] |= tiles.mask_of(bits, w, h)
+                    masks.append(mask)
+                out = _shaped(masks)
+                out["mx"], out["my"] = out["mx"] + low["x"][some], out["my"] + low["y"][some]
+                scores = [np.percentile(np.frombuffer(b"".join(pdf[score].iloc[starts[i] : ends[i]]), np.float32).astype(float), 80) for i in some] if score else np.zeros(len(some))
+                yield pd.DataFrame({**{k: pdf[k].to_numpy()[starts[some]] for k in keys}, **out, "score80": scores})[columns]
+
+    # a component's parts lie together in a task, some components are held at a time
+    dealt = tiles.together(parts.select(*keys, "x", "y", "w", "h", "bits", *([score] if score else [])), keys)
     return dealt.mapInPandas(run, ", ".join(f"`{n}` {types[n]}" for n in keys) + ", " + _SHAPE)
 
 
-def candidates_of(pixels: DataFrame, by: list[str], method: str, least: float, most: float, score: float, scale: float = 1.0, crop: tuple[float, float] = (0, 0)) -> DataFrame:
-    """Candidates (by, x, y, area, method, score, local_x, local_y, bbox) among the components of labelled pixels with a score."""
-    stats = tiles.component_stats(pixels, by)
+def candidates_of(parts: DataFrame, by: list[str], method: str, least: float, most: float, score: float, scale: float = 1.0, crop: tuple[float, float] = (0, 0)) -> DataFrame:
+    """Candidates (by, x, y, area, method, score, local_x, local_y, bbox) among the components of parts with a score."""
+    stats = tiles.part_stats(parts, by)
     full = F.col("area") / max(scale * scale, 1e-9)
     aspect = F.greatest(F.col("w") / F.greatest("h", F.lit(1)), F.col("h") / F.greatest("w", F.lit(1)))
     extent = F.col("area") / F.greatest(F.col("w") * F.col("h"), F.lit(1))
     able = stats.where(full.between(least, most) & (aspect <= ASPECT_MAX) & (extent >= EXTENT_MIN))
-    shaped = shapes(pixels.join(able.select(*by, "label"), [*by, "label"], "left_semi"), by, "score").drop("mx", "my")
+    shaped = shapes(parts.join(able.select(*by, "label"), [*by, "label"], "left_semi"), by, "score").drop("mx", "my")
     area = F.greatest("ring_area", F.lit(1.0))
     compact, solid = 4 * np.pi * area / (F.col("perimeter") * F.col("perimeter")), area / F.col("hull")
     mixed = clip(SCORE_WEIGHT * F.col("score80") + SHAPE_WEIGHT * shape_score("compact", "solid"), 0.0, 1.0)
@@ -176,10 +233,10 @@ def _limits(pixels: DataFrame, by: list[str], **shares) -> DataFrame:
 
 
 def components(pixels: DataFrame, by: list[str], mask: Column, score: Column, size: int = tiles.SIZE) -> DataFrame:
-    """Labelled pixels with their score of a mask that was cleaned."""
+    """Parts of the components, with their score, of a mask that was cleaned."""
     packed = tiles.pack(pixels.select(*by, "x", "y", mask.cast("double").alias("mask"), score.alias("score")), by, ["mask", "score"], size)
     clean = tiles.near(packed, by, 2, tiles.CLEAN_REACH, lambda a: np.concatenate([tiles.cleaned(a[:1]), a[1:]]), size)
-    return pinned(tiles.labelled(clean, by, ["mask", "score"], size))
+    return pinned(tiles.parts(clean, by, ["mask", "score"], size))
 
 
 def detect_hsv(pixels: DataFrame, by: list[str], least: float, most: float, score: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE) -> DataFrame:
@@ -285,12 +342,10 @@ def detect_gray(pixels: DataFrame, by: list[str], frame: tuple[int, int], least:
     return candidates_of(components(rows, by, F.col("response") >= F.col("r_least"), over, size), by, "gray", least, most, max(score, 0.5), scale, crop)
 
 
-def threshold_components(values: DataFrame, by: list[str], thresholds: list[int], size: int = tiles.SIZE) -> DataFrame:
-    """(by, threshold, x, y, label) of the pixels (by, x, y, value) above each threshold: the component tree's nodes, level by level. A component lies in one of the
-    level below."""
-    packed = tiles.pack(values, by, ["value"], size).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    above = tiles.each(packed, [*by, "threshold"], 1, lambda a, row: a > row["threshold"])
-    return tiles.labelled(above, [*by, "threshold"], ["mask"], size)
+def threshold_parts(packed: DataFrame, by: list[str], thresholds: list[int], size: int = tiles.SIZE) -> DataFrame:
+    """Parts (by, threshold, label, ...) of the components of the tiles' pixels above each threshold: the component tree's nodes, level by level. A component lies
+    in one of the level below."""
+    return tiles.parts(packed, by, ["value"], size, levels=thresholds)
 
 
 def merge_blobs(found: DataFrame, by: list[str], apart: float, repeats: int = BLOB_REPEATS) -> DataFrame:
@@ -300,9 +355,12 @@ def merge_blobs(found: DataFrame, by: list[str], apart: float, repeats: int = BL
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         blobs: list[list[tuple]] = []
-        for _, level in pdf.sort_values(["threshold", "my", "mx"]).groupby("threshold", sort=True):
+        pdf = pdf.sort_values(["threshold", "my", "mx"])
+        columns = [pdf[n].to_numpy() for n in ("mx", "my", "radius", "inertia")]
+        cuts = np.flatnonzero(np.diff(pdf["threshold"].to_numpy())) + 1
+        for level in np.split(np.stack(columns, axis=1), cuts):
             middle = np.array([b[len(b) // 2][:3] for b in blobs]).reshape(-1, 3)
-            for x, y, radius, inertia in zip(level["mx"], level["my"], level["radius"], level["inertia"]):
+            for x, y, radius, inertia in level.tolist():
                 d = np.hypot(middle[:, 0] - x, middle[:, 1] - y)
                 at = np.flatnonzero((d < apart) | (d < middle[:, 2]) | (d < radius))
                 if len(at):
@@ -326,16 +384,19 @@ def merge_blobs(found: DataFrame, by: list[str], apart: float, repeats: int = BL
 def detect_blob(pixels: DataFrame, by: list[str], least: float, most: float, score: float, distance: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE) -> DataFrame:
     """Bright blobs that stay round and in place over several thresholds; the score is the gray value at the centre."""
     luma = pixels.select(*by, "x", "y", gray(F.col("b"), F.col("g"), F.col("r")).alias("value"))
-    even = pinned(tiles.unpack(equalised(luma, by, "value", size), by, ["value"]))
+    even = pinned(equalised(luma, by, "value", size))
     small = max(3.0, least * scale * scale)
     large = max(small + 1.0, most * scale * scale)
-    parts = threshold_components(even, by, list(range(BLOB_FROM, BLOB_TO, BLOB_STEP)), size)
-    shaped = shapes(parts, [*by, "threshold"]).where((F.col("ring_area") >= small) & (F.col("ring_area") < large) & (F.col("inertia") >= BLOB_INERTIA) & (F.col("ring_area") / F.col("hull") >= BLOB_CONVEX))
+    parts = pinned(threshold_parts(even, by, list(range(BLOB_FROM, BLOB_TO, BLOB_STEP)), size))
+    # what an outline encloses is no more than its box between the outer pixels' centres
+    able = tiles.part_stats(parts, [*by, "threshold"]).where((F.col("w") - 1) * (F.col("h") - 1) >= small).select(*by, "threshold", "label")
+    shaped = shapes(parts.join(able, [*by, "threshold", "label"], "left_semi"), [*by, "threshold"]).where((F.col("ring_area") >= small) & (F.col("ring_area") < large) & (F.col("inertia") >= BLOB_INERTIA) & (F.col("ring_area") / F.col("hull") >= BLOB_CONVEX))
     blobs = merge_blobs(shaped, by, max(2.0, distance * scale))
     radius = F.greatest(F.col("size") / 2, F.lit(1.0))
     area = np.pi * (radius / max(scale, 1e-9)) * (radius / max(scale, 1e-9))
     at = blobs.where(area.between(least, most)).withColumns({"_x": F.rint("x").cast("int"), "_y": F.rint("y").cast("int")})
-    seen = at.join(even.select(*by, F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("value") / 255).alias("score")), [*by, "_x", "_y"]).where(F.col("score") >= max(score, 0.45))
+    values = tiles.unpack(even, by, ["value"]).select(*by, F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("value") / 255).alias("score"))
+    seen = at.join(values, [*by, "_x", "_y"]).where(F.col("score") >= max(score, 0.45))
     lx, ly = F.col("x") / scale, F.col("y") / scale
     side = F.col("size") / scale
     box = F.struct((crop[0] + (F.col("x") - radius) / scale).alias("x"), (crop[1] + (F.col("y") - radius) / scale).alias("y"), side.alias("w"), side.alias("h"))

@@ -8,6 +8,7 @@ a pixel that is not given reads as 0, a repeated one as its largest value.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .idioms import pinned
 from .masks import label
 
 SIZE = 64
 _TILE = ("tx", "ty", "x", "y", "w", "h", "data")
+_HELD = 128  # tiles that are worked on at once
 
 
 def _keys(df: DataFrame, by: list[str]) -> str:
@@ -30,23 +33,63 @@ def _array(data, channels: int, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, np.float32).reshape(channels, h, w)
 
 
+def together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a key in one task, one key after the other. They are dealt by a hash of their own: after a join by the same keys Spark would leave the
+    exchange out, and, where that join then becomes a broadcast, read the rows where they lie, a key in several tasks."""
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys) if keys else rows.coalesce(1)
+
+
+def whole(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that lie together by their keys, cut where a key ends, and where each key starts among them. One key is held beyond its batch."""
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        other = np.zeros(len(pdf), bool)
+        other[0] = True
+        for k in keys:
+            v = pdf[k].to_numpy()
+            other[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(other)
+
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        last = starts(pdf)[-1]
+        if last or held and any(held[-1][k].iloc[-1] != pdf[k].iloc[0] for k in keys):
+            if held or last:
+                rows = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+                yield rows, starts(rows)
+            held = []
+        held.append(pdf.iloc[last:])
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, starts(rows)
+
+
 def pack(pixels: DataFrame, by: list[str], channels: list[str], size: int = SIZE) -> DataFrame:
     """Tiles of pixels (by, x, y, channels)."""
     rows = pixels.select(*by, "x", "y", F.floor(F.col("x") / size).cast("int").alias("tx"), F.floor(F.col("y") / size).cast("int").alias("ty"), *[F.col(c).cast("double").alias(c) for c in channels])
     frame = pixels.groupBy(*by).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        w, h = min(size, int(pdf["_w"].iloc[0]) - tx * size), min(size, int(pdf["_h"].iloc[0]) - ty * size)
-        data = np.full((len(channels), h, w), -np.inf, np.float32)
-        at = (pdf["y"].to_numpy() - ty * size) * w + pdf["x"].to_numpy() - tx * size
-        for i, c in enumerate(channels):
-            np.maximum.at(data[i].reshape(-1), at, pdf[c].fillna(0).to_numpy(np.float32))
-        data[np.isneginf(data)] = 0
-        return pd.DataFrame([(*[pdf[n].iloc[0] for n in by], tx, ty, tx * size, ty * size, w, h, data.tobytes())], columns=[*by, *_TILE])
-
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole(frames, keys):
+            first = pdf.iloc[starts]
+            tx, ty = first["tx"].to_numpy(), first["ty"].to_numpy()
+            w, h = np.minimum(size, first["_w"].to_numpy() - tx * size), np.minimum(size, first["_h"].to_numpy() - ty * size)
+            area = (w * h).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(area)])
+            tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+            at = begin[tile] + (pdf["y"].to_numpy() - ty[tile] * size).astype(np.int64) * w[tile] + pdf["x"].to_numpy() - tx[tile] * size
+            data = np.full((len(channels), begin[-1]), -np.inf, np.float32)
+            for i, c in enumerate(channels):
+                np.maximum.at(data[i], at, pdf[c].fillna(0).to_numpy(np.float32))
+            data[np.isneginf(data)] = 0
+            packed = [np.ascontiguousarray(data[:, i:j]).tobytes() for i, j in itertools.pairwise(begin)]
+            yield pd.DataFrame({**{n: first[n].to_numpy() for n in by}, "tx": tx, "ty": ty, "x": tx * size, "y": ty * size, "w": w, "h": h, "data": packed})
+
+    keys = [*by, "tx", "ty"]
     joined = rows.join(frame, by) if by else rows.crossJoin(F.broadcast(frame))  # one row
-    return joined.groupBy(*by, "tx", "ty").applyInPandas(run, _keys(pixels, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
+    return together(joined, keys).mapInPandas(run, _keys(pixels, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
 
 
 def unpack(tiles: DataFrame, by: list[str], channels: list[str], positive: bool = False) -> DataFrame:
@@ -54,11 +97,14 @@ def unpack(tiles: DataFrame, by: list[str], channels: list[str], positive: bool
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for row in pdf.to_dict("records"):
-                data = _array(row["data"], len(channels), row["h"], row["w"])
-                ys, xs = np.mgrid[row["y"] : row["y"] + row["h"], row["x"] : row["x"] + row["w"]]
-                kept = data[0] > 0 if positive else np.ones(xs.shape, bool)
-                yield pd.DataFrame({**{n: [row[n]] * int(kept.sum()) for n in by}, "x": xs[kept], "y": ys[kept], **{c: data[i][kept].astype(float) for i, c in enumerate(channels)}})
+            for i in range(0, len(pdf), _HELD):
+                some = pdf.iloc[i : i + _HELD]
+                arrays = [_array(d, len(channels), h, w) for d, h, w in zip(some["data"], some["h"], some["w"])]
+                kept = [a[0] > 0 if positive else np.ones(a.shape[1:], bool) for a in arrays]
+                ys, xs = (np.concatenate(n) for n in zip(*(np.nonzero(k) for k in kept)))
+                tile = np.repeat(np.arange(len(some)), [int(k.sum()) for k in kept])
+                out = {**{n: some[n].to_numpy()[tile] for n in by}, "x": xs + some["x"].to_numpy()[tile], "y": ys + some["y"].to_numpy()[tile]}
+                yield pd.DataFrame({**out, **{c: np.concatenate([a[j][k] for a, k in zip(arrays, kept)]).astype(float) for j, c in enumerate(channels)}})
 
     return tiles.mapInPandas(run, _keys(tiles, by) + "x int, y int, " + ", ".join(f"`{c}` double" for c in channels))
 
@@ -83,9 +129,9 @@ def near(tiles: DataFrame, by: list[str], channels: int, reach: int, change: Cal
     keys = _keys(tiles, by) + "tx int, ty int, x int, y int, w int, h int, data binary"
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for some in (pdf.iloc[i : i + _HELD] for pdf in frames for i in range(0, len(pdf), _HELD)):
             out = []
-            for row in pdf.to_dict("records"):
+            for row in some.to_dict("records"):
                 data = _array(row["data"], channels, row["h"], row["w"])
                 for dy in (-1, 0, 1):
                     for dx in (-1, 0, 1):
@@ -96,21 +142,27 @@ def near(tiles: DataFrame, by: list[str], channels: int, reach: int, change: Cal
                             out.append((*[row[n] for n in by], row["tx"] + dx, row["ty"] + dy, row["x"] + xs.start, row["y"] + ys.start, part.shape[2], part.shape[1], part.tobytes()))
             yield pd.DataFrame(out, columns=[*by, *_TILE])
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        parts = pdf.to_dict("records")
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole(frames, place):
+            rows = pdf.to_dict("records")
+            out = [met(rows[a:b]) for a, b in itertools.pairwise([*starts, len(rows)])]
+            yield pd.DataFrame([r for r in out if r], columns=[*by, *_TILE])
+
+    def met(parts: list[dict]) -> tuple | None:
+        tx, ty = parts[0]["tx"], parts[0]["ty"]
         core = next((p for p in parts if p["x"] // size == tx and p["y"] // size == ty), None)
         if core is None:  # beyond the frame
-            return pdf.iloc[:0]
+            return None
         x0, y0 = min(p["x"] for p in parts), min(p["y"] for p in parts)
         w, h = max(p["x"] + p["w"] for p in parts) - x0, max(p["y"] + p["h"] for p in parts) - y0
-        whole = np.zeros((channels, h, w), np.float32)
+        all_of = np.zeros((channels, h, w), np.float32)
         for p in parts:
-            whole[:, p["y"] - y0 : p["y"] - y0 + p["h"], p["x"] - x0 : p["x"] - x0 + p["w"]] = _array(p["data"], channels, p["h"], p["w"])
-        out = change(whole)[:, core["y"] - y0 : core["y"] - y0 + core["h"], core["x"] - x0 : core["x"] - x0 + core["w"]]
-        return pd.DataFrame([(*[core[n] for n in by], tx, ty, core["x"], core["y"], core["w"], core["h"], np.ascontiguousarray(out, np.float32).tobytes())], columns=[*by, *_TILE])
+            all_of[:, p["y"] - y0 : p["y"] - y0 + p["h"], p["x"] - x0 : p["x"] - x0 + p["w"]] = _array(p["data"], channels, p["h"], p["w"])
+        out = change(all_of)[:, core["y"] - y0 : core["y"] - y0 + core["h"], core["x"] - x0 : core["x"] - x0 + core["w"]]
+        return (*[core[n] for n in by], tx, ty, core["x"], core["y"], core["w"], core["h"], np.ascontiguousarray(out, np.float32).tobytes())
 
-    return tiles.mapInPandas(spread, keys).groupBy(*by, "tx", "ty").applyInPandas(meet, keys)
+    place = [*by, "tx", "ty"]
+    return together(tiles.mapInPandas(spread, keys), place).mapInPandas(meet, keys)
 
 
 # --- filters on arrays (channels, height, width), with the frame's border where the array ends ------------------------------------------
@@ -191,51 +243,154 @@ def local_mean(pixels: DataFrame, by: list[str], value: str, radius: int, name:
 # --- components -----------------------------------------------------------------------------------------------------------------------
 
 
-def labelled(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True) -> DataFrame:
-    """(by, x, y, label, the channels after the first) of the pixels whose first channel is not 0. A label is the first pixel of its component,
-    row by row, as y * 2**32 + x.
+_PART = ("x", "y", "w", "h", "area", "sx", "sy", "bits")
+
+
+def parts(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True, levels: list[int] | None = None) -> DataFrame:
+    """(by, label, x, y, w, h, area, sx, sy, bits, the channels after the first) of the pieces into which tiles cut the components of pixels whose first
+    channel is not 0: a piece's box, number of pixels and sums of their places, its pixels as bits of the box, and their other channels as 32-bit
+    floats, row by row. A label is the first pixel of its component, row by row, as y * 2**32 + x. With levels, components of the pixels above each,
+    the level as a last key `threshold`.
 
-    Tiles are labelled apart. Only pixels at their edges can tie pieces of several tiles; the ties of a frame are brought together by
-    union-find, and pieces without one keep their label. What meets in a task is one tile, or the ties along the tiles' edges of one frame.
+    Tiles are labelled apart, some at a time. Only pixels at their rims can tie pieces of several tiles; the rims of a frame's tiles are brought
+    together, tied by union-find, and pieces without a tie keep their label. What meets in a task is one tile, or the rims of one frame.
     """
     rest = channels[1:]
+    keys = [*by, "threshold"] if levels is not None else by
+    typed = _keys(tiles, by) + ("threshold int, " if levels is not None else "")
+    row = np.arange(size)
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for row in pdf.to_dict("records"):
-                data = _array(row["data"], len(channels), row["h"], row["w"])
-                parts = label(data[0] != 0, diagonal)
-                ys, xs = np.nonzero(parts)
-                part = parts[ys, xs]
-                first = np.unique(part, return_index=True)[1]
-                name = ((ys[first] + row["y"]).astype(np.int64) << 32) + xs[first] + row["x"]
-                yield pd.DataFrame({**{n: [row[n]] * len(xs) for n in by}, "x": xs + row["x"], "y": ys + row["y"], "piece": name[part - 1] if len(part) else name[:0], **{c: data[i + 1][ys, xs].astype(float) for i, c in enumerate(rest)}})
-
-    found = tiles.mapInPandas(pieces, _keys(tiles, by) + "x int, y int, piece long" + "".join(f", `{c}` double" for c in rest))
-    edge = found.where((F.col("x") % size == 0) | (F.col("x") % size == size - 1) | (F.col("y") % size == 0) | (F.col("y") % size == size - 1)).select(*by, "x", "y", "piece")
-    after = ((1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)) if diagonal else ((1, 0), (0, 1))
-    steps = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in after]))
-    side = edge.select(*by, F.col("piece").alias("a"), steps.alias("_p")).select(*by, "a", "_p.x", "_p.y")
-    ties = side.join(edge.withColumnRenamed("piece", "b"), [*by, "x", "y"]).where("a <> b").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        root = np.arange(len(names))
-        while True:
-            low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
-            new = root.copy()
-            for k in (0, 1):
-                np.minimum.at(new, ends[:, k], low)
-                np.minimum.at(new, root[ends[:, k]], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(names) for n in by}, "piece": names, "_label": names[root]})
-
-    united = (ties if by else ties.withColumn("_all", F.lit(0))).groupBy(*(by or ["_all"])).applyInPandas(unite, _keys(tiles, by) + "piece long, _label long")
-    return found.join(united, [*by, "piece"], "left").select(*by, "x", "y", F.coalesce("_label", "piece").alias("label"), *rest)
+            for i in range(0, len(pdf), _HELD):
+                some = pdf.iloc[i : i + _HELD]
+                x, y, w, h = (some[n].to_numpy().astype(np.int64) for n in "xywh")
+                data = np.full((len(channels), len(some), size + 1, size), -np.inf, np.float32)  # a row between tiles
+                for t, d in enumerate(some["data"]):
+                    data[:, t, : h[t], : w[t]] = _array(d, len(channels), h[t], w[t])
+                for level in [None] if levels is None else levels:
+                    mask = (data[0] != 0) & ~np.isneginf(data[0]) if level is None else data[0] > level
+                    out = pieces(mask, data[1:], x, y, w, h)
+                    tile = out.pop("tile")
+                    yield pd.DataFrame({**{n: some[n].to_numpy()[tile] for n in by}, **({} if level is None else {"threshold": np.full(len(tile), level, np.int32)}), **out})
+
+    def pieces(mask: np.ndarray, others: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> dict:
+        """Columns of a stack of tiles' pieces, and after them of the rims (piece -1): the pieces' first pixels along the tile's top, bottom, left and right."""
+        numbers = label(mask.reshape(-1, size), diagonal)
+        ys, xs = np.nonzero(numbers)
+        piece = numbers[ys, xs] - 1
+        order = np.argsort(piece, kind="stable")
+        ys, xs, piece = ys[order], xs[order], piece[order]
+        area = np.bincount(piece)
+        start = np.cumsum(area) - area
+        tile = ys[start] // (size + 1)
+        ly = ys - tile[piece] * (size + 1)
+        over = lambda how, v: how.reduceat(v, start) if len(start) else v[:0]
+        left, top = over(np.minimum, xs), over(np.minimum, ly)
+        width, height = over(np.maximum, xs) - left + 1, over(np.maximum, ly) - top + 1
+        room = -(-(width * height) // 8) * 8
+        begin = np.cumsum(room) - room
+        flat = np.zeros(int(room.sum()), bool)
+        flat[begin[piece] + (ly - top[piece]) * width[piece] + xs - left[piece]] = True
+        bits = np.packbits(flat).tobytes()
+        first = (ly[start] * size + xs[start]).astype(np.int32)
+        known = np.append(first, np.int32(-1))[numbers.reshape(mask.shape) - 1]
+        n = np.arange(len(x))
+        rims = np.stack([known[:, 0], known[n, h - 1], known[:, :size, 0], known[n[:, None], row, (w - 1)[:, None]]], axis=1)
+        rimmed = np.flatnonzero((rims >= 0).any(axis=(1, 2)))
+        none = np.zeros(len(rimmed), np.int64)
+        out = {
+            "tile": [tile, rimmed], "piece": [((y[tile] + ly[start]) << 32) + x[tile] + xs[start], none - 1], "x": [x[tile] + left, x[rimmed]], "y": [y[tile] + top, y[rimmed]], "w": [width, w[rimmed]], "h": [height, h[rimmed]],
+            "area": [area, none], "sx": [over(np.add, xs) + area * x[tile], none], "sy": [over(np.add, ly) + area * y[tile], none],
+        }
+        out = {k: np.concatenate(v) for k, v in out.items()}
+        out["bits"] = [*[bits[a:b] for a, b in zip(begin // 8, (begin + room) // 8)], *[r.tobytes() for r in rims[rimmed]]]
+        for c, values in zip(rest, others):
+            v = values.reshape(-1, size)[ys, xs]
+            out[c] = [*[v[a : a + k].tobytes() for a, k in zip(start, area)], *[b""] * len(rimmed)]
+        return out
+
+    def unite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole(frames, keys):
+            n = len(pdf)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            x, y = pdf["x"].to_numpy().astype(np.int64), pdf["y"].to_numpy().astype(np.int64)
+            tx, ty = x // size, y // size
+            rim = np.frombuffer(b"".join(pdf["bits"]), np.int32).reshape(n, 4, size).astype(np.int64)
+            rim = np.where(rim >= 0, np.arange(n)[:, None, None] * size * size + rim, -1)
+            wide, high = tx.max() + 3, ty.max() + 2
+            place = (group * high + ty) * wide + tx + 1
+            order = np.argsort(place)
+            ends = []
+
+            def tie(dx: int, dy: int, side: Callable, other: Callable) -> None:
+                """Ties of each tile's side with the other side of the tile that lies there."""
+                at = np.searchsorted(place[order], place + dy * wide + dx)
+                at = order[np.minimum(at, n - 1)]
+                there = place[at] == place + dy * wide + dx
+                pair = np.stack([side(rim[there]), other(rim[at[there]])], axis=-1).reshape(-1, 2)
+                ends.append(pair[(pair >= 0).all(axis=1)])
+
+            for dx, dy, a, b in ((1, 0, 3, 2), (0, 1, 1, 0)):
+                tie(dx, dy, lambda r: r[:, a], lambda r: r[:, b])
+                if diagonal:
+                    tie(dx, dy, lambda r: r[:, a, 1:], lambda r: r[:, b, :-1])
+                    tie(dx, dy, lambda r: r[:, a, :-1], lambda r: r[:, b, 1:])
+            if diagonal:
+                tie(1, 1, lambda r: r[:, 1, -1], lambda r: r[:, 0, 0])
+                tie(-1, 1, lambda r: r[:, 1, 0], lambda r: r[:, 0, -1])
+            nodes, ends = np.unique(np.concatenate(ends), return_inverse=True)
+            tile, pixel = nodes // (size * size), nodes % (size * size)
+            name = ((y[tile] + pixel // size) << 32) + x[tile] + pixel % size
+            order = np.lexsort([name, group[tile]])  # of a frame's nodes, the first pixel has the least number
+            rank = np.empty(len(nodes), np.int64)
+            rank[order] = np.arange(len(nodes))
+            ends, tile, name = rank[ends].reshape(-1, 2), tile[order], name[order]
+            root = np.arange(len(nodes))
+            while True:
+                low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
+                new = root.copy()
+                for k in (0, 1):
+                    np.minimum.at(new, ends[:, k], low)
+                    np.minimum.at(new, root[ends[:, k]], low)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            yield pd.DataFrame({**{k: pdf[k].to_numpy()[tile] for k in keys}, "piece": name, "_label": name[root]})
+
+    found = pinned(tiles.mapInPandas(cut, typed + "piece long, x int, y int, w int, h int, area long, sx long, sy long, bits binary" + "".join(f", `{c}` binary" for c in rest)))
+    rims = found.where("piece < 0").select(*keys, "x", "y", "bits")
+    united = together(rims, keys).mapInPandas(unite, typed + "piece long, _label long")
+    return found.where("piece >= 0").join(united, [*keys, "piece"], "left").select(*keys, F.coalesce("_label", "piece").alias("label"), *_PART, *rest)
+
+
+def labelled(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True) -> DataFrame:
+    """(by, x, y, label, the channels after the first) of the pixels whose first channel is not 0, labelled as parts labels them."""
+    rest = channels[1:]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), 8 * _HELD):
+                some = pdf.iloc[i : i + 8 * _HELD]
+                ys, xs = (np.concatenate(n) for n in zip(*(np.nonzero(mask_of(*r)) for r in zip(some["bits"], some["w"], some["h"]))))
+                part = np.repeat(np.arange(len(some)), some["area"].to_numpy())
+                out = {**{n: some[n].to_numpy()[part] for n in by}, "x": xs + some["x"].to_numpy()[part], "y": ys + some["y"].to_numpy()[part], "label": some["label"].to_numpy()[part]}
+                yield pd.DataFrame({**out, **{c: np.frombuffer(b"".join(some[c]), np.float32).astype(float) for c in rest}})
+
+    return parts(tiles, by, channels, size, diagonal).mapInPandas(run, _keys(tiles, by) + "x int, y int, label long" + "".join(f", `{c}` double" for c in rest))
+
+
+def mask_of(bits: bytes, w: int, h: int) -> np.ndarray:
+    """A piece's pixels in its box."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=int(w) * int(h)).reshape(h, w)
+
+
+def part_stats(parts: DataFrame, by: list[str]) -> DataFrame:
+    """component_stats of the components' parts."""
+    wide = lambda n, d: F.max(F.col(n) + F.col(d)) - F.min(n)
+    mean = lambda n: F.sum(n) / F.sum("area")
+    return parts.groupBy(*by, "label").agg(F.sum("area").alias("area"), F.min("x").alias("x"), F.min("y").alias("y"), wide("x", "w").alias("w"), wide("y", "h").alias("h"), mean("sx").alias("cx"), mean("sy").alias("cy"))
 
 
 def component_stats(pixels: DataFrame, by: list[str]) -> DataFrame:

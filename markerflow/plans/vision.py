@@ -62,7 +62,7 @@ _STATS = "CAST(count(*) AS BIGINT) AS area, min(x) AS x, min(y) AS y, max(x) - m
 @query(f"SELECT frame, label, {_STATS} FROM {_LABELS.format(f'SELECT frame, x, y FROM {_CLEAN_SQL} WHERE m = 1', k='frame', q='m.frame', j='m.frame = r.frame')} GROUP BY frame, label")
 def m11_components(spark, d):
     """Components of the cleaned mask over tiles of 32 pixels."""
-    stats = tiles.component_stats(tiles.labelled(_cleaned(spark, d), ["frame"], ["m"], 32), ["frame"])
+    stats = tiles.part_stats(tiles.parts(_cleaned(spark, d), ["frame"], ["m"], 32), ["frame"])
     return stats.select("frame", "label", "area", "x", "y", "w", "h", r6("cx"), r6("cy"))
 
 
@@ -73,7 +73,7 @@ _LEVELS = [190, 205, 220]
 def m11_threshold_components(spark, d):
     """The nodes of the component tree over thresholds."""
     luma = m11_colours(spark, d).select("frame", "x", "y", F.col("luma").alias("value"))
-    stats = tiles.component_stats(detectors.threshold_components(luma, ["frame"], _LEVELS, 32), ["frame", "threshold"])
+    stats = tiles.part_stats(detectors.threshold_parts(tiles.pack(luma, ["frame"], ["value"], 32), ["frame"], _LEVELS, 32), ["frame", "threshold"])
     return stats.select("frame", "threshold", "label", "area", "x", "y", "w", "h", r6("cx"), r6("cy"))
 
 
