@@ -1,6 +1,7 @@
 """Components as parts of tiles: labels, sums and shapes against whole images, with batches that cut tiles and components."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,15 @@ def test_pixels_of_parts_keep_their_other_channels(small_batches):
     pixels = frame(small_batches, {1: im}).withColumns({"mask": (F.col("value") > 40).cast("double"), "score": F.col("value") / 4})
     found = tiles.labelled(tiles.pack(pixels, ["image"], ["mask", "score"], 8), ["image"], ["mask", "score"], 8).collect()
     assert {(r.x, r.y): r.label for r in found} == brute_labels(im > 40) and all(r.score == im[r.y, r.x] / 4 for r in found)
+
+
+def test_rows_of_a_key_are_handed_on_as_soon_as_it_ends():
+    taken = []
+
+    def frames():
+        for k in ([0, 0, 1], [1, 1], [], [1, 2], [3], [3, 3]):
+            taken.append(k)
+            yield pd.DataFrame({"k": k, "n": range(len(k))})
+
+    got = [(rows.k.tolist(), starts.tolist(), len(taken)) for rows, starts in tiles.whole(frames(), ["k"])]
+    assert got == [([0, 0], [0], 1), ([1, 1, 1, 1], [0], 4), ([2], [0], 5), ([3, 3, 3], [0], 6)]
