@@ -293,15 +293,15 @@ def equalised(pixels: DataFrame, by: list[str], value: str = "value", size: int
 
     counted = rows.select(*by, F.col(value).cast("int").alias("_v"), field["w"].alias("_fw"), field["h"].alias("_fh"), F.explode(seen("x", "w")).alias("_x"), seen("y", "h").alias("_ys")).withColumn("_y", F.explode("_ys"))
     counts = counted.groupBy(*by, "_fw", "_fh", F.floor(F.col("_x") / F.col("_fw")).cast("int").alias("_gx"), F.floor(F.col("_y") / F.col("_fh")).cast("int").alias("_gy"), "_v").agg(F.count("*").alias("_n"))
-    fields = counts.groupBy(*by, "_fw", "_fh").agg(F.collect_list(F.struct("_gx", "_gy", "_v", "_n")).alias("_counts"))  # at most 64 x 256 a frame
+    fields = counts.groupBy(*by, "_fw", "_fh").agg(F.collect_list(((F.col("_gy") * FIELDS + F.col("_gx")) * 256 + F.col("_v")).cast("long") * (1 << 32) + F.col("_n")).alias("_counts"))  # at most 64 x 256 a frame
 
     @F.pandas_udf("binary")
     def tables(w: pd.Series, h: pd.Series, counts: pd.Series) -> pd.Series:
         out = []
         for fw, fh, cs in zip(w, h, counts):
             c = np.zeros((FIELDS, FIELDS, 256), np.int64)
-            for r in cs:
-                c[r["_gy"], r["_gx"], r["_v"]] = r["_n"]
+            at = np.asarray(cs, np.int64)
+            c.reshape(-1)[at >> 32] = at & 0xFFFFFFFF
             out.append(np.array([[table_of(x, fw * fh) for x in line] for line in c], np.uint8).tobytes())
         return pd.Series(out, dtype=object)
 
@@ -327,16 +327,20 @@ def equalised(pixels: DataFrame, by: list[str], value: str = "value", size: int
     return tiles.each(joined, by, 1, change)
 
 
+def equalised_gray(pixels: DataFrame, by: list[str], size: int = tiles.SIZE) -> DataFrame:
+    return equalised(pixels.select(*by, "x", "y", gray(F.col("b"), F.col("g"), F.col("r")).alias("value")), by, "value", size)
+
+
 def blur_size(width: int, height: int) -> int:
     size = max(BLUR_LEAST, min(width, height) // BLUR_SHARE)
     return size + 1 - size % 2
 
 
-def detect_gray(pixels: DataFrame, by: list[str], frame: tuple[int, int], least: float, most: float, score: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE) -> DataFrame:
-    """What differs from its blurred surroundings. frame: width and height, from which the blur's size follows."""
-    luma = pixels.select(*by, "x", "y", gray(F.col("b"), F.col("g"), F.col("r")).alias("value"))
+def detect_gray(pixels: DataFrame, by: list[str], frame: tuple[int, int], least: float, most: float, score: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE, even: DataFrame | None = None) -> DataFrame:
+    """What differs from its blurred surroundings. frame: width and height, from which the blur's size follows; even: the equalised tiles, if there are."""
+    even = equalised_gray(pixels, by, size) if even is None else even
     blur = tiles.gaussian(blur_size(*frame))
-    differ = tiles.near(equalised(luma, by, "value", size), by, 1, blur_size(*frame) // 2, lambda a: np.abs(a - np.rint(blur(a))), size)
+    differ = tiles.near(even, by, 1, blur_size(*frame) // 2, lambda a: np.abs(a - np.rint(blur(a))), size)
     rows = _limits(pinned(tiles.unpack(differ, by, ["response"])), by, r_least=("response", CONTRAST[1], CONTRAST[0]), r_top=("response", CONTRAST_TOP, 0.0))
     over = clip((F.col("response") - F.col("r_least")) / F.greatest(F.col("r_top") - F.col("r_least"), F.lit(1.0)), 0.0, 1.0)
     return candidates_of(components(rows, by, F.col("response") >= F.col("r_least"), over, size), by, "gray", least, most, max(score, 0.5), scale, crop)
@@ -381,10 +385,9 @@ def merge_blobs(found: DataFrame, by: list[str], apart: float, repeats: int = BL
     return rows.groupBy(*(by or ["_all"])).applyInPandas(run, "".join(f"`{n}` {types[n]}, " for n in by) + "x double, y double, size double, seen long")
 
 
-def detect_blob(pixels: DataFrame, by: list[str], least: float, most: float, score: float, distance: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE) -> DataFrame:
-    """Bright blobs that stay round and in place over several thresholds; the score is the gray value at the centre."""
-    luma = pixels.select(*by, "x", "y", gray(F.col("b"), F.col("g"), F.col("r")).alias("value"))
-    even = pinned(equalised(luma, by, "value", size))
+def detect_blob(pixels: DataFrame, by: list[str], least: float, most: float, score: float, distance: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE, even: DataFrame | None = None) -> DataFrame:
+    """Bright blobs that stay round and in place over several thresholds; the score is the gray value at the centre. even: the equalised tiles, if there are."""
+    even = pinned(equalised_gray(pixels, by, size)) if even is None else even
     small = max(3.0, least * scale * scale)
     large = max(small + 1.0, most * scale * scale)
     parts = pinned(threshold_parts(even, by, list(range(BLOB_FROM, BLOB_TO, BLOB_STEP)), size))
@@ -406,8 +409,9 @@ def detect_blob(pixels: DataFrame, by: list[str], least: float, most: float, sco
 def detect(pixels: DataFrame, by: list[str], methods: tuple[str, ...], frame: tuple[int, int], least: float, most: float, score: float, distance: float, scale: float = 1.0, crop=(0, 0), size: int = tiles.SIZE) -> DataFrame:
     """Candidates of all the methods named, as merge_candidates takes them."""
     pixels = pinned(pixels)
+    even = pinned(equalised_gray(pixels, by, size)) if {"gray", "blob"} & set(methods) else None
     common = {"least": least, "most": most, "score": score, "scale": scale, "crop": crop, "size": size}
-    run = {"hsv": lambda: detect_hsv(pixels, by, **common), "lab": lambda: detect_lab(pixels, by, **common), "gray": lambda: detect_gray(pixels, by, frame, **common), "blob": lambda: detect_blob(pixels, by, distance=distance, **common)}
+    run = {"hsv": lambda: detect_hsv(pixels, by, **common), "lab": lambda: detect_lab(pixels, by, **common), "gray": lambda: detect_gray(pixels, by, frame, even=even, **common), "blob": lambda: detect_blob(pixels, by, distance=distance, even=even, **common)}
     out = None
     for m in methods:
         out = run[m]() if out is None else out.unionByName(run[m]())
