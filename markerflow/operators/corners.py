@@ -68,9 +68,9 @@ def _settled(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> tuple[np.ndarra
 
 def saddles(pixels: DataFrame, by: list[str], value: str = "value", size: int = tiles.SIZE) -> DataFrame:
     """(by, x, y, response) of the saddles of frames (by, x, y, value), to a part of a pixel."""
-    packed = tiles.pack(pixels.select(*by, "x", "y", value), by, [value], size)
+    packed = tiles.packing(pixels.select(*by, "x", "y", value), by, [value], size)
     reach = BLUR // 2 + 3 + max(APART, WINDOW)
-    answered = tiles.near(packed, by, 1, reach, saddle_response, size)
+    answered = tiles.nearing(packed, by, 1, reach, saddle_response, size)
     found = pinned(tiles.unpack(answered, by, ["response", "dx", "dy"], positive=True))  # the few saddles of a frame, which are read twice
     top = found.groupBy(*by).agg(F.max("response").alias("_top"))
     strong = (found.join(top, by) if by else found.crossJoin(F.broadcast(top))).where(F.col("response") >= SHARE * F.col("_top"))  # one row

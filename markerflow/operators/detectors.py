@@ -234,8 +234,8 @@ def _limits(pixels: DataFrame, by: list[str], **shares) -> DataFrame:
 
 def components(pixels: DataFrame, by: list[str], mask: Column, score: Column, size: int = tiles.SIZE) -> DataFrame:
     """Parts of the components, with their score, of a mask that was cleaned."""
-    packed = tiles.pack(pixels.select(*by, "x", "y", mask.cast("double").alias("mask"), score.alias("score")), by, ["mask", "score"], size)
-    clean = tiles.near(packed, by, 2, tiles.CLEAN_REACH, lambda a: np.concatenate([tiles.cleaned(a[:1]), a[1:]]), size)
+    packed = tiles.packing(pixels.select(*by, "x", "y", mask.cast("double").alias("mask"), score.alias("score")), by, ["mask", "score"], size)
+    clean = tiles.nearing(packed, by, 2, tiles.CLEAN_REACH, lambda a: np.concatenate([tiles.cleaned(a[:1]), a[1:]]), size)
     return pinned(tiles.parts(clean, by, ["mask", "score"], size))
 
 
@@ -340,13 +340,13 @@ def detect_gray(pixels: DataFrame, by: list[str], frame: tuple[int, int], least:
     """What differs from its blurred surroundings. frame: width and height, from which the blur's size follows; even: the equalised tiles, if there are."""
     even = equalised_gray(pixels, by, size) if even is None else even
     blur = tiles.gaussian(blur_size(*frame))
-    differ = tiles.near(even, by, 1, blur_size(*frame) // 2, lambda a: np.abs(a - np.rint(blur(a))), size)
+    differ = tiles.nearing(even, by, 1, blur_size(*frame) // 2, lambda a: np.abs(a - np.rint(blur(a))), size)
     rows = _limits(pinned(tiles.unpack(differ, by, ["response"])), by, r_least=("response", CONTRAST[1], CONTRAST[0]), r_top=("response", CONTRAST_TOP, 0.0))
     over = clip((F.col("response") - F.col("r_least")) / F.greatest(F.col("r_top") - F.col("r_least"), F.lit(1.0)), 0.0, 1.0)
     return candidates_of(components(rows, by, F.col("response") >= F.col("r_least"), over, size), by, "gray", least, most, max(score, 0.5), scale, crop)
 
 
-def threshold_parts(packed: DataFrame, by: list[str], thresholds: list[int], size: int = tiles.SIZE) -> DataFrame:
+def threshold_parts(packed: DataFrame | tiles.Pending, by: list[str], thresholds: list[int], size: int = tiles.SIZE) -> DataFrame:
     """Parts (by, threshold, label, ...) of the components of the tiles' pixels above each threshold: the component tree's nodes, level by level. A component lies
     in one of the level below."""
     return tiles.parts(packed, by, ["value"], size, levels=thresholds)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,48 @@ _TILE = ("tx", "ty", "x", "y", "w", "h", "data")
 _HELD = 128  # tiles that are worked on at once
 
 
+class Pending(NamedTuple):
+    """Tiles still to be made of rows, by passes of Python one after the other. Passes that follow without a shuffle between them are done in one worker a
+    task; as frames of their own, each would have its worker in every task, with all that a worker imports."""
+
+    rows: DataFrame
+    passes: tuple[Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], ...] = ()
+    types: str = ""
+
+    def then(self, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], types: str) -> Pending:
+        return Pending(self.rows, (*self.passes, run), types)
+
+    def frame(self) -> DataFrame:
+        passes = self.passes
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for one in passes:
+                frames = one(frames)
+            return frames
+
+        return self.rows.mapInPandas(run, self.types) if passes else self.rows
+
+
+def _pending(tiles: DataFrame | Pending) -> Pending:
+    return tiles if isinstance(tiles, Pending) else Pending(tiles)
+
+
+def _some(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """Rows n at a time, whatever frames they come in."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        if sum(map(len, held)) >= n:
+            rows = pd.concat(held, ignore_index=True)
+            full = len(rows) // n * n
+            yield from (rows.iloc[i : i + n] for i in range(0, full, n))
+            held = [rows.iloc[full:].copy()]
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def _keys(df: DataFrame, by: list[str]) -> str:
     types = dict(df.dtypes)
     return "".join(f"`{n}` {types[n]}, " for n in by)
@@ -68,6 +111,11 @@ def whole(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.
 
 def pack(pixels: DataFrame, by: list[str], channels: list[str], size: int = SIZE) -> DataFrame:
     """Tiles of pixels (by, x, y, channels)."""
+    return packing(pixels, by, channels, size).frame()
+
+
+def packing(pixels: DataFrame, by: list[str], channels: list[str], size: int = SIZE) -> Pending:
+    """What pack gives, for near, parts and unpack to go on with."""
     rows = pixels.select(*by, "x", "y", F.floor(F.col("x") / size).cast("int").alias("tx"), F.floor(F.col("y") / size).cast("int").alias("ty"), *[F.col(c).cast("double").alias(c) for c in channels])
     frame = pixels.groupBy(*by).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
 
@@ -89,24 +137,23 @@ def pack(pixels: DataFrame, by: list[str], channels: list[str], size: int = SIZE
 
     keys = [*by, "tx", "ty"]
     joined = rows.join(frame, by) if by else rows.crossJoin(F.broadcast(frame))  # one row
-    return together(joined, keys).mapInPandas(run, _keys(pixels, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
+    return Pending(together(joined, keys)).then(run, _keys(pixels, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
 
 
-def unpack(tiles: DataFrame, by: list[str], channels: list[str], positive: bool = False) -> DataFrame:
+def unpack(tiles: DataFrame | Pending, by: list[str], channels: list[str], positive: bool = False) -> DataFrame:
     """Pixels (by, x, y, channels) of tiles; with positive only those whose first channel is above 0, so that no others become rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for i in range(0, len(pdf), _HELD):
-                some = pdf.iloc[i : i + _HELD]
-                arrays = [_array(d, len(channels), h, w) for d, h, w in zip(some["data"], some["h"], some["w"])]
-                kept = [a[0] > 0 if positive else np.ones(a.shape[1:], bool) for a in arrays]
-                ys, xs = (np.concatenate(n) for n in zip(*(np.nonzero(k) for k in kept)))
-                tile = np.repeat(np.arange(len(some)), [int(k.sum()) for k in kept])
-                out = {**{n: some[n].to_numpy()[tile] for n in by}, "x": xs + some["x"].to_numpy()[tile], "y": ys + some["y"].to_numpy()[tile]}
-                yield pd.DataFrame({**out, **{c: np.concatenate([a[j][k] for a, k in zip(arrays, kept)]).astype(float) for j, c in enumerate(channels)}})
+        for some in _some(frames, _HELD):
+            arrays = [_array(d, len(channels), h, w) for d, h, w in zip(some["data"], some["h"], some["w"])]
+            kept = [a[0] > 0 if positive else np.ones(a.shape[1:], bool) for a in arrays]
+            ys, xs = (np.concatenate(n) for n in zip(*(np.nonzero(k) for k in kept)))
+            tile = np.repeat(np.arange(len(some)), [int(k.sum()) for k in kept])
+            out = {**{n: some[n].to_numpy()[tile] for n in by}, "x": xs + some["x"].to_numpy()[tile], "y": ys + some["y"].to_numpy()[tile]}
+            yield pd.DataFrame({**out, **{c: np.concatenate([a[j][k] for a, k in zip(arrays, kept)]).astype(float) for j, c in enumerate(channels)}})
 
-    return tiles.mapInPandas(run, _keys(tiles, by) + "x int, y int, " + ", ".join(f"`{c}` double" for c in channels))
+    made = _pending(tiles)
+    return made.then(run, _keys(made.rows, by) + "x int, y int, " + ", ".join(f"`{c}` double" for c in channels)).frame()
 
 
 def each(tiles: DataFrame, by: list[str], channels: int, change: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
@@ -121,15 +168,21 @@ def each(tiles: DataFrame, by: list[str], channels: int, change: Callable[[np.nd
     return tiles.mapInPandas(run, _keys(tiles, by) + "tx int, ty int, x int, y int, w int, h int, data binary")
 
 
-def near(tiles: DataFrame, by: list[str], channels: int, reach: int, change: Callable[[np.ndarray], np.ndarray], size: int = SIZE) -> DataFrame:
+def near(tiles: DataFrame | Pending, by: list[str], channels: int, reach: int, change: Callable[[np.ndarray], np.ndarray], size: int = SIZE) -> DataFrame:
     """Tiles whose pixels follow from those up to reach around them: change gets a tile with what the frame has around it and returns an array of the
     same height and width. Where the array ends inside the frame it is cut off again, where the frame ends change sees the frame's border."""
+    return nearing(tiles, by, channels, reach, change, size).frame()
+
+
+def nearing(tiles: DataFrame | Pending, by: list[str], channels: int, reach: int, change: Callable[[np.ndarray], np.ndarray], size: int = SIZE) -> Pending:
+    """What near gives, for near, parts and unpack to go on with."""
     if reach > size:
         raise ValueError(f"a filter of reach {reach} needs tiles of that size")
-    keys = _keys(tiles, by) + "tx int, ty int, x int, y int, w int, h int, data binary"
+    made = _pending(tiles)
+    keys = _keys(made.rows, by) + "tx int, ty int, x int, y int, w int, h int, data binary"
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in (pdf.iloc[i : i + _HELD] for pdf in frames for i in range(0, len(pdf), _HELD)):
+        for some in _some(frames, _HELD):
             out = []
             for row in some.to_dict("records"):
                 data = _array(row["data"], channels, row["h"], row["w"])
@@ -162,7 +215,7 @@ def near(tiles: DataFrame, by: list[str], channels: int, reach: int, change: Cal
         return (*[core[n] for n in by], tx, ty, core["x"], core["y"], core["w"], core["h"], np.ascontiguousarray(out, np.float32).tobytes())
 
     place = [*by, "tx", "ty"]
-    return together(tiles.mapInPandas(spread, keys), place).mapInPandas(meet, keys)
+    return Pending(together(made.then(spread, keys).frame(), place)).then(meet, keys)
 
 
 # --- filters on arrays (channels, height, width), with the frame's border where the array ends ------------------------------------------
@@ -246,7 +299,7 @@ def local_mean(pixels: DataFrame, by: list[str], value: str, radius: int, name:
 _PART = ("x", "y", "w", "h", "area", "sx", "sy", "bits")
 
 
-def parts(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True, levels: list[int] | None = None) -> DataFrame:
+def parts(tiles: DataFrame | Pending, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True, levels: list[int] | None = None) -> DataFrame:
     """(by, label, x, y, w, h, area, sx, sy, bits, the channels after the first) of the pieces into which tiles cut the components of pixels whose first
     channel is not 0: a piece's box, number of pixels and sums of their places, its pixels as bits of the box, and their other channels as 32-bit
     floats, row by row. A label is the first pixel of its component, row by row, as y * 2**32 + x. With levels, components of the pixels above each,
@@ -257,22 +310,21 @@ def parts(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE
     """
     rest = channels[1:]
     keys = [*by, "threshold"] if levels is not None else by
-    typed = _keys(tiles, by) + ("threshold int, " if levels is not None else "")
+    made = _pending(tiles)
+    typed = _keys(made.rows, by) + ("threshold int, " if levels is not None else "")
     row = np.arange(size)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for i in range(0, len(pdf), _HELD):
-                some = pdf.iloc[i : i + _HELD]
-                x, y, w, h = (some[n].to_numpy().astype(np.int64) for n in "xywh")
-                data = np.full((len(channels), len(some), size + 1, size), -np.inf, np.float32)  # a row between tiles
-                for t, d in enumerate(some["data"]):
-                    data[:, t, : h[t], : w[t]] = _array(d, len(channels), h[t], w[t])
-                for level in [None] if levels is None else levels:
-                    mask = (data[0] != 0) & ~np.isneginf(data[0]) if level is None else data[0] > level
-                    out = pieces(mask, data[1:], x, y, w, h)
-                    tile = out.pop("tile")
-                    yield pd.DataFrame({**{n: some[n].to_numpy()[tile] for n in by}, **({} if level is None else {"threshold": np.full(len(tile), level, np.int32)}), **out})
+        for some in _some(frames, _HELD):
+            x, y, w, h = (some[n].to_numpy().astype(np.int64) for n in "xywh")
+            data = np.full((len(channels), len(some), size + 1, size), -np.inf, np.float32)  # a row between tiles
+            for t, d in enumerate(some["data"]):
+                data[:, t, : h[t], : w[t]] = _array(d, len(channels), h[t], w[t])
+            for level in [None] if levels is None else levels:
+                mask = (data[0] != 0) & ~np.isneginf(data[0]) if level is None else data[0] > level
+                out = pieces(mask, data[1:], x, y, w, h)
+                tile = out.pop("tile")
+                yield pd.DataFrame({**{n: some[n].to_numpy()[tile] for n in by}, **({} if level is None else {"threshold": np.full(len(tile), level, np.int32)}), **out})
 
     def pieces(mask: np.ndarray, others: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> dict:
         """Columns of a stack of tiles' pieces, and after them of the rims (piece -1): the pieces' first pixels along the tile's top, bottom, left and right."""
@@ -359,13 +411,13 @@ def parts(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE
                 root = new
             yield pd.DataFrame({**{k: pdf[k].to_numpy()[tile] for k in keys}, "piece": name, "_label": name[root]})
 
-    found = pinned(tiles.mapInPandas(cut, typed + "piece long, x int, y int, w int, h int, area long, sx long, sy long, bits binary" + "".join(f", `{c}` binary" for c in rest)))
+    found = pinned(made.then(cut, typed + "piece long, x int, y int, w int, h int, area long, sx long, sy long, bits binary" + "".join(f", `{c}` binary" for c in rest)).frame())
     rims = found.where("piece < 0").select(*keys, "x", "y", "bits")
     united = together(rims, keys).mapInPandas(unite, typed + "piece long, _label long")
     return found.where("piece >= 0").join(united, [*keys, "piece"], "left").select(*keys, F.coalesce("_label", "piece").alias("label"), *_PART, *rest)
 
 
-def labelled(tiles: DataFrame, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True) -> DataFrame:
+def labelled(tiles: DataFrame | Pending, by: list[str], channels: list[str], size: int = SIZE, diagonal: bool = True) -> DataFrame:
     """(by, x, y, label, the channels after the first) of the pixels whose first channel is not 0, labelled as parts labels them."""
     rest = channels[1:]
 
@@ -378,7 +430,7 @@ def labelled(tiles: DataFrame, by: list[str], channels: list[str], size: int = S
                 out = {**{n: some[n].to_numpy()[part] for n in by}, "x": xs + some["x"].to_numpy()[part], "y": ys + some["y"].to_numpy()[part], "label": some["label"].to_numpy()[part]}
                 yield pd.DataFrame({**out, **{c: np.frombuffer(b"".join(some[c]), np.float32).astype(float) for c in rest}})
 
-    return parts(tiles, by, channels, size, diagonal).mapInPandas(run, _keys(tiles, by) + "x int, y int, label long" + "".join(f", `{c}` double" for c in rest))
+    return parts(tiles, by, channels, size, diagonal).mapInPandas(run, _keys(_pending(tiles).rows, by) + "x int, y int, label long" + "".join(f", `{c}` double" for c in rest))
 
 
 def mask_of(bits: bytes, w: int, h: int) -> np.ndarray:

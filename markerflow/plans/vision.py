@@ -50,7 +50,7 @@ def m11_cleaned_mask(spark, d):
 def _cleaned(spark, d):
     p = m11_colours(spark, d)
     mask = p.select("frame", "x", "y", (F.col("h").between(14, 92) & (F.col("s") >= 90)).cast("int").alias("m"))
-    return tiles.near(tiles.pack(mask, ["frame"], ["m"], 32), ["frame"], 1, tiles.CLEAN_REACH, tiles.cleaned, 32)
+    return tiles.nearing(tiles.packing(mask, ["frame"], ["m"], 32), ["frame"], 1, tiles.CLEAN_REACH, tiles.cleaned, 32)
 
 
 # the least pixel of a component reaches all of it over pixels that come after it
@@ -73,7 +73,7 @@ _LEVELS = [190, 205, 220]
 def m11_threshold_components(spark, d):
     """The nodes of the component tree over thresholds."""
     luma = m11_colours(spark, d).select("frame", "x", "y", F.col("luma").alias("value"))
-    stats = tiles.part_stats(detectors.threshold_parts(tiles.pack(luma, ["frame"], ["value"], 32), ["frame"], _LEVELS, 32), ["frame", "threshold"])
+    stats = tiles.part_stats(detectors.threshold_parts(tiles.packing(luma, ["frame"], ["value"], 32), ["frame"], _LEVELS, 32), ["frame", "threshold"])
     return stats.select("frame", "threshold", "label", "area", "x", "y", "w", "h", r6("cx"), r6("cy"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markerflow.operators import detectors, masks, tiles
+from markerflow.plans import vision
 
 from .test_vision import brute_labels, frame
 
@@ -83,3 +84,30 @@ def test_rows_of_a_key_are_handed_on_as_soon_as_it_ends():
 
     got = [(rows.k.tolist(), starts.tolist(), len(taken)) for rows, starts in tiles.whole(frames(), ["k"])]
     assert got == [([0, 0], [0], 1), ([1, 1, 1, 1], [0], 4), ([2], [0], 5), ([3, 3, 3], [0], 6)]
+
+
+def test_pixels_are_packed_and_cut_in_one_worker(small_batches, monkeypatch):
+    """Passes of Python that are frames of their own have a worker each in every task."""
+    seen = []
+    monkeypatch.setattr(tiles, "pinned", lambda df: seen.append(df) or df)
+    vision.m11_threshold_components(small_batches, "/root/testdata/sf0.001")
+    vision.m11_components(small_batches, "/root/testdata/sf0.001")
+    passes = [df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") for df in seen]
+    assert passes == [1, 2]  # the second shuffles the tiles' strips in between
+
+
+def test_passes_in_one_worker_give_what_they_give_apart(small_batches):
+    pixels = frame(small_batches, images())
+    apart, joined = tiles.pack(pixels, ["image"], ["value"], 8), tiles.packing(pixels, ["image"], ["value"], 8)
+    blur = tiles.gaussian(7)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(detectors.threshold_parts(joined, ["image"], [30, 60], 8)) == rows(detectors.threshold_parts(apart, ["image"], [30, 60], 8))
+    near = tiles.near(apart, ["image"], 1, 3, blur, 8)
+    assert rows(tiles.unpack(tiles.nearing(joined, ["image"], 1, 3, blur, 8), ["image"], ["v"])) == rows(tiles.unpack(near, ["image"], ["v"]))
+
+
+def test_some_rows_at_a_time():
+    frames = [pd.DataFrame({"n": range(a, b)}) for a, b in ((0, 2), (2, 2), (2, 3), (3, 11), (11, 12))]
+    assert [some.n.tolist() for some in tiles._some(iter(frames), 3)] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]]
+    assert [some.n.tolist() for some in tiles._some(iter(frames), 5)] == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11]]
+    assert list(tiles._some(iter(frames[1:2]), 3)) == []
