@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, stage
+from .common import as_bytes, merged, partitions, stage
 
 #: Bytes of text in a batch (a longer text is a batch of its own), bits of a slot number.
 BATCH_BYTES, SLOT_BITS = 4 << 20, 20
@@ -115,7 +115,7 @@ def firsts(batches: DataFrame, members: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"node": (int(b) << SLOT_BITS) + np.arange(n), "key": [bytes(k[16 * i : 16 * i + 16]) for i in range(n)]})
 
     least = members.groupBy("node").agg(F.min(F.struct("doc_id", "none", *(["tie"] if "tie" in members.columns else []))).alias("least"))
-    rows = batches.select("batch", "keys").mapInPandas(keys, "node long, key binary").join(least, "node")
+    rows = batches.select("batch", "keys").mapInPandas(keys, "node long, key binary").join(merged(least), "node")
     same = Window.partitionBy("key")
     return rows.select("node", F.min("node").over(same).alias("head"), F.min("least").over(same).alias("first"))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, sweeping, unstage
+from .common import merged, stage, sweeping, unstage
 
 #: Nodes that a task holds at once (about 200 bytes each); what it holds goes on as stars when there are more.
 HELD = 1 << 19
@@ -72,10 +72,10 @@ def components(edges: DataFrame, held: int = HELD) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: neighbours above a node go to its smallest neighbour
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(merged(least), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below it go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(merged(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         last, edges = edges, stage(small, "edges")
         unstage(last)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

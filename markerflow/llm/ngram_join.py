@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import MANY, SLOT_BITS, collect, count_keys, firsts, flags_of, front, pack, part_starts, unfront, unpack
-from .common import partitions, stage, unstage
+from .common import merged, partitions, stage, unstage
 from .graph import components
 
 SHINGLE = 5
@@ -291,7 +291,8 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / SIMILAR)) + 1e-9).cast("int")
     whole = texts.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
     small = (F.col("texts") <= tile) & (F.col("bytes") <= tile_bytes)
-    rows = texts.withColumn("band", band).join(whole.select("root", small.alias("small")), "root")
+    # blocks of more than a tile are at most one for each tile of texts or of bytes, and labels with cells of their own two for each half cell
+    rows = texts.withColumn("band", band).join(whole.where(~small).select("root", F.col("texts").alias("large")), "root", "left").withColumn("small", F.col("large").isNull()).drop("large")
     # a label with half a cell of texts in a band has cells of its own (its group), the others share cells (no group)
     sizes = rows.where("NOT small").groupBy("root", "band", "label").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
     own = F.when((2 * F.col("texts") >= tile) | (2 * F.col("bytes") >= tile_bytes), F.col("label"))
@@ -300,7 +301,7 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     start = F.coalesce(F.sum("subs").over(Window.partitionBy("root").orderBy("band", "grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     # groups of a block are at most two for each half cell of texts and one for each band, and bands the logarithm of the largest set
     plan = groups.withColumn("start", start).groupBy("root").agg(F.collect_list(F.struct("band", "grp", "subs", "start")).alias("plan"))
-    rows = rows.join(sizes.select("root", "band", "label", own.alias("grp")), ["root", "band", "label"], "left").join(plan, "root", "left")
+    rows = rows.join(sizes.select("root", "band", "label", own.alias("grp")).where("grp IS NOT NULL"), ["root", "band", "label"], "left").join(plan, "root", "left")
     mine = F.get(F.filter("plan", lambda g: (g["band"] == F.col("band")) & g["grp"].eqNullSafe(F.col("grp"))), F.lit(0))
     rows = rows.withColumn("mine", mine).withColumn("cell", F.when(F.col("small"), 0).otherwise(F.col("mine.start") + F.pmod(F.xxhash64("node"), F.col("mine.subs").cast("long")).cast("int")))
     near = F.filter("plan", lambda g: (F.abs(g["band"] - F.col("band")) <= 1) & (F.col("grp").isNull() | ~g["grp"].eqNullSafe(F.col("grp"))))
@@ -322,15 +323,15 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     batches, members, log = collect(docs, words_joined, "grams", tie)
     about = stage(firsts(batches, members), "grams-heads")
     heads = about.where("node = head").groupBy(F.shiftright("node", SLOT_BITS).alias("batch")).agg(F.collect_list("node").alias("heads"))
-    counted = batches.select("batch", "packed").join(count_keys(batches, _prefixes), "batch", "left").join(heads, "batch")
+    counted = batches.select("batch", "packed").join(merged(count_keys(batches, _prefixes)), "batch", "left").join(merged(heads), "batch")
     sharing = stage(counted.mapInPandas(_sharing, "node long, n long, batch long, nodes array<long>, packed binary"), "grams-sharing", "snappy")
     unstage(log)
     sizes = stage(sharing.where("node IS NOT NULL").select("node", "n"), "grams-sizes")
     some = sharing.where("batch IS NOT NULL").select("batch", "nodes", "packed")
 
     parts = 2 * partitions(spark)
-    runs = stage(some.join(count_keys(some, _all), "batch").mapInPandas(_rare(parts, many), "part int, run binary, nodes binary"), "grams-runs", "snappy")
-    texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(sizes, "node"), "grams-texts", "snappy")
+    runs = stage(some.join(merged(count_keys(some, _all)), "batch").mapInPandas(_rare(parts, many), "part int, run binary, nodes binary"), "grams-runs", "snappy")
+    texts = stage(some.mapInPandas(_texts, "node long, text binary, size long").join(merged(sizes), "node"), "grams-texts", "snappy")
     unstage(sharing)
     text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     # a shingle's lanes are tied by their first texts, which are as many as lanes at most
@@ -340,7 +341,7 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     links = None
     if not every:
         near = runs.groupBy("part").applyInPandas(_neighbours, "a long, b long").union(chain.where(OF * F.col("size_a") >= SIMILAR * F.col("size")).select(F.least("a", "b"), F.greatest("a", "b")))
-        near = near.distinct().join(text("b"), "b").join(text("a"), "a")
+        near = near.distinct().join(merged(text("b")), "b").join(merged(text("a")), "a")
         links = stage(near.repartition(partitions(spark), "a").sortWithinPartitions("a").mapInPandas(_linked_pairs, "a long, b long"), "grams-links")
     ties = stage(runs.groupBy("part").applyInPandas(_ties, "a long, b long").union(chain.select("a", "b")).distinct(), "grams-ties")
     unstage(runs)
@@ -348,9 +349,9 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
 
     found = stage(components(links) if links is not None else spark.createDataFrame([], "node long, root long"), "grams-labels")
     label = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"label_{side}"))
-    labelled = ties.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    labelled = ties.join(merged(label("a")), "a", "left").join(merged(label("b")), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
     blocks = components(labelled.where("a <> b"))
-    mixed = texts.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")).join(blocks.withColumnRenamed("node", "label"), "label")
+    mixed = texts.join(merged(found.withColumnRenamed("root", "label")), "node", "left").withColumn("label", F.coalesce("label", "node")).join(merged(blocks.withColumnRenamed("node", "label")), "label")
     mixed = stage(mixed, "grams-mixed", "snappy")
     unstage(texts)
     unstage(ties)
@@ -359,15 +360,15 @@ def ngram_join(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES,
     groups = components(compared if links is None else links.union(compared))
     unstage(mixed)
 
-    known = about.where("node = head").select("head", "first").join(sizes.withColumnRenamed("node", "head"), "head").join(groups.withColumnRenamed("node", "head"), "head", "left")
+    known = about.where("node = head").select("head", "first").join(merged(sizes.withColumnRenamed("node", "head")), "head").join(merged(groups.withColumnRenamed("node", "head")), "head", "left")
     if every:
         ends = compared.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("links"))
-        known = known.join(ends, "head", "left")
+        known = known.join(merged(ends), "head", "left")
     least = known.groupBy(F.coalesce("root", "head").alias("group")).agg(F.min("first").alias("component"))
     more = [F.coalesce("links", F.lit(0).cast("long")).alias("n_links")] if every else []
-    nodes = about.select("node", "head").join(known.select("head", "n", *more, F.coalesce("root", "head").alias("group")), "head").join(least, "group")
+    nodes = about.select("node", "head").join(merged(known.select("head", "n", *more, F.coalesce("root", "head").alias("group"))), "head").join(merged(least), "group")
     alone = F.col("n") == 0
-    out = members.join(nodes, "node").select(
+    out = members.join(merged(nodes), "node").select(
         F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(alone & ~F.col("none"), F.col("doc_id")).when(~alone & ~F.col("component.none"), F.col("component.doc_id")).alias("component_id"),

@@ -45,3 +45,24 @@ def test_a_small_graph_takes_no_round(spark, monkeypatch):
 
 
 STAGE = graph.stage
+
+
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark, monkeypatch):
+    from markerflow.llm import batches, graph, ngram_join
+
+    plans, kept = {}, ngram_join.stage
+
+    def noted(df, name, *more):
+        plans[f"{name} {len(plans)}"] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name, *more)
+
+    for module in (batches, graph, ngram_join):
+        monkeypatch.setattr(module, "stage", noted)
+    words = [[f"w{k}x{i}" for i in range(40)] for k in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:-1]) for w in words] + [" ".join(words[0])]
+    out = ngram_join.ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile=2)
+    assert {tuple(r) for r in out.select("doc_id", "component_id").collect()} == {(i, i % 6) for i in range(13)}
+    plans["result"] = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Join" in p for p in plans.values()) >= 5
+    # tiles read one row a block of more than a tile, which is none a text
+    assert not [n for n, p in plans.items() if "Broadcast" in p and not n.startswith("grams-compared")]
