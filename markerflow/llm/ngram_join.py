@@ -291,8 +291,9 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / SIMILAR)) + 1e-9).cast("int")
     whole = texts.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
     small = (F.col("texts") <= tile) & (F.col("bytes") <= tile_bytes)
-    # blocks of more than a tile are at most one for each tile of texts or of bytes, and labels with cells of their own two for each half cell
-    rows = texts.withColumn("band", band).join(whole.where(~small).select("root", F.col("texts").alias("large")), "root", "left").withColumn("small", F.col("large").isNull()).drop("large")
+    # blocks of more than a tile are at most one for each tile of texts or of bytes, and labels with cells of their own two for each half cell: they are
+    # broadcast, as a block dealt by its root would be one task
+    rows = texts.withColumn("band", band).join(F.broadcast(whole.where(~small).select("root", F.col("texts").alias("large"))), "root", "left").withColumn("small", F.col("large").isNull()).drop("large")
     # a label with half a cell of texts in a band has cells of its own (its group), the others share cells (no group)
     sizes = rows.where("NOT small").groupBy("root", "band", "label").agg(F.count("*").alias("texts"), F.sum("size").alias("bytes"))
     own = F.when((2 * F.col("texts") >= tile) | (2 * F.col("bytes") >= tile_bytes), F.col("label"))
@@ -301,7 +302,7 @@ def tiled(texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> D
     start = F.coalesce(F.sum("subs").over(Window.partitionBy("root").orderBy("band", "grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     # groups of a block are at most two for each half cell of texts and one for each band, and bands the logarithm of the largest set
     plan = groups.withColumn("start", start).groupBy("root").agg(F.collect_list(F.struct("band", "grp", "subs", "start")).alias("plan"))
-    rows = rows.join(sizes.select("root", "band", "label", own.alias("grp")).where("grp IS NOT NULL"), ["root", "band", "label"], "left").join(plan, "root", "left")
+    rows = rows.join(F.broadcast(sizes.select("root", "band", "label", own.alias("grp")).where("grp IS NOT NULL")), ["root", "band", "label"], "left").join(F.broadcast(plan), "root", "left")
     mine = F.get(F.filter("plan", lambda g: (g["band"] == F.col("band")) & g["grp"].eqNullSafe(F.col("grp"))), F.lit(0))
     rows = rows.withColumn("mine", mine).withColumn("cell", F.when(F.col("small"), 0).otherwise(F.col("mine.start") + F.pmod(F.xxhash64("node"), F.col("mine.subs").cast("long")).cast("int")))
     near = F.filter("plan", lambda g: (F.abs(g["band"] - F.col("band")) <= 1) & (F.col("grp").isNull() | ~g["grp"].eqNullSafe(F.col("grp"))))
